@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspan.llm import bit_planes, byte_bpe, packing, warc
+from wattspan.llm import bit_planes, byte_bpe, jaccard_join, language_id, licenses, line_quality, packing, pivot_index, quality_rules, warc
 from wattspan.ship import ship
 
 
@@ -51,11 +51,69 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(coder.encode(table(spark, sf_dir, "documents")), coder)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items()) + "}"
+    anchors = " OR ".join(f"contains(lower(s), '{a}')" for a in licenses.ANCHORS)
+    steps, last = [], "seqs"
+    for i, (name, ids) in enumerate(licenses.RULES):
+        sought = " " + "  ".join(ids) + " "
+        steps.append(f"r{i} AS (SELECT doc_id, n, replace(rest, '{sought}', '|') AS rest, CASE WHEN contains(rest, '{sought}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
+        last = f"r{i}"
+    return f"""
+WITH parts AS (
+  SELECT doc_id, rn, unnest(string_split_regex(coalesce(text, ''), '\n|[.;!?]([\x20\x09-\x0D]|$)|:(\n|$)')) AS s,
+         generate_subscripts(string_split_regex(coalesce(text, ''), '\n|[.;!?]([\x20\x09-\x0D]|$)|:(\n|$)'), 1) AS k
+  FROM (SELECT *, row_number() OVER () AS rn FROM documents)
+), named AS (
+  SELECT rn, k, {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))] AS id FROM parts WHERE {anchors}
+), lists AS (
+  SELECT rn, list(id ORDER BY k) AS ids FROM named WHERE id IS NOT NULL GROUP BY rn
+), seqs AS (
+  SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n, ' ' || coalesce(array_to_string(list_transform(ids, lambda x: x || ' '), ' '), '') AS rest, CAST([] AS VARCHAR[]) AS found
+  FROM (SELECT doc_id, row_number() OVER () AS rn FROM documents) d LEFT JOIN lists USING (rn)
+), {", ".join(steps)}
+SELECT doc_id, n AS n_license_sentences, array_to_string(list_sort(list_distinct(found)), ',') AS licenses,
+       CAST(len(list_filter(string_split_regex(rest, '[ |]+'), lambda x: x <> '')) AS BIGINT) AS unknown_sentences
+FROM {last}
+"""
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), percent=75, words=5).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
+    "op4_pivot_index": op4_pivot_index,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_bit_planes": op6_token_bit_planes,
+    "op7_license_sentences": op7_license_sentences,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_line_quality": op10_line_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op7_license_sentences": _op7_sql()}
