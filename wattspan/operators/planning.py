@@ -14,9 +14,10 @@ def cumulative_capacity(vintages: DataFrame, keys: Sequence[str], vintage: str,
 
     A vintage is spread over the years it serves, so it is one pass and one aggregate, not a self-join.
     """
-    rows = vintages.withColumn("year", F.explode(F.sequence(F.greatest(F.col(vintage), F.lit(years[0])), F.greatest(F.col(vintage), F.lit(years[0])) + life)))
-    serving = rows.where((F.col("year") >= F.col(vintage)) & (F.col("year") < F.col(vintage) + life) & (F.col("year") <= years[1]))
-    return serving.groupBy(*keys, "year").agg(F.sum(F.col(mw) * F.pow(F.lit(1.0 - degradation), F.col("year") - F.col(vintage))).alias("capacity"))
+    first, last = F.greatest(F.col("_v"), F.lit(years[0])), F.least(F.col("_v") + life - 1, F.lit(years[1]))
+    built = vintages.select(*keys, F.col(vintage).alias("_v"), F.col(mw).alias("_mw")).where(first <= last)
+    serving = built.withColumn("year", F.explode(F.sequence(first, last)))
+    return serving.groupBy(*keys, "year").agg(F.sum(F.col("_mw") * F.pow(F.lit(1.0 - degradation), F.col("year") - F.col("_v"))).alias("capacity"))
 
 
 def adequacy(capacity: DataFrame, demand_peak: Column, growth: float, margin: float, first_year: int, credit: Column) -> DataFrame:
