@@ -73,9 +73,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         gaps = np.flatnonzero(count[s:capacity])
         best = None
         if len(gaps):
-            after = count[gaps]  # bins whose gap is what would be left
-            after[gaps == 0] = -1  # a full bin is not counted: the change is 1 - 2 * count[s]
-            change = 2 * (after - count[gaps + s]) + 2 - (gaps == 0) * 1
+            # ``gaps`` is what would be left. A full bin is not counted: its change is 1 - 2 * count[s].
+            change = 2 * (count[gaps] - count[gaps + s]) + 2 - (gaps == 0)
             k = int(np.argmin(change))
             fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
             if change[k] <= fresh:
