@@ -121,7 +121,7 @@ def test_sum_of_squares_takes_the_least_sum():
             n = collections.Counter(capacity - v for v in level.values() if v < capacity)
             return sum(k * k for k in n.values())
 
-        choices = [total({**fill, i: v + s}) for i, v in fill.items() if v + s <= capacity] + [total({**fill, len(fill): s})]
+        choices = [total({**fill, i: v + s}) for i, v in fill.items() if v + s <= capacity] or [total({**fill, len(fill): s})]
         assert fill.get(b, 0) == o
         fill[b] = fill.get(b, 0) + s
         assert total(fill) == min(choices)

@@ -2,7 +2,7 @@
 
 Every document is encoded, an end id is appended, and only documents longer than a sequence are cut. A
 piece goes where the sum, over residual gaps, of the squared number of open sequences with that gap
-becomes smallest; a new sequence is one of the choices. Pieces are dealt at random, by a hash, to shards
+becomes smallest; a sequence is opened only where no open one has room. Pieces are dealt at random, by a hash, to shards
 of a bounded number of pieces, each packed by one task: a shard holds lengths only, never tokens, so its
 memory does not depend on the texts, and what is lost against one packing of everything is at most a few
 open sequences a shard. Within a shard longer pieces come first.
@@ -28,7 +28,7 @@ from wattspan.llm.token_cache import encode_column, encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces a shard holds on average. More pack closer, fewer spread over more tasks.
-SHARD_PIECES = 8192
+SHARD_PIECES = 32768
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, pattern: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +61,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of each piece, in the order given.
 
     For a piece of length ``s``, taking an open bin of gap ``g`` changes the sum of squares by
-    ``2 * (count[g - s] - count[g]) + 2`` (gaps of zero and of a whole bin are not counted); ties go to the
-    smallest gap, a new bin comes last.
+    ``2 * (count[g - s] - count[g]) + 2``, or by ``1 - 2 * count[s]`` if it fills the bin, as full bins are
+    not counted. The least change wins, ties go to the smallest gap. As bins should be few, a bin is opened
+    only where no open one has room.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -71,20 +72,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     made = 0
     for i, s in enumerate(lengths.tolist()):
         gaps = np.flatnonzero(count[s:capacity])
-        best = None
         if len(gaps):
-            # ``gaps`` is what would be left. A full bin is not counted: its change is 1 - 2 * count[s].
             change = 2 * (count[gaps] - count[gaps + s]) + 2 - (gaps == 0)
-            k = int(np.argmin(change))
-            fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
-            if change[k] <= fresh:
-                best = int(gaps[k]) + s
-        if best is None:
+            gap = int(gaps[np.argmin(change)]) + s
+            b = open_bins[gap].pop()
+            count[gap] -= 1
+        else:
             b, gap = made, capacity
             made += 1
-        else:
-            b, gap = open_bins[best].pop(), best
-            count[best] -= 1
         bins[i], offsets[i] = b, capacity - gap
         left = gap - s
         if left:
