@@ -42,6 +42,7 @@ def unit_rows(spark: SparkSession, units: list[dict[str, Any]]) -> DataFrame:
     rows = []
     for u in units:
         n = max((len(u[k]) for k in UNIT_LISTS if isinstance(u.get(k), list)), default=1)
-        rows.append((u["name"], u.get("type"), u.get("fuel"), *([float(x) for x in (v if isinstance(v, list) else [v] * n)] if (v := u.get(k)) is not None else None for k in UNIT_LISTS)))
+        lists = [[None if x is None else float(x) for x in (u[k] if isinstance(u.get(k), list) else [u.get(k)] * n)] for k in UNIT_LISTS]
+        rows.append((u["name"], u.get("type"), u.get("fuel"), *lists))
     wide = spark.createDataFrame(rows, "unit string, type string, fuel string, " + ", ".join(f"{k} array<double>" for k in UNIT_LISTS))
     return wide.select("unit", "type", "fuel", F.posexplode(F.arrays_zip(*UNIT_LISTS)).alias("node", "_p")).select("unit", "type", "fuel", "node", "_p.*")
