@@ -30,8 +30,8 @@ from wattspan.llm.common import bounded_sample
 #: Buckets of the literal rank table; about three keys each for a vocabulary of 50,000.
 BUCKETS = 16384
 #: Documents sampled to find frequent words, and frequent words kept in the plan.
-SAMPLE_DOCS = 2000
-FREQUENT_WORDS = 65536
+SAMPLE_DOCS = 8000
+FREQUENT_WORDS = 131072
 NO_RANK = 2**31 - 1
 
 
@@ -68,7 +68,7 @@ def _let(value: Column, body) -> Column:
 def _find(table: Column, key: Column) -> Column:
     """The value of a binary key in a bucketed literal, or null."""
     bucket = F.element_at(table, (F.crc32(key) % BUCKETS + 1).cast("int"))
-    return _let(bucket, lambda b: F.try_element_at(b["v"], F.nullif(F.array_position(b["k"], key).cast("int"), F.lit(0))))
+    return _let(bucket, lambda b: F.get(b["v"], F.array_position(b["k"], key).cast("int") - 1))
 
 
 class BytePairCoder:
@@ -120,7 +120,7 @@ class BytePairCoder:
         """A literal with the ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``."""
         sample = bounded_sample(docs.select(id_col, text_col), id_col, SAMPLE_DOCS)
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").count().where("count > 1")
-        top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select(F.encode("w", "UTF-8").alias("b"))
+        top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select(F.col("w").cast("binary").alias("b"))
         rows = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("b", self.fold(F.col("b")).alias("ids")).collect()
         return _bucketed([(bytes(r["b"]), r["ids"]) for r in rows], "array<int>") if rows else None
 
@@ -129,7 +129,7 @@ class BytePairCoder:
         known = self.frequent(docs, id_col, text_col)
         own = ("words", "_bpe_known", "_bpe_rare", "_bpe_folded", "token_ids")
         out = docs.drop(*(c for c in own if c not in (id_col, text_col)))
-        out = out.withColumn("words", F.transform(self.words(F.col(text_col)), lambda w: F.encode(w, "UTF-8")))
+        out = out.withColumn("words", F.transform(self.words(F.col(text_col)), lambda w: w.cast("binary")))
         nothing = F.lit(None).cast("array<int>")
         out = out.withColumn("_bpe_known", F.transform("words", lambda w: _find(known, w) if known is not None else nothing))
         # Columns are bound before a lambda uses them: the optimizer may put a column's expression in
@@ -138,7 +138,7 @@ class BytePairCoder:
         out = out.withColumn("_bpe_rare", F.array_distinct(rare))
         out = out.withColumn("_bpe_folded", F.transform("_bpe_rare", self.fold))
         parts = F.struct(*own[:-1])
-        ids = _let(parts, lambda s: F.transform(s["_bpe_known"], lambda k, i: F.coalesce(k, F.try_element_at(s["_bpe_folded"], F.array_position(s["_bpe_rare"], F.get(s["words"], i)).cast("int")))))
+        ids = _let(parts, lambda s: F.transform(s["_bpe_known"], lambda k, i: F.coalesce(k, F.get(s["_bpe_folded"], F.array_position(s["_bpe_rare"], F.get(s["words"], i)).cast("int") - 1))))
         return out.withColumn("token_ids", F.flatten(ids)).drop(*own[:-1])
 
     def decode(self, ids: Column) -> Column:
