@@ -1,25 +1,35 @@
 """Whole texts to token ids with the tokenizers library, by way of distinct words.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct word is encoded once by
-the library, and the ids of the words are joined. A bounded memo keeps words between batches; it holds
-no result that the library would not give again, so clearing it changes nothing.
+the library's model, and the ids of the words are joined. Bounded memos keep words between batches; they
+hold no result that the library would not give again, so clearing them changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
-#: The memo is cleared beyond so many words or bytes.
+#: A memo has two generations of so many words: about 100 MB in each Python process with both full.
 MEMO_WORDS = 250_000
-MEMO_BYTES = 32_000_000
+#: Words of texts cut at white space, of which more differ, as punctuation stays on them.
+MEMO_WHITE_SPACE_WORDS = 250_000
+#: Longer words are not kept.
+LONGEST_WORD = 200
 #: Texts are taken together up to so many characters.
 CHUNK_CHARS = 1_000_000
 
 _SPACE_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: The split pattern of byte-level tokenizers, and the same for texts of ASCII and Latin-1 letters only.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 
 
 def white_space_words(text: str) -> list[str]:
@@ -34,36 +44,104 @@ def white_space_words(text: str) -> list[str]:
 def pattern_words(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
-    return regex.compile(pattern).findall
+    general = regex.compile(pattern).findall
+    if pattern != BYTE_LEVEL:
+        return general
+    latin, other = _LATIN.findall, _NOT_LATIN.search
+    return lambda text: general(text) if other(text) else latin(text)
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text has characters that this Python's Unicode does not know. Engines of other versions may
+    know them, and then split at other places."""
+    return any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the
+    others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Memo(dict):
+    """Values of a function by two generations: when the young one is full, it becomes the old one."""
+
+    def __init__(self, make: Callable[[str], bytes], words: int):
+        self.make, self.words, self.old = make, words, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+            if len(word) > LONGEST_WORD:
+                return found
+        self[word] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > self.words:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
+
+    With a ``pattern``, the tokenizer must be a byte-level one that splits by it; without, one that cuts at
+    white space at least. Its own normaliser, split pattern and model are used on words; of a tokenizer
+    whose file says something else, the whole pipeline is run on each word; likewise on whole texts with
+    unassigned characters.
+    """
 
-    def __init__(self, tokenizer_path: str, split: Callable[[str], list[str]]):
+    def __init__(self, tokenizer_path: str, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = split
-        self.memo: dict[str, bytes] = {}
-        self.memo_bytes = 0
+        self.split = pattern_words(pattern) if pattern else white_space_words
+        self._table = byte_characters()
+        with open(tokenizer_path, encoding="utf-8") as f:
+            config = json.load(f)
+        steps, norm = config["pre_tokenizer"], config["normalizer"]
+        parts = steps.get("pretokenizers", [steps]) if steps else []
+        kinds = [p["type"] for p in parts]
+        make = self._whole
+        if pattern and kinds == ["ByteLevel"] and parts[0]["use_regex"] and not parts[0]["add_prefix_space"] and not norm:
+            make = self._piece
+        elif not pattern and kinds == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            import regex
+
+            self._cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
+            plain = {"NFC", "Replace", "Lowercase"}
+            self._ascii_lower = bool(norm) and {n["type"] for n in norm.get("normalizers", [norm])} == plain
+            self.pieces = Memo(self._piece, MEMO_WORDS)
+            make = self._word
+        self.memo = Memo(make, MEMO_WORDS if pattern else MEMO_WHITE_SPACE_WORDS)
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        coded = piece.encode("utf-8").decode("latin-1").translate(self._table)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(coded)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self._ascii_lower and word.isascii():
+            plain = word.lower()
+        else:
+            plain = self.tokenizer.normalizer.normalize_str(word)
+        return b"".join(map(self.pieces.__getitem__, self._cut(plain)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS or self.memo_bytes > MEMO_BYTES:
-            self.memo.clear()
-            self.memo_bytes = 0
-        cut = [self.split(t) for t in texts]
-        memo = self.memo
-        missing = list(set().union(*cut).difference(memo))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = array("I", e.ids).tobytes()
-                memo[w] = ids
-                self.memo_bytes += len(w) + len(ids)
-        return [b"".join(map(memo.__getitem__, words)) for words in cut]
+        get, split = self.memo.__getitem__, self.split
+        out = [self._whole(t) if not t.isascii() and _NOT_LATIN.search(t) and has_unassigned(t) else b"".join(map(get, split(t))) for t in texts]
+        self.memo.age()
+        if hasattr(self, "pieces"):
+            self.pieces.age()
+        return out
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -73,7 +151,7 @@ def encoder(tokenizer_path: str, pattern: str | None) -> WordEncoder:
     """The process's encoder for a vocabulary; ``pattern`` None cuts at white space."""
     key = (tokenizer_path, pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(tokenizer_path, pattern_words(pattern) if pattern else white_space_words)
+        _ENCODERS[key] = WordEncoder(tokenizer_path, pattern)
     return _ENCODERS[key]
 
 
