@@ -47,10 +47,10 @@ def marginal_unit(spark, d):
     return dp.marginal_unit(dispatched(spark, d), ["node", "day"], "unit", "cap", "cost", "load")
 
 
-@query(f"WITH {DISPATCH_SQL}, x AS (SELECT node, day, sum(CASE WHEN unit % 3 > 0 THEN cap - dispatch ELSE 0 END) AS headroom, 0.1 * max(load) AS required FROM disp GROUP BY node, day) SELECT node, day, round(headroom, 4) AS headroom, round(required, 4) AS required, round(greatest(0, required - headroom), 4) AS short FROM x")
+@query(f"WITH {DISPATCH_SQL}, x AS (SELECT node, day, sum(CASE WHEN unit % 3 > 0 THEN cap - dispatch ELSE 0 END) AS headroom, 0.1 * max(load) AS required FROM disp GROUP BY node, day) SELECT node, day, round(headroom, 6) AS headroom, round(required, 6) AS required, round(greatest(0, required - headroom), 6) AS short FROM x")
 def static_reserve(spark, d):
     x = dispatched(spark, d).withColumn("ok", F.col("unit") % 3 > 0)
-    return dp.static_reserve(x, ["node", "day"], "cap", "dispatch", "ok", 0.1, "load").select("node", "day", r("headroom").alias("headroom"), r("required").alias("required"), r("short").alias("short"))
+    return dp.static_reserve(x, ["node", "day"], "cap", "dispatch", "ok", 0.1, "load").select("node", "day", r("headroom", 6).alias("headroom"), r("required", 6).alias("required"), r("short", 6).alias("short"))
 
 
 @query(f"WITH {DISPATCH_SQL}, x AS (SELECT node, day, sum(dispatch) - max(dispatch) AS secure, max(load) AS load FROM disp GROUP BY node, day) SELECT node, day, round(secure, 4) AS secure, round(load, 4) AS load, round(greatest(0, load - secure), 4) AS slack FROM x")
@@ -64,10 +64,10 @@ def inertia_check(spark, d):
     return dp.inertia(x, ["node", "day"], "dispatch", "h", 5000.0).select("node", "day", r("inertia").alias("inertia"), r("short").alias("short"))
 
 
-@query(f"WITH {GEN}, {UNITS}, {DEMAND}, x AS (SELECT node, year, mw * 3000 AS v FROM gen JOIN units USING (unit) UNION ALL SELECT node, year, -mw FROM demand) SELECT node, year, round(sum(v), 1) AS residual FROM x GROUP BY node, year")
+@query(f"WITH {GEN}, {UNITS}, {DEMAND}, x AS (SELECT node, year, mw * 3000 AS v FROM gen JOIN units USING (unit) UNION ALL SELECT node, year, -mw FROM demand) SELECT node, year, round(sum(v), 2) AS residual FROM x GROUP BY node, year")
 def balance_residual(spark, d):
     g = b.generation(spark, d).join(b.units(spark, d).select("unit", "node"), "unit").select("node", "year", (F.col("mw") * 3000).alias("mw"))
-    return dp.balance_residual(g, b.demand(spark, d), ["node", "year"]).withColumn("residual", r("residual", 1))
+    return dp.balance_residual(g, b.demand(spark, d), ["node", "year"]).withColumn("residual", r("residual", 2))
 
 
 @query(f"WITH {UNITS} SELECT unit AS line, CAST(s AS INTEGER) AS segment, round(rated_mw / 4, 6) AS width, round(0.01 * (2 * s - 1) * (rated_mw / 4) / 100, 8) AS slope FROM units, range(1, 5) x(s)")

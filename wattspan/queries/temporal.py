@@ -23,9 +23,9 @@ def daily(spark, d):
     return b.demand(spark, d).groupBy("node", "day").agg(F.sum("mw").alias("v"))
 
 
-@query(f"WITH {SERIES} SELECT CAST(floor(hour / 6) AS BIGINT) AS block, round(avg(value), 4) AS value FROM series GROUP BY 1 HAVING count(DISTINCT hour) = 6")
+@query(f"WITH {SERIES} SELECT CAST(floor(hour / 6) AS BIGINT) AS block, round(avg(value), 8) AS value FROM series GROUP BY 1 HAVING count(DISTINCT hour) = 6")
 def block_mean_6h(spark, d):
-    return t.block_aggregate(b.series(spark, d), [], "hour", "value", 6, "mean").withColumn("value", r("value"))
+    return t.block_aggregate(b.series(spark, d), [], "hour", "value", 6, "mean").withColumn("value", r("value", 8))
 
 
 @query(f"WITH {HOURLY} SELECT category, CAST(floor(hour / 730) AS BIGINT) AS block, round(sum(v), 2) AS value FROM h GROUP BY 1, 2")
@@ -100,9 +100,9 @@ def impute_median(spark, d):
     return t.impute_median(x, ["category"], "v", "imputed").select("category", "hour", r("imputed").alias("imputed"))
 
 
-@query(f"WITH {DAILY} SELECT node, day, round(avg(v) OVER (PARTITION BY node ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS rolling FROM dly")
+@query(f"WITH {DAILY} SELECT node, day, round(avg(v) OVER (PARTITION BY node ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS rolling FROM dly")
 def rolling_mean_7d(spark, d):
-    return t.rolling_mean(daily(spark, d), ["node"], ["day"], "v", 6).select("node", "day", r("rolling", 2).alias("rolling"))
+    return t.rolling_mean(daily(spark, d), ["node"], ["day"], "v", 6).select("node", "day", r("rolling", 6).alias("rolling"))
 
 
 @query(f"WITH {DAILY} SELECT node, day, round(sum(v) OVER (PARTITION BY node ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7, 2) AS rolling FROM dly")
