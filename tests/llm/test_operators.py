@@ -404,18 +404,46 @@ def test_jaccard_near_the_threshold(spark, seed):
     assert 1 < len(set(want.values())) < len(rows)
 
 
-def test_long_lists_are_paired_by_blocks(monkeypatch):
+def test_long_lists_are_paired_by_blocks():
     rng = np.random.default_rng(4)
     n = 90
     tokens, docs_ = np.repeat(np.array([5, 9], np.uint32), n), np.tile(np.arange(n), 2)
     labels = np.where(docs_ < 70, 0, docs_)
     sizes = rng.integers(80, 120, n)[docs_]
-    got = {tuple(x) for x in jaccard_join._pairs_of_bucket(tokens, docs_, labels, sizes, 75).tolist()}
-    s = {d: int(sizes[d]) for d in range(n)}
-    want = {(a, b) for a in range(n) for b in range(a + 1, n) if labels[a] != labels[b] and 100 * min(s[a], s[b]) >= 75 * max(s[a], s[b])}
+    shared = (sizes * rng.uniform(0.75, 1, n)[docs_]).astype(int)
+    got = {tuple(x) for x in jaccard_join._pairs_of_bucket(tokens, docs_, labels, sizes, shared, 75).tolist()}
+    s, h = {d: int(sizes[d]) for d in range(n)}, {d: int(shared[d]) for d in range(n)}
+    fits = lambda a, b: 100 * min(s[a], s[b]) >= 75 * max(s[a], s[b]) and 175 * min(h[a], h[b]) >= 75 * (s[a] + s[b])
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if labels[a] != labels[b] and fits(a, b)}
+    assert 0 < len(want) < n * n // 4
     assert got == want
 
 
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 400)).astype(np.uint64)) for _ in range(30)]
+    maps = jaccard_join.parity_maps(np.concatenate(sets), np.repeat(np.arange(30), [len(s) for s in sets]), 30)
+    for i in range(30):
+        for j in range(30):
+            assert np.bitwise_count(maps[i] ^ maps[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_jaccard_large_group_of_edited_copies(spark, monkeypatch):
+    """Copies with light and heavy edits, in lists long enough for blocks and maps."""
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice([base[(k + 1) % 60], f"e{rng.randrange(6)}"])
+        rows.append((i * 3 % 101, " ".join(words)))
+    want = jaccard_case(spark, rows)
+    assert 1 < len(set(want.values())) < len(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     nodes = [rng.randrange(-(10**9), 10**9) for _ in range(300)]

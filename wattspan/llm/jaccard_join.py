@@ -3,18 +3,22 @@
 1. Equal sets are one class from the start: documents are grouped by a 128-bit digest of their set.
 2. Tokens (hashes of shingles) are dealt by range to buckets, in binary arrays, and counted over all
    documents. A document whose set has too few tokens that any other document has cannot reach the
-   threshold, whatever its partner; the rest, the survivors, go on.
+   threshold, whatever its partner. The rest, the survivors, are counted once more among themselves, now
+   without copies and without what no survivor has.
 3. First tokens under several random orders pair each survivor with the least document of equal first
    token. Pairs are verified, and what links becomes a component. This is linear in the survivors, and it
    gathers large groups of near copies before any list of them is paired.
 4. Prefixes under several global orders: in each order tokens rank by the corpus frequency of frequent
    ones, then by a hash of its own. Two sets that reach the threshold share a token of their prefixes
    under every order, so pairs come from one order's lists and are kept only if the other orders give
-   them too. Pairs inside a component of step 3 are left out: they would change no component.
+   them too. Pairs inside a component of step 3 are left out: they would change no component. So are pairs
+   whose shared tokens, as counted, are too few for the sizes of both: that ends lists of heavily edited
+   copies before they are paired. Lists of frequent tokens also carry each document's parity map, whose
+   distance bounds from above what two sets share, so that they give close pairs only.
 5. The pairs left are verified on whole sets, and components are found over all links.
 
 Filters are one-sided and verification is exact on 64-bit hashes, so results do not depend on tables of
-frequencies being bounded. Frequencies of the ``FREQUENT`` most common tokens only order prefixes.
+frequencies being bounded. Frequencies of the ``FREQUENT`` most common tokens among survivors only order prefixes.
 
 Null texts, empty texts and texts of white space have empty sets and link with nothing. Rows with a null
 id keep their set size and have a null component. Rows that repeat an id are one document for linking,
@@ -38,12 +42,16 @@ from wattspan.llm.shingles import WORDS, mix, sets
 #: Frequent tokens that order prefixes: 12 MB at most in each Python process.
 FREQUENT = 1 << 20
 #: A token is frequent if so many documents have it.
-FREQUENT_DOCS = 8
+FREQUENT_DOCS = 4
 #: Random orders of step 3, and orders of step 4.
-FIRST_ORDERS = 4
+FIRST_ORDERS = 6
 PREFIX_ORDERS = 3
+#: Token buckets for each shuffle partition. A task holds one bucket at a time.
+BUCKETS_A_PARTITION = 1
 #: Lists of one token up to so many documents are paired by shifts, longer ones by blocks.
 SHORT_LIST = 32
+#: Bits of a document's parity map, which long lists carry.
+MAP_BITS = 1024
 
 _U32 = np.uint64(32)
 
@@ -80,16 +88,25 @@ def _binary(items: list[np.ndarray], kind: str) -> pa.Array:
     return pa.array([np.ascontiguousarray(x, kind).tobytes() for x in items], pa.binary())
 
 
-COUNTED = "kind string, doc_id bigint, n bigint, sig binary, token bigint"
+COUNTED = "kind string, doc_id bigint, n bigint, sig binary, token bigint, home int, ids binary, counts binary"
 
 
-def count_shared(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """Rows of three kinds: ``doc`` (id, set size, digest), ``shared`` (id, tokens of a bucket that others
-    have too) and ``frequent`` (token, documents)."""
+def _stored(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and sets of (id, tokens) batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            yield part.column(0).to_pylist(), [np.frombuffer(x.as_py(), "<u8") for x in part.column(1)]
+
+
+def count_shared(source: DataFrame, buckets: int, stored: bool) -> DataFrame:
+    """Rows of three kinds: ``doc`` (id, set size, digest), ``part`` (counts of a bucket's tokens that other
+    documents have too, packed for each home of documents) and, from stored sets, ``frequent`` (token,
+    documents). ``source`` holds ids and texts, or ids and stored sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "doc_ids", "counts", "tokens", "digests"]
-        for ids, found in sets(batches):
+        for ids, found in _stored(batches) if stored else sets(batches):
             n = np.array([len(x) for x in found], np.int64)
             known = np.array([-1 if i is None else 0 for i in ids])
             doc_ids = np.array([0 if i is None else i for i in ids], np.int64)
@@ -110,7 +127,7 @@ def count_shared(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             for r in table.to_pylist():
                 doc_ids, n = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["counts"], np.int64)
                 for i, (d, k) in enumerate(zip(doc_ids.tolist(), n.tolist(), strict=True)):
-                    out.append(("doc", d if k >= 0 else None, k if k >= 0 else -1 - k, r["digests"][16 * i : 16 * i + 16], None))
+                    out.append(("doc", d if k >= 0 else None, k if k >= 0 else -1 - k, r["digests"][16 * i : 16 * i + 16], None, None, None, None))
         else:
             parts = table.select(["doc_ids", "counts", "tokens"]).to_pydict()
             docs_ = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, "<u4")) for d, c in zip(parts["doc_ids"], parts["counts"], strict=True)])
@@ -120,14 +137,18 @@ def count_shared(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             starts, lengths = _runs(tokens)
             shared = np.repeat(lengths > 1, lengths)
             ids, many = np.unique(docs_[order][shared], return_counts=True)
-            out += [("shared", d, k, None, None) for d, k in zip(ids.tolist(), many.tolist(), strict=True)]
-            often = lengths >= FREQUENT_DOCS
-            out += [("frequent", None, k, None, (bucket << 32) | t) for t, k in zip(tokens[starts[often]].tolist(), lengths[often].tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "n", "sig", "token"])
-
-    dealt = docs.mapInArrow(emit, "bucket int, doc_ids binary, counts binary, tokens binary, digests binary")
+            home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by_home = np.argsort(home, kind="stable")
+            for at, size in zip(*(x.tolist() for x in _runs(home[by_home])), strict=True):
+                rows = by_home[at : at + size]
+                out.append(("part", None, None, None, None, int(home[rows[0]]), ids[rows].tobytes(), many[rows].tobytes()))
+            often = (lengths >= FREQUENT_DOCS) & stored
+            out += [("frequent", None, k, None, (bucket << 32) | t, None, None, None) for t, k in zip(tokens[starts[often]].tolist(), lengths[often].tolist(), strict=True)]
+        cols = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "doc_id", "n", "sig", "token", "home", "ids", "counts"])
+
+    dealt = source.mapInArrow(emit, "bucket int, doc_ids binary, counts binary, tokens binary, digests binary")
     return dealt.groupBy("bucket").applyInArrow(gather, COUNTED)
 
 
@@ -155,23 +176,30 @@ def survivor_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def first_token_pairs(held: DataFrame) -> DataFrame:
-    """Each document with the least document that has the same first token, under each random order."""
+    """Each document with one that has the same first token, under each random order.
+
+    The partner is the document of the list with the greatest share of tokens that others have: of copies,
+    the least edited.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
-            for doc_id, data in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = np.frombuffer(data.as_py(), "<u8")
                 for k in range(FIRST_ORDERS):
-                    ids.append(doc_id.as_py())
+                    ids.append(doc_id)
                     keys.append(int(np.min(mix(tokens ^ np.uint64(0xA5A5 + 7919 * k)))) - 2**63)
             orders = list(range(FIRST_ORDERS)) * batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int32()), pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["ord", "first", "doc_id"])
+            share = np.repeat(batch.column(2).to_numpy(), FIRST_ORDERS)
+            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int32()), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(share)], names=["ord", "first", "doc_id", "share"])
 
-    keys, _ = materialise(held.select("doc_id", "tokens").mapInArrow(run, "ord int, first bigint, doc_id bigint"), "first-tokens")
-    hubs = keys.groupBy("ord", "first").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("last")).where("x < last")
-    hubs, _ = materialise(hubs.select("ord", "first", "x"), "hubs")
-    return keys.join(hubs, ["ord", "first"]).where("x < doc_id").select("x", F.col("doc_id").alias("y")).distinct()
+    source = held.select("doc_id", "tokens", (F.col("shared") / F.col("n")).alias("share"))
+    keys, _ = materialise(source.mapInArrow(run, "ord int, first bigint, doc_id bigint, share double"), "first-tokens")
+    best = F.max(F.struct("share", (-F.col("doc_id")).alias("k")))
+    hubs = keys.groupBy("ord", "first").agg((-best["k"]).alias("hub"), F.count("*").alias("many")).where("many > 1")
+    hubs, _ = materialise(hubs.select("ord", "first", "hub"), "hubs")
+    return keys.join(hubs, ["ord", "first"]).where("hub <> doc_id").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -192,10 +220,33 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ys, "y").join(xs, "x").select("x", "y", "s", "t").mapInArrow(run, "x bigint, y bigint")
 
 
-def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct pairs (two columns, least first) of documents that share a token, differ in label and fit in size."""
+def _reach(shared: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether so many shared tokens can give sets of ``total`` tokens together the threshold."""
+    return (100 + percent) * shared >= percent * total
+
+
+def parity_maps(flat: np.ndarray, where: np.ndarray, many: int) -> np.ndarray:
+    """For each of ``many`` documents, the parity of its tokens in each of ``MAP_BITS`` classes, as 64-bit words.
+
+    Two maps differ in at most as many bits as the sets differ in tokens, which bounds what they share.
+    """
+    cells = where * MAP_BITS + (mix(flat ^ np.uint64(0xB17)) % np.uint64(MAP_BITS)).astype(np.int64)
+    bits = (np.bincount(cells, minlength=many * MAP_BITS) & 1).astype(np.uint8).reshape(many, MAP_BITS)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n: np.ndarray, shared: np.ndarray, percent: int, at: np.ndarray | None = None, maps: np.ndarray | None = None) -> np.ndarray:
+    """Distinct pairs (two columns, least first) of documents that share a token, differ in label, fit in size,
+    and have enough tokens that other documents have. ``at`` is each entry's row in ``maps``, or -1."""
     order = np.lexsort((labels, tokens))
-    tokens, docs, labels, n = tokens[order], docs[order], labels[order], n[order]
+    tokens, docs, labels, n, shared = tokens[order], docs[order], labels[order], n[order], shared[order]
+    at = np.full(len(tokens), -1) if at is None else at[order]
+    if len(tokens):
+        # Against the smallest partner that its list and its size allow; what cannot reach that leaves first.
+        starts, lengths = _runs(tokens)
+        least = np.maximum(needed(n, percent), np.repeat(np.minimum.reduceat(n, starts), lengths))
+        able = _reach(shared, n + least, percent)
+        tokens, docs, labels, n, shared, at = tokens[able], docs[able], labels[able], n[able], shared[able], at[able]
     starts, lengths = _runs(tokens)
     mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts) if len(starts) else np.zeros(0, bool)
     found: list[np.ndarray] = []
@@ -203,7 +254,16 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
     def add(i: np.ndarray, j: np.ndarray) -> None:
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (labels[i] != labels[j]) & (100 * small >= percent * large) & (docs[i] != docs[j])
-        i, j = docs[i[ok]], docs[j[ok]]
+        ok &= _reach(np.minimum(shared[i], shared[j]), small + large, percent)
+        i, j = i[ok], j[ok]
+        both = (at[i] >= 0) & (at[j] >= 0)
+        if both.any():
+            total = n[i[both]] + n[j[both]]
+            apart = np.bitwise_count(maps[at[i[both]]] ^ maps[at[j[both]]]).sum(axis=1, dtype=np.int64)
+            near = np.ones(len(i), bool)
+            near[both] = (100 + percent) * (total - apart) >= 2 * percent * total
+            i, j = i[near], j[near]
+        i, j = docs[i], docs[j]
         found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
         if sum(map(len, found)) > 2_000_000:
             found[:] = [np.unique(np.concatenate(found), axis=0)]
@@ -221,21 +281,21 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
         groups, sizes = _runs(labels[s : s + k])
         for g, size in zip(groups.tolist(), sizes.tolist(), strict=True):
             mine, later = inner[g : g + size], inner[g + size :]
-            step = max(1, 1_000_000 // max(1, len(later)))
-            for at in range(0, size if len(later) else 0, step):
-                block = mine[at : at + step]
+            step = max(1, 200_000 // max(1, len(later)))
+            for first in range(0, size if len(later) else 0, step):
+                block = mine[first : first + step]
                 add(np.repeat(block, len(later)), np.tile(later, len(block)))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
 def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, buckets: int) -> DataFrame:
-    """Pairs that share a prefix token under every order. ``held`` has doc_id, n, tokens, label."""
+    """Pairs that share a prefix token under every order. ``held`` has doc_id, n, tokens, label, shared."""
     common = held.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = common.value
-        for batch in batches:
-            ids, n, labels = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            ids, n, labels, shared = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
             tokens = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             where = np.repeat(np.arange(len(ids)), n)
@@ -244,6 +304,7 @@ def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
                 k = _key(flat, buckets)
                 at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 freq = np.where(keys[at] == k, counts[at], 0)
+            maps = parity_maps(flat, where, len(ids))
             starts = np.concatenate([[0], np.cumsum(n)])[:-1]
             prefix = n - needed(n, percent) + 1
             rows = []
@@ -251,45 +312,64 @@ def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
                 order = np.lexsort((mix(flat ^ np.uint64(0x5EED + 104729 * o)), freq, where))
                 rank = np.arange(len(flat)) - np.repeat(starts, n)
                 chosen = order[rank < np.repeat(prefix, n)]
+                long = np.unique(where[chosen][freq[chosen] > SHORT_LIST])
                 for b, t, d in _deal(flat[chosen], where[chosen], buckets):
                     s, c = _runs(d)
                     d = d[s]
-                    rows.append((o * buckets + b, ids[d].tobytes(), labels[d].tobytes(), n[d].tobytes(), c.astype("<u4").tobytes(), t.astype("<u4").tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ids", "labels", "sizes", "counts", "tokens"])
+                    mapped = np.isin(d, long)
+                    rows.append((o * buckets + b, ids[d].tobytes(), labels[d].tobytes(), n[d].tobytes(), shared[d].tobytes(), c.astype("<u4").tobytes(), t.astype("<u4").tobytes(), mapped.tobytes(), maps[d[mapped]].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ids", "labels", "sizes", "shared", "counts", "tokens", "mapped", "maps"])
 
     def gather(table: pa.Table) -> pa.Table:
         p = table.to_pydict()
         many = np.concatenate([np.frombuffer(x, "<u4") for x in p["counts"]])
         spread = lambda name: np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in p[name]]), many)
         tokens = np.concatenate([np.frombuffer(x, "<u4") for x in p["tokens"]])
-        pairs = _pairs_of_bucket(tokens, spread("ids"), spread("labels"), spread("sizes"), percent)
+        mapped = np.concatenate([np.frombuffer(x, bool) for x in p["mapped"]])
+        maps = np.frombuffer(b"".join(p["maps"]), np.uint64).reshape(-1, MAP_BITS // 64)
+        at = np.repeat(np.where(mapped, np.cumsum(mapped) - 1, -1), many)
+        pairs = _pairs_of_bucket(tokens, spread("ids"), spread("labels"), spread("sizes"), spread("shared"), percent, at, maps)
         o = np.full(len(pairs), p["bucket"][0] // buckets, np.int32)
         return pa.table([pa.array(o), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ord", "x", "y"])
 
-    dealt = held.select("doc_id", "n", "tokens", "label").mapInArrow(emit, "bucket int, ids binary, labels binary, sizes binary, counts binary, tokens binary")
+    dealt = held.select("doc_id", "n", "tokens", "label", "shared").mapInArrow(emit, "bucket int, ids binary, labels binary, sizes binary, shared binary, counts binary, tokens binary, mapped binary, maps binary")
     pairs = dealt.groupBy("bucket").applyInArrow(gather, "ord int, x bigint, y bigint")
     return pairs.groupBy("x", "y").agg(F.expr("bit_or(shiftleft(1, ord))").alias("orders")).where(F.col("orders") == 2**PREFIX_ORDERS - 1).select("x", "y")
 
 
+def _shared(counted: DataFrame) -> DataFrame:
+    """doc_id and the number of its tokens that other documents have; documents without any are missing."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")])
+        many = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("counts")])
+        own, where = np.unique(ids, return_inverse=True)
+        return pa.table([pa.array(own), pa.array(np.bincount(where, many).astype(np.int64))], names=["doc_id", "shared"])
+
+    return counted.where("kind = 'part'").select("home", "ids", "counts").groupBy("home").applyInArrow(add_up, "doc_id bigint, shared bigint")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (least document of an equal set), component_id."""
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = BUCKETS_A_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted, _ = materialise(count_shared(texts, words, buckets), "counted")
+    counted, _ = materialise(count_shared(texts, buckets, stored=False), "counted")
     rows = counted.where("kind = 'doc'").select("doc_id", "n", "sig")
     classes, _ = materialise(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    shared = counted.where("kind = 'shared'").groupBy("doc_id").agg(F.sum("n").alias("shared"))
-    able = classes.join(shared, F.col("class_id") == F.col("doc_id")).where(100 * F.col("shared") >= percent * F.col("n"))
+    able = classes.join(_shared(counted), F.col("class_id") == F.col("doc_id")).where(100 * F.col("shared") >= percent * F.col("n"))
     able, _ = materialise(able.select(F.col("class_id").alias("doc_id")).distinct(), "survivors")
-    held, _ = materialise(survivor_sets(texts, able), "sets")
+    every, _ = materialise(survivor_sets(texts, able), "sets")
+    again, _ = materialise(count_shared(every.select("doc_id", "tokens"), buckets, stored=True), "counted-again")
+    kept = every.join(_shared(again).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).where(100 * F.col("shared") >= percent * F.col("n"))
+    held, _ = materialise(kept.select("doc_id", "n", "tokens", "shared"), "held")
 
     first, _ = materialise(first_token_pairs(held), "first-pairs")
     links, _ = materialise(verified(first, held, percent), "first-links")
     early, _ = materialise(components(links, "x", "y"), "early")
-    labelled = held.join(early, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("root", "doc_id").alias("label"))
-    pairs, _ = materialise(prefix_pairs(labelled, frequent_tokens(counted), percent, buckets), "prefix-pairs")
+    labelled = held.join(early, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("root", "doc_id").alias("label"), "shared")
+    pairs, _ = materialise(prefix_pairs(labelled, frequent_tokens(again), percent, buckets), "prefix-pairs")
     more = verified(pairs, held, percent)
     roots, _ = materialise(components(links.union(more), "x", "y"), "roots")
 

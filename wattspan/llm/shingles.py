@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 WORDS = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Odd multipliers of the word positions in a shingle.
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _memo: dict[bytes, int] = {}
@@ -56,7 +56,7 @@ def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def sets(batches: Iterator[pa.RecordBatch], most: int = 8192) -> Iterator[tuple[list, list[np.ndarray]]]:
+def sets(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of (id, text) batches, of ``most`` documents at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
