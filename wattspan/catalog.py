@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, planning, temporal
+from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, dashboards, planning, temporal
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "planning", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "dashboards", "planning", "temporal"]
