@@ -30,10 +30,10 @@ def lcoe_distribution(spark, d):
     return g.groupBy("tech", "year").agg(r(F.avg(F.when(F.col("mw") > 0, F.col("c")))).alias("lcoe"), r(F.percentile("c", F.lit(0.05))).alias("p05"), r(F.percentile("c", F.lit(0.95))).alias("p95"))
 
 
-@query(f"WITH {GEN}, {UNITS}, p AS (SELECT day, node, avg(price) AS price FROM gen JOIN units USING (unit) GROUP BY day, node) SELECT day, round(avg(price), 6) AS mean, round(min(price), 6) AS low, round(max(price), 6) AS high FROM p GROUP BY day")
+@query(f"WITH {GEN}, {UNITS}, p AS (SELECT day, node, avg(price) AS price FROM gen JOIN units USING (unit) GROUP BY day, node) SELECT day, round(avg(price), 9) AS mean, round(min(price), 9) AS low, round(max(price), 9) AS high FROM p GROUP BY day")
 def price_band(spark, d):
     p = b.generation(spark, d).join(b.units(spark, d).select("unit", "node"), "unit").groupBy("day", "node").agg(F.avg("price").alias("price"))
-    return p.groupBy("day").agg(r(F.avg("price"), 6).alias("mean"), r(F.min("price"), 6).alias("low"), r(F.max("price"), 6).alias("high"))
+    return p.groupBy("day").agg(r(F.avg("price"), 9).alias("mean"), r(F.min("price"), 9).alias("low"), r(F.max("price"), 9).alias("high"))
 
 
 @query(f"WITH {DISPATCH_SQL} SELECT node, unit FROM disp GROUP BY node, unit HAVING max(CAST(dispatch > cap / 2 AS INTEGER)) > 0.5 AND min(CAST(dispatch > cap / 2 AS INTEGER)) < 0.5")
