@@ -64,6 +64,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), starts AS (
+  SELECT rn, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) > 8
+), windows AS (
+  SELECT rn, p, count(*) OVER (PARTITION BY rn, array_to_string(list_slice(w, p, p + 7), ' ')) AS c FROM starts
+), gaps AS (
+  SELECT rn, least(8, coalesce(lead(p) OVER (PARTITION BY rn ORDER BY p) - p, 8)) AS g FROM windows WHERE c > 1
+), repeats AS (
+  SELECT rn, CAST(sum(g) AS BIGINT) AS n FROM gaps GROUP BY rn
+), m AS (
+  SELECT doc_id, t, w, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeats USING (rn)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
+            OR (len(lines) >= 4 AND 100 * n_dup_lines > 30 * len(lines))
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 60 * n_words
+            OR length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(t, '[^\p{Ll}]+', '', 'g'))
+            OR (n_words >= 50 AND 100 * len(list_distinct(w)) < 10 * least(n_words, 1000))
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '(!!|\?\?)$'))) > 50 * n_words) AS kept
+FROM b
+"""
+
+
 def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
@@ -99,6 +132,28 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), percent=75, words=5).select("doc_id", "n_shingles", "component_id")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -116,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_quality": op10_line_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op7_license_sentences": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op7_license_sentences": _op7_sql()}
