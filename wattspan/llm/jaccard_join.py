@@ -91,7 +91,7 @@ def _binary(items: list[np.ndarray], kind: str) -> pa.Array:
 COUNTED = "kind string, doc_id bigint, n bigint, sig binary, token bigint, home int, ids binary, counts binary"
 
 
-def _stored(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _stored(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of (id, tokens) batches."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
@@ -99,14 +99,14 @@ def _stored(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tup
             yield part.column(0).to_pylist(), [np.frombuffer(x.as_py(), "<u8") for x in part.column(1)]
 
 
-def count_shared(source: DataFrame, buckets: int, stored: bool) -> DataFrame:
+def count_shared(source: DataFrame, buckets: int, stored: bool, words: int = WORDS) -> DataFrame:
     """Rows of three kinds: ``doc`` (id, set size, digest), ``part`` (counts of a bucket's tokens that other
     documents have too, packed for each home of documents) and, from stored sets, ``frequent`` (token,
     documents). ``source`` holds ids and texts, or ids and stored sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "doc_ids", "counts", "tokens", "digests"]
-        for ids, found in _stored(batches) if stored else sets(batches):
+        for ids, found in _stored(batches) if stored else sets(batches, size=words):
             n = np.array([len(x) for x in found], np.int64)
             known = np.array([-1 if i is None else 0 for i in ids])
             doc_ids = np.array([0 if i is None else i for i in ids], np.int64)
@@ -165,11 +165,11 @@ def _key(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((_range_bucket(tokens, buckets) << _U32) | (tokens & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
-def survivor_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def survivor_sets(docs: DataFrame, chosen: DataFrame, words: int = WORDS) -> DataFrame:
     """Sets of the chosen documents, made again from their texts; binary arrays of sorted 64-bit tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in sets(batches, 1024):
+        for ids, found in sets(batches, size=words):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), _binary(found, "<u8")], names=["doc_id", "n", "tokens"])
 
     return docs.join(chosen.select(F.col("doc_id").alias("chosen")), F.col("doc_id") == F.col("chosen"), "left_semi").mapInArrow(run, "doc_id bigint, n bigint, tokens binary")
@@ -249,6 +249,8 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
         tokens, docs, labels, n, shared, at = tokens[able], docs[able], labels[able], n[able], shared[able], at[able]
     starts, lengths = _runs(tokens)
     mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts) if len(starts) else np.zeros(0, bool)
+    # Pairs are held as one number each, of the documents' places among the bucket's.
+    names, place = np.unique(docs, return_inverse=True)
     found: list[np.ndarray] = []
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
@@ -263,10 +265,10 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
             near = np.ones(len(i), bool)
             near[both] = (100 + percent) * (total - apart) >= 2 * percent * total
             i, j = i[near], j[near]
-        i, j = docs[i], docs[j]
-        found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
-        if sum(map(len, found)) > 2_000_000:
-            found[:] = [np.unique(np.concatenate(found), axis=0)]
+        i, j = place[i], place[j]
+        found.append(np.minimum(i, j) * len(names) + np.maximum(i, j))
+        if len(found) > 1 and sum(map(len, found[1:])) > 500_000:
+            found[:] = [np.unique(np.concatenate(found))]
 
     short = np.repeat(mixed & (lengths <= SHORT_LIST), lengths)
     rows = np.flatnonzero(short)
@@ -281,11 +283,12 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
         groups, sizes = _runs(labels[s : s + k])
         for g, size in zip(groups.tolist(), sizes.tolist(), strict=True):
             mine, later = inner[g : g + size], inner[g + size :]
-            step = max(1, 200_000 // max(1, len(later)))
+            step = max(1, 50_000 // max(1, len(later)))
             for first in range(0, size if len(later) else 0, step):
                 block = mine[first : first + step]
                 add(np.repeat(block, len(later)), np.tile(later, len(block)))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.stack([names[codes // max(1, len(names))], names[codes % max(1, len(names))]], axis=1)
 
 
 def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, buckets: int) -> DataFrame:
@@ -294,7 +297,7 @@ def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = common.value
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             ids, n, labels, shared = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
             tokens = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
@@ -355,12 +358,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, i
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted, _ = materialise(count_shared(texts, buckets, stored=False), "counted")
+    counted, _ = materialise(count_shared(texts, buckets, stored=False, words=words), "counted")
     rows = counted.where("kind = 'doc'").select("doc_id", "n", "sig")
     classes, _ = materialise(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     able = classes.join(_shared(counted), F.col("class_id") == F.col("doc_id")).where(100 * F.col("shared") >= percent * F.col("n"))
     able, _ = materialise(able.select(F.col("class_id").alias("doc_id")).distinct(), "survivors")
-    every, _ = materialise(survivor_sets(texts, able), "sets")
+    every, _ = materialise(survivor_sets(texts, able, words), "sets")
     again, _ = materialise(count_shared(every.select("doc_id", "tokens"), buckets, stored=True), "counted-again")
     kept = every.join(_shared(again).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).where(100 * F.col("shared") >= percent * F.col("n"))
     held, _ = materialise(kept.select("doc_id", "n", "tokens", "shared"), "held")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wattspan.llm import bit_planes, byte_bpe, jaccard_join, language_id, licenses, line_quality, packing, pivot_index, quality_rules, warc
 from wattspan.ship import ship

@@ -14,10 +14,12 @@ import pyarrow as pa
 import xxhash
 
 WORDS = 5
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Odd multipliers of the word positions in a shingle.
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _memo: dict[bytes, int] = {}
+# Give freed buffers back at once: workers are kept between tasks.
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,10 +58,10 @@ def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def sets(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[tuple[list, list[np.ndarray]]]:
+def sets(batches: Iterator[pa.RecordBatch], most: int = 512, size: int = WORDS) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of (id, text) batches, of ``most`` documents at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)
             texts = part.column(1).cast(pa.binary())
-            yield part.column(0).to_pylist(), [shingle_set(t.as_py()) for t in texts]
+            yield part.column(0).to_pylist(), [shingle_set(t.as_py(), size) for t in texts]
