@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
-#: A memo has two generations of so many words: about 100 MB in each Python process with both full.
-MEMO_WORDS = 250_000
-#: Words of texts cut at white space, of which more differ, as punctuation stays on them: about 200 MB.
-MEMO_WHITE_SPACE_WORDS = 500_000
+#: A memo has two generations of so many words: about 80 MB in each Python process with both full.
+MEMO_WORDS = 200_000
+#: Words of texts cut at white space, of which more differ, as punctuation stays on them.
+MEMO_WHITE_SPACE_WORDS = 250_000
 #: Longer words are not kept.
 LONGEST_WORD = 200
 #: Texts are taken together up to so many characters.
