@@ -33,3 +33,28 @@ def test_outage_factors_are_those_of_the_whole_network(spark):
     for k in range(0, len(ln), 7):
         after = flows(nodes, ln[:k] + ln[k + 1 :], inj)
         np.testing.assert_allclose(np.delete(before + f[:, k] * before[k], k), after, atol=1e-8)
+
+
+def plain_components(edges, nodes):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return {n: root(n) for n in nodes}
+
+
+def test_components_take_every_order(spark):
+    o = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    edges = {(c, c * 7 % 100 + k % 5) for c, k in o}
+    edges = {(a, b) for a, b in edges if a != b}
+    want = plain_components(edges, {n for e in edges for n in e})
+    third = {(c, c * 7 % 100 + k % 5) for c, k in o if k % 3 == 0}
+    assert len({e for e in third if e[0] != e[1]}) < len(edges)
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["components"](spark, str(DATA)).collect()}
+    assert got == want
