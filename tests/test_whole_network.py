@@ -58,3 +58,19 @@ def test_components_take_every_order(spark):
     assert len({e for e in third if e[0] != e[1]}) < len(edges)
     got = {r["node"]: r["component"] for r in catalog.QUERIES["components"](spark, str(DATA)).collect()}
     assert got == want
+
+
+def test_components_of_a_shuffled_chain(spark):
+    order = np.random.default_rng(7).permutation(1000).tolist()
+    edges = [*zip(order, order[1:]), (2000, 2001), (2001, 2001)]
+    nodes = [*order, 2000, 2001, 3000]
+    c = net.connected_components(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(n,) for n in nodes], "node int"))
+    assert {r["node"]: r["component"] for r in c.collect()} == {**dict.fromkeys(order, 0), 2000: 2000, 2001: 2000, 3000: 3000}
+
+
+def test_long_feeders_are_pruned_and_contracted_to_the_end(spark):
+    feeder = spark.createDataFrame([(0, 1), (1, 2), (2, 0)] + [(i, i + 1) for i in range(2, 26)], "a int, b int")
+    assert {tuple(r) for r in net.prune_leaves(feeder).collect()} == {(0, 1), (1, 2), (2, 0)}
+    chain = spark.createDataFrame([(i, i + 1, 0.1, 50.0 + i) for i in range(60)], "a int, b int, x double, c double")
+    (r,) = net.series_chains(chain, "a", "b", "x", "c").collect()
+    assert {r["a"], r["b"]} == {0, 60} and abs(r["x"] - 6.0) < 1e-9 and r["cap"] == 50.0

@@ -33,11 +33,12 @@ def degrees(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def prune_leaves(edges: DataFrame, protected: DataFrame | None = None, most: int = 20) -> DataFrame:
-    """Edges ``a, b`` without the trees that hang on the network; protected nodes (``node``) stay."""
+def prune_leaves(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+    """Edges ``a, b`` without the trees that hang on the network; protected nodes (``node``) stay.
+    One layer of leaves goes a round, until nothing changes."""
     edges = _checkpointed(edges)
     n = edges.count()
-    for _ in range(most):
+    while True:
         leaves = degrees(edges).where("degree = 1").select("node")
         if protected is not None:
             leaves = leaves.join(protected, "node", "left_anti")
@@ -49,18 +50,19 @@ def prune_leaves(edges: DataFrame, protected: DataFrame | None = None, most: int
     return edges
 
 
-def series_chains(edges: DataFrame, a: str, b: str, x: str, cap: str, protected: DataFrame | None = None, most: int = 20) -> DataFrame:
+def series_chains(edges: DataFrame, a: str, b: str, x: str, cap: str, protected: DataFrame | None = None) -> DataFrame:
     """Contract nodes of degree two: reactances add, the least capacity holds. A round contracts nodes whose
-    neighbours are not contracted in the same round."""
+    neighbours are not contracted in the same round, those of least hash first, until nothing changes."""
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id"))
     e = _checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(x).alias("x"), F.col(cap).alias("cap")))
-    for _ in range(most):
+    while True:
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "x", "cap"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "x", "cap"))).alias("s")).select("s.*")
         two = both.groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("p"), F.max("other").alias("q"), F.sum("x").alias("x"), F.min("cap").alias("cap")).where("n = 2 AND p <> q AND p <> node AND q <> node")
         if protected is not None:
             two = two.join(protected, "node", "left_anti")
         two = _checkpointed(two)
-        near = both.join(two.select(F.col("node").alias("other"), F.lit(1).alias("hit")), "other").groupBy("node").agg(F.min("other").alias("least"))
-        chosen = _checkpointed(two.join(near, "node", "left").where("least IS NULL OR node < least"))
+        near = both.join(two.select(F.col("node").alias("other"), F.lit(1).alias("hit")), "other").groupBy("node").agg(F.min(order("other")).alias("least"))
+        chosen = _checkpointed(two.join(near, "node", "left").where(F.col("least").isNull() | (order("node") < F.col("least"))))
         if chosen.isEmpty():
             break
         gone = chosen.select("node")
@@ -69,21 +71,36 @@ def series_chains(edges: DataFrame, a: str, b: str, x: str, cap: str, protected:
     return e
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """``node, component`` (least node), by least labels and jumps along them, until nothing changes."""
-    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
-    both = _checkpointed(both)
-    labels = _checkpointed(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(most):
-        offered = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("offer"))
-        nxt = labels.join(offered, labels["node"] == offered["u"], "left").select("node", F.least("component", F.coalesce("offer", "component")).alias("component"))
-        up = nxt.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        jumped = _checkpointed(nxt.join(up, F.col("component") == F.col("n2"), "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        moved = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
-        labels = jumped
-        if moved:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component`` (least node), by alternating large and small stars until nothing changes.
+
+    A large star hooks each larger neighbour to the least neighbour of its other end, a small star hooks a
+    node's smaller neighbours, and itself, to the least of them; every edge then leads to its component's
+    least node. Rounds grow with the logarithm of a component's size, not with its diameter.
+    """
+    kind = dict(nodes.dtypes)["node"]
+    known = nodes.select("node").distinct()
+    ends = edges.select(F.greatest("a", "b").cast(kind).alias("a"), F.least("a", "b").cast(kind).alias("b")).where("a <> b").distinct()
+    e = _checkpointed(ends.join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
+    before = None
+    while True:
+        least = _least_neighbour(e)
+        large = _checkpointed(e.join(least, e["b"] == least["node"], "left").select("a", F.coalesce("least", "b").alias("b")).distinct())
+        least = _least_neighbour(large)
+        hooked = large.join(least, large["a"] == least["node"])
+        pair = F.when(F.col("b") == F.col("least"), F.struct("a", F.col("least").alias("b"))).otherwise(F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        e = _checkpointed(hooked.select(pair.alias("e")).select("e.a", "e.b").distinct())
+        after = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if after == before:
             break
-    return labels
+        before = after
+    roots = e.select(F.col("a").alias("_a"), F.col("b").alias("_root"))
+    return known.join(roots, known["node"] == roots["_a"], "left").select("node", F.coalesce("_root", "node").alias("component"))
+
+
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    """The least smaller neighbour of each larger end."""
+    return _checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")))
 
 
 def drop_isolated(edges: DataFrame, components: DataFrame, least: int) -> DataFrame:
