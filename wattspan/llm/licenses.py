@@ -2,11 +2,13 @@
 
 A text is cut into sentences, at line ends and after ``.``, ``;``, ``!`` and ``?`` before white space. A
 sentence is normalised to lower-case ASCII words and mapped to the identifier of a known licence sentence.
+A known sentence may also be wrapped: it then fills several whole lines, without a blank line or an end of
+a sentence between them; marks of comments are no words. Of the sentences that begin at a line the longest counts.
 The document's identifiers, in order, are matched against ordered rules: a rule is a sequence of
 identifiers that must follow each other, and what it matches is taken out before the next rule looks, so
 longer and more specific rules stand first. Identifiers that no rule takes are reported as unknown.
 
-Only texts and sentences that hold one of ``ANCHORS`` are normalised; every known sentence holds one, so
+Only texts that hold one of ``ANCHORS`` are normalised; every known sentence holds one, so
 none is missed (a test checks it). Null and empty texts have no licence. Rows that repeat, or have a null
 id, are each reported. Other columns are dropped.
 """
@@ -58,6 +60,12 @@ SENTENCES = {
     "spdx license identifier bsd 3 clause": "bsd3-short",
     "all rights reserved": "reserved",
 }
+# Further sentences as they stand in full in the licence texts.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+}
 # Rules in order, each a licence and the identifiers that follow each other in its notice.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
@@ -85,8 +93,10 @@ RULES = [
     ("All rights reserved", ["reserved"]),
 ]
 ANCHORS = ("licen", "permi", "warrant", "redistribut", "copyright", "spdx", "reserved")
-#: A sentence ends here. White space is ASCII, so that other engines cut alike.
-ENDS = r"\n|[.;!?](?=[\x20\x09-\x0D]|$)|:(?=\n|$)"
+#: A sentence ends here, line ends apart. White space is ASCII, so that other engines cut alike.
+ENDS = r"[.;!?](?=[\x20\x09-\x0D]|$)|:(?=\n|$)"
+#: A known sentence, the longest first, from one end to another; its words may stand on several lines.
+KNOWN = r"(?<![^|\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted({**SENTENCES, **WHOLE}, key=len, reverse=True)) + r")(?![^|\n])"
 
 
 def has_anchor(lowered: Column) -> Column:
@@ -96,15 +106,18 @@ def has_anchor(lowered: Column) -> Column:
     return out
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalise(lowered: Column) -> Column:
+    """Words of a lower-case text; ``|`` where a sentence ends or lines are blank, a line feed at other line ends."""
+    cut = F.regexp_replace(F.translate(lowered, "|", "-"), ENDS, "|")
+    lines = F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9|\n]+", " "), r" ?([|\n]) ?", "$1")
+    return F.regexp_replace(F.trim(lines), r"\n*\|[|\n]*|\n\n+", "|")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    kept = F.filter(F.split(text, ENDS), lambda s: has_anchor(F.lower(s)))
-    ids = F.filter(F.transform(kept, lambda s: F.try_element_at(known, normalise(s))), lambda i: i.isNotNull())
+    known = F.create_map(*(F.lit(x) for pair in {**SENTENCES, **WHOLE}.items() for x in pair))
+    found = F.regexp_extract_all(normalise(F.lower(text)), F.lit(KNOWN), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
     return F.when(has_anchor(F.lower(text)), ids).otherwise(F.array().cast("array<string>"))
 
 
