@@ -161,14 +161,8 @@ def typical_days(df: DataFrame, keys: Sequence[str], day: str, hour: str, value:
 
 def density_clusters(points: DataFrame, id_col: str, lat: str, lon: str, km: float) -> DataFrame:
     """Clusters of points linked within ``km`` (every point is a core point): cell join, then components."""
-    from wattspan.functions.scalar import haversine_km
+    from wattspan.operators.features import close_pairs
     from wattspan.operators.network import connected_components
 
-    degrees = km / 111.0 * 2
-    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = points.select(F.col(id_col).alias("a"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), cell(lat).alias("_cx"), cell(lon).alias("_cy"), F.explode(around).alias("_d"))
-    a = a.withColumn("_x", F.col("_cx") + F.col("_d.dx")).withColumn("_y", F.col("_cy") + F.col("_d.dy"))
-    b = points.select(F.col(id_col).alias("b"), F.col(lat).alias("_lb"), F.col(lon).alias("_ln"), cell(lat).alias("_x"), cell(lon).alias("_y"))
-    edges = a.join(b, ["_x", "_y"]).where((F.col("a") < F.col("b")) & (haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_ln")) <= km)).select("a", "b")
+    edges = close_pairs(points, id_col, lat, lon, km).select("a", "b")
     return connected_components(edges, points.select(F.col(id_col).alias("node")))

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.functions.scalar import haversine_km, plain_name
+from wattspan.operators.joins import around_cell, chord, sphere_cell
 
 
 def close_pairs(df: DataFrame, id_col: str, lat: str, lon: str, km: float) -> DataFrame:
-    """Pairs a < b within ``km``: an equi-join on cells with the 3 x 3 neighbours."""
-    degrees = km / 111.0 * 2
-    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = df.select(F.col(id_col).alias("a"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), cell(lat).alias("_cx"), cell(lon).alias("_cy"), F.explode(around).alias("_d"))
-    a = a.select("a", "_la", "_lo", (F.col("_cx") + F.col("_d.dx")).alias("_x"), (F.col("_cy") + F.col("_d.dy")).alias("_y"))
-    b = df.select(F.col(id_col).alias("b"), F.col(lat).alias("_lb"), F.col(lon).alias("_ln"), cell(lat).alias("_x"), cell(lon).alias("_y"))
+    """Pairs a < b within ``km``: an equi-join on cells with the 26 neighbours."""
+    size = chord(km)
+    cell = sphere_cell(F.col(lat), F.col(lon), size)
+    a = df.select(F.col(id_col).alias("a"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), cell.alias("_own"))
+    a = a.select("a", "_la", "_lo", F.explode(around_cell(F.col("_own"))).alias("_cell"))
+    b = df.select(F.col(id_col).alias("b"), F.col(lat).alias("_lb"), F.col(lon).alias("_ln"), cell.alias("_cell"))
     d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_ln"))
-    return a.join(b, ["_x", "_y"]).where(F.col("a") < F.col("b")).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
+    return a.join(b, "_cell").where(F.col("a") < F.col("b")).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
 
 
 def keep_by_priority(df: DataFrame, id_col: str, lat: str, lon: str, km: float, priority: Column, same: Column | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspan.functions.scalar import haversine_km, strip_investment
+from wattspan.functions.scalar import EARTH_KM, haversine_km, strip_investment
 
 
 def by_tolerant_name(units: DataFrame, configs: DataFrame, unit: str, name: str, value: str) -> DataFrame:
@@ -35,30 +36,66 @@ def outage_factor(periods: DataFrame, windows: DataFrame, element: str, start: s
     return periods.join(factors, [element, t], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
 
 
+def sphere_cell(lat: Column, lon: Column, size: float) -> Column:
+    """Cell of a place among cubes of edge ``size`` (in Earth radii) around the Earth's centre: as wide at the
+    poles and at 180 degrees as elsewhere."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.array(*(F.floor(x / size) for x in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))))
+
+
+def around_cell(cell: Column) -> Column:
+    """A cell and the 26 that touch it: they hold every place within ``size``."""
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    return F.array(*(F.array(*(cell[n] + d for n, d in enumerate(step))) for step in steps))
+
+
+def chord(km: float) -> float:
+    """Edge of cells, in Earth radii, whose neighbours hold every place within ``km``; a hair more, for rounding."""
+    return max(2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-9), 1e-7)
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, degrees: float) -> DataFrame:
-    """Nearest right row within the 3 x 3 cells around each left row, by great-circle distance; ties by id.
+    """Nearest right row of each left row, however far, by great-circle distance; ties by id.
 
-    Cells of ``degrees`` make it an equi-join; rows without a neighbour in reach are missing.
+    An equi-join on cells of ``degrees``. Rows whose best neighbour is farther than the cells around them reach,
+    or that have none, meet cells of twice the size in the next round, until a cell is as wide as the Earth.
+    Rows without a place are missing.
     """
-    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    l = left.select(F.col(left_id), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_dx"), cell(lat).alias("_cx"), cell(lon).alias("_cy"))
-    l = l.withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1)))).select(left_id, "_lat", "_lon", (F.col("_cx") + F.col("_dx")).alias("_x"), (F.col("_cy") + F.col("_dy")).alias("_y"))
-    r = right.select(F.col(right_id), F.col(lat).alias("_rlat"), F.col(lon).alias("_rlon"), cell(lat).alias("_x"), cell(lon).alias("_y"))
+    from wattspan.operators.network import _checkpointed
+
+    placed = (F.col("_lat").isNotNull()) & (F.col("_lon").isNotNull())
+    rest = left.select(F.col(left_id), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where(placed).distinct()
+    places = right.select(F.col(right_id), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).where(placed)
+    # Of right rows at one place only the least id can be the nearest.
+    places = _checkpointed(places.groupBy(F.col("_lat").alias("_rlat"), F.col("_lon").alias("_rlon")).agg(F.min(right_id).alias(right_id)))
+    size, found = chord(math.radians(degrees) * EARTH_KM), None
     d = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_rlat"), F.col("_rlon"))
-    best = l.join(r, ["_x", "_y"]).withColumn("_d", d).groupBy(left_id).agg(F.min(F.struct("_d", right_id)).alias("_b"))
-    return best.select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b._d").alias("km"))
+    while True:
+        l = rest.withColumn("_cell", sphere_cell(F.col("_lat"), F.col("_lon"), size)).withColumn("_cell", F.explode(around_cell(F.col("_cell"))))
+        r = places.withColumn("_cell", sphere_cell(F.col("_rlat"), F.col("_rlon"), size))
+        best = F.min(F.when(F.col(f"_r.{right_id}").isNotNull(), F.struct(d.alias("_d"), F.col(f"_r.{right_id}").alias(right_id)))).alias("_b")
+        r = r.select("_cell", "_rlat", "_rlon", F.struct(right_id).alias("_r"))
+        met = _checkpointed(l.join(r, "_cell", "left").groupBy(left_id, "_lat", "_lon").agg(best))
+        reach = 2 * EARTH_KM * math.asin(min(size / 2, 1.0)) * (1 - 1e-9)
+        sure = F.col("_b").isNotNull() & (F.lit(size >= 2) | (F.col("_b._d") <= reach))
+        done = met.where(sure).select(left_id, "_b")
+        found = done if found is None else found.unionAll(done)
+        rest = met.where(~sure).select(left_id, "_lat", "_lon")
+        if size >= 2 or rest.isEmpty():
+            break
+        size *= 2
+    out = found.groupBy(left_id).agg(F.min("_b").alias("_b"))
+    return out.select(left_id, F.col(f"_b.{right_id}").alias(right_id), F.col("_b._d").alias("km"))
 
 
 def gap_fill(primary: DataFrame, secondary: DataFrame, id_col: str, lat: str, lon: str, km: float, same: str | None = None) -> DataFrame:
     """Secondary rows that have no primary row within ``km`` (of the same ``same``)."""
-    degrees = km / 111.0 * 2
-    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    p = primary.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), *([F.col(same).alias("_same")] if same else []), cell(lat).alias("_cx"), cell(lon).alias("_cy"), F.explode(around).alias("_d"))
-    p = p.withColumn("_x", F.col("_cx") + F.col("_d.dx")).withColumn("_y", F.col("_cy") + F.col("_d.dy"))
-    s = secondary.withColumn("_x", cell(lat)).withColumn("_y", cell(lon))
-    near = (s["_x"] == p["_x"]) & (s["_y"] == p["_y"]) & (haversine_km(F.col(lat), F.col(lon), F.col("_plat"), F.col("_plon")) <= km)
-    return s.join(p, near & (F.col(same) == F.col("_same")) if same else near, "left_anti").drop("_x", "_y")
+    size = chord(km)
+    p = primary.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), *([F.col(same).alias("_same")] if same else []), sphere_cell(F.col(lat), F.col(lon), size).alias("_own"))
+    p = p.withColumn("_pcell", F.explode(around_cell(F.col("_own"))))
+    s = secondary.withColumn("_cell", sphere_cell(F.col(lat), F.col(lon), size))
+    near = (s["_cell"] == p["_pcell"]) & (haversine_km(F.col(lat), F.col(lon), F.col("_plat"), F.col("_plon")) <= km)
+    return s.join(p, near & (F.col(same) == F.col("_same")) if same else near, "left_anti").drop("_cell")
 
 
 def buses_to_nodes(values: DataFrame, mapping: DataFrame, bus: str, node: str, keys: Sequence[str], value: str, method: str = "sum") -> DataFrame:
@@ -74,15 +111,13 @@ def nodes_to_buses(values: DataFrame, mapping: DataFrame, node: str, bus: str, v
     return joined.withColumn(value, F.when(F.col("_first"), F.col(value)).otherwise(0.0) if mode == "capacity" else F.col(value)).drop("_first")
 
 
-def gravity_allocation(cells: DataFrame, buses: DataFrame, cell: str, bus: str, lat: str, lon: str, demand: str, degrees: float) -> DataFrame:
-    """Demand of each cell over the buses near it, by the inverse square of distance (at least 1 km)."""
-    around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    at = lambda c: F.floor(F.col(c) / degrees).cast("int")
-    c = cells.select(cell, demand, F.col(lat).alias("_la"), F.col(lon).alias("_lo"), at(lat).alias("_cx"), at(lon).alias("_cy"), F.explode(around).alias("_d"))
-    c = c.withColumn("_x", F.col("_cx") + F.col("_d.dx")).withColumn("_y", F.col("_cy") + F.col("_d.dy"))
-    b = buses.select(bus, F.col(lat).alias("_bla"), F.col(lon).alias("_blo"), at(lat).alias("_x"), at(lon).alias("_y"))
+def gravity_allocation(cells: DataFrame, buses: DataFrame, cell: str, bus: str, lat: str, lon: str, demand: str) -> DataFrame:
+    """Demand of each cell over all buses, by the inverse square of distance (at least 1 km): every bus has a
+    share of every cell, so there are cells x buses rows."""
+    c = cells.select(cell, demand, F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
+    b = buses.select(bus, F.col(lat).alias("_bla"), F.col(lon).alias("_blo"))
     weight = 1 / F.pow(F.greatest(haversine_km(F.col("_la"), F.col("_lo"), F.col("_bla"), F.col("_blo")), F.lit(1.0)), 2)
-    w = c.join(b, ["_x", "_y"]).withColumn("_w", weight)
+    w = c.crossJoin(b).withColumn("_w", weight)
     share = F.col("_w") / F.sum("_w").over(Window.partitionBy(cell))
     return w.withColumn("mw", F.col(demand) * share).groupBy(bus).agg(F.sum("mw").alias("mw"))
 
