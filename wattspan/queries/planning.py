@@ -23,9 +23,10 @@ DISPATCH_SQL = f"""{UNITS}, {DEMAND}, q AS (SELECT node, day, sum(mw) / 100 AS l
  disp AS (SELECT *, greatest(0, least(cap, load - before)) AS dispatch FROM j)"""
 
 
-def dispatched(spark, d):
+def dispatched(spark, d, years="year = 1996"):
+    """Merit order of the steps of ``years``; the SQL of most queries takes 1996."""
     units = b.units(spark, d).select("unit", "node", F.col("rated_mw").alias("cap"), (10.0 + F.col("unit") % 7).alias("cost"))
-    load = b.demand(spark, d).where("year = 1996").groupBy("node", "day").agg((F.sum("mw") / 100).alias("load"))
+    load = b.demand(spark, d).where(years).groupBy("node", "day").agg((F.sum("mw") / 100).alias("load"))
     keyed = load.join(units, "node")
     w = keyed.select("node", "day", "unit", "cap", "cost")
     return dp.merit_order(w, load, ["node", "day"], "unit", "cap", "cost", "load")
@@ -78,8 +79,8 @@ def loss_segments(spark, d):
 
 @query()
 def simplex_dispatch(spark, d):
-    """The merit order of one month by an exact linear program; rows only."""
-    x = dispatched(spark, d).where("day < date'1996-02-01'").select("node", "day", "unit", "cap", "cost", "load")
+    """The merit order of every node and day by an exact linear program; rows only."""
+    x = dispatched(spark, d, "true").select("node", "day", "unit", "cap", "cost", "load")
     return dp.lp_dispatch(x, ["node", "day"], "unit", "cap", "cost", "load")
 
 
