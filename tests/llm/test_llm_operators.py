@@ -494,3 +494,33 @@ def test_blocks_of_long_lists(spark, monkeypatch):
     whole = {r["vec_id"]: r["n_links"] for r in pivot_index.near_duplicates(df).collect()}
     monkeypatch.setattr(pivot_index, "BLOCK", 64)
     assert {r["vec_id"]: r["n_links"] for r in pivot_index.near_duplicates(df).collect()} == whole and sum(whole.values()) > 1000
+
+
+def test_byte_bpe_of_long_words(spark, coder):
+    """Words of many pieces, whose joints must not change what folding the whole word gives."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    letters = lambda kinds, n: "".join(rng.choice(kinds) for _ in range(n))
+    long = ["x" * 300_000, "x" * 301 + "y", letters("abcdefghijklmnopqrstuvwxyz", 20_000), letters("ab", 3000), "abc" * 700 + "a" * 333, "日本語" * 900, letters(["the", "and", "ing", "tion", "x", "é"], 900), "!" * 2000 + "?" * 65]
+    frame = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string").repartition(8)
+    for r in coder.encode(frame).collect():
+        assert r["token_ids"] == plain.encode_ordinary(r["text"]), r["doc_id"]
+
+
+def test_byte_bpe_tables_have_no_collisions():
+    rng = random.Random(2)
+    hashes = [rng.getrandbits(64) for _ in range(5000)]
+    shifts, owner, bits, slot_bits = byte_bpe.place_apart(hashes)
+    for i, h in enumerate(hashes):
+        assert owner[((h >> bits) + shifts[h % 2**bits]) % 2**slot_bits] == i
+
+
+def test_byte_bpe_of_a_vocabulary_that_does_not_fold_to_itself(spark):
+    """A word that is a token is that token, even if folding its bytes ends elsewhere."""
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"xyz"]
+    odd = byte_bpe.BytePairCoder(pieces, r"\S+|\s+")
+    got = odd.encode(spark.createDataFrame([(1, "xyz abc xyzz")], "doc_id bigint, text string")).first()["token_ids"]
+    assert got == [259, 32, 258, 32, 120, 121, 122, 122] and odd._odd is not None

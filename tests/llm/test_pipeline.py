@@ -33,7 +33,7 @@ def test_pipeline_is_its_stages(spark):
         assert set(a.doc_id) <= set(b.doc_id) and a.doc_id.is_unique
         kept[name] = set(a.doc_id)
         before = spark.createDataFrame(a, docs.schema)
-    from test_operators import jaccard_case
+    from test_llm_operators import jaccard_case
 
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in kept["language_id"]]
     want = jaccard_case(spark, rows)

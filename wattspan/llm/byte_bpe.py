@@ -2,37 +2,53 @@
 
 Each match of the tokenizer's split pattern is a word. Words are folded: a word starts as the array of
 its bytes, and ``aggregate`` merges, one at a time, the leftmost adjacent pair of lowest rank until no
-pair has a rank. Ranks come from a literal in the plan, an array of small buckets addressed by the crc32
-of the key, so a look-up never scans the vocabulary. Decoding looks every id up in a literal array of
-binary pieces and concatenates them.
-
-Distinct words are folded once in each document. The most frequent words of a bounded sample are folded
-beforehand and put in the plan as a second literal; that only saves time, a word it lacks is folded in
-its document with the same result. Nothing is shuffled but the sample's word counts, so neither hot
-sources nor copies matter.
+pair has a rank. Ranks come from a literal in the plan: for each pair of tokens whose bytes together are a
+token, that token's rank, in a table without collisions addressed by the two ids. An item of the folded array is one
+number, of its pair's rank, its place in the word and its id, so that the least number is the next merge.
+Decoding looks every id up in a literal array of binary pieces and concatenates them.
+
+Words of more than ``PIECE_BYTES`` are folded by pieces, which are joined one after another: the tokens
+around a joint are folded again, and if those at both ends of that stretch come back, every adjacent pair
+of the result is what folding gives for it alone, which makes the whole what folding gives for the word. If not, all
+that was joined so far is folded. So a word's cost grows with its length, not with the square.
+This needs a vocabulary whose tokens fold to themselves; with others words are folded whole.
+
+Distinct words are folded once in each run of ``RUN_WORDS`` words of a document. The most frequent words of
+a bounded sample are folded beforehand and reach the tasks as one array, by a scalar subquery; that only saves
+time, a word it lacks is folded in its document with the same result. Nothing is shuffled but the sample's word
+counts, so neither hot sources nor copies matter.
 
 Nulls and empty texts give no tokens. Repeated rows are encoded each on its own, other columns pass
-through. The columns ``words``, ``token_ids`` and those that begin with ``_bpe`` are the operator's own
-and replace input columns of those names.
+through. The columns ``words``, ``token_ids`` and ``_bpe_words`` are the operator's own and replace
+input columns of those names.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import json
-import zlib
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import bounded_sample
+from wattspan.llm.common import bounded_sample, materialise
 
-#: Buckets of the literal rank table; about three keys each for a vocabulary of 50,000.
-BUCKETS = 16384
-#: Documents sampled to find frequent words, and frequent words kept in the plan.
-SAMPLE_DOCS = 8000
-FREQUENT_WORDS = 65536
-NO_RANK = 2**31 - 1
+#: Documents sampled to find frequent words, and frequent words that are folded beforehand.
+SAMPLE_DOCS = 16_000
+FREQUENT_WORDS = 262_144
+#: Words of a document that are looked up and folded together.
+RUN_WORDS = 2048
+#: Longer words are folded by pieces of so many bytes; tokens on either side of a joint that are folded again.
+PIECE_BYTES = 64
+JOINT_TOKENS = 24
+#: Bits of an item of a folded array: rank of the pair that begins there, place, id.
+ID_BITS, PLACE_BITS = 18, 27
+END = 2**ID_BITS - 1
+NO_RANK = 2**ID_BITS - 1
+_LOW = ID_BITS + PLACE_BITS
+_DONE = NO_RANK << _LOW
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -50,101 +66,223 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _bucketed(entries: list[tuple[bytes, object]], value_type: str) -> Column:
-    """A literal array of buckets, each with keys ``k`` and values ``v``. ``from_json`` of a literal folds."""
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(BUCKETS)]
-    for key, value in entries:
-        b = buckets[zlib.crc32(key) % BUCKETS]
-        b["k"].append(base64.b64encode(key).decode())
-        b["v"].append(value)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<struct<k:array<binary>,v:array<{value_type}>>>")
+def place_apart(hashes: list[int]) -> tuple[list[int], list[int], int, int]:
+    """A table without collisions for 64-bit hashes: for each group of keys a shift, for each slot the key in it or -1,
+    the bits of a group and the bits of a slot.
+
+    A key of hash ``h`` is in group ``h & (2**bits - 1)`` and in the slot ``(h >> bits) + shift``, of which the low bits count.
+    Groups are placed largest first, each by the first shift that finds all its slots free.
+    """
+    bits = max(1, (len(hashes) // 3).bit_length())
+    members: list[list[int]] = [[] for _ in range(2**bits)]
+    for i, h in enumerate(hashes):
+        members[h % 2**bits].append(i)
+    order = sorted(range(2**bits), key=lambda g: -len(members[g]))
+    for slot_bits in itertools.count(len(hashes).bit_length() + 1):
+        slots = 2**slot_bits
+        shifts, owner = [0] * 2**bits, [-1] * slots
+        for g in order:
+            start = [(hashes[i] >> bits) % slots for i in members[g]]
+            if len(set(start)) < len(start):
+                break  # in one slot whatever the shift: more slots
+            d = shifts[g] = next(d for d in range(slots) if all(owner[(x + d) % slots] < 0 for x in start))
+            for i, x in zip(members[g], start, strict=True):
+                owner[(x + d) % slots] = i
+        else:
+            return shifts, owner, bits, slot_bits
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """``body(value)`` with ``value`` evaluated once: an aggregate over nothing, whose end is ``body``."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
+def _literal(value, kind: str) -> Column:
+    """A literal of a nested type: ``from_json`` of a literal folds."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+
+class WordTable:
+    """Frequent words and their ids, as one array that a scalar subquery gives to every task.
+
+    A word's slot is the low bits of its hash. Of words with one slot the most frequent is kept, as a word that is not found
+    is folded in its document.
+    """
+
+    def __init__(self, folded: DataFrame):
+        """``folded`` has ``w``, ``count`` and ``ids``, at most ``FREQUENT_WORDS`` rows."""
+        size = 2 * 2 ** (FREQUENT_WORDS - 1).bit_length()
+        self.mask = size - 1
+        best = F.max_by(F.struct("w", "ids"), F.struct("count", "w"))
+        slots = folded.groupBy(F.xxhash64("w").bitwiseAND(self.mask).alias("slot")).agg(best.alias("x"))
+        every = folded.sparkSession.range(size).join(slots, F.col("id") == F.col("slot"), "left")
+        self.rows = every.agg(F.sort_array(F.collect_list(F.struct("id", "x.w", F.col("x.ids").alias("v")))).alias("rows")).scalar()
+
+    def find(self, t: Column, word: Column) -> Column:
+        """The ids of a word, or null; ``t`` holds this table."""
+        row = F.get(t["words"], F.xxhash64(word).bitwiseAND(self.mask).cast("int"))
+        return _let(row, lambda row: F.when(row["w"] == word, row["v"]))
+
 
+def mergeable(pieces: list[bytes]) -> list[tuple[int, int, int]]:
+    """(left id, right id, rank) for all pairs of tokens whose bytes together are a token."""
+    rank = {p: i for i, p in enumerate(pieces) if p}
+    return [(rank[p[:k]], rank[p[k:]], i) for p, i in rank.items() for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
 
-def _find(table: Column, key: Column) -> Column:
-    """The value of a binary key in a bucketed literal, or null."""
-    bucket = F.element_at(table, (F.crc32(key) % BUCKETS + 1).cast("int"))
-    return _let(bucket, lambda b: F.get(b["v"], F.array_position(b["k"], key).cast("int") - 1))
+
+def fold_plain(word: bytes, byte_ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """Ranked merges of one word in Python; used on the driver to look at a vocabulary's own tokens."""
+    ids = [byte_ids[b] for b in word]
+    while len(ids) > 1:
+        found = [ranks.get(p, NO_RANK) for p in zip(ids, ids[1:], strict=False)]
+        low = min(found)
+        if low == NO_RANK:
+            break
+        at = found.index(low)
+        ids[at : at + 2] = [low]
+    return ids
+
+
+def _decoded(t: Column, ids: Column) -> Column:
+    """Bytes of ids. A cast between binary and string leaves bytes as they are."""
+    return F.array_join(F.transform(ids, lambda i: F.get(t["pieces"], i).cast("string")), "").cast("binary")
 
 
 class BytePairCoder:
     """Encoder and decoder over columns, for one vocabulary and split pattern."""
 
     def __init__(self, pieces: list[bytes], pattern: str):
+        if len(pieces) >= NO_RANK:
+            raise ValueError(f"a vocabulary may have {NO_RANK - 1} tokens")
         self.pattern = java_pattern(pattern)
-        self._ranks = _bucketed([(p, i) for i, p in enumerate(pieces) if p], "int")
-        self._pieces = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
+        rank = {p: i for i, p in enumerate(pieces) if p}
+        byte_ids = [rank[bytes([b])] for b in range(256)]
+        pairs = mergeable(pieces)
+        ranks = {(a, b): r for a, b, r in pairs}
+        # Tokens that folding does not give for their own bytes; a word that equals one is that token.
+        odd = [(p, r) for p, r in rank.items() if fold_plain(p, byte_ids, ranks) != [r]]
+        self._odd = _literal({base64.b64encode(p).decode(): r for p, r in odd}, "map<string,int>") if odd else None
+        # A pair's key is its left and its right id; a slot holds the key and the rank as one number.
+        keys = [(a << ID_BITS) + b for a, b, _ in pairs]
+        shifts, owner, self._bits, self._slot_bits = place_apart([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in keys])
+        self._shifts = _literal(shifts, "array<bigint>")
+        self._pairs = _literal([(keys[i] << ID_BITS) + pairs[i][2] if i >= 0 else -1 for i in owner], "array<bigint>")
+        self._bytes = _literal(byte_ids, "array<bigint>")
+        self._pieces = _literal([base64.b64encode(p).decode() for p in pieces], "array<binary>")
+
+    def _with_tables(self, body, known: Column | None = None) -> Column:
+        """``body(tables)``. A literal is folded wherever it stands, so each must stand in a plan once only."""
+        more = [] if known is None else [known.alias("words")]
+        return _let(F.struct(self._shifts.alias("shifts"), self._pairs.alias("pairs"), self._bytes.alias("bytes"), self._pieces.alias("pieces"), *more), body)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def rank(self, piece: Column) -> Column:
-        return F.coalesce(_find(self._ranks, piece), F.lit(NO_RANK))
+    def rank(self, t: Column, left: Column, right: Column) -> Column:
+        """Rank of a pair of ids, or ``NO_RANK``."""
+
+        key = left * 2**ID_BITS + right
+
+        def slot(h: Column) -> Column:
+            place = F.shiftrightunsigned(h, self._bits) + F.get(t["shifts"], h.bitwiseAND(2**self._bits - 1).cast("int"))
+            return F.get(t["pairs"], place.bitwiseAND(2**self._slot_bits - 1).cast("int"))
+
+        return _let(_let(F.xxhash64(key), slot), lambda e: F.when(F.shiftright(e, ID_BITS) == key, e.bitwiseAND(2**ID_BITS - 1)).otherwise(F.lit(NO_RANK).cast("long")))
+
+    def _merge_all(self, t: Column, ids: Column) -> Column:
+        """Ids after all ranked merges of an array of ids."""
+        place = lambda i: i.cast("long") * 2**ID_BITS
+        own = lambda e: e.bitwiseAND(2**ID_BITS - 1)
+        below = lambda e: e.bitwiseAND(2**_LOW - 1)
+        start = F.transform(ids, lambda x, i: self.rank(t, x, F.coalesce(F.get(ids, i + 1), F.lit(END))) * 2**_LOW + place(i) + x)
+
+        def step(s: Column, _: Column) -> Column:
+            return _let(F.array_min(s), lambda m: F.when(m >= _DONE, s).otherwise(_let(F.size(F.filter(s, lambda e: below(e) < below(m))) + 1, lambda i: merged(s, m, i))))
+
+        def merged(s: Column, m: Column, i: Column) -> Column:
+            new = F.shiftright(m, _LOW)
+            onward = self.rank(t, new, F.coalesce(own(F.get(s, i + 1)), F.lit(END)))
+            here = onward * 2**_LOW + (below(m) - own(m)) + new
+            before = F.get(s, i - 2)
+            back = self.rank(t, own(before), new) * 2**_LOW + below(before)
+            return F.when(i > 1, F.concat(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(back, here), F.slice(s, i + 2, F.size(s)))).otherwise(F.concat(F.array(here), F.slice(s, F.lit(3), F.size(s))))
+
+        done = lambda s: F.transform(s, lambda e: own(e).cast("int"))
+        return F.when(F.size(ids) < 2, F.transform(ids, lambda x: x.cast("int"))).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), start, step, done))
+
+    def _byte_ids(self, t: Column, word: Column) -> Column:
+        letters = F.decode(word, "ISO-8859-1")
+        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(t["bytes"], F.ascii(F.substring(letters, i, F.lit(1)))))
+
+    def _fold_whole(self, t: Column, word: Column) -> Column:
+        return _let(self._byte_ids(t, word), lambda ids: self._merge_all(t, ids))
+
+    def _fold_by_pieces(self, t: Column, word: Column) -> Column:
+        n = F.length(word)
+        cuts = F.sequence(F.lit(0), ((n - 1) / PIECE_BYTES).cast("int"))
+        folded = F.transform(cuts, lambda c: self._fold_whole(t, F.substring(word, c * PIECE_BYTES + 1, F.lit(PIECE_BYTES))))
+
+        def join(made: Column, piece: Column) -> Column:
+            otherwise = self._fold_whole(t, _decoded(t, F.concat(made, piece)))  # exact for whatever no joint suits
+            return self._joined(t, made, piece, JOINT_TOKENS, otherwise)
+
+        return F.aggregate(folded, F.array().cast("array<int>"), join)
+
+    def _joined(self, t: Column, made: Column, piece: Column, k: int, otherwise: Column) -> Column:
+        """``made`` and ``piece`` joined by folding ``k`` tokens on either side again, where that is sure."""
+        left = F.slice(made, F.greatest(F.size(made) - k, F.lit(0)) + 1, F.lit(k))
+        right = F.slice(piece, F.lit(1), F.lit(k))
+
+        def placed(m: Column) -> Column:
+            sure = ((F.size(made) <= k) | (F.get(m, 0) == F.get(left, 0))) & ((F.size(piece) <= k) | (F.element_at(m, -1) == F.element_at(right, -1)))
+            return F.when(sure, F.concat(F.slice(made, F.lit(1), F.greatest(F.size(made) - k, F.lit(0))), m, F.slice(piece, F.lit(k + 1), F.size(piece)))).otherwise(otherwise)
+
+        return F.when(F.size(made) == 0, piece).otherwise(_let(self._fold_whole(t, _decoded(t, F.concat(left, right))), placed))
+
+    def _fold(self, t: Column, word: Column) -> Column:
+        if self._odd is None:
+            return F.when(F.length(word) <= PIECE_BYTES, self._fold_whole(t, word)).otherwise(self._fold_by_pieces(t, word))
+        return _let(F.try_element_at(self._odd, F.base64(word)), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._fold_whole(t, word)))
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word, given as its bytes: its own rank if it has one, else ranked merges."""
-        pair = lambda p, i: F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-        start = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-
-        def state(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(pair(p, i))).alias("r"))
-
-        def merge(acc: Column, _: Column) -> Column:
-            low = F.array_min(acc["r"])
-            at = F.array_position(acc["r"], low).cast("int")
-            return F.when(low == NO_RANK, acc).otherwise(_let(at, lambda i: self._merged(acc["p"], acc["r"], i, pair)))
-
-        merged = _let(start, lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), state(p), merge, lambda acc: F.transform(acc["p"], self.rank)))
-        return _let(self.rank(word), lambda r: F.when(r < NO_RANK, F.array(r)).otherwise(merged))
-
-    def _merged(self, p: Column, r: Column, i: Column, pair) -> Column:
-        """The state after the pieces ``i`` and ``i + 1`` have become one; only the two ranks beside it are new."""
-        n = F.size(p)
-        none = F.array().cast("array<int>")
-
-        def build(joined: Column) -> Column:
-            left = F.when(i > 1, F.array(self.rank(F.concat(F.element_at(p, F.greatest(i - 1, F.lit(1))), joined)))).otherwise(none)
-            right = F.when(i + 1 < n, F.array(self.rank(F.concat(joined, F.element_at(p, F.least(i + 2, n)))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(joined), F.slice(p, i + 2, n)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-            )
-
-        return _let(pair(p, i), build)
-
-    def frequent(self, docs: DataFrame, id_col: str, text_col: str) -> Column | None:
-        """A literal with the ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``."""
+        """Ids of one word, given as its bytes."""
+        return self._with_tables(lambda t: self._fold(t, word))
+
+    def frequent(self, docs: DataFrame, id_col: str, text_col: str) -> WordTable:
+        """The ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``."""
         sample = bounded_sample(docs.select(id_col, text_col), id_col, SAMPLE_DOCS)
-        counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).groupBy("w").count().where("count > 1")
-        top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS).select(F.col("w").cast("binary").alias("b"))
-        rows = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("b", self.fold(F.col("b")).alias("ids")).collect()
-        return _bucketed([(bytes(r["b"]), r["ids"]) for r in rows], "array<int>") if rows else None
+        counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.length("w") <= PIECE_BYTES).groupBy("w").count().where("count > 1")
+        top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
+        folded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", "count", self.fold(F.col("w").cast("binary")).alias("ids"))
+        stored, _ = materialise(folded, "frequent-words")
+        return WordTable(stored)
+
+    def _run_ids(self, t: Column, run: Column, known: WordTable) -> Column:
+        """Ids of a run of words."""
+        def placed(found: Column) -> Column:
+            rare = F.array_distinct(F.array_compact(F.zip_with(run, found, lambda w, ids: F.when(ids.isNull(), w))))
+            folded = F.map_from_entries(F.transform(rare, lambda w: F.struct(w, self._fold(t, w.cast("binary")))))
+            return _let(folded, lambda f: F.flatten(F.zip_with(run, found, lambda w, ids: F.coalesce(ids, F.try_element_at(f, w)))))
+
+        return _let(F.transform(run, lambda w: known.find(t, w)), placed)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with ``token_ids``, an array of ints."""
         known = self.frequent(docs, id_col, text_col)
-        own = ("words", "_bpe_known", "_bpe_rare", "_bpe_folded", "token_ids")
-        out = docs.drop(*(c for c in own if c not in (id_col, text_col)))
-        out = out.withColumn("words", F.transform(self.words(F.col(text_col)), lambda w: w.cast("binary")))
-        nothing = F.lit(None).cast("array<int>")
-        out = out.withColumn("_bpe_known", F.transform("words", lambda w: _find(known, w) if known is not None else nothing))
-        # Columns are bound before a lambda uses them: the optimizer may put a column's expression in
-        # the place of its name, and inside a lambda that would run it again for every element.
-        rare = _let(F.col("_bpe_known"), lambda known: F.filter("words", lambda w, i: F.get(known, i).isNull()))
-        out = out.withColumn("_bpe_rare", F.array_distinct(rare))
-        out = out.withColumn("_bpe_folded", F.transform("_bpe_rare", self.fold))
-        parts = F.struct(*own[:-1])
-        ids = _let(parts, lambda s: F.transform(s["_bpe_known"], lambda k, i: F.coalesce(k, F.get(s["_bpe_folded"], F.array_position(s["_bpe_rare"], F.get(s["words"], i)).cast("int") - 1))))
-        return out.withColumn("token_ids", F.flatten(ids)).drop(*own[:-1])
+        out = docs.drop(*(c for c in ("words", "_bpe_words", "token_ids") if c not in (id_col, text_col)))
+
+        def ids(t: Column, words: Column) -> Column:
+            runs = F.sequence(F.lit(0), ((F.greatest(F.size(words), F.lit(1)) - 1) / RUN_WORDS).cast("int"))
+            return F.flatten(F.transform(runs, lambda r: _let(F.slice(words, r * RUN_WORDS + 1, F.lit(RUN_WORDS)), lambda run: self._run_ids(t, run, known))))
+
+        # Spark takes no subquery inside a higher-order function, but moves the one below into it, as it is used once.
+        out = out.withColumn("_bpe_words", known.rows)
+        tokens = self._with_tables(lambda t: _let(self.words(F.col(text_col)), lambda words: ids(t, words)), F.col("_bpe_words"))
+        return out.withColumn("token_ids", tokens).drop("_bpe_words")
 
     def decode(self, ids: Column) -> Column:
-        """The bytes that an array of ids stands for. A cast between binary and string leaves bytes as they are."""
-        pieces = F.transform(ids, lambda i: F.element_at(self._pieces, i + 1).cast("string"))
-        return F.array_join(pieces, "").cast("binary")
+        """The bytes that an array of ids stands for."""
+        return _let(F.struct(self._pieces.alias("pieces")), lambda t: _decoded(t, ids))
 
 
 def digest(encoded: DataFrame, coder: BytePairCoder, id_col: str = "doc_id") -> DataFrame:
