@@ -26,11 +26,11 @@ def test_same_ids(name, pattern, text):
 
 def test_memo_keeps_hot_words_and_stays_bounded():
     made = []
-    m = tc.Memo(lambda w: made.append(w) or w.encode(), 5)
+    m = tc.Memo(lambda w: made.append(w) or w.encode(), 5 * tc.ENTRY_BYTES)
     for i in range(100):
         assert m["hot"] == b"hot" and m[f"w{i}"] == f"w{i}".encode()
         m.age()
-        assert len(m) + len(m.old) <= 14
+        assert len(m) + len(m.old) <= 14 and m.size <= 5 * tc.ENTRY_BYTES + 400
     assert made.count("hot") == 1
     long = "x" * 500
     assert m[long] == long.encode() and long not in m

@@ -18,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +93,15 @@ def pack(cut: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> Dat
     shards = max(1, math.ceil(cut.count() / shard_pieces))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], na_position="first", ignore_index=True)
-        bins, offsets = sum_of_squares(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"] = (frame.pop("_shard").to_numpy().astype(np.int64) << 40) + bins
-        frame["offset"] = offsets
-        return frame
+    def run(table: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        bins, offsets = sum_of_squares(table.column("length").to_numpy(), capacity)
+        number = table.column("_shard").to_numpy().astype(np.int64) << 40
+        return table.drop_columns(["_shard"]).append_column("sequence_id", pa.array(number + bins)).append_column("offset", pa.array(offsets))
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    frame = cut.withColumn("_shard", shard)
-    return frame.groupBy("_shard").applyInPandas(run, schema)
+    return cut.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from wattspan.llm.workers import hold
+
 WORDS = 5
 MEMO_WORDS = 100_000
 #: Odd multipliers of the word positions in a shingle.
@@ -60,6 +62,7 @@ def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
 
 def sets(batches: Iterator[pa.RecordBatch], most: int = 512, size: int = WORDS) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids and sets of (id, text) batches, of ``most`` documents at a time."""
+    hold("shingles", _memo.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)

@@ -16,10 +16,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
-#: A memo has two generations of so many words: about 80 MB in each Python process with both full.
-MEMO_WORDS = 200_000
-#: Words of texts cut at white space, of which more differ, as punctuation stays on them.
-MEMO_WHITE_SPACE_WORDS = 250_000
+from wattspan.llm.workers import hold
+
+#: A memo has two generations of about so many bytes in each Python process.
+MEMO_BYTES = 40_000_000
+#: For words of texts cut at white space, of which more differ, as punctuation stays on them.
+MEMO_WHITE_SPACE_BYTES = 50_000_000
+#: What an entry takes beside the characters of its word and the bytes of its ids.
+ENTRY_BYTES = 190
 #: Longer words are not kept.
 LONGEST_WORD = 200
 #: Texts are taken together up to so many characters.
@@ -68,8 +72,8 @@ def byte_characters() -> dict[int, str]:
 class Memo(dict):
     """Values of a function by two generations: when the young one is full, it becomes the old one."""
 
-    def __init__(self, make: Callable[[str], bytes], words: int):
-        self.make, self.words, self.old = make, words, {}
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.size, self.old = make, most, 0, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -78,12 +82,14 @@ class Memo(dict):
             if len(word) > LONGEST_WORD:
                 return found
         self[word] = found
+        self.size += ENTRY_BYTES + len(word) + len(found)
         return found
 
     def age(self) -> None:
-        if len(self) > self.words:
+        if self.size > self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
 
 class WordEncoder:
@@ -100,7 +106,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # As the description of the tokenizer files has it: the strings of special tokens in a text are ordinary text.
+        self.tokenizer.encode_special_tokens = True
         self.split = pattern_words(pattern) if pattern else white_space_words
         self._table = byte_characters()
         with open(tokenizer_path, encoding="utf-8") as f:
@@ -117,9 +124,9 @@ class WordEncoder:
             self._cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
             plain = {"NFC", "Replace", "Lowercase"}
             self._ascii_lower = bool(norm) and {n["type"] for n in norm.get("normalizers", [norm])} == plain
-            self.pieces = Memo(self._piece, MEMO_WORDS)
+            self.pieces = Memo(self._piece, MEMO_BYTES)
             make = self._word
-        self.memo = Memo(make, MEMO_WORDS if pattern else MEMO_WHITE_SPACE_WORDS)
+        self.memo = Memo(make, MEMO_BYTES if pattern else MEMO_WHITE_SPACE_BYTES)
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -150,6 +157,7 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 def encoder(tokenizer_path: str, pattern: str | None) -> WordEncoder:
     """The process's encoder for a vocabulary; ``pattern`` None cuts at white space."""
     key = (tokenizer_path, pattern)
+    hold(f"encoder {key}", lambda: _ENCODERS.pop(key, None))
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(tokenizer_path, pattern)
     return _ENCODERS[key]
