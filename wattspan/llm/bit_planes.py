@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import drop_path, materialise, scratch_path
+from wattspan.llm.common import materialise, scratch_path
 from wattspan.llm.token_cache import encode_column, encoder
 
 MAGIC = b"WBPS"
@@ -125,7 +125,10 @@ def write_archive(docs: DataFrame, path: str, tokenizer_path: str, pattern: str,
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # One id, or null, may have any number of rows, and they may be copies: the place in the input parts them.
+    ranges = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = rows.repartitionByRange(*ranges).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, CHUNKS).write.option("compression", "none").parquet(path)
 
 
@@ -171,5 +174,3 @@ def round_trip(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
     write_archive(docs, path, tokenizer_path, pattern, end_id, kind)
     return read_archive(spark, path, with_ids=False)
 
-
-__all__ = ["decode_chunk", "drop_path", "encode_chunk", "read_archive", "round_trip", "write_archive"]
