@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -14,10 +14,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what the session names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset and all runs on one machine (tests) a temporary folder is made and set.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="wattspan-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")
@@ -53,11 +55,20 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At least about ``rows`` rows picked by the hash of ``key`` from all of ``df``, never above twice that.
+def bounded_sample(df: DataFrame, keys: str | list[str], rows: int, text_col: str | None = None, chars: int | None = None) -> DataFrame:
+    """At least about ``rows`` rows picked by the hash of ``keys`` from all of ``df``, never above twice that.
 
-    The share is set by a count, so the sample is spread over the whole table and bounded at every size.
+    The share is set by a count, so the sample is spread over the whole table and bounded at every size. With
+    ``chars``, of the picked rows so many are taken, in the order of their hashes, that their texts together
+    have no more characters. ``keys`` should tell rows apart: rows of equal keys are picked or left together.
     """
     n = df.count()
     share = max(1, n // max(1, rows))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(share)) == 0).limit(2 * rows)
+    hashed = F.xxhash64(*([keys] if isinstance(keys, str) else keys), F.lit(17))
+    picked = df.where(F.pmod(hashed, F.lit(share)) == 0).limit(2 * rows)
+    if chars is None:
+        return picked
+    # Of a bounded number of rows: a window without partitions is no bottleneck here.
+    so_far = Window.orderBy("_picked", text_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = picked.withColumn("_picked", hashed).withColumn("_chars", F.sum(F.length(text_col)).over(so_far))
+    return summed.where(F.col("_chars") <= chars).drop("_picked", "_chars")

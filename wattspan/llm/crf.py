@@ -1,64 +1,109 @@
 """Linear-chain conditional random field: forward-backward over many sequences at once, and its gradient.
 
-Sequences lie one after another in flat arrays. They are advanced together, longest first, so that step
-``t`` touches only those that still have an item. Potentials are rescaled at each step.
+Sequences lie one after another in flat arrays. Each is cut into blocks of ``BLOCK`` items. What comes into a
+block from the left and from the right is found first: the product of a block's transition matrices carries
+any message across it, so messages go from block to block, not from item to item. Then all blocks are advanced
+together, item by item, from their true messages. The result is that of whole sequences of any length, and the
+number of steps does not grow with the longest. Potentials are rescaled at each step.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Items of a block.
+BLOCK = 64
 
-def windows(lengths: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the sequences after every longer one is cut into consecutive windows of ``most`` items."""
-    lengths = lengths[lengths > 0]
-    whole, rest = lengths // most, lengths % most
-    parts = whole + (rest > 0)
-    out = np.full(parts.sum(), most, np.int64)
-    last = np.cumsum(parts) - 1
-    out[last[rest > 0]] = rest[rest > 0]
-    return out
+
+def _blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of each block, the sequence it is of, and its number there."""
+    starts = np.cumsum(lengths) - lengths
+    many = -(-lengths // BLOCK)
+    owner = np.repeat(np.arange(len(lengths)), many)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    return starts[owner] + number * BLOCK, np.minimum(BLOCK, lengths[owner] - number * BLOCK), owner, number
+
+
+def _messages(e: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each block from the left (the items before it) and from the right (those after it)."""
+    labels = e.shape[1]
+    left, right = np.ones((len(start), labels), e.dtype), np.ones((len(start), labels), e.dtype)
+    last = np.append(number[1:] == 0, True)
+    chained = np.flatnonzero((number > 0) | ~last)
+    if not len(chained):
+        return left, right
+    # The product of the blocks' matrices; a sequence's first item has no transition into it.
+    product = np.zeros((len(start), labels, labels), e.dtype)
+    for t in range(int(size[chained].max())):
+        rows = chained[size[chained] > t]
+        item = e[start[rows] + t][:, None, :]
+        if t == 0:
+            first = (number[rows] == 0)[:, None, None]
+            product[rows] = np.where(first, np.eye(labels, dtype=e.dtype), step) * item
+        else:
+            product[rows] = (product[rows] @ step) * item
+        product[rows] /= product[rows].sum(axis=(1, 2), keepdims=True)
+    most = int(number.max())
+    order = np.argsort(number, kind="stable")
+    cut = np.searchsorted(number[order], np.arange(most + 2))
+    for k in range(1, most + 1):
+        rows = order[cut[k] : cut[k + 1]]
+        got = (left[rows - 1][:, None, :] @ product[rows - 1])[:, 0]
+        left[rows] = got / got.sum(axis=1, keepdims=True)
+    for k in range(most, 0, -1):
+        rows = order[cut[k] : cut[k + 1]]
+        got = (product[rows] @ right[rows][:, :, None])[:, :, 0]
+        right[rows - 1] = got / got.sum(axis=1, keepdims=True)
+    return left, right
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
     """Label marginals of each item, expected transitions in all (if asked for), and the sum of log partition functions."""
     labels = emission.shape[1]
-    high = emission.max(axis=1, keepdims=True) if len(emission) else emission[:, :1]
+    pairs = np.zeros((labels, labels)) if with_pairs else None
+    if not len(emission):
+        return emission.copy(), pairs, 0.0
+    lengths = lengths[lengths > 0]
+    high = emission.max(axis=1, keepdims=True)
     e = np.exp(emission - high)
     step = np.exp(transition).astype(e.dtype)
-    order = np.argsort(-lengths, kind="stable")
-    size = lengths[order]
-    start = (np.cumsum(lengths) - lengths)[order]
-    longest = int(size[0]) if len(size) else 0
+    start, size, _, number = _blocks(lengths)
+    left, right = _messages(e, step, start, size, number)
+    order = np.argsort(-size, kind="stable")
+    start, size, number, left, right = start[order], size[order], number[order], left[order], right[order]
+    longest = int(size[0])
     active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest + 1)]
-    alpha = np.empty_like(e)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
     log_z = float(high.sum())
-    before = None
+    before = np.where((number == 0)[:, None], 1, left @ step)
     for t in range(longest):
         k = active[t]
         at = start[:k] + t
-        now = e[at] if before is None else (before[:k] @ step) * e[at]
+        now = before[:k] * e[at]
         total = now.sum(axis=1, keepdims=True)
         now /= total
         log_z += float(np.log(total).sum())
         alpha[at] = now
-        before = now
-    beta = np.ones((len(size), labels), e.dtype)
-    pairs = np.zeros((labels, labels)) if with_pairs else None
-    out = alpha
-    for t in range(longest - 2, -1, -1):
-        k = active[t + 1]
+        before = now @ step
+    for t in range(longest - 1, -1, -1):
+        k = active[t]
         at = start[:k] + t
-        onward = e[at + 1] * beta[:k]
-        back = onward @ step.T
-        now = alpha[at]
-        if with_pairs:
-            joint = now[:, :, None] * step[None] * onward[:, None, :]
+        after = right[:k].copy()
+        inner = active[t + 1]
+        if inner:
+            onward = (e[at[:inner] + 1] * beta[at[:inner] + 1]) @ step.T
+            after[:inner] = onward / onward.sum(axis=1, keepdims=True)
+        beta[at] = after
+    out = alpha * beta
+    out /= out.sum(axis=1, keepdims=True)
+    if with_pairs:
+        inside = np.ones(len(e), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        at = np.flatnonzero(inside)
+        for k in range(0, len(at), 65536):
+            i = at[k : k + 65536]
+            joint = alpha[i][:, :, None] * step[None] * (e[i + 1] * beta[i + 1])[:, None, :]
             pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        back /= back.sum(axis=1, keepdims=True)
-        beta[:k] = back
-        now = now * back
-        out[at] = now / now.sum(axis=1, keepdims=True)
     return out, pairs, log_z
 
 

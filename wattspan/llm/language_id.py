@@ -2,12 +2,14 @@
 
 Every word has a label. Its features are hashed: the word itself (lexicon), and byte 2-, 3- and 4-grams of
 the word between boundary marks, of which those that touch a mark are its affixes. Transitions are
-learned. Whole texts are labelled, in consecutive windows of ``WINDOW`` words; the marginals of
-forward-backward are averaged over the words that hold a letter, and the greatest average is the
-document's language and score.
-
-Training takes a bounded sample (``SAMPLE_DOCS`` documents, ``SAMPLE_CHARS`` characters) of rows that are
-not held out and have a language; each word takes its document's language as label. Prediction is a map
+learned. Forward-backward runs over the whole chain of a text's words; its marginals are averaged over the
+words that hold a letter, and the greatest average is the document's language and score. Words without a
+letter have no features, but are items of the chain, in training as in prediction.
+
+Training takes a bounded sample (``SAMPLE_DOCS`` to twice as many documents, ``SAMPLE_CHARS`` characters, no text above
+``LONGEST_SAMPLE_TEXT``) of rows that are not held out and have a language. No table has labels of words:
+each word takes its document's language, so switches within a document are not learned as such, but
+follow from words whose features speak for another language than their neighbours'. Prediction is a map
 over documents: nothing is shuffled, the model's size is fixed.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows that repeat are predicted each alone;
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattspan.llm.common import bounded_sample, held_out
-from wattspan.llm.crf import Adagrad, gradients, marginals, windows
+from wattspan.llm.crf import Adagrad, gradients, marginals
+from wattspan.llm.workers import hold
 
 BUCKETS = 1 << 18
-WINDOW = 64
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 4_000_000
+LONGEST_SAMPLE_TEXT = 200_000
+#: Words of a step of training.
+BATCH_WORDS = 16_384
 EPOCHS = 6
 MEMO_WORDS = 200_000
 UNKNOWN = "und"
@@ -104,9 +109,9 @@ def train(texts: list[str], languages: list[str], epochs: int = EPOCHS, seed: in
     vocabulary: dict[str, int] = {}
     docs = []
     for text, lang in zip(texts, languages, strict=True):
-        words = [w for w in text.lower().split() if has_letter(w)]
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
-        docs += [(ids[k : k + WINDOW], known[lang]) for k in range(0, len(ids), WINDOW)]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) if has_letter(w) else -1 for w in text.lower().split()], np.int64)
+        if len(ids) and ids.max() >= 0:
+            docs.append((ids, known[lang]))
     weights, transition = Adagrad((BUCKETS, len(names)), 0.2, 1e-6), Adagrad((len(names), len(names)), 0.2)
     if not docs:
         return names, weights.w, transition.w
@@ -115,37 +120,37 @@ def train(texts: list[str], languages: list[str], epochs: int = EPOCHS, seed: in
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
-        for at in range(0, len(docs), 256):
-            part = [docs[i] for i in order[at : at + 256]]
+        ahead = np.cumsum([len(docs[i][0]) for i in order]) // BATCH_WORDS
+        for part in ([docs[i] for i in order[ahead == k]] for k in np.unique(ahead)):
             ids = np.concatenate([p[0] for p in part])
             lengths = np.array([len(p[0]) for p in part])
             labels = np.repeat([p[1] for p in part], lengths)
-            words, where = np.unique(ids, return_inverse=True)
+            spelled = ids >= 0
+            words, where = np.unique(ids[spelled], return_inverse=True)
             many = ends[words] - starts[words]
             first = np.cumsum(many) - many
             feats = h[np.repeat(starts[words] - first, many) + np.arange(many.sum())]
             scores = np.add.reduceat(weights.w[feats], first, axis=0)
-            by_item, by_pair = gradients(scores[where].astype(np.float64), lengths, transition.w.astype(np.float64), labels)
-            by_word = np.stack([np.bincount(where, by_item[:, k], len(words)) for k in range(len(names))], axis=1)
+            emission = np.zeros((len(ids), len(names)))
+            emission[spelled] = scores[where]
+            by_item, by_pair = gradients(emission, lengths, transition.w.astype(np.float64), labels)
+            by_word = np.stack([np.bincount(where, by_item[spelled, k], len(words)) for k in range(len(names))], axis=1)
+            units = len(ids) / 64
             touched, spot = np.unique(feats, return_inverse=True)
             by_feature = np.repeat(by_word, many, axis=0)
             grad = np.stack([np.bincount(spot, by_feature[:, k], len(touched)) for k in range(len(names))], axis=1)
-            weights.step(grad / len(part), touched)
-            transition.step(by_pair / len(part))
+            weights.step(grad / units, touched)
+            transition.step(by_pair / units)
     return names, weights.w, transition.w
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample, in a fixed order."""
+    """The bounded sample, in a fixed order. Characters are bounded before anything is collected."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    picked = bounded_sample(usable.select("doc_id", "lang", "text").where(F.length("text") <= SAMPLE_CHARS // 20), "doc_id", SAMPLE_DOCS)
-    out, size = [], 0
-    for r in sorted(picked.collect(), key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["text"])):
-        size += len(r["text"])
-        if size > SAMPLE_CHARS:
-            break
-        out.append((r["text"], r["lang"]))
-    return out
+    texts = usable.select("doc_id", "lang", "text").where(F.length("text") <= LONGEST_SAMPLE_TEXT)
+    picked = bounded_sample(texts, ["doc_id", "text"], SAMPLE_DOCS, "text", SAMPLE_CHARS)
+    rows = sorted(picked.collect(), key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["text"]))
+    return [(r["text"], r["lang"]) for r in rows]
 
 
 def hash_order(doc_id: int | None) -> int:
@@ -159,6 +164,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ca
     more = [c for c in carry or [] if c not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language")
         names, weights, transition = sent.value
         scorer = WordScorer(weights)
         for batch in batches:
@@ -169,7 +175,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ca
                 flat = np.concatenate(rows)
                 lang, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
                 if names and len(flat):
-                    got, _, _ = marginals(scorer.scores[flat], windows(lengths, WINDOW), transition)
+                    got, _, _ = marginals(scorer.scores[flat], lengths, transition)
                     spelled = (flat > 0).astype(np.float64)
                     owner = np.repeat(np.arange(len(rows)), lengths)
                     count = np.bincount(owner, spelled, len(rows))

@@ -2,11 +2,11 @@
 
 Each line is good or bad. A line is described by measures of its own and of the lines before and after it;
 each measure is cut into the sample's quantile bins, so a line's emission is a sum of table entries.
-Forward-backward over consecutive windows of ``WINDOW`` lines gives each line's marginal; a document's
-quality is their average by length, brought to the scale of the labels by a logistic fit.
+Forward-backward over the whole chain of a text's lines gives each line's marginal; a document's quality is their average by length, brought to the scale of the labels by a logistic fit.
 
-Training takes a bounded sample (``SAMPLE_DOCS`` of each class, ``SAMPLE_CHARS`` characters) of labelled
-documents that are not held out; each line takes its document's label, and classes weigh the same. The
+Training takes a bounded sample (``SAMPLE_DOCS`` to twice as many of each class, ``SAMPLE_CHARS`` characters, no text above
+``LONGEST_SAMPLE_TEXT``; of an id with several texts the least) of labelled documents that are not held
+out; each line takes its document's label, and classes weigh the same. The
 labels' own ratio returns in the logistic fit. Prediction is a map over documents with a model of fixed
 size.
 
@@ -21,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.llm.common import bounded_sample, held_out
-from wattspan.llm.crf import Adagrad, gradients, marginals, windows
+from wattspan.llm.crf import Adagrad, gradients, marginals
 from wattspan.llm.language_id import hash_order
+from wattspan.llm.workers import hold
 
-WINDOW = 128
 BINS = 10
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 5_000_000
+LONGEST_SAMPLE_TEXT = 100_000
 EPOCHS = 30
 THRESHOLD = 0.7
 
@@ -101,7 +102,7 @@ class LineModel:
     def good(self, measures: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Length-weighted marginal of "good" of each document."""
         emission = self.tables[self.bins(measures, lengths)].sum(axis=1)
-        got, _, _ = marginals(emission.astype(np.float64), windows(lengths, WINDOW), self.transition.astype(np.float64))
+        got, _, _ = marginals(emission.astype(np.float64), lengths, self.transition.astype(np.float64))
         owner = np.repeat(np.arange(len(lengths)), lengths)
         return np.bincount(owner, got[:, 1] * weights, len(lengths)) / np.bincount(owner, weights, len(lengths))
 
@@ -150,7 +151,7 @@ def train(texts: list[bytes], labels: list[int], share_good: float | None = None
             rows = np.repeat(starts[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             label = np.repeat(y[part], size)
             emission = tables.w[binned[rows]].sum(axis=1).astype(np.float64)
-            by_line, by_pair = gradients(emission, windows(size, WINDOW), transition.w.astype(np.float64), label)
+            by_line, by_pair = gradients(emission, size, transition.w.astype(np.float64), label)
             by_line *= np.repeat(balance[part] / size, size)[:, None]  # every document weighs the same
             grad = np.stack([np.bincount(binned[rows].ravel(), np.repeat(by_line[:, k], binned.shape[1]), width) for k in range(2)], axis=1)
             tables.step(grad / len(part))
@@ -173,13 +174,13 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes,
     picked = [bounded_sample(one.where(F.col("quality") == k), "doc_id", SAMPLE_DOCS) for k in sorted(counts)]
     chosen = picked[0] if len(picked) == 1 else picked[0].union(picked[1])
     texts = docs.select(F.col("doc_id").alias("text_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bound = SAMPLE_CHARS // 50
-    rows = texts.where(F.length("text") <= bound).join(F.broadcast(chosen), F.col("text_id") == F.col("doc_id")).select("doc_id", "quality", "text").collect()
-    out, size = [], {0: 0, 1: 0}
-    for r in sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["text"])):
-        size[r["quality"]] += len(r["text"])
-        if size[r["quality"]] <= SAMPLE_CHARS // 2:
-            out.append((r["text"].encode("utf-8", "surrogatepass"), r["quality"]))
+    joined = texts.where(F.length("text") <= LONGEST_SAMPLE_TEXT).join(F.broadcast(chosen), F.col("text_id") == F.col("doc_id"))
+    each = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    # At most four times SAMPLE_DOCS rows, of which characters are bounded before they are collected.
+    so_far = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = each.withColumn("_chars", F.sum(F.length("text")).over(so_far)).where(F.col("_chars") <= SAMPLE_CHARS // 2)
+    rows = bounded.select("doc_id", "quality", "text").collect()
+    out = [(r["text"].encode("utf-8", "surrogatepass"), r["quality"]) for r in sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["text"]))]
     return out, counts.get(1, 0) / total
 
 
@@ -188,6 +189,7 @@ def predict(docs: DataFrame, model: LineModel, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("lines")
         own = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
