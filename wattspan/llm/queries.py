@@ -121,9 +121,10 @@ WITH parts AS (
   SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n, ' ' || coalesce(array_to_string(list_transform(ids, lambda x: x || ' '), ' '), '') AS rest, CAST([] AS VARCHAR[]) AS found
   FROM (SELECT doc_id, row_number() OVER () AS rn FROM documents) d LEFT JOIN lists USING (rn)
 ), {", ".join(steps)}
-SELECT doc_id, n AS n_license_sentences, array_to_string(list_sort(list_distinct(found)), ',') AS licenses,
-       CAST(len(list_filter(string_split_regex(rest, '[ |]+'), lambda x: x <> '')) AS BIGINT) AS unknown_sentences
-FROM {last}
+SELECT doc_id, n AS n_license_sentences,
+       array_to_string(list_sort(list_distinct(list_concat(found, list_transform(list_filter(left_over, lambda x: starts_with(x, 'spdx:')), lambda x: substr(x, 6))))), ',') AS licenses,
+       CAST(len(list_filter(left_over, lambda x: NOT starts_with(x, 'spdx:'))) AS BIGINT) AS unknown_sentences
+FROM (SELECT *, list_filter(string_split_regex(rest, '[ |]+'), lambda x: x <> '') AS left_over FROM {last})
 """
 
 
