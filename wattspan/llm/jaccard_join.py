@@ -46,8 +46,8 @@ FREQUENT_DOCS = 4
 #: Random orders of step 3, and orders of step 4.
 FIRST_ORDERS = 6
 PREFIX_ORDERS = 3
-#: Token buckets for each shuffle partition. A task holds one bucket at a time.
-BUCKETS_A_PARTITION = 1
+#: Bytes of text whose tokens one bucket holds on average. A task holds one bucket at a time, about eight times as much.
+BUCKET_BYTES = 16_000_000
 #: Lists of one token up to so many documents are paired by shifts, longer ones by blocks.
 SHORT_LIST = 32
 #: Bits of a document's parity map, which long lists carry.
@@ -61,6 +61,12 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -((-n * percent) // 100)
 
 
+def bucket_count(texts: DataFrame) -> int:
+    """Token buckets: as many as shuffle partitions, more where texts need them, so that a bucket does not grow with the input."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def _range_bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> _U32) * np.uint64(buckets)) >> _U32
 
@@ -353,11 +359,13 @@ def _shared(counted: DataFrame) -> DataFrame:
     return counted.where("kind = 'part'").select("home", "ids", "counts").groupBy("home").applyInArrow(add_up, "doc_id bigint, shared bigint")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, class_id (least document of an equal set), component_id."""
-    spark = docs.sparkSession
-    buckets = BUCKETS_A_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", gather_first: bool = True) -> DataFrame:
+    """One row a document: doc_id, n_shingles, class_id (least document of an equal set), component_id.
+
+    ``gather_first`` False leaves step 3 out: every link then comes through the filters of step 4, with the same result.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    buckets = bucket_count(texts)
     counted, _ = materialise(count_shared(texts, buckets, stored=False, words=words), "counted")
     rows = counted.where("kind = 'doc'").select("doc_id", "n", "sig")
     classes, _ = materialise(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -368,9 +376,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, i
     kept = every.join(_shared(again).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).where(100 * F.col("shared") >= percent * F.col("n"))
     held, _ = materialise(kept.select("doc_id", "n", "tokens", "shared"), "held")
 
-    first, _ = materialise(first_token_pairs(held), "first-pairs")
-    links, _ = materialise(verified(first, held, percent), "first-links")
-    early, _ = materialise(components(links, "x", "y"), "early")
+    if gather_first:
+        first, _ = materialise(first_token_pairs(held), "first-pairs")
+        links, _ = materialise(verified(first, held, percent), "first-links")
+        early, _ = materialise(components(links, "x", "y"), "early")
+    else:
+        links = held.select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y")).limit(0)
+        early = links.select(F.col("x").alias("node"), F.col("y").alias("root"))
     labelled = held.join(early, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("root", "doc_id").alias("label"), "shared")
     pairs, _ = materialise(prefix_pairs(labelled, frequent_tokens(again), percent, buckets), "prefix-pairs")
     more = verified(pairs, held, percent)
