@@ -39,6 +39,8 @@ SHARED = 3
 #: No two pivots are closer: pivots from one cluster would describe its vectors by chance.
 PIVOT_COSINE = 0.7
 BLOCK = 2048
+#: Bytes of vectors that are multiplied together when pairs are verified.
+PAIR_BYTES = 64_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -56,7 +58,7 @@ def choose_pivots(classes: DataFrame) -> dict:
     """
     sized = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     wanted = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.col("n") / VECTORS_A_PIVOT))
-    rows = classes.select("label", F.size("v").alias("dim"), "v", "class").join(F.broadcast(sized), ["label", "dim"])
+    rows = classes.select("label", F.size("v").alias("dim"), "v", "class").join(sized, ["label", "dim"])
     share = F.pmod(F.xxhash64("class", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.where(share <= 2 * wanted / F.col("n") + 8 / F.col("n")).select("label", "dim", "v", wanted.cast("int").alias("wanted"), share.alias("share"))
     out: dict = {}
@@ -121,8 +123,9 @@ def _links(ids: np.ndarray, counts: np.ndarray, unit: np.ndarray, near: np.ndarr
         ok &= (low[left] @ low[right].T) == 0
     ok &= ids[left][:, None] < ids[right][None, :]
     i, j = np.nonzero(ok)
-    for at in range(0, len(i), 200_000):
-        a, b = left[i[at : at + 200_000]], right[j[at : at + 200_000]]
+    step = max(1, PAIR_BYTES // (16 * unit.shape[1]))
+    for at in range(0, len(i), step):
+        a, b = left[i[at : at + step]], right[j[at : at + step]]
         cosine = np.einsum("ij,ij->i", unit[a], unit[b])
         good = cosine >= threshold
         found.append(np.stack([a[good], b[good]]))
@@ -132,11 +135,11 @@ def link_lists(lists: DataFrame, threshold: float) -> DataFrame:
     """Rows ``kind, a, b``: ``n`` (class, links to other classes' vectors) and ``edge`` (spanning edges)."""
     place = F.row_number().over(Window.partitionBy("label", "dim", "pivot", "salt").orderBy("class")) - 1
     salted = lists.withColumn("dim", F.size("v")).withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(16)).cast("int"))
-    numbered = salted.withColumn("block", (F.floor(place / (BLOCK // 16)) * 16 + 0).cast("int"))
-    sizes = numbered.groupBy("label", "dim", "pivot").agg((F.max("block") / 16 + 1).cast("int").alias("blocks"))
+    # Each salt puts a sixteenth of a block's rows into each block.
+    numbered = salted.withColumn("own", F.floor(place / (BLOCK // 16)).cast("int"))
+    sizes = numbered.groupBy("label", "dim", "pivot").agg((F.max("own") + 1).cast("int").alias("blocks"))
     sizes, _ = materialise(sizes, "list-blocks")
-    own = (F.col("block") / 16).cast("int")
-    placed = numbered.join(sizes, ["label", "dim", "pivot"]).withColumn("own", own)
+    placed = numbered.join(sizes, ["label", "dim", "pivot"])
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
     cols = ["label", "dim", "pivot", "b1", "b2", "own", "class", "count", "v", "near"]
@@ -185,7 +188,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """One row a vector: vec_id, n_links, component_id, kept."""
     rows, _ = materialise(usable(vectors, id_col, vector_col, label_col).withColumn("key", F.xxhash64("label", "v")), "vectors")
     # ``class`` numbers equal vectors of a label by a hash; ``first`` is their least id.
-    grouped = rows.groupBy("key", "label").agg(F.count("*").alias("count"), F.min("vec_id").alias("first"), F.any_value("v").alias("v"))
+    # Should two vectors ever share one, the run fails rather than link them unverified.
+    same = F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(F.raise_error(F.lit("two vectors have one hash")).cast("array<double>"))
+    grouped = rows.groupBy("key", "label").agg(F.count("*").alias("count"), F.min("vec_id").alias("first"), same.alias("v"))
     classes, _ = materialise(grouped.withColumnRenamed("key", "class"), "vector-classes")
     found, _ = materialise(link_lists(inverted_lists(classes, choose_pivots(classes)), threshold), "vector-links")
     n = found.where("kind = 'n'").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("others"))
