@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattspan.llm import bit_planes, byte_bpe, components, jaccard_join, language_id, licenses, line_quality, packing, pivot_index, quality_rules, warc
+from wattspan.llm import common
 from wattspan.llm.common import scratch_path
-from wattspan.llm.crf import gradients, marginals, windows
+from wattspan.llm import crf
+from wattspan.llm.crf import gradients, marginals
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -89,6 +91,26 @@ def encoded_by_library(name, end):
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+def test_packing_keeps_ids_exactly(spark):
+    """Ids beyond 2**53 beside a null one."""
+    rows = [(2**53 + 1, "one two"), (2**60 - 1, "three"), (-(2**63), "four"), (None, "five")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+
+
+def test_packing_of_many_shards(spark):
+    """What shards lose against one packing of everything: at most an open sequence or so each."""
+    rng = random.Random(4)
+    lengths = [(i, 0, 0, min(2048, 1 + int(rng.lognormvariate(5.5, 1))), i) for i in range(8000)]
+    cut = spark.createDataFrame(lengths, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    placed = packing.pack(cut, 2048, shard_pieces=1000).select("sequence_id", "length").toPandas()
+    fill = placed.groupby("sequence_id").length.sum()
+    assert fill.max() <= 2048 and len(placed) == 8000
+    least = -(-sum(x[3] for x in lengths) // 2048)
+    one, _ = packing.sum_of_squares(np.sort([x[3] for x in lengths])[::-1], 2048)
+    assert least <= one.max() + 1 <= len(fill) <= one.max() + 1 + 2 * 8
+
+
 def test_packing_places_every_piece_once(spark, docs, nothing):
     encode = encoded_by_library("word_bpe_49k.json", 0)
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64, with_ids=True).collect()
@@ -189,6 +211,68 @@ def test_warc_keeps_payloads(spark):
     assert all(bytes(f["content"]).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(f["content"]).endswith(b"\r\n\r\n") for f in files if f["length"])
 
 
+def test_warc_files_are_members_with_headers_of_the_standard(spark):
+    import gzip
+
+    text = "<p>" + "w" * 1500
+    pages = spark.createDataFrame([(i, f"http://x/{i}", text if i % 2 else f"{text}{i}") for i in range(40)] + [(1, "http://x/1", text)] * 2, "page_id bigint, url string, html string")
+    raw, clean = scratch_path(spark, "w"), scratch_path(spark, "w")
+    warc.write_archives(warc.pages_to_records(pages), raw, file_bytes=2000)
+    warc.deduplicate_archives(spark, raw, clean)
+    files = [bytes(f["content"]) for f in spark.read.format("binaryFile").load(raw).collect()]
+    assert len(files) > 4 and all(len(f) < 2000 + 1000 for f in files)
+    ids = {}
+    for f in (bytes(x["content"]) for x in spark.read.format("binaryFile").load(clean).collect()):
+        whole = gzip.decompress(f)
+        at = 0
+        for head, _, record, offset in warc.parse(iter([whole])):
+            assert head["warc-record-id"] not in ids and whole[offset : offset + len(record)] == record
+            ids[head["warc-record-id"]] = head
+            at += 1
+        # Every record begins at a member of its own.
+        starts = [k for k in range(len(f)) if f[k : k + 4] == b"\x1f\x8b\x08\x00"]
+        assert sum(gzip.decompress(f[k:])[:9] == b"WARC/1.1\r" for k in starts if f[k:]) >= at
+    assert len(ids) == 42
+    revisits = [h for h in ids.values() if h["warc-type"] == "revisit"]
+    assert len(revisits) == 21
+    for h in revisits:
+        assert ids[h["warc-refers-to"]]["warc-type"] == "response"
+        assert h["warc-refers-to-target-uri"] == "http://x/39" and h["warc-refers-to-date"] == warc.DATE and h["warc-profile"] == warc.PROFILE
+
+
+def test_foreign_records_pass_through(spark, tmp_path):
+    import gzip
+
+    def record(kind, block, **more):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in more.items())
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Date: 2020-02-02T00:00:00Z\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"z" * 2000
+    http = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    parts = [
+        record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("response", http, Content_Type="application/http; msgtype=response", WARC_Target_URI="http://a", WARC_Payload_Digest=f"sha1:{sha}"),
+        record("response", http, Content_Type="application/http; msgtype=response", WARC_Target_URI="http://b"),
+        record("resource", b"plain", Content_Type="text/plain"),
+    ]
+    for name, data in (("one.warc.gz", gzip.compress(b"".join(parts))), ("two.warc", b"".join(parts))):
+        (tmp_path / name).write_bytes(data)
+    clean = scratch_path(spark, "w")
+    warc.deduplicate_archives(spark, f"file://{tmp_path}", clean, compression="none")
+    back = warc.read_archives(spark, clean).collect()
+    kinds = collections.Counter(r["record_type"] for r in back)
+    assert kinds == {"warcinfo": 2, "request": 2, "resource": 2, "response": 1, "revisit": 3}
+    assert {bytes(r["raw"]) + b"\r\n\r\n" for r in back if r["record_type"] in ("warcinfo", "request", "resource")} == {parts[0], parts[1], parts[4]}
+    assert all(b"Server: s" in bytes(r["http"]) for r in back if r["record_type"] in ("response", "revisit"))
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "x.warc").write_bytes(parts[2].replace(b"zz", b"zy"))
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_archives(spark, f"file://{broken}").collect()
+
+
 # Quality rules.
 
 
@@ -231,6 +315,26 @@ def test_rules_are_ordered_by_rejection_per_cost(spark, docs):
     assert [r.name for r, _, _ in ordered] == ["often", "never"]
 
 
+def test_order_goes_by_cost_where_nothing_is_rejected():
+    none = np.zeros((100, 3), bool)
+    assert quality_rules.greedy_order(none, [0.3, 0.1, 0.2]) == [1, 2, 0]
+    # The same documents fail rules 0 and 1: after rule 0, rule 1 rejects nothing more and rule 2 goes first.
+    both = np.zeros((100, 3), bool)
+    both[:50, 0] = both[:45, 1] = both[60:70, 2] = True
+    assert quality_rules.greedy_order(both, [1.0, 1.0, 1.0]) == [0, 2, 1]
+
+
+def test_a_slow_rule_goes_after_a_fast_one(spark):
+    m = quality_rules.measured(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(400))) for i in range(400)], "doc_id bigint, text string"))
+    sample, _ = common.materialise(m, "rules")
+    slow = F.size(F.filter("_q_words", lambda w: w.rlike("(a|b|c)+(d|e)+$"))) > 400
+    for at_least in (0, 200):  # both rules reject nothing, or the same half
+        half = F.col("doc_id") < at_least
+        rules = [quality_rules.Rule("a_slow", slow | half), quality_rules.Rule("b_fast", (F.col("n_words") < 0) | half)]
+        assert [r.name for r, _, _ in quality_rules.order_rules(sample, rules)] == ["b_fast", "a_slow"]
+    assert quality_rules.order_rules(sample, []) == []
+
+
 # Licences.
 
 
@@ -244,8 +348,11 @@ def test_licences(spark, nothing):
 
 
 def test_every_known_sentence_has_an_anchor():
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES if not s.startswith("licensed under")) and any(a in "licensed under" for a in licenses.ANCHORS)
-    assert {i for _, ids in licenses.RULES for i in ids} == set(licenses.SENTENCES.values())
+    known = {**licenses.SENTENCES, **licenses.WHOLE, **licenses.TEXTS}
+    assert all(any(a in s for a in licenses.ANCHORS) for s in known)
+    assert all(licenses.normal(s) == s for s in known)
+    rules = {i for _, ids in licenses.RULES for i in ids} | {i for _, i in licenses.SINGLE}
+    assert set(known.values()) <= rules | {"bsd-grant-0"} and len({name for name, _ in licenses.SINGLE}) >= 40
 
 
 # Conditional random fields.
@@ -294,8 +401,37 @@ def test_forward_backward_is_enumeration():
     assert np.isclose((loss(e, d) - loss(e, t)) / step, by_t[1, 2], atol=1e-3)
 
 
-def test_windows_cover_everything():
-    assert windows(np.array([0, 3, 64, 65, 130]), 64).tolist() == [3, 64, 64, 1, 64, 64, 2]
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_blocks_of_chains_change_nothing(monkeypatch, block):
+    """Chains longer than a block have the marginals of whole chains."""
+    rng = np.random.default_rng(block)
+    lengths = np.array([1, 6, 0, 3, 4, 2, 7])
+    e, t = rng.normal(size=(23, 3)) * 2, rng.normal(size=(3, 3)) * 2
+    monkeypatch.setattr(crf, "BLOCK", 64)
+    want, pairs, log_z = marginals(e, lengths, t, with_pairs=True)
+    assert np.allclose(want, brute_marginals(e, lengths[lengths > 0], t))
+    monkeypatch.setattr(crf, "BLOCK", block)
+    got, again, z = marginals(e, lengths, t, with_pairs=True)
+    assert np.allclose(got, want) and np.allclose(again, pairs) and np.isclose(z, log_z)
+
+
+def test_a_chain_of_any_length():
+    rng = np.random.default_rng(9)
+    n = 50_000
+    e, t = rng.normal(size=(n, 2)), np.array([[2.0, -2.0], [-2.0, 2.0]])
+    got, _, _ = marginals(e, np.array([n]), t)
+    alpha = np.empty((n, 2))
+    step, now = np.exp(t), np.exp(e[0])
+    for i in range(n):
+        now = np.exp(e[i]) if i == 0 else (now @ step) * np.exp(e[i])
+        now /= now.sum()
+        alpha[i] = now
+    beta = np.ones(2)
+    for i in range(n - 1, -1, -1):
+        p = alpha[i] * beta
+        assert np.allclose(got[i], p / p.sum())
+        beta = step @ (np.exp(e[i]) * beta)
+        beta /= beta.sum()
 
 
 def test_language_id(spark, docs, nothing):
@@ -404,6 +540,23 @@ def test_jaccard_near_the_threshold(spark, seed):
     assert 1 < len(set(want.values())) < len(rows)
 
 
+def test_filters_alone_give_the_same_components(spark, monkeypatch):
+    """Without step 3 every link comes through the prefixes of all orders; buckets are small and many."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 2000)
+    rng = random.Random(21)
+    rows = []
+    for g in range(10):
+        words = [f"w{g}_{i}" for i in range(rng.choice([8, 30, 70]))]
+        for _ in range(rng.choice([1, 3, 8])):
+            edited = [f"e{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in words]
+            rows.append((len(rows), " ".join(edited)))
+    want = jaccard_case(spark, rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame, gather_first=False).collect()}
+    assert got == want and 10 <= len(set(want.values())) < len(rows)
+    assert jaccard_join.bucket_count(frame) > 4
+
+
 def test_long_lists_are_paired_by_blocks():
     rng = np.random.default_rng(4)
     n = 90
@@ -512,10 +665,11 @@ def test_byte_bpe_of_long_words(spark, coder):
 
 def test_byte_bpe_tables_have_no_collisions():
     rng = random.Random(2)
-    hashes = [rng.getrandbits(64) for _ in range(5000)]
-    shifts, owner, bits, slot_bits = byte_bpe.place_apart(hashes)
-    for i, h in enumerate(hashes):
-        assert owner[((h >> bits) + shifts[h % 2**bits]) % 2**slot_bits] == i
+    for n in (0, 1, 2, 5000):
+        hashes = [rng.getrandbits(64) for _ in range(n)]
+        shifts, owner, bits, slot_bits = byte_bpe.place_apart(hashes)
+        for i, h in enumerate(hashes):
+            assert owner[((h >> bits) + shifts[h % 2**bits]) % 2**slot_bits] == i
 
 
 def test_byte_bpe_of_a_vocabulary_that_does_not_fold_to_itself(spark):

@@ -3,7 +3,7 @@
 Each match of the tokenizer's split pattern is a word. Words are folded: a word starts as the array of
 its bytes, and ``aggregate`` merges, one at a time, the leftmost adjacent pair of lowest rank until no
 pair has a rank. Ranks come from a literal in the plan: for each pair of tokens whose bytes together are a
-token, that token's rank, in a table without collisions addressed by the two ids. An item of the folded array is one
+token, that token's rank, in a table without collisions addressed by a hash of the two ids. An item of the folded array is one
 number, of its pair's rank, its place in the word and its id, so that the least number is the next merge.
 Decoding looks every id up in a literal array of binary pieces and concatenates them.
 
@@ -71,21 +71,23 @@ def place_apart(hashes: list[int]) -> tuple[list[int], list[int], int, int]:
     the bits of a group and the bits of a slot.
 
     A key of hash ``h`` is in group ``h & (2**bits - 1)`` and in the slot ``(h >> bits) + shift``, of which the low bits count.
-    Groups are placed largest first, each by the first shift that finds all its slots free.
+    Groups are placed largest first, each by the first shift that finds all its slots free. Tables are small, as every
+    task reads them once.
     """
-    bits = max(1, (len(hashes) // 3).bit_length())
+    bits = max(1, (len(hashes) // 2).bit_length())
     members: list[list[int]] = [[] for _ in range(2**bits)]
     for i, h in enumerate(hashes):
         members[h % 2**bits].append(i)
     order = sorted(range(2**bits), key=lambda g: -len(members[g]))
-    for slot_bits in itertools.count(len(hashes).bit_length() + 1):
+    for slot_bits in itertools.count(max(1, len(hashes).bit_length())):
         slots = 2**slot_bits
         shifts, owner = [0] * 2**bits, [-1] * slots
         for g in order:
             start = [(hashes[i] >> bits) % slots for i in members[g]]
-            if len(set(start)) < len(start):
-                break  # in one slot whatever the shift: more slots
-            d = shifts[g] = next(d for d in range(slots) if all(owner[(x + d) % slots] < 0 for x in start))
+            d = next((d for d in range(slots) if all(owner[(x + d) % slots] < 0 for x in start)), -1)
+            if d < 0 or len(set(start)) < len(start):
+                break  # in one slot whatever the shift, or too full: more slots
+            shifts[g] = d
             for i, x in zip(members[g], start, strict=True):
                 owner[(x + d) % slots] = i
         else:
@@ -162,12 +164,14 @@ class BytePairCoder:
         # Tokens that folding does not give for their own bytes; a word that equals one is that token.
         odd = [(p, r) for p, r in rank.items() if fold_plain(p, byte_ids, ranks) != [r]]
         self._odd = _literal({base64.b64encode(p).decode(): r for p, r in odd}, "map<string,int>") if odd else None
-        # A pair's key is its left and its right id; a slot holds the key and the rank as one number.
+        # A pair's key is its left and its right id.
         keys = [(a << ID_BITS) + b for a, b, _ in pairs]
         shifts, owner, self._bits, self._slot_bits = place_apart([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in keys])
         self._shifts = _literal(shifts, "array<bigint>")
         self._pairs = _literal([(keys[i] << ID_BITS) + pairs[i][2] if i >= 0 else -1 for i in owner], "array<bigint>")
-        self._bytes = _literal(byte_ids, "array<bigint>")
+        # The first state of a byte before another one, at 256 times the first and the second; of a last byte, at 65536 and it.
+        start = [(ranks.get((a, b), NO_RANK) << _LOW) + a for a in byte_ids for b in byte_ids]
+        self._bytes = _literal(start + [_DONE + a for a in byte_ids], "array<bigint>")
         self._pieces = _literal([base64.b64encode(p).decode() for p in pieces], "array<binary>")
 
     def _with_tables(self, body, known: Column | None = None) -> Column:
@@ -189,33 +193,32 @@ class BytePairCoder:
 
         return _let(_let(F.xxhash64(key), slot), lambda e: F.when(F.shiftright(e, ID_BITS) == key, e.bitwiseAND(2**ID_BITS - 1)).otherwise(F.lit(NO_RANK).cast("long")))
 
-    def _merge_all(self, t: Column, ids: Column) -> Column:
-        """Ids after all ranked merges of an array of ids."""
-        place = lambda i: i.cast("long") * 2**ID_BITS
+    def _merge_all(self, t: Column, codes: Column) -> Column:
+        """Ids after all ranked merges of an array of byte values."""
+        n = F.size(codes)
         own = lambda e: e.bitwiseAND(2**ID_BITS - 1)
-        below = lambda e: e.bitwiseAND(2**_LOW - 1)
-        start = F.transform(ids, lambda x, i: self.rank(t, x, F.coalesce(F.get(ids, i + 1), F.lit(END))) * 2**_LOW + place(i) + x)
+        start = F.transform(codes, lambda c, i: F.get(t["bytes"], F.when(i < n - 1, c * 256 + F.get(codes, i + 1)).otherwise(c + 65536)) + i.cast("long") * 2**ID_BITS)
 
         def step(s: Column, _: Column) -> Column:
-            return _let(F.array_min(s), lambda m: F.when(m >= _DONE, s).otherwise(_let(F.size(F.filter(s, lambda e: below(e) < below(m))) + 1, lambda i: merged(s, m, i))))
+            return _let(F.array_min(s), lambda m: F.when(m >= _DONE, s).otherwise(_let(F.shiftright(m, ID_BITS).bitwiseAND(2**PLACE_BITS - 1).cast("int"), lambda i: merged(s, m, i))))
 
         def merged(s: Column, m: Column, i: Column) -> Column:
+            """``i`` counts from 0. What stands behind the pair moves up by one place."""
             new = F.shiftright(m, _LOW)
-            onward = self.rank(t, new, F.coalesce(own(F.get(s, i + 1)), F.lit(END)))
-            here = onward * 2**_LOW + (below(m) - own(m)) + new
-            before = F.get(s, i - 2)
-            back = self.rank(t, own(before), new) * 2**_LOW + below(before)
-            return F.when(i > 1, F.concat(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(back, here), F.slice(s, i + 2, F.size(s)))).otherwise(F.concat(F.array(here), F.slice(s, F.lit(3), F.size(s))))
+            onward = self.rank(t, new, F.coalesce(own(F.get(s, i + 2)), F.lit(END)))
+            here = onward * 2**_LOW + i.cast("long") * 2**ID_BITS + new
+            before = F.get(s, i - 1)
+            back = self.rank(t, own(before), new) * 2**_LOW + before.bitwiseAND(2**_LOW - 1)
+            rest = F.transform(F.slice(s, i + 3, n), lambda e: e - 2**ID_BITS)
+            return F.when(i > 0, F.concat(F.slice(s, F.lit(1), F.greatest(i - 1, F.lit(0))), F.array(back, here), rest)).otherwise(F.concat(F.array(here), rest))
 
-        done = lambda s: F.transform(s, lambda e: own(e).cast("int"))
-        return F.when(F.size(ids) < 2, F.transform(ids, lambda x: x.cast("int"))).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(ids), F.lit(2))), start, step, done))
+        return F.aggregate(F.slice(codes, F.lit(2), n), start, step, lambda s: F.transform(s, lambda e: own(e).cast("int")))
 
-    def _byte_ids(self, t: Column, word: Column) -> Column:
-        letters = F.decode(word, "ISO-8859-1")
-        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(t["bytes"], F.ascii(F.substring(letters, i, F.lit(1)))))
+    def _codes(self, word: Column) -> Column:
+        return _let(F.decode(word, "ISO-8859-1"), lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1)))))
 
     def _fold_whole(self, t: Column, word: Column) -> Column:
-        return _let(self._byte_ids(t, word), lambda ids: self._merge_all(t, ids))
+        return _let(self._codes(word), lambda codes: self._merge_all(t, codes))
 
     def _fold_by_pieces(self, t: Column, word: Column) -> Column:
         n = F.length(word)
@@ -250,7 +253,7 @@ class BytePairCoder:
 
     def frequent(self, docs: DataFrame, id_col: str, text_col: str) -> WordTable:
         """The ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``."""
-        sample = bounded_sample(docs.select(id_col, text_col), id_col, SAMPLE_DOCS)
+        sample = bounded_sample(docs.select(id_col, text_col), [id_col, text_col], SAMPLE_DOCS)
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.length("w") <= PIECE_BYTES).groupBy("w").count().where("count > 1")
         top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
         folded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", "count", self.fold(F.col("w").cast("binary")).alias("ids"))
