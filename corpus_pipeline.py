@@ -19,26 +19,44 @@ from wattspan.ship import ship
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def _with_row(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator reads, and the whole row beside them: its own columns then replace none."""
+    return docs.select(*used, F.struct(*docs.columns).alias("_row"))
+
+
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    return quality_rules.judge(_with_row(docs, "doc_id", "text")).where("kept").select("_row.*")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language and a score that is not low."""
     ship(spark)
-    named = language_id.identify(docs, carry=docs.columns)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    named = language_id.identify(_with_row(docs, "doc_id", "text", "lang"), carry=["_row"])
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("_row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every component of near copies. Rows without an id stay."""
+    """One document of every component of near copies: that of least id, then of least key; null ids come last.
+
+    A document is a row's id and text together, so rows that repeat an id with another text are documents of their
+    own and stay unless they are near copies of one that stays; rows that repeat both are one document. The key is a
+    64-bit hash of both.
+    """
     ship(spark)
-    groups = jaccard_join.jaccard_components(docs, percent=75)
-    chosen, _ = materialise(groups.where("doc_id = component_id").select(F.col("doc_id").alias("chosen")).distinct(), "chosen")
-    kept = docs.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.xxhash64("doc_id", "text")
+    groups = jaccard_join.jaccard_components(docs.select(key.alias("key"), "text"), percent=75, id_col="key")
+    member = groups.select(F.col("doc_id").alias("member"), "component_id").distinct()
+    ids = docs.select(key.alias("key"), "doc_id").distinct()
+    named = member.join(ids, F.col("member") == F.col("key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    chosen, _ = materialise(named.groupBy("component_id").agg(least).select(F.col("least.key").alias("chosen")), "chosen")
+    own = "_key"
+    while own in docs.columns:
+        own += "_"
+    kept = docs.withColumn(own, key).join(chosen, F.col(own) == F.col("chosen"), "left_semi")
+    return kept.dropDuplicates([own, "doc_id", "text"]).drop(own)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
