@@ -14,6 +14,7 @@ import time
 HEADLINE = [
     "flagship_lcoe_by_type_year", "capacity_factor_by_unit", "re_usable_min", "vallcoe", "reliability_lolp", "price_lambda_mu", "duration_curve", "lag_features",
     "merit_order_dispatch", "marginal_unit", "cumulative_vintage_capacity", "npv_cashflow", "outage_overlap_factor", "nearest_node", "parallel_line_merge", "eal_by_node",
+    "impute_median", "components", "simplex_dispatch", "commitment_kpis", "reduced_chains", "worst_second_losses", "renewable_projects",
 ]
 
 

@@ -41,6 +41,26 @@ def point_in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return F.aggregate(F.transform(xs, crosses), F.lit(0), lambda a, k: a + k) % 2 == 1
 
 
+def ring_centroid(xs: Column, ys: Column) -> tuple[Column, Column]:
+    """Mean of a ring's vertices."""
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return mean(xs), mean(ys)
+
+
+def line_in_ring(line_xs: Column, line_ys: Column, xs: Column, ys: Column) -> Column:
+    """Whether a line has a vertex inside a ring."""
+    return F.exists(F.arrays_zip(line_xs.alias("x"), line_ys.alias("y")), lambda p: point_in_ring(p["x"], p["y"], xs, ys))
+
+
+def first_ring(x: Column, y: Column, rings: Sequence[tuple[object, Sequence[float], Sequence[float]]]) -> Column:
+    """Name of the first of a few rings that holds a point; null outside all."""
+    out = F.lit(None)
+    for name, xs, ys in reversed(rings):
+        inside = point_in_ring(x, y, F.array(*map(F.lit, map(float, xs))), F.array(*map(F.lit, map(float, ys))))
+        out = F.when(inside, F.lit(name)).otherwise(out)
+    return out
+
+
 def cyclical(x: Column, period: float) -> tuple[Column, Column]:
     return F.sin(2 * math.pi * x / period), F.cos(2 * math.pi * x / period)
 
@@ -88,6 +108,17 @@ def shear_exponent(v1: Column, v2: Column, h1: float, h2: float) -> Column:
     return F.log(v2 / v1) / math.log(h2 / h1)
 
 
+def weibull_pdf(speed: Column, shape: float, scale: float) -> Column:
+    """Density of wind speeds; 0 without wind."""
+    x = speed / scale
+    return F.when(speed > 0, shape / scale * F.pow(x, shape - 1) * F.exp(-F.pow(x, F.lit(shape)))).otherwise(0.0)
+
+
+def weibull_power_density(scale: Column, shape: float, density: float = 1.225) -> Column:
+    """Mean power of the wind in W a square metre."""
+    return 0.5 * density * math.gamma(1 + 3 / shape) * F.pow(scale, F.lit(3.0))
+
+
 def wake_deficit(ct: Column, distance: Column, radius: float, k: float = 0.075) -> Column:
     """Jensen's loss of speed behind a rotor."""
     return (1 - F.sqrt(1 - ct)) / F.pow(1 + k * distance / radius, 2)
@@ -105,6 +136,26 @@ def temperature_derate(cell: Column, coefficient: float = -0.004) -> Column:
     return 1 + coefficient * (cell - 25)
 
 
+def climate_availability(value: Column, kind: str, ghi: float = 0.0, wind: float = 0.0, warming: float = 0.0, coefficient: float = 0.004) -> Column:
+    """Availability under shares of change: sun and heat for solar, wind for wind, nothing for others; within 0 and 1."""
+    factor = (1 + ghi) * (1 - coefficient * warming) if kind == "solar" else 1 + wind if kind == "wind" else 1.0
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value * factor))
+
+
+def otec_capacity_factor(difference: Column, nominal: float, design: float) -> Column:
+    """Linear in the difference of water temperatures, up to 1.2 times nominal."""
+    return nominal * F.least(F.lit(1.2), F.greatest(F.lit(0.0), difference / design)) if design > 0 else F.lit(nominal)
+
+
+def hydro_shape(t: Column, latitude: float) -> Column:
+    """Run of a river over a year, ``t`` from 0 to 1: one peak in late spring, two wet seasons near the equator."""
+    if abs(latitude) < 10:
+        raw = 0.5 + 0.4 * F.sin(2 * math.pi * (t - 0.30)) + 0.3 * F.sin(4 * math.pi * (t - 0.05))
+    else:
+        raw = 0.6 + 0.5 * F.cos(2 * math.pi * (t - (0.40 if latitude >= 0 else 0.90)))
+    return F.least(F.lit(1.5), F.greatest(F.lit(0.05), raw))
+
+
 def degree_days(temperature: Column, heat_base: float = 18.0, cool_base: float = 24.0) -> tuple[Column, Column]:
     return F.greatest(heat_base - temperature, F.lit(0.0)), F.greatest(temperature - cool_base, F.lit(0.0))
 
@@ -160,6 +211,33 @@ def fuel_name(name: Column) -> Column:
     return F.when(n.isin("gas", "natural gas", "ng", "lng"), "Natural Gas").when(n.isin("oil", "diesel", "fuel oil", "hfo"), "Oil").when(n.contains("coal"), "Coal").when(n.isin("sun", "solar", "pv"), "Solar").when(n.contains("wind"), "Wind").when(n.isin("hydro", "water"), "Hydro").otherwise(F.initcap(n))
 
 
+#: Overhead line types by nominal kV: ohm/km, ohm/km, nF/km.
+LINE_TYPES = (
+    (33.0, 0.250, 0.400, 8.5), (66.0, 0.150, 0.400, 8.8), (110.0, 0.095, 0.380, 9.2), (132.0, 0.090, 0.370, 9.3), (220.0, 0.060, 0.301, 12.5),
+    (300.0, 0.040, 0.265, 13.2), (380.0, 0.030, 0.246, 13.8), (500.0, 0.020, 0.270, 13.0), (750.0, 0.013, 0.276, 13.1),
+)
+
+
+def line_parameters(voltage: Column) -> Column:
+    """r, x (ohm/km) and b (microsiemens/km at 50 Hz) of the line type of the nearest voltage; 110 kV where there is none."""
+    v = F.when(voltage > 0, voltage).otherwise(110.0)
+    types = F.array(*(F.struct(F.abs(v - t[0]).alias("d"), F.lit(k).alias("k"), F.lit(t[1]).alias("r"), F.lit(t[2]).alias("x"), F.lit(100 * math.pi * t[3] * 1e-3).alias("b")) for k, t in enumerate(LINE_TYPES)))
+    return F.array_min(types)
+
+
+def technology_class(fuel: Column, hint: Column, capacity: Column, small_gas_mw: float = 100.0) -> Column:
+    """Technology of a plant by its fuel, a hint and, for gas, its size."""
+    has = lambda *words: F.lower(F.coalesce(hint, F.lit(""))).rlike("|".join(words))
+    plain = {"sun": "PV", "coal": "Coal ST", "fuel_oil": "Oil ST", "nuclear": "Nuclear", "biomass": "Biomass ST", "biogas": "Biogas Engine", "waste": "Waste-to-Energy", "geothermal": "Geothermal"}
+    out = F.when(fuel == "wind", F.when(has("offshore"), "Offshore Wind").otherwise("Onshore Wind"))
+    out = out.when(fuel == "water", F.when(has("pump"), "Pumped Storage").when(has("run", "ror"), "Run-Of-River").otherwise("Reservoir"))
+    gas = F.when(has("ocgt", "open", "peak"), "OCGT").when(has("ccgt", "combined"), "CCGT").when((capacity > 0) & (capacity < small_gas_mw), "OCGT").otherwise("CCGT")
+    out = out.when(fuel == "naturalgas", gas).when(fuel == "diesel", F.when(has("steam", "boiler"), "Oil ST").otherwise("Combustion Engine"))
+    for name, technology in plain.items():
+        out = out.when(fuel == name, technology)
+    return out.otherwise("Other")
+
+
 def safe_name(name: Column) -> Column:
     return F.replace(name, F.lit("/"), F.lit(" - "))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,21 +122,103 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, senses: Sequence[str])
     return x[:n], float(c @ x[:n])
 
 
+def bounded_simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, float]:
+    """Minimum of ``c x`` with ``a x = b`` and ``0 <= x <= upper``: two phases, Bland's rule.
+
+    Bounds take no rows: the basis is as large as ``b``, whatever the number of columns. Raises ValueError if there
+    is no solution or no bound.
+    """
+    m, n = a.shape
+    sign = np.where(b < 0, -1.0, 1.0)
+    full = np.hstack([a * sign[:, None], np.eye(m)])
+    most = np.append(upper, np.full(m, np.inf))
+    basis, at_upper, held = np.arange(n, n + m), np.zeros(n + m, bool), b * sign
+
+    def run(cost: np.ndarray, allowed: int) -> None:
+        while True:
+            columns = full[:, basis]
+            reduced = cost - np.linalg.solve(columns.T, cost[basis]) @ full
+            better = np.where(at_upper, reduced > 1e-9, reduced < -1e-9)
+            better[basis] = False
+            better[allowed:] = False
+            if not better.any():
+                return
+            j = int(better.argmax())
+            move = np.linalg.solve(columns, full[:, j]) * (1.0 if at_upper[j] else -1.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(move < -1e-9, held / -move, np.where(move > 1e-9, (most[basis] - held) / move, np.inf))
+            leave = min(range(m), key=lambda i: (room[i], basis[i]))
+            step = min(room[leave], most[j])
+            if np.isinf(step):
+                raise ValueError("unbounded")
+            held[:] = held + step * move
+            if most[j] <= room[leave]:
+                at_upper[j] = ~at_upper[j]
+                continue
+            at_upper[basis[leave]] = move[leave] > 0
+            held[leave] = most[j] - step if at_upper[j] else step
+            basis[leave], at_upper[j] = j, False
+
+    first = np.append(np.zeros(n), np.ones(m))
+    run(first, n + m)
+    if first[basis] @ held > 1e-6:
+        raise ValueError("infeasible")
+    most[n:] = 0.0
+    run(np.append(c, np.zeros(m)), n)
+    x = np.where(at_upper, np.where(np.isinf(most), 0.0, most), 0.0)
+    x[basis] = held
+    return x[:n], float(c @ x[:n])
+
+
 def lp_dispatch(rows: DataFrame, keys: Sequence[str], unit: str, capacity: str, cost: str, load: str, budget: float | None = None, voll: float = VOLL) -> DataFrame:
-    """Exact dispatch of each step by simplex, with shedding and, if given, a limit on the sum of output.
+    """Exact dispatch of each step as a linear program, with shedding and, if given, a limit on the sum of output.
 
-    A step's units are one task's rows: a step has as many rows as there are units.
+    Steps are dealt by their keys and solved one after another as they stream by; a task holds one step's units.
+    Units enter by cost, ties by unit, so that of equal solutions the merit order's is found.
     """
-    schema = ", ".join([f"{k} {dict(rows.dtypes)[k]}" for k in keys] + [f"{unit} {dict(rows.dtypes)[unit]}", "dispatch double", "shed double", "objective double"])
-
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        n = len(p)
-        c = np.append(p[cost].to_numpy(float), voll)
-        a = [np.append(np.ones(n), 1.0)] + [np.eye(n + 1)[i] for i in range(n)]
-        b, s = [float(p[load].iloc[0])] + p[capacity].tolist(), ["="] + ["<="] * n
-        if budget is not None:
-            a, b, s = [*a, np.append(np.ones(n), 0.0)], [*b, budget], [*s, "<="]
-        x, z = simplex(c, np.array(a), np.array(b), s)
-        return p[[*keys, unit]].assign(dispatch=x[:n], shed=x[n], objective=z)
-
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    kinds = dict(rows.dtypes)
+    names = [*keys, unit]
+    schema = ", ".join([f"{k} {kinds[k]}" for k in names] + ["dispatch double", "shed double", "objective double"])
+
+    def solve(caps: np.ndarray, costs: np.ndarray, want: float) -> tuple[np.ndarray, float, float]:
+        n = len(caps)
+        c, a, b, upper = np.append(costs, voll), np.ones((1, n + 1)), np.array([want]), np.append(caps, np.inf)
+        if budget is not None:  # a slack of its own
+            a = np.vstack([np.append(a[0], 0.0), np.append(np.ones(n), [0.0, 1.0])])
+            c, b, upper = np.append(c, 0.0), np.array([want, budget]), np.append(upper, np.inf)
+        x, z = bounded_simplex(c, a, b, upper)
+        return x[:n], float(x[n]), z
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cuts = _key_cuts(held, keys)
+            if len(cuts) > 2:
+                yield from steps(held.slice(0, cuts[-2]), cuts[:-1])
+                held = held.slice(cuts[-2])
+        if held is not None and held.num_rows:
+            yield from steps(held, _key_cuts(held, keys))
+
+    def steps(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        caps, costs, loads = (table.column(k).to_numpy().astype(float) for k in (capacity, cost, load))
+        out = np.empty((3, table.num_rows))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            out[0, lo:hi], out[1, lo:hi], out[2, lo:hi] = solve(caps[lo:hi], costs[lo:hi], loads[lo])
+        done = table.select(names)
+        for name, values in zip(("dispatch", "shed", "objective"), out, strict=True):
+            done = done.append_column(name, pa.array(values))
+        yield from done.combine_chunks().to_batches()
+
+    dealt = rows.select(*names, capacity, cost, load).repartition(*keys).sortWithinPartitions(*keys, cost, unit)
+    return dealt.mapInArrow(run, schema)
+
+
+def _key_cuts(table: pa.Table, keys: Sequence[str]) -> list[int]:
+    """Where the keys of sorted rows change, with both ends."""
+    changed = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        changed |= codes[1:] != codes[:-1]
+    return [0, *(np.flatnonzero(changed) + 1).tolist(), table.num_rows]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.functions import finance as fin
@@ -88,3 +88,19 @@ def monte_carlo(yearly: DataFrame, year: str, parts: Mapping[str, int], spread:
     x = factors.join(F.broadcast(sums))
     net = sum((sign * F.col(c) * F.col(f"f_{c}") for c, sign in parts.items()), F.lit(0.0))
     return x.groupBy("draw").agg(fin.npv(net, rate, F.col(year) - first_year).alias("npv"))
+
+
+def renewable_project(df: DataFrame, key: str, mw: Column, cf: Column, capex_kw: float, opex_kw: float, price: float, rate: float, years: int, degradation: float) -> DataFrame:
+    """Levelised cost of the first year, present value, energy over the life, and payback within a year by interpolation; the life
+    where it never pays back. A project's years are an array, so nothing is shuffled."""
+    capex, opex, first = mw * 1000 * capex_kw, mw * 1000 * opex_kw, mw * cf * 8760.0
+    steps = F.sequence(F.lit(1), F.lit(years))
+    mwh = F.transform(steps, lambda t: first * F.pow(F.lit(1 - degradation), t - 1))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    x = df.withColumns({"_capex": capex, "_opex": opex, "_mwh": mwh}).withColumn("_cf", F.transform("_mwh", lambda e: e * price - F.col("_opex")))
+    upto = lambda t: add(F.slice("_cf", F.lit(1), t)) - F.col("_capex")
+    paid = F.array_min(F.filter(F.transform(steps, lambda t: F.when(upto(t) >= 0, t - 1 + (F.element_at("_cf", t) - upto(t)) / F.element_at("_cf", t))), lambda v: v.isNotNull()))
+    return x.select(
+        key, ((F.col("_capex") * fin.crf(F.lit(rate), F.lit(years)) + F.col("_opex")) / F.element_at("_mwh", 1)).alias("lcoe"),
+        (add(F.transform("_cf", lambda c, i: c / F.pow(F.lit(1 + rate), i + 1))) - F.col("_capex")).alias("npv"), add(F.col("_mwh")).alias("mwh"), F.coalesce(paid, F.lit(float(years))).alias("payback"),
+    )

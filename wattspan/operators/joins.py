@@ -126,3 +126,33 @@ def first_match(left: DataFrame, right: DataFrame, key: str, condition: Column,
     """The first right row, by priority, that meets a condition; only for a right side of few rows."""
     w = Window.partitionBy(key).orderBy(F.col(priority).asc_nulls_last())
     return left.join(F.broadcast(right), condition, "left").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def with_bus_fraction(demand: DataFrame, buses: DataFrame, node: str, bus: str, role: str, fraction: str, mw: str) -> DataFrame:
+    """A node's demand on its buses by their fractions; buses that only connect have none."""
+    takes = F.when(F.col(role).isin("load", "mixed"), F.col(fraction)).otherwise(0.0)
+    return demand.join(buses.select(node, bus, takes.alias("_f")), node).withColumn(mw, F.col(mw) * F.col("_f")).drop("_f")
+
+
+def same_ends(a: DataFrame, b: DataFrame, start: str, end: str, id_col: str) -> DataFrame:
+    """Pairs of lines of two tables with the same ends in either direction: an equi-join on ordered ends."""
+    key = lambda df, name: df.select(F.least(start, end).alias("_lo"), F.greatest(start, end).alias("_hi"), F.col(id_col).alias(name))
+    return key(a, "left_line").join(key(b, "right_line"), ["_lo", "_hi"]).select("left_line", "right_line")
+
+
+def within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, km: float) -> DataFrame:
+    """Pairs of rows of two tables within ``km``: an equi-join on cells and their neighbours."""
+    size = chord(km)
+    l = left.select(left_id, F.col(lat).alias("_la"), F.col(lon).alias("_lo"), sphere_cell(F.col(lat), F.col(lon), size).alias("_own"))
+    l = l.select(left_id, "_la", "_lo", F.explode(around_cell(F.col("_own"))).alias("_cell"))
+    r = right.select(right_id, F.col(lat).alias("_lb"), F.col(lon).alias("_ln"), sphere_cell(F.col(lat), F.col(lon), size).alias("_cell"))
+    d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_ln"))
+    return l.join(r, "_cell").withColumn("km", d).where(F.col("km") <= km).select(left_id, right_id, "km")
+
+
+def stacked_nodes(nodes: DataFrame, system: str, node: str) -> DataFrame:
+    """Systems side by side: each node's place within its system, the system's offset, and the place in all."""
+    inside = F.row_number().over(Window.partitionBy(system).orderBy(node)) - 1
+    sizes = nodes.groupBy(system).agg(F.count("*").alias("_n"))  # a row a system
+    offsets = sizes.select(system, (F.coalesce(F.sum("_n").over(Window.orderBy(system).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long").alias("offset"))
+    return nodes.withColumn("local", inside).join(offsets, system).withColumn("place", F.col("offset") + F.col("local"))

@@ -111,3 +111,89 @@ def matrix_frame(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """A sample matrix as rows ``row, dim, value``."""
     rows = [(i, j, float(v)) for i, r in enumerate(matrix) for j, v in enumerate(r)]
     return spark.createDataFrame(rows, "row int, dim int, value double")
+
+
+def grown_limit(limit: Column, kind: Column, year: Column, base_year: int, growth: float = 0.5, grows: Sequence[str] = ("Renewable", "Storage")) -> Column:
+    """A limit on investment that grows by year for some kinds of units."""
+    return F.when(kind.isin(*grows), limit * F.pow(F.lit(1 + growth), year - base_year)).otherwise(limit)
+
+
+def transmission_trend(cost: Column, most: Column, year: Column, base_year: int, reduction: float = 0.03, growth: float = 0.5) -> tuple[Column, Column]:
+    """Cost and limit of transmission by year."""
+    return cost * F.pow(F.lit(1 - reduction), year - base_year), most * F.pow(F.lit(1 + growth), year - base_year)
+
+
+def after_retirements(units: DataFrame, retired: DataFrame, on: Sequence[str], capacity: str, mw: str) -> DataFrame:
+    """Capacity less what is retired, never below 0."""
+    gone = retired.groupBy(*on).agg(F.sum(mw).alias("_gone"))
+    return units.join(gone, list(on), "left").withColumn(capacity, F.greatest(F.lit(0.0), F.col(capacity) - F.coalesce("_gone", F.lit(0.0)))).drop("_gone")
+
+
+def budget_slack(spent: DataFrame, keys: Sequence[str], cost: str, budget: Column) -> DataFrame:
+    """What each key spends above its budget."""
+    return spent.groupBy(*keys).agg(F.sum(cost).alias("spent")).withColumn("slack", F.greatest(F.lit(0.0), F.col("spent") - budget))
+
+
+def investment_bounds(power: Column, energy: Column, most: Column, least_hours: float, most_hours: float) -> Column:
+    """``ok``, or the first bound that an investment breaks: the limit on power, or hours of storage out of range."""
+    return F.when(power > most, "above limit").when(energy < least_hours * power, "too few hours").when(energy > most_hours * power, "too many hours").otherwise("ok")
+
+
+def scenario_multiplier(base: Column, growth: Column, year_index: Column) -> Column:
+    """A parameter that grows by year from the first on."""
+    return base * F.pow(growth, year_index - 1)
+
+
+def kpi_by_prefix(solution: DataFrame, prefixes: Sequence[str], variable: str, value: str) -> DataFrame:
+    """Sum of a solution's values by the prefix of the variable's name; the longest prefix that fits counts."""
+    kpi = F.lit(None).cast("string")
+    for p in sorted(prefixes, key=len):
+        kpi = F.when(F.col(variable).startswith(p), F.lit(p)).otherwise(kpi)
+    return solution.withColumn("kpi", kpi).where("kpi IS NOT NULL").groupBy("kpi").agg(F.sum(value).alias("total"))
+
+
+def projection(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+    """The first two principal components of z-scored columns; of each the greatest loading is positive.
+
+    Sums of products are one aggregate; the covariance matrix is as large as the number of columns.
+    """
+    sums = df.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)), *(F.sum(F.col(a).cast("double") * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
+    n, k = max(1, sums["n"]), len(columns)
+    mean = np.array([(sums[f"s{i}"] or 0.0) / n for i in range(k)])
+    cov = np.array([[(sums[f"p{min(i, j)}_{max(i, j)}"] or 0.0) / n - mean[i] * mean[j] for j in range(k)] for i in range(k)])
+    std = np.sqrt(np.maximum(np.diag(cov), 0))
+    std[std == 0] = 1
+    values, vectors = np.linalg.eigh(cov / np.outer(std, std))
+    top = vectors[:, np.argsort(-values)[:2]]
+    top = top * np.sign(top[np.abs(top).argmax(axis=0), range(top.shape[1])])
+    axis = lambda m: sum(((F.col(c) - float(mean[i])) / float(std[i]) * float(top[i, m]) for i, c in enumerate(columns)), F.lit(0.0))
+    return df.select(id_col, axis(0).alias("pc1"), axis(1).alias("pc2") if k > 1 else F.lit(0.0).alias("pc2"))
+
+
+def pca_weights(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``criterion, weight``: shares of the first principal component's absolute loadings."""
+    row = df.agg(*(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)).first()
+    k = len(columns)
+    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    first = np.abs(np.linalg.eigh(cov)[1][:, -1])
+    rows = [(c, float(w)) for c, w in zip(columns, first / first.sum(), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "criterion string, weight double")
+
+
+def pairwise_distance(df: DataFrame, alternative: str, key: Sequence[str], value: str) -> DataFrame:
+    """Euclidean distance of each two alternatives over the decisions that either has: a join by decision, for a few hundred alternatives."""
+    left = df.select(F.col(alternative).alias("a"), *key, F.col(value).alias("_x"))
+    right = df.select(F.col(alternative).alias("b"), *key, F.col(value).alias("_y"))
+    square = df.groupBy(alternative).agg(F.sum(F.col(value) * F.col(value)).alias("_q"))
+    dot = left.join(right, list(key)).where("a < b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("_p"))
+    both = dot.join(square.select(F.col(alternative).alias("a"), F.col("_q").alias("_qa")), "a").join(square.select(F.col(alternative).alias("b"), F.col("_q").alias("_qb")), "b")
+    return both.select("a", "b", F.sqrt(F.greatest(F.lit(0.0), F.col("_qa") + F.col("_qb") - 2 * F.col("_p"))).alias("distance"))
+
+
+def average_linkage(distance: np.ndarray, clusters: int) -> np.ndarray:
+    """Labels of points by joining the two clusters of least mean distance until so many are left."""
+    label = np.arange(len(distance))
+    while len(names := np.unique(label)) > max(1, clusters):
+        mean, a, b = min((distance[np.ix_(label == p, label == q)].mean(), p, q) for i, p in enumerate(names) for q in names[i + 1 :])
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]

@@ -77,3 +77,45 @@ def gumbel_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def return_level(location: Column, scale: Column, period: float) -> Column:
     return location - scale * F.log(-F.log(F.lit(1 - 1 / period)))
+
+
+def robust_normalised(df: DataFrame, value: str, out: str = "normalised", low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """To [0, 1] between two percentiles of the positive values; 0 where a value is not positive, or all are alike."""
+    ends = df.where(F.col(value) > 0).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))  # one row
+    v = (F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    return df.join(F.broadcast(ends)).withColumn(out, F.when((F.col(value) > 0) & (F.col("_hi") > F.col("_lo")), v).otherwise(0.0)).drop("_lo", "_hi")
+
+
+def unit_risk(units: DataFrame, profiles: DataFrame, node: str, risk: str, share: float) -> DataFrame:
+    """Coefficient of each unit: 1 less a share of its node's composite risk; 1 where none is known."""
+    return units.join(profiles.select(node, F.col(risk).alias("_r")), node, "left").withColumn("coefficient", 1 - share * F.coalesce("_r", F.lit(0.0))).drop("_r")
+
+
+def hazard_strata(df: DataFrame, keys: Sequence[str], intensity: str, tie: str, strata: int) -> DataFrame:
+    """Scenarios of equal probability: of each key's ordered intensities, the mean of each of ``strata`` parts."""
+    part = F.ntile(strata).over(Window.partitionBy(*keys).orderBy(intensity, tie))
+    return df.withColumn("stratum", part).groupBy(*keys, "stratum").agg(F.avg(intensity).alias("intensity"), F.count("*").alias("n")).withColumn("probability", F.lit(1.0 / strata))
+
+
+def resilience_metrics(scenarios: DataFrame, keys: Sequence[str], probability: str, recovery: str, damage: str) -> DataFrame:
+    """Mean recovery time, the share of scenarios with damage below a half, and the longest recovery."""
+    return scenarios.groupBy(*keys).agg(F.sum(F.col(probability) * F.col(recovery)).alias("sart"), F.avg((F.col(damage) < 0.5).cast("double")).alias("redundancy"), F.max(recovery).alias("rto"))
+
+
+def weighted_index(df: DataFrame, layers: dict[str, float]) -> Column:
+    """Composite of normalised layers by weights that are normalised first."""
+    total = sum(layers.values())
+    return sum((F.col(c) * (w / total) for c, w in layers.items()), F.lit(0.0))
+
+
+def sampled_annual_loss(df: DataFrame, keys: Sequence[str], value: str, median: str, intensity: str, beta: float, draws: int, seed: int = 42) -> DataFrame:
+    """Mean and 95th percentile of annual loss over draws of fragility medians, lognormal around each; the draw is a hash of the
+    row's keys and the draw's number, so it does not depend on partitions."""
+    from wattspan.functions.scalar import normal_cdf
+
+    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = lambda k: (F.pmod(F.xxhash64(*keys, "draw", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
+    p = normal_cdf((F.log(F.col(intensity)) - F.log(F.col(median)) - 0.3 * z) / beta)
+    loss = rows.groupBy(*keys, "draw").agg(F.sum(F.col(value) * p).alias("_l"))
+    return loss.groupBy(*keys).agg(F.avg("_l").alias("mean"), F.percentile("_l", F.lit(0.95)).alias("p95"))

@@ -18,15 +18,15 @@ from wattspan.operators import temporal as t
 from wattspan.queries import DEMAND, GEN, GT, NODES, UNITS, query, r
 
 # Dispatch. Units of a node meet the node's demand of each day; a unit's cost is its number's remainder.
-DISPATCH_SQL = f"""{UNITS}, {DEMAND}, q AS (SELECT node, day, sum(mw) / 100 AS load FROM demand WHERE year = 1996 GROUP BY node, day),
+DISPATCH_SQL = f"""{UNITS}, {DEMAND}, q AS (SELECT node, day, sum(mw) / 100 AS load FROM demand GROUP BY node, day),
  u AS (SELECT unit, node, rated_mw AS cap, 10.0 + unit % 7 AS cost FROM units), j AS (SELECT q.node, day, load, unit, cap, cost, coalesce(sum(cap) OVER (PARTITION BY q.node, day ORDER BY cost, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q JOIN u ON q.node = u.node),
  disp AS (SELECT *, greatest(0, least(cap, load - before)) AS dispatch FROM j)"""
 
 
-def dispatched(spark, d, years="year = 1996"):
-    """Merit order of the steps of ``years``; the SQL of most queries takes 1996."""
+def dispatched(spark, d, steps="true"):
+    """Merit order of every node and day, or of the steps that a condition names."""
     units = b.units(spark, d).select("unit", "node", F.col("rated_mw").alias("cap"), (10.0 + F.col("unit") % 7).alias("cost"))
-    load = b.demand(spark, d).where(years).groupBy("node", "day").agg((F.sum("mw") / 100).alias("load"))
+    load = b.demand(spark, d).where(steps).groupBy("node", "day").agg((F.sum("mw") / 100).alias("load"))
     keyed = load.join(units, "node")
     w = keyed.select("node", "day", "unit", "cap", "cost")
     return dp.merit_order(w, load, ["node", "day"], "unit", "cap", "cost", "load")
@@ -77,11 +77,12 @@ def loss_segments(spark, d):
     return dp.loss_segments(u, "line", "r", "cap", 4).select("line", "segment", r("width", 6).alias("width"), r("slope", 8).alias("slope"))
 
 
-@query()
+@query(f"WITH {DISPATCH_SQL}, x AS (SELECT *, greatest(0, load - sum(dispatch) OVER (PARTITION BY node, day)) AS shed, sum(dispatch * cost) OVER (PARTITION BY node, day) AS paid FROM disp) SELECT node, day, unit, round(dispatch, 6) AS dispatch, round(shed, 6) AS shed, round(paid + 10000 * shed, 4) AS objective FROM x")
 def simplex_dispatch(spark, d):
-    """The merit order of every node and day by an exact linear program; rows only."""
-    x = dispatched(spark, d, "true").select("node", "day", "unit", "cap", "cost", "load")
-    return dp.lp_dispatch(x, ["node", "day"], "unit", "cap", "cost", "load")
+    """Every node and day by an exact linear program."""
+    x = dispatched(spark, d).select("node", "day", "unit", "cap", "cost", "load")
+    out = dp.lp_dispatch(x, ["node", "day"], "unit", "cap", "cost", "load")
+    return out.select("node", "day", "unit", r("dispatch", 6).alias("dispatch"), r("shed", 6).alias("shed"), r("objective").alias("objective"))
 
 
 # Planning.
@@ -185,27 +186,35 @@ def tornado(spark, d):
     return x.groupBy("parameter", "step").agg(r(fin.npv(F.col("m") + moved, 0.08, F.col("year") - 1995), 1).alias("npv"))
 
 
-@query()
+_VALUE = "list_sum(list_transform(c, lambda x, i: x / pow(1 + {}, i - 1)))"
+
+
+@query(f"""WITH RECURSIVE {GEN}, {UNITS}, y AS (SELECT node, year, sum(revenue - cost) AS cf FROM gen JOIN units USING (unit) GROUP BY 1, 2), f AS (SELECT node, list_prepend(-100000.0, list(cf ORDER BY year)) AS c FROM y GROUP BY node),
+ s AS (SELECT node, c, CAST(-0.5 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi, CAST({_VALUE.format('-0.5')} AS DOUBLE) AS flo, 0 AS k FROM f
+  UNION ALL SELECT node, c, CASE WHEN v * flo > 0 THEN mid ELSE lo END, CASE WHEN v * flo > 0 THEN hi ELSE mid END, CASE WHEN v * flo > 0 THEN v ELSE flo END, k + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, {_VALUE.format('(lo + hi) / 2')} AS v FROM s WHERE (hi - lo) / 2 >= 1e-6 AND k < 200)),
+ l AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY k DESC) AS rn FROM s)
+SELECT node, round(CASE WHEN {_VALUE.format('-0.5')} * {_VALUE.format('5.0')} > 0 THEN -99 ELSE (lo + hi) / 2 END, 4) AS irr,
+ round(pow(list_sum(list_transform(c, lambda x, i: greatest(x, 0) * pow(1.05, len(c) - i))) / -list_sum(list_transform(c, lambda x, i: least(x, 0) / pow(1.08, i - 1))), 1.0 / (len(c) - 1)) - 1, 6) AS mirr FROM l WHERE rn = 1""")
 def irr_by_node(spark, d):
-    """Internal rate of return of each node: an outlay, then yearly margins; rows only."""
+    """Internal rate of return of each node: an outlay, then yearly margins; -99 without a root in the bounds."""
     g = b.generation(spark, d).join(b.units(spark, d).select("unit", "node"), "unit")
     y = g.groupBy("node", "year").agg(F.sum(F.col("revenue") - F.col("cost")).alias("cf"))
     flows = y.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("year", "cf"))).alias("_y"))
     array = F.concat(F.array(F.lit(-100000.0)), F.transform("_y", lambda x: x["cf"]))
-    return flows.select("node", r(fin.irr(array), 4).alias("irr"), r(fin.mirr(array, 0.08, 0.05), 6).alias("mirr"))
+    return flows.select("node", r(F.nanvl(fin.irr(array), F.lit(-99.0)), 4).alias("irr"), r(fin.mirr(array, 0.08, 0.05), 6).alias("mirr"))
 
 
 # Joins.
 
-OUT = "el AS (SELECT s_suppkey AS element FROM supplier WHERE s_suppkey < 10), ow AS (SELECT l_suppkey AS element, CAST(l_orderkey % 700 AS BIGINT) AS start, CAST(l_orderkey % 700 + 5 + l_linenumber * 7 AS BIGINT) AS \"end\", l_discount * 5 AS av FROM lineitem WHERE l_suppkey < 10 AND l_orderkey % 50 = 0), per AS (SELECT element, CAST(k * 24 AS BIGINT) AS t FROM el, range(0, 31) x(k))"
+OUT = "el AS (SELECT s_suppkey AS element FROM supplier), ow AS (SELECT l_suppkey AS element, CAST(l_orderkey % 700 AS BIGINT) AS start, CAST(l_orderkey % 700 + 5 + l_linenumber * 7 AS BIGINT) AS \"end\", l_discount * 5 AS av FROM lineitem), per AS (SELECT element, CAST(k * 24 AS BIGINT) AS t FROM el, range(0, 31) x(k))"
 
 
 @query(f"""WITH {OUT}, f AS (SELECT per.element, t, product((1 - (least("end", t + 24) - greatest(start, t)) / 24.0) + (least("end", t + 24) - greatest(start, t)) / 24.0 * av) AS factor FROM per JOIN ow ON per.element = ow.element AND t < "end" AND t + 24 > start GROUP BY 1, 2)
 SELECT element, t, round(coalesce(factor, 1), 9) AS factor FROM per LEFT JOIN f USING (element, t)""")
 def outage_overlap_factor(spark, d):
-    el = b.units(spark, d).where("unit < 10").select(F.col("unit").alias("element"))
+    el = b.units(spark, d).select(F.col("unit").alias("element"))
     per = el.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(720).cast("long"), F.lit(24).cast("long"))))
-    x = b.table(spark, d, "lineitem").where("l_suppkey < 10 AND l_orderkey % 50 = 0")
+    x = b.table(spark, d, "lineitem")
     ow = x.select(F.col("l_suppkey").alias("element"), (F.col("l_orderkey") % 700).alias("start"), (F.col("l_orderkey") % 700 + 5 + F.col("l_linenumber") * 7).alias("end"), (F.col("l_discount") * 5).alias("av"))
     return jn.outage_factor(per, ow, "element", "start", "end", "av", "t", 24, 48).select("element", "t", r("factor", 9).alias("factor"))
 
@@ -220,7 +229,7 @@ def points(spark, d):
     return c, s
 
 
-@query(f"WITH {PTS}, j AS (SELECT cust, bus, {HAV} AS km, row_number() OVER (PARTITION BY cust ORDER BY {HAV}, bus) AS rn FROM c, b WHERE abs(floor(b.lat / 1.0) - floor(c.lat / 1.0)) <= 1 AND abs(floor(b.lon / 1.0) - floor(c.lon / 1.0)) <= 1) SELECT cust, round(km, 4) AS km FROM j WHERE rn = 1")
+@query(f"WITH {PTS}, j AS (SELECT cust, bus, {HAV} AS km, row_number() OVER (PARTITION BY cust ORDER BY {HAV}, bus) AS rn FROM c, b) SELECT cust, round(km, 4) AS km FROM j WHERE rn = 1")
 def nearest_node(spark, d):
     c, s = points(spark, d)
     return jn.nearest(c, s, "cust", "bus", "lat", "lon", 1.0).select("cust", r("km").alias("km"))
@@ -253,16 +262,16 @@ def tolerant_name_join(spark, d):
     return jn.by_tolerant_name(u, s.select(F.col("s_name").alias("n"), F.col("s_acctbal").alias("value")), "name", "n", "value")
 
 
-@query(f"WITH {NODES} SELECT system, count(*) AS n FROM nodes WHERE node NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0) GROUP BY system")
+@query(f"WITH {NODES} SELECT system, count(*) AS n FROM nodes WHERE node NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0 AND s_nationkey % 2 = 0) GROUP BY system")
 def dangling_references(spark, d):
-    bad = b.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("node")).distinct()
+    bad = b.table(spark, d, "supplier").where("s_suppkey % 4 = 0 AND s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("node")).distinct()
     return b.nodes(spark, d).join(bad, "node", "left_anti").groupBy("system").agg(F.count("*").alias("n"))
 
 
-@query("(SELECT c_nationkey AS node FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
+@query("(SELECT c_nationkey AS node FROM customer EXCEPT SELECT s_nationkey + 3 FROM supplier) UNION ALL (SELECT s_nationkey + 3 FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
 def topology_difference(spark, d):
     a = b.table(spark, d, "customer").select(F.col("c_nationkey").alias("node"))
-    s = b.table(spark, d, "supplier").select(F.col("s_nationkey").alias("node"))
+    s = b.table(spark, d, "supplier").select((F.col("s_nationkey") + 3).alias("node"))
     return a.subtract(s).unionByName(s.subtract(a))
 
 
@@ -290,9 +299,10 @@ def node_degrees(spark, d):
     return net.degrees(lines(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, CAST(o_custkey * 7 % 100 + o_orderkey % 5 AS BIGINT) AS b FROM orders WHERE o_custkey <> o_custkey * 7 % 100 + o_orderkey % 5), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+ reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def components(spark, d):
-    """Components of a graph of customers linked to their orders' neighbours; rows only."""
+    """Components of a graph of customers linked to their orders' neighbours."""
     o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") * 7 % 100 + F.col("o_orderkey") % 5).alias("b")).where("a <> b").distinct()
     nodes = o.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return net.connected_components(o, nodes)
@@ -325,9 +335,9 @@ def contingency_screen(spark, d):
 # Risk.
 
 
-@query("WITH p AS (SELECT CAST(l_suppkey AS BIGINT) AS node, l_discount / 10 AS p FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0) SELECT node, round(1 - product(1 - p), 8) AS combined, round(avg(p), 8) AS mean, max(p) AS worst FROM p GROUP BY node")
+@query("WITH p AS (SELECT CAST(l_suppkey AS BIGINT) AS node, l_discount / 10 AS p FROM lineitem) SELECT node, round(1 - product(1 - p), 8) AS combined, round(avg(p), 8) AS mean, max(p) AS worst FROM p GROUP BY node")
 def combine_hazards(spark, d):
-    x = b.table(spark, d, "lineitem").where("l_linenumber = 1 AND l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("node"), (F.col("l_discount") / 10).alias("p"))
+    x = b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"), (F.col("l_discount") / 10).alias("p"))
     return rk.combine_independent(x, ["node"], "p").select("node", r("combined", 8).alias("combined"), r("mean", 8).alias("mean"), "worst")
 
 

@@ -71,11 +71,11 @@ def duration_curve(spark, d):
     return t.duration_curve(daily(spark, d), ["node"], "v", [0.0, 0.25, 0.5, 0.75, 1.0]).withColumn("value", r("value", 6))
 
 
-@query(f"WITH {GEN}, p AS (SELECT year, day, avg(price) AS price FROM gen GROUP BY year, day), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY price DESC, day) AS rank, count(*) OVER (PARTITION BY year) AS n FROM p) SELECT year, day, round(price, 4) AS price, CAST(rank AS INTEGER) AS rank, round(rank * 1.0 / n, 6) AS exceedance FROM k WHERE rank <= 20")
+@query(f"WITH {GEN}, p AS (SELECT year, day, avg(price) AS price FROM gen GROUP BY year, day), k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY price DESC, day) AS rank, count(*) OVER (PARTITION BY year) AS n FROM p) SELECT year, day, round(price, 8) AS price, CAST(rank AS INTEGER) AS rank, round(rank * 1.0 / n, 6) AS exceedance FROM k")
 def price_duration(spark, d):
     p = b.generation(spark, d).groupBy("year", "day").agg(F.avg("price").alias("price"))
-    x = t.ranked_duration(p, ["year"], "price", ["day"]).where("rank <= 20")
-    return x.select("year", "day", r("price").alias("price"), "rank", r("exceedance", 6).alias("exceedance"))
+    x = t.ranked_duration(p, ["year"], "price", ["day"])
+    return x.select("year", "day", r("price", 8).alias("price"), "rank", r("exceedance", 6).alias("exceedance"))
 
 
 @query(f"WITH {HOURLY}, m AS (SELECT category, quantile_cont(v, 0.5) AS md FROM h GROUP BY 1) SELECT category, hour, round(coalesce(lag(v, 1) OVER w, md), 4) AS v_lag1, round(coalesce(lag(v, 24) OVER w, md), 4) AS v_lag24, round(coalesce(lag(v, 168) OVER w, md), 4) AS v_lag168 FROM h JOIN m USING (category) WINDOW w AS (PARTITION BY category ORDER BY hour)")
@@ -145,15 +145,17 @@ def apply_month_hour_factors(spark, d):
     return t.apply_factors(x, f, [], "ts", "f", "corrected").groupBy("category").agg(r(F.sum("corrected"), 2).alias("corrected"))
 
 
-@query(f"WITH {SERIES}, m AS (SELECT category, date_trunc('hour', ts) AS hour_ts, avg(value) AS value FROM series GROUP BY 1, 2), c AS (SELECT DISTINCT category FROM series), g AS (SELECT category, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-07 23:00:00', INTERVAL 1 HOUR)) AS hour_ts FROM c) SELECT g.category, g.hour_ts, round(value, 4) AS value FROM g LEFT JOIN m USING (category, hour_ts)")
+@query(f"WITH {SERIES}, m AS (SELECT category, date_trunc('hour', ts) AS hour_ts, avg(value) AS value FROM series GROUP BY 1, 2), c AS (SELECT DISTINCT category FROM series), e AS (SELECT date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM series), g AS (SELECT category, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_ts FROM c, e) SELECT g.category, g.hour_ts, round(value, 4) AS value FROM g LEFT JOIN m USING (category, hour_ts)")
 def hourly_grid(spark, d):
-    return t.hourly_grid(b.series(spark, d), ["category"], "ts", "value", "2024-01-01 00:00:00", "2024-01-07 23:00:00").withColumn("value", r("value"))
+    s = b.series(spark, d)
+    ends = s.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()  # one row
+    first, last = (x.replace(minute=0, second=0, microsecond=0).isoformat(" ") for x in ends)
+    return t.hourly_grid(s, ["category"], "ts", "value", first, last).withColumn("value", r("value"))
 
 
-@query(f"WITH {DAILY}, k AS (SELECT node, day, v AS total, CAST(floor((dayofyear(day) - 1) * 4 / 366) AS INTEGER) AS segment FROM dly WHERE year(day) = 1996), x AS (SELECT *, row_number() OVER (PARTITION BY node, segment ORDER BY total DESC, day) AS rn FROM k) SELECT node, day, round(total, 2) AS total, segment FROM x WHERE rn = 1")
+@query(f"WITH {DAILY}, k AS (SELECT node, day, v AS total, CAST(year(day) AS INTEGER) AS year, CAST(floor((dayofyear(day) - 1) * 4 / 366) AS INTEGER) AS segment FROM dly), x AS (SELECT *, row_number() OVER (PARTITION BY node, year, segment ORDER BY total DESC, day) AS rn FROM k) SELECT node, day, round(total, 2) AS total, segment FROM x WHERE rn = 1")
 def representative_days(spark, d):
-    x = b.demand(spark, d).where("year = 1996")
-    return t.representative_days(x, ["node"], "day", "mw", 4).select("node", "day", r("total", 2).alias("total"), "segment")
+    return t.representative_days(b.demand(spark, d), ["node", "year"], "day", "mw", 4).select("node", "day", r("total", 2).alias("total"), "segment")
 
 
 @query(f"WITH {HOURLY} SELECT category, hour, round(100 + sum(0.9 * CASE WHEN hour % 24 < 12 THEN v ELSE 0 END - CASE WHEN hour % 24 >= 12 THEN v ELSE 0 END / 0.9) OVER (PARTITION BY category ORDER BY hour ROWS UNBOUNDED PRECEDING), 4) AS soc FROM h")
