@@ -19,9 +19,9 @@ import pyarrow as pa
 from wattspan.llm.workers import hold
 
 #: A memo has two generations of about so many bytes in each Python process.
-MEMO_BYTES = 40_000_000
+MEMO_BYTES = 70_000_000
 #: For words of texts cut at white space, of which more differ, as punctuation stays on them.
-MEMO_WHITE_SPACE_BYTES = 50_000_000
+MEMO_WHITE_SPACE_BYTES = 110_000_000
 #: What an entry takes beside the characters of its word and the bytes of its ids.
 ENTRY_BYTES = 190
 #: Longer words are not kept.
