@@ -19,9 +19,9 @@ import pyarrow as pa
 from wattspan.llm.workers import hold
 
 #: A memo has two generations of about so many bytes in each Python process.
-MEMO_BYTES = 70_000_000
+MEMO_BYTES = 80_000_000
 #: For words of texts cut at white space, of which more differ, as punctuation stays on them.
-MEMO_WHITE_SPACE_BYTES = 110_000_000
+MEMO_WHITE_SPACE_BYTES = 120_000_000
 #: What an entry takes beside the characters of its word and the bytes of its ids.
 ENTRY_BYTES = 190
 #: Longer words are not kept.
@@ -33,6 +33,7 @@ _SPACE_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: The split pattern of byte-level tokenizers, and the same for texts of ASCII and Latin-1 letters only.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NOT_LATIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 
 
@@ -110,6 +111,8 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.split = pattern_words(pattern) if pattern else white_space_words
         self._table = byte_characters()
+        self._blank = self._table[32]
+        self._tokenize = self.tokenizer.model.tokenize
         with open(tokenizer_path, encoding="utf-8") as f:
             config = json.load(f)
         steps, norm = config["pre_tokenizer"], config["normalizer"]
@@ -122,6 +125,8 @@ class WordEncoder:
             import regex
 
             self._cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
+            # Runs of letters are one piece, and nothing before that alternative begins with a letter.
+            self._whole_letters = parts[0]["pattern"]["Regex"] == LETTER_RUNS
             plain = {"NFC", "Replace", "Lowercase"}
             self._ascii_lower = bool(norm) and {n["type"] for n in norm.get("normalizers", [norm])} == plain
             self.pieces = Memo(self._piece, MEMO_BYTES)
@@ -132,12 +137,18 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        coded = piece.encode("utf-8").decode("latin-1").translate(self._table)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(coded)]).tobytes()
+        bare = piece[1:] if piece[0] == " " else piece
+        if bare.isascii() and bare.isprintable() and " " not in bare:  # those bytes stand for themselves
+            coded = self._blank + bare if len(bare) < len(piece) else piece
+        else:
+            coded = piece.encode("utf-8").decode("latin-1").translate(self._table)
+        return array("I", [t.id for t in self._tokenize(coded)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if self._ascii_lower and word.isascii():
             plain = word.lower()
+            if self._whole_letters and plain.isalpha():
+                return self.pieces[plain]
         else:
             plain = self.tokenizer.normalizer.normalize_str(word)
         return b"".join(map(self.pieces.__getitem__, self._cut(plain)))
