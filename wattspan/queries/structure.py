@@ -306,13 +306,13 @@ def commitment_series(spark, d):
     return n.groupBy("day").agg(r(F.sum("load")).alias("demand"), r(F.sum("renewable")).alias("renewable"), r(F.sum(F.col("served") - F.col("renewable"))).alias("thermal"), r(F.sum(shed)).alias("shed"))
 
 
-@query(f"WITH {DISPATCH_SQL}, n AS (SELECT node, day, max(load) AS load, sum(dispatch) AS served, sum(CASE WHEN unit % 3 = 0 THEN dispatch ELSE 0 END) AS renewable, max(CASE WHEN dispatch > 1e-6 THEN cost END) AS price, sum(dispatch * cost) AS paid FROM disp GROUP BY 1, 2) SELECT node, round(sum(paid), 2) AS cost, round(sum(load * price) / sum(load), 6) AS price, round(sum(greatest(0, load - served)), 4) AS ens, round(sum(greatest(0, load - served)) / sum(load) * 100, 6) AS ens_pct, round(sum(renewable) / sum(served), 6) AS re_share FROM n GROUP BY node")
+@query(f"WITH {DISPATCH_SQL}, n AS (SELECT node, day, max(load) AS load, sum(dispatch) AS served, sum(CASE WHEN unit % 3 = 0 THEN dispatch ELSE 0 END) AS renewable, max(CASE WHEN dispatch > 1e-6 THEN cost END) AS price, sum(dispatch * cost) AS paid FROM disp GROUP BY 1, 2) SELECT node, round(sum(paid), 0) AS cost, round(sum(load * price) / sum(load), 6) AS price, round(sum(greatest(0, load - served)), 4) AS ens, round(sum(greatest(0, load - served)) / sum(load) * 100, 6) AS ens_pct, round(sum(renewable) / sum(served), 6) AS re_share FROM n GROUP BY node")
 def commitment_kpis(spark, d):
     """Cost, demand-weighted price, unserved energy and renewable share of each node over the horizon."""
     on = F.when(F.col("dispatch") > 1e-6, F.col("cost"))
     n = dispatched(spark, d).groupBy("node", "day").agg(F.max("load").alias("load"), F.sum("dispatch").alias("served"), F.sum(F.when(F.col("unit") % 3 == 0, F.col("dispatch")).otherwise(0.0)).alias("renewable"), F.max(on).alias("price"), F.sum(F.col("dispatch") * F.col("cost")).alias("paid"))
     ens = F.sum(F.greatest(F.lit(0.0), F.col("load") - F.col("served")))
-    return n.groupBy("node").agg(r(F.sum("paid"), 2).alias("cost"), r(F.sum(F.col("load") * F.col("price")) / F.sum("load"), 6).alias("price"), r(ens).alias("ens"), r(ens / F.sum("load") * 100, 6).alias("ens_pct"), r(F.sum("renewable") / F.sum("served"), 6).alias("re_share"))
+    return n.groupBy("node").agg(r(F.sum("paid"), 0).alias("cost"), r(F.sum(F.col("load") * F.col("price")) / F.sum("load"), 6).alias("price"), r(ens).alias("ens"), r(ens / F.sum("load") * 100, 6).alias("ens_pct"), r(F.sum("renewable") / F.sum("served"), 6).alias("re_share"))
 
 
 @query(f"WITH {GEN}, x AS (SELECT unit, day, row_number() OVER (PARTITION BY unit ORDER BY day, order_key, line) AS t, mw > 25 AS up FROM gen), k AS (SELECT *, t - row_number() OVER (PARTITION BY unit, up ORDER BY t) AS g FROM x), s AS (SELECT unit, up, g, min(t) AS start, count(*) AS n FROM k GROUP BY 1, 2, 3) SELECT unit, CAST(up AS INTEGER) AS state, count(*) AS spans, max(n) AS longest, round(avg(n), 6) AS mean FROM s GROUP BY 1, 2")
