@@ -159,9 +159,9 @@ def daily_to_hourly(spark, d):
     return pr.daily_to_hourly(x, ["category"], "day", "v").select("category", "hour", r("v", 8).alias("v"))
 
 
-@query(f"WITH {SERIES} SELECT category, CAST(floor(hour / 6.0) AS BIGINT) AS step, round(avg(value), 4) AS mean FROM series GROUP BY 1, 2")
+@query(f"WITH {SERIES} SELECT category, CAST(floor(hour / 6.0) AS BIGINT) AS step, round(avg(value), 8) AS mean FROM series GROUP BY 1, 2")
 def upscaled_steps(spark, d):
-    return b.series(spark, d).groupBy("category", pr.upscaled_step(F.col("hour"), 4).alias("step")).agg(r(F.avg("value")).alias("mean"))
+    return b.series(spark, d).groupBy("category", pr.upscaled_step(F.col("hour"), 4).alias("step")).agg(r(F.avg("value"), 8).alias("mean"))
 
 
 @query(f"""WITH {DEMAND}, x AS (SELECT node, day, min(mw) / 1e4 AS lo, max(mw) / 1e4 AS hi FROM demand GROUP BY 1, 2), y AS (SELECT node, day, h, (hi + lo) / 2 + (hi - lo) / 2 * cos(2 * pi() * (h - 14) / 24) AS tmp FROM x, range(24) g(h))
