@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattspan.llm import bit_planes, byte_bpe, jaccard_join, language_id, licenses, line_quality, packing, pivot_index, quality_rules, warc
+from wattspan.llm import bit_planes, byte_bpe, chat_format, jaccard_join, language_id, licenses, line_quality, merkle, packing, pivot_index, quality_rules, warc
 from wattspan.ship import ship
 
 
@@ -158,6 +159,90 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: crc32 of the text of an id: bytes are taken in, each followed by eight shifts.
+_CRC32 = """(SELECT id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(id AS VARCHAR), ''),
+  lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS crc FROM (SELECT DISTINCT {id} AS id FROM {table}))"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), even, F.replace("text", F.lit("\n"), F.lit("")))
+
+
+def _op12_sql() -> str:
+    field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return f"""
+WITH RECURSIVE crc AS {_CRC32.format(id="doc_id", table="documents")}, l AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN crc % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS other
+  FROM documents LEFT JOIN crc ON crc.id = doc_id
+), p AS (
+  SELECT *, row_number() OVER () AS rn, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM l
+), up AS (
+  SELECT tree, 0 AS level, pos AS i, n, leaf AS d FROM p
+  UNION ALL
+  SELECT tree, level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, level, i // 3
+), sub AS (
+  SELECT tree, max_by(d, level) FILTER (n = 1) AS subroot, max(level) AS height FROM up GROUP BY tree
+), over AS (
+  SELECT 0 AS level, tree AS i, (SELECT count(*) FROM sub) AS n, subroot AS d FROM sub
+  UNION ALL
+  SELECT level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 3
+), top AS (
+  SELECT max_by(d, level) AS root, max(level) AS height FROM over
+), steps AS (
+  SELECT rn, level AS k, pos // CAST(pow(3, level) AS BIGINT) AS i, p.tree, false AS above FROM p JOIN sub USING (tree), LATERAL (SELECT unnest(range(height)) AS level)
+  UNION ALL
+  SELECT rn, sub.height + level, p.tree // CAST(pow(3, level) AS BIGINT), p.tree, true FROM p JOIN sub USING (tree), top, LATERAL (SELECT unnest(range(top.height)) AS level)
+), sib AS (
+  SELECT rn, k, coalesce(string_agg(up.d, '' ORDER BY up.i) FILTER (up.i < steps.i), '') AS l, coalesce(string_agg(up.d, '' ORDER BY up.i) FILTER (up.i > steps.i), '') AS r
+  FROM steps JOIN up ON NOT above AND up.tree = steps.tree AND up.level = k AND up.i // 3 = steps.i // 3 GROUP BY rn, k
+  UNION ALL
+  SELECT rn, k, coalesce(string_agg(over.d, '' ORDER BY over.i) FILTER (over.i < steps.i), ''), coalesce(string_agg(over.d, '' ORDER BY over.i) FILTER (over.i > steps.i), '')
+  FROM steps JOIN sub USING (tree) JOIN over ON above AND over.level = k - sub.height AND over.i // 3 = steps.i // 3 GROUP BY rn, k
+), paths AS (
+  SELECT rn, string_agg(l || r, '' ORDER BY k) AS proof FROM sib GROUP BY rn
+), fold AS (
+  SELECT rn, 0 AS k, coalesce(other, leaf) AS d FROM p
+  UNION ALL
+  SELECT fold.rn, fold.k + 1, sha256(l || d || r) FROM fold JOIN sib ON sib.rn = fold.rn AND sib.k = fold.k
+), folded AS (
+  SELECT rn, max_by(d, k) AS folded_root FROM fold GROUP BY rn
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub USING (tree) JOIN folded USING (rn) LEFT JOIN paths USING (rn), top
+"""
+
+
+#: The text of both turns of the added conversation.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame([(-7, [("user", MARKED), ("assistant", MARKED)])], "conv_id bigint, messages array<struct<role:string,content:string>>")
+    turns = chat_format.chats(table(spark, sf_dir, "conversations")).unionByName(chat_format.chats(added))
+    return chat_format.read_back(chat_format.formatted(turns))
+
+
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{MARKED}'
+), m AS (
+  SELECT *, (length(role) - length(replace(role, '\', ''))) + (length(role) - length(replace(role, ':', ''))) + len(list_filter(range(1, length(role) + 1), lambda i: substr(role, i, 3) = '###')) + (length(role) - length(replace(role, '</turn>', ''))) // 7 AS in_role,
+         (length(text) - length(replace(text, '\', ''))) + len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '###')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS in_text
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + in_role + in_text + 14) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -169,6 +254,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_quality": op10_line_quality,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_format": op13_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op7_license_sentences": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op7_license_sentences": _op7_sql(), "op12_merkle_manifest": _op12_sql(), "op13_chat_format": OP13_SQL}
