@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspan.llm import bit_planes, byte_bpe, chat_format, jaccard_join, language_id, licenses, line_quality, merkle, packing, pivot_index, quality_rules, warc
+from wattspan.llm import bit_planes, byte_bpe, chat_format, jaccard_join, language_id, licenses, line_quality, merkle, packing, pivot_index, prefix_trie, quality_rules, warc
 from wattspan.ship import ship
 
 
@@ -165,6 +165,40 @@ _CRC32 = """(SELECT id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten
   lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS crc FROM (SELECT DISTINCT {id} AS id FROM {table}))"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(table(spark, sf_dir, "conversations"), group=100, heads=6))
+
+
+OP11_SQL = f"""
+WITH crc AS {_CRC32.format(id="conv_id", table="conversations")}, t AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list(token ORDER BY turn NULLS FIRST, token) AS s FROM t GROUP BY conv_id
+), c AS (
+  SELECT o.conv_id, list_concat(coalesce(base.s[1:crc % 6], []), o.s[crc % 6 + 1:]) AS s
+  FROM o JOIN crc ON crc.id = o.conv_id LEFT JOIN o AS base ON base.conv_id = o.conv_id - o.conv_id % 100
+), n AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c
+), p AS (
+  SELECT d, s[1:d] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends
+  FROM n GROUP BY d, s[1:d]
+), kids AS (
+  SELECT k[1:d - 1] AS k, count(*) AS n_children FROM p WHERE d > 0 GROUP BY k[1:d - 1]
+), turns AS (
+  SELECT DISTINCT token, chars FROM t
+), own AS (
+  SELECT p.*, coalesce(n_children, 0) AS n_children, coalesce((n_convs - 1) * chars, 0) AS w
+  FROM p LEFT JOIN kids USING (k) LEFT JOIN turns ON d > 0 AND token = p.k[d]
+), sub AS (
+  SELECT k[1:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(w) AS saved
+  FROM (SELECT k, n_children, w, unnest(range(0, d + 1)) AS a FROM own) GROUP BY k[1:a]
+)
+SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(own.ends) AS ends_sha256
+FROM own JOIN sub USING (k) LEFT JOIN p AS up ON own.d > 0 AND up.k = own.k[1:own.d - 1]
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), even, F.replace("text", F.lit("\n"), F.lit("")))
@@ -254,8 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_quality": op10_line_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_chat_format": op13_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op7_license_sentences": _op7_sql(), "op12_merkle_manifest": _op12_sql(), "op13_chat_format": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op7_license_sentences": _op7_sql(), "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": _op12_sql(), "op13_chat_format": OP13_SQL}
