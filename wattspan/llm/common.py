@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +77,31 @@ def bounded_sample(df: DataFrame, keys: str | list[str], rows: int, text_col: st
     so_far = Window.orderBy("_picked", text_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = picked.withColumn("_picked", hashed).withColumn("_chars", F.sum(F.length(text_col)).over(so_far))
     return summed.where(F.col("_chars") <= chars).drop("_picked", "_chars")
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, size: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows whose texts together have ``size`` bytes at most; a longer text is alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and (total + n > size or i - begin >= rows):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
+def utf8(column: pa.Array, i: int) -> np.ndarray:
+    """The bytes of one text of an Arrow column, where they are."""
+    return np.frombuffer(column[i].cast(pa.binary()).as_buffer(), np.uint8)
+
+
+def pieces_at(data: np.ndarray, marks: bytes, size: int) -> Iterator[bytes]:
+    """Text in pieces of about ``size`` bytes, each but the last ending after one of ``marks``."""
+    mark, view, begin = re.compile(b"[" + re.escape(marks) + b"]"), memoryview(data), 0
+    while begin < len(view):
+        hit = mark.search(view, begin + size) if begin + size < len(view) else None
+        end = hit.end() if hit else len(view)
+        yield bytes(view[begin:end])
+        begin = end

@@ -9,6 +9,8 @@ number of steps does not grow with the longest. Potentials are rescaled at each
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 #: Items of a block.
@@ -32,17 +34,7 @@ def _messages(e: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarr
     chained = np.flatnonzero((number > 0) | ~last)
     if not len(chained):
         return left, right
-    # The product of the blocks' matrices; a sequence's first item has no transition into it.
-    product = np.zeros((len(start), labels, labels), e.dtype)
-    for t in range(int(size[chained].max())):
-        rows = chained[size[chained] > t]
-        item = e[start[rows] + t][:, None, :]
-        if t == 0:
-            first = (number[rows] == 0)[:, None, None]
-            product[rows] = np.where(first, np.eye(labels, dtype=e.dtype), step) * item
-        else:
-            product[rows] = (product[rows] @ step) * item
-        product[rows] /= product[rows].sum(axis=(1, 2), keepdims=True)
+    product = _products(e, step, start, size, number, chained)
     most = int(number.max())
     order = np.argsort(number, kind="stable")
     cut = np.searchsorted(number[order], np.arange(most + 2))
@@ -57,24 +49,30 @@ def _messages(e: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarr
     return left, right
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """Label marginals of each item, expected transitions in all (if asked for), and the sum of log partition functions."""
-    labels = emission.shape[1]
-    pairs = np.zeros((labels, labels)) if with_pairs else None
-    if not len(emission):
-        return emission.copy(), pairs, 0.0
-    lengths = lengths[lengths > 0]
-    high = emission.max(axis=1, keepdims=True)
-    e = np.exp(emission - high)
-    step = np.exp(transition).astype(e.dtype)
-    start, size, _, number = _blocks(lengths)
-    left, right = _messages(e, step, start, size, number)
+def _products(e: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The product of each chosen block's matrices; a sequence's first item has no transition into it."""
+    labels = e.shape[1]
+    product = np.zeros((len(start), labels, labels), e.dtype)
+    for t in range(int(size[chosen].max())):
+        rows = chosen[size[chosen] > t]
+        item = e[start[rows] + t][:, None, :]
+        if t == 0:
+            first = (number[rows] == 0)[:, None, None]
+            product[rows] = np.where(first, np.eye(labels, dtype=e.dtype), step) * item
+        else:
+            product[rows] = (product[rows] @ step) * item
+        product[rows] /= product[rows].sum(axis=(1, 2), keepdims=True)
+    return product
+
+
+def _within(e: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward and backward messages of all items from those into their blocks, and the sum of the logarithms of the rescalings."""
     order = np.argsort(-size, kind="stable")
     start, size, number, left, right = start[order], size[order], number[order], left[order], right[order]
     longest = int(size[0])
     active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest + 1)]
     alpha, beta = np.empty_like(e), np.empty_like(e)
-    log_z = float(high.sum())
+    log_z = 0.0
     before = np.where((number == 0)[:, None], 1, left @ step)
     for t in range(longest):
         k = active[t]
@@ -94,6 +92,65 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray,
             onward = (e[at[:inner] + 1] * beta[at[:inner] + 1]) @ step.T
             after[:inner] = onward / onward.sum(axis=1, keepdims=True)
         beta[at] = after
+    return alpha, beta, log_z
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum()
+
+
+def long_marginals(pieces: Callable[[], Iterator[np.ndarray]], transition: np.ndarray) -> Iterator[np.ndarray]:
+    """Label marginals of one chain, piece by piece, for chains that should not be held whole.
+
+    ``pieces`` gives the chain's emissions in order and is asked twice: for the product of each piece's matrices,
+    which carries messages across it, and for its items.
+    """
+    step = np.exp(transition).astype(np.float64)
+
+    def described(emission: np.ndarray, first: bool) -> tuple:
+        e = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float64)
+        start = np.arange(0, len(e), BLOCK)
+        number = np.arange(len(start)) + (0 if first else 1)
+        size = np.minimum(BLOCK, len(e) - start)
+        return e, start, size, number, _products(e, step, start, size, number, np.arange(len(start)))
+
+    across = []
+    for emission in pieces():
+        product = np.eye(len(step))
+        for m in described(emission, not across)[-1]:
+            product = _scaled(product @ m)
+        across.append(product)
+    into = [np.ones(len(step))]
+    for product in across[:0:-1]:
+        into.append(_scaled(product @ into[-1]))
+    left = np.ones(len(step))
+    for k, emission in enumerate(pieces()):
+        e, start, size, number, product = described(emission, k == 0)
+        lefts, rights = [left], [into[len(across) - 1 - k]]
+        for m in product:
+            lefts.append(_scaled(lefts[-1] @ m))
+        for m in product[:0:-1]:
+            rights.append(_scaled(m @ rights[-1]))
+        left = lefts.pop()
+        alpha, beta, _ = _within(e, step, start, size, number, np.array(lefts), np.array(rights[::-1]))
+        out = alpha * beta
+        yield out / out.sum(axis=1, keepdims=True)
+
+
+def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """Label marginals of each item, expected transitions in all (if asked for), and the sum of log partition functions."""
+    labels = emission.shape[1]
+    pairs = np.zeros((labels, labels)) if with_pairs else None
+    if not len(emission):
+        return emission.copy(), pairs, 0.0
+    lengths = lengths[lengths > 0]
+    high = emission.max(axis=1, keepdims=True)
+    e = np.exp(emission - high)
+    step = np.exp(transition).astype(e.dtype)
+    start, size, _, number = _blocks(lengths)
+    left, right = _messages(e, step, start, size, number)
+    alpha, beta, scale = _within(e, step, start, size, number, left, right)
+    log_z = float(high.sum()) + scale
     out = alpha * beta
     out /= out.sum(axis=1, keepdims=True)
     if with_pairs:

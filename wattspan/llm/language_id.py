@@ -13,7 +13,7 @@ follow from words whose features speak for another language than their neighbour
 over documents: nothing is shuffled, the model's size is fixed.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows that repeat are predicted each alone;
-null ids are kept and count as not held out. Other columns are dropped unless carried. Without any labelled row, or with
+null ids are kept and count as not held out. Texts of any length take bounded memory beside themselves. Other columns are dropped unless carried. Without any labelled row, or with
 an empty table, everything is ``und``.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattspan.llm.common import bounded_sample, held_out
-from wattspan.llm.crf import Adagrad, gradients, marginals
+from wattspan.llm.common import bounded_sample, by_bytes, held_out, pieces_at, utf8
+from wattspan.llm.crf import Adagrad, gradients, long_marginals, marginals
 from wattspan.llm.workers import hold
 
 BUCKETS = 1 << 18
@@ -38,7 +38,12 @@ LONGEST_SAMPLE_TEXT = 200_000
 #: Words of a step of training.
 BATCH_WORDS = 16_384
 EPOCHS = 6
-MEMO_WORDS = 200_000
+MEMO_WORDS, MEMO_CHARS = 200_000, 4_000_000
+#: Bytes of text that are worked on at once; a longer text goes through in pieces, with the same marginals.
+CHUNK_BYTES = 1_000_000
+#: Features of a longer word are summed in parts.
+LONG_WORD = 50_000
+WHITE = b" \t\n\r\x0b\x0c"
 UNKNOWN = "und"
 GRAMS = (2, 3, 4)
 
@@ -70,6 +75,24 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def long_word_score(word: str, weights: np.ndarray) -> np.ndarray:
+    """The sum of the weights of ``word_features`` of one word, in parts."""
+    buf = np.frombuffer(b"^" + word.encode("utf-8", "surrogatepass") + b"$", np.uint8)
+    total, whole = np.zeros(weights.shape[1], np.float64), 0
+    for at in range(0, len(buf), LONG_WORD):
+        part = buf[at : at + LONG_WORD + max(GRAMS) - 1].astype(np.uint64)
+        code = np.zeros(len(part), np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            code = (code[: len(part) - n + 1] << np.uint64(8)) | part[n - 1 :]
+            if n in GRAMS:
+                h = (code[:LONG_WORD] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                total += weights[(h >> np.uint64(46)).astype(np.int64)].sum(axis=0, dtype=np.float64)
+        own = part[:LONG_WORD]
+        power = np.uint64(0x100000001B3) ** np.arange(at, at + len(own), dtype=np.uint64)
+        whole = (whole + int(((own + np.uint64(1)) * power).sum(dtype=np.uint64))) % 2**64
+    return (total + weights[(whole * 0xC2B2AE3D27D4EB4F) % 2**64 >> 46]).astype(np.float32)
+
+
 def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
@@ -83,15 +106,19 @@ class WordScorer:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((1, self.weights.shape[1]), np.float32)
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.clear()
         missing = list(set().union(*texts).difference(self.memo))
-        spelled = []
+        spelled, long = [], []
         for w in missing:
-            if has_letter(w):
+            self.chars += len(w)
+            if len(w) > LONG_WORD and has_letter(w):
+                long.append(w)
+            elif has_letter(w):
                 self.memo[w] = len(self.scores) + len(spelled)
                 spelled.append(w)
             else:
@@ -99,6 +126,9 @@ class WordScorer:
         if spelled:
             h, starts = word_features(spelled)
             self.scores = np.concatenate([self.scores, np.add.reduceat(self.weights[h], starts, axis=0)])
+        for w in long:
+            self.memo[w] = len(self.scores)
+            self.scores = np.concatenate([self.scores, long_word_score(w, self.weights)[None]])
         return [np.fromiter(map(self.memo.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
@@ -157,6 +187,39 @@ def hash_order(doc_id: int | None) -> int:
     return ((doc_id or 0) * 0x9E3779B97F4A7C15) % 2**64
 
 
+def _sums(scorer: WordScorer, texts: list[list[str]], transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals of each text's words with a letter, summed, and how many they are."""
+    rows = scorer.rows(texts)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate(rows)
+    if not len(flat) or not len(transition):
+        return np.zeros((len(rows), len(transition))), np.zeros(len(rows))
+    got, _, _ = marginals(scorer.scores[flat], lengths, transition)
+    spelled = (flat > 0).astype(np.float64)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    sums = np.stack([np.bincount(owner, got[:, k] * spelled, len(rows)) for k in range(len(transition))], axis=1)
+    return sums, np.bincount(owner, spelled, len(rows))
+
+
+def _long_sums(scorer: WordScorer, data: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_sums``, for one text that goes through in pieces."""
+    sums, count = np.zeros((1, len(transition))), np.zeros(1)
+    spelled: list[np.ndarray] = []
+
+    def emissions() -> Iterator[np.ndarray]:
+        for piece in pieces_at(data, WHITE, CHUNK_BYTES):
+            words = piece.decode("utf-8", "surrogatepass").lower().split()
+            if words:
+                rows = scorer.rows([words])[0]
+                spelled[:] = [rows > 0]
+                yield scorer.scores[rows]
+
+    for got in long_marginals(emissions, transition) if len(transition) else ():
+        sums[0] += got[spelled[0]].sum(axis=0)
+        count[0] += spelled[0].sum()
+    return sums, count
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], carry: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and the columns named in ``carry`` unchanged."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,22 +231,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ca
         names, weights, transition = sent.value
         scorer = WordScorer(weights)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = scorer.rows([(t.as_py() or "").lower().split() for t in part.column(2)])
-                lengths = np.array([len(r) for r in rows], np.int64)
-                flat = np.concatenate(rows)
-                lang, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
-                if names and len(flat):
-                    got, _, _ = marginals(scorer.scores[flat], lengths, transition)
-                    spelled = (flat > 0).astype(np.float64)
-                    owner = np.repeat(np.arange(len(rows)), lengths)
-                    count = np.bincount(owner, spelled, len(rows))
-                    sums = np.stack([np.bincount(owner, got[:, k] * spelled, len(rows)) for k in range(len(names))], axis=1)
-                    best = sums.argmax(axis=1)
-                    for i in np.flatnonzero(count):
-                        lang[i] = names[best[i]]
-                        score[i] = min(1.0, sums[i, best[i]] / count[i])
+            for part in by_bytes(batch, 2, CHUNK_BYTES, 512):
+                if part.num_rows == 1 and part.column(2)[0].is_valid and len(data := utf8(part.column(2), 0)) > CHUNK_BYTES:
+                    sums, count = _long_sums(scorer, data, transition)
+                else:
+                    sums, count = _sums(scorer, [(t.as_py() or "").lower().split() for t in part.column(2)], transition)
+                lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+                best = sums.argmax(axis=1) if names else []
+                for i in np.flatnonzero(count) if names else []:
+                    lang[i] = names[best[i]]
+                    score[i] = min(1.0, sums[i, best[i]] / count[i])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(part.column(3 + k) for k in range(len(more)))], names=[*own, *more])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"), *more)

@@ -11,21 +11,23 @@ labels' own ratio returns in the logistic fit. Prediction is a map over document
 size.
 
 Null and empty texts are one empty line. Rows that repeat are scored each alone; null ids are kept and
-count as not held out. A document with several labels is taken with the least. Without labels of both
+count as not held out. Texts and lines of any length take bounded memory beside themselves, but for one hash a line and a word. A document with several labels is taken with the least. Without labels of both
 kinds every score is the share of label 1, or 0.5 without any. Other columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import bounded_sample, held_out
-from wattspan.llm.crf import Adagrad, gradients, marginals
+from wattspan.llm.common import bounded_sample, by_bytes, held_out, pieces_at, utf8
+from wattspan.llm.crf import Adagrad, gradients, long_marginals, marginals
 from wattspan.llm.language_id import hash_order
 from wattspan.llm.workers import hold
 
@@ -35,6 +37,12 @@ SAMPLE_CHARS = 5_000_000
 LONGEST_SAMPLE_TEXT = 100_000
 EPOCHS = 30
 THRESHOLD = 0.7
+#: Bytes of text that are worked on at once. A longer text goes through in pieces, and so does a longer line's
+#: list of words; both with the same measures and marginals.
+CHUNK_BYTES = 1_000_000
+#: Lines whose table entries are summed at once.
+LINES_AT_ONCE = 16_384
+WHITE = b" \t\n\r\x0b\x0c"
 
 _SYMBOLS, _MARKS, _STOPS, _BARS = b"#*$%&<>^~=_{}[]\\@", b"!?", b".,;:", b"|"
 _DIGITS, _UPPER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,16 +50,29 @@ _HIGH = bytes(range(128, 256))
 MEASURES = 17
 
 
+def word_measures(line: bytes) -> tuple[int, int, int, int, bytes]:
+    """Words, distinct words, words equal to the one before, bytes of the longest, and the first byte of the first."""
+    if len(line) <= CHUNK_BYTES:
+        words = line.split()
+        return len(words), len(set(words)), sum(map(bytes.__eq__, words, words[1:])), max(map(len, words), default=0), words[0][:1] if words else b""
+    k, runs, longest, first, last, hashes = 0, 0, 0, b"", None, np.zeros(0, np.uint64)
+    for piece in pieces_at(np.frombuffer(line, np.uint8), WHITE, CHUNK_BYTES):
+        words = piece.split()
+        if words:
+            k += len(words)
+            runs += sum(map(bytes.__eq__, words, words[1:])) + (words[0] == last)
+            longest, first, last = max(longest, max(map(len, words))), first or words[0][:1], words[-1]
+            hashes = np.union1d(hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, set(words)), np.uint64))
+    return k, len(hashes), runs, longest, first
+
+
 def line_measures(line: bytes, seen_before: bool) -> list[float]:
     """The measures of one line of UTF-8 text."""
     n = len(line)
     if not n:
         return [0.0] * (MEASURES - 1) + [float(seen_before)]
-    words = line.split()
-    k = len(words)
+    k, distinct, runs, longest, first = word_measures(line)
     share = lambda kind: (n - len(line.translate(None, kind))) / n
-    distinct = len(set(words))
-    runs = sum(map(bytes.__eq__, words, words[1:]))
     return [
         np.log1p(n),
         np.log1p(k),
@@ -66,46 +87,112 @@ def line_measures(line: bytes, seen_before: bool) -> list[float]:
         distinct / k if k else 0.0,
         runs / k if k else 0.0,
         float(line.rstrip()[-1:] in (b".", b"!", b"?")),
-        float(k > 0 and words[0][:1].isupper()),
+        float(first.isupper()),
         len(set(line)) / min(n, 64),
-        max(map(len, words)) if k else 0.0,
+        longest,
         float(seen_before),
     ]
 
 
+def described_lines(lines: list[bytes], seen: np.ndarray) -> np.ndarray:
+    """Measures of lines, of which ``seen`` tells those that stand earlier in their text."""
+    out = np.zeros((len(lines), MEASURES), np.float32)
+    for i, (line, again) in enumerate(zip(lines, seen.tolist(), strict=True)):
+        out[i] = line_measures(line, again)
+    return out
+
+
 def document_measures(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Measures of all lines, and the lines' lengths (at least 1, as weights)."""
     lines = (text or b"").split(b"\n")
     seen: set[bytes] = set()
-    out = []
-    for line in lines:
-        out.append(line_measures(line, line in seen and bool(line)))
+    again = np.zeros(len(lines), bool)
+    for i, line in enumerate(lines):
+        again[i] = bool(line) and line in seen
         seen.add(line)
-    return np.array(out, np.float32), np.array([len(x) + 1 for x in lines], np.float64)
+    return described_lines(lines, again), np.array([len(x) + 1 for x in lines], np.float64)
+
+
+def line_pieces(data: np.ndarray) -> Iterator[list[bytes]]:
+    """The lines of a text, about ``CHUNK_BYTES`` of them at a time."""
+    ended = False
+    for piece in pieces_at(data, b"\n", CHUNK_BYTES):
+        ended = piece.endswith(b"\n")
+        yield (piece[:-1] if ended else piece).split(b"\n")
+    if ended or not len(data):
+        yield [b""]
+
+
+def seen_lines(data: np.ndarray) -> np.ndarray:
+    """Which lines of a long text stand earlier in it, by 64-bit hashes."""
+    hashes = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)) for lines in line_pieces(data)])
+    order = np.argsort(hashes, kind="stable")
+    again = np.zeros(len(hashes), bool)
+    again[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+    return again & (hashes != np.uint64(xxhash.xxh3_64_intdigest(b"")))
 
 
 class LineModel:
     def __init__(self, cuts: np.ndarray, tables: np.ndarray, transition: np.ndarray, slope: float, offset: float):
         self.cuts, self.tables, self.transition, self.slope, self.offset = cuts, tables, transition, slope, offset
 
+    def own_bins(self, measures: np.ndarray) -> np.ndarray:
+        """Table rows of each line's own measures."""
+        own = np.stack([np.searchsorted(self.cuts[j], measures[:, j], side="right") for j in range(MEASURES)], axis=1).astype(np.int16)
+        return own + (np.arange(MEASURES) * (BINS + 1)).astype(np.int16)
+
     def bins(self, measures: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Table rows of each line: its own bins, those of the line before, those of the line after."""
-        own = np.stack([np.searchsorted(self.cuts[j], measures[:, j], side="right") for j in range(MEASURES)], axis=1)
-        own += np.arange(MEASURES) * (BINS + 1)
+        return self._beside(self.own_bins(measures), lengths)
+
+    def _beside(self, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         edge = MEASURES * (BINS + 1)
         first = np.cumsum(lengths) - lengths
         before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
         before[first] = edge
         after[np.cumsum(lengths) - 1] = edge
-        return np.concatenate([own, before + (edge + 1), after + 2 * (edge + 1)], axis=1)
+        return np.concatenate([own, before + np.int16(edge + 1), after + np.int16(2 * (edge + 1))], axis=1)
+
+    def emissions(self, bins: np.ndarray) -> np.ndarray:
+        parts = [self.tables[bins[i : i + LINES_AT_ONCE]].sum(axis=1) for i in range(0, len(bins), LINES_AT_ONCE)]
+        return np.concatenate(parts).astype(np.float64)
 
     def good(self, measures: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Length-weighted marginal of "good" of each document."""
-        emission = self.tables[self.bins(measures, lengths)].sum(axis=1)
-        got, _, _ = marginals(emission.astype(np.float64), lengths, self.transition.astype(np.float64))
+        got, _, _ = marginals(self.emissions(self.bins(measures, lengths)), lengths, self.transition.astype(np.float64))
         owner = np.repeat(np.arange(len(lengths)), lengths)
         return np.bincount(owner, got[:, 1] * weights, len(lengths)) / np.bincount(owner, weights, len(lengths))
 
+    def good_of_long(self, data: np.ndarray) -> float:
+        """As ``good``, of one text whose lines go through in pieces."""
+        again = seen_lines(data)
+        sizes: list[np.ndarray] = []
+
+        def own() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at = 0
+            for lines in line_pieces(data):
+                yield self.own_bins(described_lines(lines, again[at : at + len(lines)])), np.array([len(x) + 1 for x in lines], np.float64)
+                at += len(lines)
+
+        def emissions() -> Iterator[np.ndarray]:
+            sizes.clear()
+            before, held = None, None
+            for after in chain(own(), [None]):
+                if held is not None:
+                    rows = [*([before] if before is not None else []), held[0], *([after[0][:1]] if after is not None else [])]
+                    whole = np.concatenate(rows)
+                    begin = 0 if before is None else 1
+                    sizes.append(held[1])
+                    yield self.emissions(self._beside(whole, np.array([len(whole)]))[begin : begin + len(held[0])])
+                    before = held[0][-1:]
+                held = after
+
+        total = good = 0.0
+        for got in long_marginals(emissions, self.transition.astype(np.float64)):
+            good += float(got[:, 1] @ sizes[-1])
+            total += float(sizes[-1].sum())
+        return good / total
+
     def score(self, good: np.ndarray) -> np.ndarray:
         g = np.clip(good, 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-(self.slope * np.log(g / (1 - g)) + self.offset)))
@@ -192,11 +279,13 @@ def predict(docs: DataFrame, model: LineModel, threshold: float = THRESHOLD) ->
         hold("lines")
         own = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                described = [document_measures(t.as_py()) for t in part.column(2).cast(pa.binary())]
-                lengths = np.array([len(m) for m, _ in described])
-                score = own.score(own.good(np.concatenate([m for m, _ in described]), lengths, np.concatenate([w for _, w in described])))
+            for part in by_bytes(batch, 2, CHUNK_BYTES):
+                if part.num_rows == 1 and part.column(2)[0].is_valid and len(data := utf8(part.column(2), 0)) > CHUNK_BYTES:
+                    score = own.score(np.array([own.good_of_long(data)]))
+                else:
+                    described = [document_measures(t.as_py()) for t in part.column(2).cast(pa.binary())]
+                    lengths = np.array([len(m) for m, _ in described])
+                    score = own.score(own.good(np.concatenate([m for m, _ in described]), lengths, np.concatenate([w for _, w in described])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
