@@ -5,17 +5,18 @@
    documents. A document whose set has too few tokens that any other document has cannot reach the
    threshold, whatever its partner. The rest, the survivors, are counted once more among themselves, now
    without copies and without what no survivor has.
-3. First tokens under several random orders pair each survivor with the least document of equal first
-   token. Pairs are verified, and what links becomes a component. This is linear in the survivors, and it
-   gathers large groups of near copies before any list of them is paired.
-4. Prefixes under several global orders: in each order tokens rank by the corpus frequency of frequent
-   ones, then by a hash of its own. Two sets that reach the threshold share a token of their prefixes
-   under every order, so pairs come from one order's lists and are kept only if the other orders give
-   them too. Pairs inside a component of step 3 are left out: they would change no component. So are pairs
-   whose shared tokens, as counted, are too few for the sizes of both: that ends lists of heavily edited
-   copies before they are paired. Lists of frequent tokens also carry each document's parity map, whose
-   distance bounds from above what two sets share, so that they give close pairs only.
-5. The pairs left are verified on whole sets, and components are found over all links.
+3. Candidates, first of stars: under each of several random global orders, a document's first token is one of its
+   prefix, and it is paired with the least edited document of the same first token. This is linear in the
+   survivors, and it gathers large groups of near copies before any list of them is paired.
+4. Candidates, then of lists: prefixes under several global orders, in which tokens rank by the corpus frequency
+   of frequent ones, then by a hash of the order's own. Pairs come from each order's lists. Pairs inside a component of step 3
+   are left out: they would change no component. So are pairs whose shared tokens, as counted, are too few
+   for the sizes of both. Lists of frequent tokens also carry each document's parity map, whose distance bounds
+   from above what two sets share. A list longer than ``LIST_BLOCK`` is cut into blocks by hashes of its documents, and
+   each pair of blocks is a group of its own.
+5. Filters of all orders are intersected before anything is verified: two sets that reach the threshold share a
+   token of their prefixes under every global order. A pair of lists is kept only if every order gives it; a pair of a star only
+   if its prefixes meet under every order. What is left is verified on whole sets, and components are found over all links.
 
 Filters are one-sided and verification is exact on 64-bit hashes, so results do not depend on tables of
 frequencies being bounded. Frequencies of the ``FREQUENT`` most common tokens among survivors only order prefixes.
@@ -52,6 +53,8 @@ BUCKET_BYTES = 16_000_000
 SHORT_LIST = 32
 #: Bits of a document's parity map, which long lists carry.
 MAP_BITS = 1024
+#: Documents of one token that a task pairs at once, from each of two blocks.
+LIST_BLOCK = 2048
 
 _U32 = np.uint64(32)
 
@@ -90,6 +93,22 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(values)]]))
 
 
+def _different(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which runs hold more than one id; ids are sorted inside runs."""
+    return ids[starts] != ids[starts + lengths - 1]
+
+
+def _parts(ids: np.ndarray, many: np.ndarray, buckets: int) -> list[tuple]:
+    """Counts of documents as rows, packed for each home of documents."""
+    home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by_home = np.argsort(home, kind="stable")
+    out = []
+    for at, size in zip(*(x.tolist() for x in _runs(home[by_home])), strict=True):
+        rows = by_home[at : at + size]
+        out.append(("part", None, None, None, None, int(home[rows[0]]), ids[rows].tobytes(), many[rows].tobytes()))
+    return out
+
+
 def _binary(items: list[np.ndarray], kind: str) -> pa.Array:
     return pa.array([np.ascontiguousarray(x, kind).tobytes() for x in items], pa.binary())
 
@@ -117,9 +136,21 @@ def count_shared(source: DataFrame, buckets: int, stored: bool, words: int = WOR
             known = np.array([-1 if i is None else 0 for i in ids])
             doc_ids = np.array([0 if i is None else i for i in ids], np.int64)
             digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in found)
-            rows: list[tuple] = [(-1 - int(doc_ids[0] % buckets), doc_ids.tobytes(), np.where(known < 0, -1 - n, n).tobytes(), None, digests)]
             where = np.repeat(np.arange(len(ids)), np.where(known < 0, 0, n))
             tokens = np.concatenate([x for x, k in zip(found, known, strict=True) if k == 0] or [np.zeros(0, np.uint64)])
+            # What several ids of this batch have is shared whatever else there is: one entry with a count goes on.
+            order = np.lexsort((doc_ids[where], tokens))
+            tokens, where = tokens[order], where[order]
+            starts, lengths = _runs(tokens)
+            several = np.repeat(_different(doc_ids[where], starts, lengths), lengths)
+            here = np.bincount(where[several], minlength=len(ids))
+            rows: list[tuple] = [(-1 - int(doc_ids[0] % buckets), doc_ids.tobytes(), np.where(known < 0, -1 - n, n).tobytes(), here.tobytes(), digests)]
+            lead = starts[several[starts]] if len(starts) else starts
+            for b, t, d in _deal(tokens[lead], lengths[several[starts]] if len(starts) else lengths, buckets):
+                rows.append((b, None, d.astype("<u4").tobytes(), t.astype("<u4").tobytes(), None))
+            order = np.flatnonzero(~several)
+            order = order[np.argsort(where[order], kind="stable")]
+            tokens, where = tokens[order], where[order]
             for b, t, d in _deal(tokens, where, buckets):
                 starts, lengths = _runs(d)
                 rows.append((b, doc_ids[d[starts]].tobytes(), lengths.astype("<u4").tobytes(), t.astype("<u4").tobytes(), None))
@@ -131,23 +162,26 @@ def count_shared(source: DataFrame, buckets: int, stored: bool, words: int = WOR
         out: list[tuple] = []
         if bucket < 0:
             for r in table.to_pylist():
-                doc_ids, n = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["counts"], np.int64)
+                doc_ids, n, here = (np.frombuffer(r[k], np.int64) for k in ("doc_ids", "counts", "tokens"))
+                out += _parts(doc_ids[here > 0], here[here > 0], buckets)
                 for i, (d, k) in enumerate(zip(doc_ids.tolist(), n.tolist(), strict=True)):
                     out.append(("doc", d if k >= 0 else None, k if k >= 0 else -1 - k, r["digests"][16 * i : 16 * i + 16], None, None, None, None))
         else:
             parts = table.select(["doc_ids", "counts", "tokens"]).to_pydict()
-            docs_ = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, "<u4")) for d, c in zip(parts["doc_ids"], parts["counts"], strict=True)])
+            # An entry of one document, or of several that are counted already.
+            one = [d is not None for d in parts["doc_ids"]]
+            counts = [np.frombuffer(c, "<u4") for c in parts["counts"]]
+            docs_ = np.concatenate([np.repeat(np.frombuffer(d, np.int64), c) if k else np.zeros(len(c), np.int64) for d, c, k in zip(parts["doc_ids"], counts, one, strict=True)])
+            weight = np.concatenate([np.ones(int(c.sum()), np.int64) if k else c.astype(np.int64) for c, k in zip(counts, one, strict=True)])
+            single = np.repeat(one, [int(c.sum()) if k else len(c) for c, k in zip(counts, one, strict=True)])
             tokens = np.concatenate([np.frombuffer(t, "<u4") for t in parts["tokens"]])
             order = np.argsort(tokens)
-            tokens = tokens[order]
-            starts, lengths = _runs(tokens)
-            shared = np.repeat(lengths > 1, lengths)
+            tokens, weight, single = tokens[order], weight[order], single[order]
+            starts, entries = _runs(tokens)
+            lengths = np.add.reduceat(weight, starts) if len(starts) else weight
+            shared = np.repeat(lengths > 1, entries) & single
             ids, many = np.unique(docs_[order][shared], return_counts=True)
-            home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            by_home = np.argsort(home, kind="stable")
-            for at, size in zip(*(x.tolist() for x in _runs(home[by_home])), strict=True):
-                rows = by_home[at : at + size]
-                out.append(("part", None, None, None, None, int(home[rows[0]]), ids[rows].tobytes(), many[rows].tobytes()))
+            out += _parts(ids, many, buckets)
             often = (lengths >= FREQUENT_DOCS) & stored
             out += [("frequent", None, k, None, (bucket << 32) | t, None, None, None) for t, k in zip(tokens[starts[often]].tolist(), lengths[often].tolist(), strict=True)]
         cols = list(zip(*out, strict=True)) or [()] * 8
@@ -208,16 +242,19 @@ def first_token_pairs(held: DataFrame) -> DataFrame:
     return keys.join(hubs, ["ord", "first"]).where("hub <> doc_id").select(F.least("hub", "doc_id").alias("x"), F.greatest("hub", "doc_id").alias("y")).distinct()
 
 
-def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose sets reach the threshold."""
+def verified(pairs: DataFrame, held: DataFrame, percent: int, filters: tuple[tuple[np.ndarray, np.ndarray], int] | None = None) -> DataFrame:
+    """Pairs (x, y) whose sets reach the threshold. With ``filters`` (frequent tokens and buckets), only pairs whose prefixes
+    meet under every order are verified."""
+    sent = held.sparkSession.sparkContext.broadcast(filters) if filters else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            sides = [[np.frombuffer(v.as_py(), "<u8") for v in batch.column(c)] for c in (2, 3)]
+            met = _prefixes_meet(sides, sent.value, percent) if sent else np.ones(batch.num_rows, bool)
             keep = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(s.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u8")
-                at = np.searchsorted(t, s)
-                both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s)) if len(s) and len(t) else 0
+            for s, t, able in zip(*sides, met.tolist(), strict=True):
+                at = np.searchsorted(t, s) if able else s
+                both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s)) if able and len(s) and len(t) else 0
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
@@ -226,6 +263,26 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ys, "y").join(xs, "x").select("x", "y", "s", "t").mapInArrow(run, "x bigint, y bigint")
 
 
+def _prefixes_meet(sides: list[list[np.ndarray]], filters: tuple[tuple[np.ndarray, np.ndarray], int], percent: int) -> np.ndarray:
+    """Which pairs of sets share a prefix token under every order."""
+    met = np.ones(len(sides[0]), bool)
+    flats = []
+    for found in sides:
+        n = np.array([len(x) for x in found], np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        flats.append((flat, frequencies(flat, *filters), np.repeat(np.arange(len(n)), n), n))
+    for o in range(PREFIX_ORDERS):
+        # A token and its pair as one number: pairs are few, so collisions of the mixed sum are as rare as those of hashes.
+        keys = []
+        for flat, freq, where, n in flats:
+            at = prefix_of(flat, freq, where, n, percent, o)
+            keys.append((mix(flat[at]) + mix(where[at].astype(np.uint64)), where[at]))
+        hit = np.zeros(len(met), bool)
+        hit[keys[0][1][np.isin(keys[0][0], keys[1][0])]] = True
+        met &= hit
+    return met
+
+
 def _reach(shared: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     """Whether so many shared tokens can give sets of ``total`` tokens together the threshold."""
     return (100 + percent) * shared >= percent * total
@@ -241,18 +298,21 @@ def parity_maps(flat: np.ndarray, where: np.ndarray, many: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n: np.ndarray, shared: np.ndarray, percent: int, at: np.ndarray | None = None, maps: np.ndarray | None = None) -> np.ndarray:
+def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n: np.ndarray, shared: np.ndarray, percent: int, at: np.ndarray | None = None, maps: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
     """Distinct pairs (two columns, least first) of documents that share a token, differ in label, fit in size,
-    and have enough tokens that other documents have. ``at`` is each entry's row in ``maps``, or -1."""
+    and have enough tokens that other documents have. ``at`` is each entry's row in ``maps``, or -1. With ``side``,
+    only pairs between two sides."""
     order = np.lexsort((labels, tokens))
     tokens, docs, labels, n, shared = tokens[order], docs[order], labels[order], n[order], shared[order]
     at = np.full(len(tokens), -1) if at is None else at[order]
+    side = None if side is None else side[order]
     if len(tokens):
         # Against the smallest partner that its list and its size allow; what cannot reach that leaves first.
         starts, lengths = _runs(tokens)
         least = np.maximum(needed(n, percent), np.repeat(np.minimum.reduceat(n, starts), lengths))
         able = _reach(shared, n + least, percent)
         tokens, docs, labels, n, shared, at = tokens[able], docs[able], labels[able], n[able], shared[able], at[able]
+        side = None if side is None else side[able]
     starts, lengths = _runs(tokens)
     mixed = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts) if len(starts) else np.zeros(0, bool)
     # Pairs are held as one number each, of the documents' places among the bucket's.
@@ -263,6 +323,8 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (labels[i] != labels[j]) & (100 * small >= percent * large) & (docs[i] != docs[j])
         ok &= _reach(np.minimum(shared[i], shared[j]), small + large, percent)
+        if side is not None:
+            ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
         both = (at[i] >= 0) & (at[j] >= 0)
         if both.any():
@@ -297,38 +359,66 @@ def _pairs_of_bucket(tokens: np.ndarray, docs: np.ndarray, labels: np.ndarray, n
     return np.stack([names[codes // max(1, len(names))], names[codes % max(1, len(names))]], axis=1)
 
 
+def frequencies(flat: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> np.ndarray:
+    """How many survivors have each token, as far as it is frequent; else 0."""
+    keys, counts = frequent
+    if not len(keys) or not len(flat):
+        return np.zeros(len(flat), np.int32)
+    k = _key(flat, buckets)
+    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    return np.where(keys[at] == k, counts[at], 0)
+
+
+def prefix_of(flat: np.ndarray, freq: np.ndarray, where: np.ndarray, n: np.ndarray, percent: int, o: int) -> np.ndarray:
+    """Places of the prefix tokens of sets that lie one after another, under the ``o``-th order; set by set."""
+    order = np.lexsort((mix(flat ^ np.uint64(0x5EED + 104729 * o)), freq, where))
+    starts = np.concatenate([[0], np.cumsum(n)])[:-1]
+    return order[np.arange(len(flat)) - np.repeat(starts, n) < np.repeat(n - needed(n, percent) + 1, n)]
+
+
+def _block_rows(base: int, tokens: np.ndarray, freq: np.ndarray, where: np.ndarray, buckets: int, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, shared: np.ndarray, maps: np.ndarray) -> list[tuple]:
+    """Entries of lists that are cut into blocks: each goes to its block's pairings with every block of its list."""
+    rows = []
+    blocks = -(-freq.astype(np.int64) // LIST_BLOCK)
+    own = (mix(ids[where].view(np.uint64) ^ np.uint64(0xB10C)) % blocks.astype(np.uint64)).astype(np.int64) if len(where) else where
+    order = np.lexsort((where, own, tokens))
+    tokens, where, own, blocks = tokens[order], where[order], own[order], blocks[order]
+    cuts = np.flatnonzero((np.diff(tokens) != 0) | (np.diff(own) != 0)) + 1 if len(tokens) else np.zeros(0, np.int64)
+    for lo, hi in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(tokens)]]).tolist(), strict=True):
+        if hi > lo:
+            d, k = where[lo:hi], int(own[lo])
+            packed = (ids[d].tobytes(), labels[d].tobytes(), n[d].tobytes(), shared[d].tobytes(), np.ones(hi - lo, "<u4").tobytes(), tokens[lo:hi].astype("<u4").tobytes(), np.ones(hi - lo, bool).tobytes(), maps[d].tobytes())
+            bucket = base + int(_range_bucket(tokens[lo : lo + 1], buckets)[0])
+            rows += [(bucket, int(tokens[lo].view(np.int64)), min(k, other), max(k, other), k, *packed) for other in range(int(blocks[lo]))]
+    return rows
+
+
 def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, buckets: int) -> DataFrame:
     """Pairs that share a prefix token under every order. ``held`` has doc_id, n, tokens, label, shared."""
     common = held.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = common.value
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             ids, n, labels, shared = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
             tokens = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             where = np.repeat(np.arange(len(ids)), n)
-            freq = np.zeros(len(flat), np.int32)
-            if len(keys) and len(flat):
-                k = _key(flat, buckets)
-                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                freq = np.where(keys[at] == k, counts[at], 0)
+            freq = frequencies(flat, common.value, buckets)
             maps = parity_maps(flat, where, len(ids))
-            starts = np.concatenate([[0], np.cumsum(n)])[:-1]
-            prefix = n - needed(n, percent) + 1
             rows = []
             for o in range(PREFIX_ORDERS):
-                order = np.lexsort((mix(flat ^ np.uint64(0x5EED + 104729 * o)), freq, where))
-                rank = np.arange(len(flat)) - np.repeat(starts, n)
-                chosen = order[rank < np.repeat(prefix, n)]
+                chosen = prefix_of(flat, freq, where, n, percent, o)
+                hot = freq[chosen] > LIST_BLOCK
+                rows += _block_rows(o * buckets, flat[chosen[hot]], freq[chosen[hot]], where[chosen[hot]], buckets, ids, labels, n, shared, maps)
+                chosen = chosen[~hot]
                 long = np.unique(where[chosen][freq[chosen] > SHORT_LIST])
                 for b, t, d in _deal(flat[chosen], where[chosen], buckets):
                     s, c = _runs(d)
                     d = d[s]
                     mapped = np.isin(d, long)
-                    rows.append((o * buckets + b, ids[d].tobytes(), labels[d].tobytes(), n[d].tobytes(), shared[d].tobytes(), c.astype("<u4").tobytes(), t.astype("<u4").tobytes(), mapped.tobytes(), maps[d[mapped]].tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ids", "labels", "sizes", "shared", "counts", "tokens", "mapped", "maps"])
+                    rows.append((o * buckets + b, 0, 0, 0, 0, ids[d].tobytes(), labels[d].tobytes(), n[d].tobytes(), shared[d].tobytes(), c.astype("<u4").tobytes(), t.astype("<u4").tobytes(), mapped.tobytes(), maps[d[mapped]].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 13
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], names=["bucket", "list", "b1", "b2", "own", "ids", "labels", "sizes", "shared", "counts", "tokens", "mapped", "maps"])
 
     def gather(table: pa.Table) -> pa.Table:
         p = table.to_pydict()
@@ -338,12 +428,14 @@ def prefix_pairs(held: DataFrame, frequent: tuple[np.ndarray, np.ndarray], perce
         mapped = np.concatenate([np.frombuffer(x, bool) for x in p["mapped"]])
         maps = np.frombuffer(b"".join(p["maps"]), np.uint64).reshape(-1, MAP_BITS // 64)
         at = np.repeat(np.where(mapped, np.cumsum(mapped) - 1, -1), many)
-        pairs = _pairs_of_bucket(tokens, spread("ids"), spread("labels"), spread("sizes"), spread("shared"), percent, at, maps)
+        # Two blocks of one list are two sides; one block, and whole lists, are paired inside.
+        side = None if p["b1"][0] == p["b2"][0] else np.repeat(np.repeat(p["own"], [len(x) // 8 for x in p["ids"]]), many)
+        pairs = _pairs_of_bucket(tokens, spread("ids"), spread("labels"), spread("sizes"), spread("shared"), percent, at, maps, side)
         o = np.full(len(pairs), p["bucket"][0] // buckets, np.int32)
         return pa.table([pa.array(o), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ord", "x", "y"])
 
-    dealt = held.select("doc_id", "n", "tokens", "label", "shared").mapInArrow(emit, "bucket int, ids binary, labels binary, sizes binary, shared binary, counts binary, tokens binary, mapped binary, maps binary")
-    pairs = dealt.groupBy("bucket").applyInArrow(gather, "ord int, x bigint, y bigint")
+    dealt = held.select("doc_id", "n", "tokens", "label", "shared").mapInArrow(emit, "bucket int, list bigint, b1 int, b2 int, own int, ids binary, labels binary, sizes binary, shared binary, counts binary, tokens binary, mapped binary, maps binary")
+    pairs = dealt.groupBy("bucket", "list", "b1", "b2").applyInArrow(gather, "ord int, x bigint, y bigint")
     return pairs.groupBy("x", "y").agg(F.expr("bit_or(shiftleft(1, ord))").alias("orders")).where(F.col("orders") == 2**PREFIX_ORDERS - 1).select("x", "y")
 
 
@@ -362,7 +454,7 @@ def _shared(counted: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", gather_first: bool = True) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (least document of an equal set), component_id.
 
-    ``gather_first`` False leaves step 3 out: every link then comes through the filters of step 4, with the same result.
+    ``gather_first`` False leaves step 3 out, with the same result: groups of near copies are then paired in full.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(texts)
@@ -376,15 +468,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = WORDS, i
     kept = every.join(_shared(again).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).where(100 * F.col("shared") >= percent * F.col("n"))
     held, _ = materialise(kept.select("doc_id", "n", "tokens", "shared"), "held")
 
+    frequent = frequent_tokens(again)
     if gather_first:
         first, _ = materialise(first_token_pairs(held), "first-pairs")
-        links, _ = materialise(verified(first, held, percent), "first-links")
+        links, _ = materialise(verified(first, held, percent, (frequent, buckets)), "first-links")
         early, _ = materialise(components(links, "x", "y"), "early")
     else:
         links = held.select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y")).limit(0)
         early = links.select(F.col("x").alias("node"), F.col("y").alias("root"))
     labelled = held.join(early, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("root", "doc_id").alias("label"), "shared")
-    pairs, _ = materialise(prefix_pairs(labelled, frequent_tokens(again), percent, buckets), "prefix-pairs")
+    pairs, _ = materialise(prefix_pairs(labelled, frequent, percent, buckets), "prefix-pairs")
     more = verified(pairs, held, percent)
     roots, _ = materialise(components(links.union(more), "x", "y"), "roots")
 
