@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, dashboards, physics, planning, structure, temporal
+from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, dashboards, dynamics, physics, planning, spatial, structure, temporal
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "dashboards", "physics", "planning", "structure", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "dashboards", "dynamics", "physics", "planning", "spatial", "structure", "temporal"]

@@ -83,3 +83,64 @@ def five_day_heat(df: DataFrame, keys: Sequence[str], day: str, temperature: str
     """Mean temperature of the day and the four before."""
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-4, 0)
     return df.withColumn("heat", F.avg(temperature).over(w))
+
+
+#: Weights of the three parts of a household's utility, and its threshold.
+ECONOMIC, SOCIAL, AWARE, THRESHOLD = 0.5, 0.3, 0.2, 0.5
+
+
+def draw(key: Column, year: Column, run: Column, salt: int) -> Column:
+    """A number in (0, 1) from integers alone: the same wherever and whenever it is computed."""
+    a = F.pmod(key * 7919 + year * 104729 + run * 1299709 + salt * 15485863, F.lit(2147483647))
+    b = F.pmod(a * 48271, F.lit(2147483647))
+    return (F.pmod(b * 16807, F.lit(2147483647)) + 0.5) / 2147483648.0
+
+
+def normal_draw(key: Column, year: Column, run: Column, salt: int, spread: float) -> Column:
+    """A normal number by two draws."""
+    return spread * F.sqrt(-2 * F.log(draw(key, year, run, salt))) * F.cos(2 * math.pi * draw(key, year, run, salt + 1))
+
+
+def economic_utility(rate: Column, cost: Column, tariff: Column, kwh: float, life: int) -> Column:
+    """How far a tariff lies above the cost of own energy at a household's discount rate, on a logistic scale."""
+    annuity = rate * F.pow(1 + rate, life) / (F.pow(1 + rate, life) - 1)
+    return 1 / (1 + F.exp(-10 * (tariff - cost * annuity / kwh)))
+
+
+def adoption_rounds(agents: DataFrame, agent: str, rate: str, lat: str, lon: str, years: Sequence[int], runs: int, cost: float, tariff: float, km: float, cost_fall: float = 0.04, tariff_rise: float = 0.0, kwh: float = 1280.0, life: int = 25) -> DataFrame:
+    """``run, agent, year``: the year in which each household adopts in each run, null if it never does.
+
+    A household adopts when the weighted sum of its economic utility, the share of its neighbours (within ``km``, itself included)
+    that had adopted the year before, and awareness with noise exceeds a noisy threshold. A year is one round: a join
+    with the neighbours that adopted so far, of all runs at once. Draws are functions of household, year and run,
+    so neither partitions nor lost executors change the result. ``agent`` is an integer.
+    """
+    from wattspan.operators.features import close_pairs
+    from wattspan.operators.stored import stored
+
+    one = close_pairs(agents, agent, lat, lon, km).select("a", "b")
+    near = stored(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neighbours")
+    many = near.groupBy(F.col("a").alias("agent")).agg((F.count("*") + 1).alias("_near"))
+    people = agents.select(F.col(agent).cast("long").alias("agent"), F.col(rate).alias("_rate")).join(many, "agent", "left")
+    state = stored(people.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))).withColumn("year", F.lit(None).cast("long")), "adoption")
+    for year in years:
+        t = year - years[0]
+        adopted = state.where("year IS NOT NULL").select("run", F.col("agent").alias("b"))
+        beside = near.join(adopted, "b").groupBy("run", F.col("a").alias("agent")).agg(F.count("*").alias("_peers"))
+        y = F.lit(year).cast("long")
+        social = F.coalesce(F.col("_peers") / F.col("_near"), F.lit(0.0))
+        aware = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1 / (1 + math.exp(-0.3 * (t - 10)))) + normal_draw(F.col("agent"), y, F.col("run"), 1, 0.1)))
+        economic = economic_utility(F.col("_rate"), F.lit(cost * (1 - cost_fall) ** t), F.lit(tariff * (1 + tariff_rise) ** t), kwh, life)
+        utility = ECONOMIC * economic + SOCIAL * social + AWARE * aware
+        takes = utility > THRESHOLD + normal_draw(F.col("agent"), y, F.col("run"), 3, 0.05)
+        joined = state.join(beside, ["run", "agent"], "left")
+        state = stored(joined.select("agent", "_rate", "_near", "run", F.coalesce("year", F.when(takes, y)).alias("year")), "adoption")
+    return state.select("run", "agent", "year")
+
+
+def penetration(adopted: DataFrame, years: Sequence[int]) -> DataFrame:
+    """``year, mean, low, high``: the share of households that have adopted by each year, over runs (with the 10th and 90th percentile
+    of the runs, of which there are few)."""
+    totals = adopted.groupBy("run").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("year") <= y, 1).otherwise(0)).alias(f"_{y}") for y in years])
+    each = totals.select("run", F.explode(F.array(*[F.struct(F.lit(y).alias("year"), (F.col(f"_{y}") / F.col("n")).alias("share")) for y in years])).alias("s")).select("run", "s.*")
+    return each.groupBy("year").agg(F.avg("share").alias("mean"), F.percentile("share", F.lit(0.1)).alias("low"), F.percentile("share", F.lit(0.9)).alias("high"))

@@ -166,3 +166,62 @@ def density_clusters(points: DataFrame, id_col: str, lat: str, lon: str, km: flo
 
     edges = close_pairs(points, id_col, lat, lon, km).select("a", "b")
     return connected_components(edges, points.select(F.col(id_col).alias("node")))
+
+
+def _squared(columns: Sequence[str], centre: Sequence[float]) -> Column:
+    out = F.lit(0.0)
+    for c, v in zip(columns, centre, strict=True):
+        out = out + (F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v)))
+    return out
+
+
+def farthest_first(points: DataFrame, id_col: str, columns: Sequence[str], k: int) -> list[tuple[float, ...]]:
+    """``k`` seeds: the point of least id, then always the point farthest from all seeds (ties by id); fewer if points repeat.
+    A seed is one pass without a shuffle of points, and the driver holds ``k`` points."""
+    at = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    first = points.agg(F.min_by(at, id_col)).first()[0]
+    seeds = [] if first is None else [tuple(first)]
+    while seeds and len(seeds) < k:
+        apart = [_squared(columns, s) for s in seeds]
+        far = F.least(*apart) if len(apart) > 1 else apart[0]
+        best = points.agg(F.max(F.struct(far.alias("d"), (-F.col(id_col)).alias("i"), at.alias("p")))).first()[0]
+        if best["d"] <= 0:
+            break
+        seeds.append(tuple(best["p"]))
+    return seeds
+
+
+def inertias(points: DataFrame, id_col: str, columns: Sequence[str], min_k: int, max_k: int, rounds: int = 10) -> list[tuple[int, float]]:
+    """``(k, sum of squared distances to the nearest of k centres)`` for all k at once.
+
+    The first k seeds serve k, so one set of seeds serves all. Every round of moving centres to their members' means, and the
+    last sum, is one pass over the points for all k together; what is grouped is k and the centre, not points.
+    """
+    points = points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    seeds = farthest_first(points, id_col, columns, max_k)
+    centres = {k: list(seeds[:k]) for k in range(min_k, min(max_k, len(seeds)) + 1)}
+    nearest_of = lambda cs: F.least(*[F.struct(_squared(columns, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(cs)]) if len(cs) > 1 else F.struct(_squared(columns, cs[0]).alias("d"), F.lit(0).alias("i"))
+    for _ in range(rounds if centres else 0):
+        every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), nearest_of(cs)["i"].alias("i")) for k, cs in centres.items()])).alias("s")
+        moved = points.select(*columns, every).groupBy("s.k", "s.i").agg(*[F.avg(c).alias(c) for c in columns]).collect()  # a row a k and a centre
+        new = {k: list(cs) for k, cs in centres.items()}
+        for r in moved:
+            new[r["k"]][r["i"]] = tuple(r[c] for c in columns)
+        if new == centres:
+            break
+        centres = new
+    if not centres:
+        return []
+    total = points.agg(*[F.sum(nearest_of(cs)["d"]).alias(f"k{k}") for k, cs in centres.items()]).first()
+    return [(k, total[f"k{k}"]) for k in centres]
+
+
+def elbow(curve: Sequence[tuple[int, float]]) -> int | None:
+    """The k whose inertia lies farthest from the chord between the first and the last, both axes scaled to [0, 1]."""
+    if len(curve) < 3:
+        return curve[0][0] if curve else None
+    (k0, y0), (k1, y1) = curve[0], curve[-1]
+    scaled = [((k - k0) / max(k1 - k0, 1e-12), (y - y1) / max(y0 - y1, 1e-12)) for k, y in curve]
+    dx, dy = scaled[-1][0] - scaled[0][0], scaled[-1][1] - scaled[0][1]
+    apart = [abs(dy * (x - scaled[0][0]) - dx * (y - scaled[0][1])) / math.hypot(dx, dy) for x, y in scaled]
+    return curve[apart.index(max(apart))][0]

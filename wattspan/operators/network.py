@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.operators.metrics import ratio
+from wattspan.operators.stored import stored
+from wattspan.operators.trees import hanging_edges
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a folder of its own only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wattspan-"))
-    return df.checkpoint()
+    """Cut lineage by a table in the folder that the session names."""
+    return stored(df, "network")
 
 
 def merge_parallel(lines: DataFrame, a: str, b: str, x: str, r: str, cap: str) -> DataFrame:
@@ -34,20 +31,11 @@ def degrees(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def prune_leaves(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
-    """Edges ``a, b`` without the trees that hang on the network; protected nodes (``node``) stay.
-    One layer of leaves goes a round, until nothing changes."""
-    edges = _checkpointed(edges)
-    n = edges.count()
-    while True:
-        leaves = degrees(edges).where("degree = 1").select("node")
-        if protected is not None:
-            leaves = leaves.join(protected, "node", "left_anti")
-        left = edges.join(leaves, edges["a"] == leaves["node"], "left_anti")
-        edges = _checkpointed(left.join(leaves.withColumnRenamed("node", "n2"), F.col("b") == F.col("n2"), "left_anti"))
-        before, n = n, edges.count()
-        if n == before:
-            break
-    return edges
+    """Edges ``a, b`` without the trees that hang on the network; protected nodes (``node``) stay, and what leads to them.
+    Parallel edges and loops are cycles. Rounds grow with the logarithm of the network, not with a feeder's length."""
+    numbered = stored(edges.withColumn("_id", F.monotonically_increasing_id()), "pruned")
+    hanging = hanging_edges(numbered.select(F.col("_id").alias("id"), "a", "b"), protected)
+    return numbered.join(hanging.withColumnRenamed("id", "_id"), "_id", "left_anti").drop("_id")
 
 
 def series_chains(edges: DataFrame, a: str, b: str, x: str, cap: str, protected: DataFrame | None = None) -> DataFrame:
