@@ -2,9 +2,11 @@
 
 import textwrap
 
+import duckdb
+import pandas as pd
 import pytest
 
-from wattspan.llm import licenses
+from wattspan.llm import licenses, queries
 
 WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
@@ -39,8 +41,9 @@ BSDS = {"BSD-2-Clause": (SOURCE, BINARY), "BSD-3-Clause": (SOURCE, BINARY, ENDOR
 
 
 def shapes(paragraphs):
-    """The same paragraphs on one line each, wrapped at two widths, and wrapped in comments."""
+    """The same paragraphs on one line each, on one line in all, wrapped at two widths, and wrapped in comments."""
     yield "\n\n".join(paragraphs)
+    yield " ".join(paragraphs)
     for width in (72, 50):
         wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
         yield wrapped
@@ -78,3 +81,42 @@ def test_names_and_tags(spark):
     plain = ["The license plate was under the car.", "Permission was granted. You may not use this file.", "We walked under the bridge; nobody was liable."]
     none = licenses.recognise(spark.createDataFrame(list(enumerate(plain)), "doc_id bigint, text string")).collect()
     assert {r["licenses"] for r in none} == {""}
+
+
+EXPRESSIONS = {
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+    "// SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+    "/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause) */": "BSD-2-Clause,GPL-2.0-only",
+    "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only",
+    "SPDX-License-Identifier: LGPL-2.1-or-later AND MIT": "LGPL-2.1-or-later,MIT",
+    "SPDX-License-Identifier: CC-BY-SA-4.0.": "CC-BY-SA-4.0",
+    "SPDX-License-Identifier: EPL-2.0 OR GPL-3.0-or-later WITH Classpath-exception-2.0": "EPL-2.0,GPL-3.0-or-later",
+    "x SPDX-License-Identifier: ISC Some words follow": "ISC",
+    "SPDX-License-Identifier: MPL-2.0+": "MPL-2.0-or-later",
+}
+SENTENCES = {
+    "Licensed under the Apache License, version 2.0 and the MIT license.": "Apache-2.0,MIT",
+    "Released under the MIT license or the BSD 3-Clause License": "BSD-3-Clause,MIT",
+    "This file is licensed under the GNU General Public License version 3 and/or the ISC license": "GPL-3.0-only,ISC",
+    "Copyright 2020 Somebody. All rights reserved.": "",
+    "It is not licensed under the MIT license.": "",
+}
+
+
+def test_expressions_and_several_names(spark):
+    rows = [*EXPRESSIONS.items(), *SENTENCES.items()]
+    got = {r["doc_id"]: r for r in licenses.recognise(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    assert [(t, got[i]["licenses"]) for i, (t, want) in enumerate(rows) if got[i]["licenses"] != want] == []
+    assert all(got[i]["unknown_sentences"] == 0 and got[i]["n_license_sentences"] == (1 if want else 0) for i, (_, want) in enumerate(rows))
+    odd = licenses.recognise(spark.createDataFrame([(1, "SPDX-License-Identifier: Nobody-1.0 OR MIT")], "doc_id bigint, text string")).first()
+    assert (odd["n_license_sentences"], odd["licenses"], odd["unknown_sentences"]) == (1, "MIT", 1)
+
+
+def test_sql_finds_the_same(spark, recognised):
+    texts = [t for _, t in cases()] + [*EXPRESSIONS, *SENTENCES, None, "", "SPDX-License-Identifier: Nobody-1.0"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["op7_license_sentences"]).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.recognise(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [(texts[i], got[i], want[i]) for i in got if got[i] != want[i]] == []

@@ -1,12 +1,16 @@
 """Licence recognition by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences, at line ends and after ``.``, ``;``, ``!`` and ``?`` before white space. A
+A text is cut into sentences, at line ends and after ``.``, ``;``, ``:``, ``!`` and ``?`` before white space. A
 sentence is normalised to lower-case ASCII words and mapped to the identifier of a known licence sentence.
 A known sentence may also be wrapped: it then fills several whole lines, without a blank line or an end of
-a sentence between them; marks of comments are no words. Of the sentences that begin at a line the longest counts.
+a sentence between them; marks of comments are no words. One of ``LONG_SENTENCE`` words or more may stand behind other
+words of its line, as it does where a whole notice is one line. Of the sentences that begin at a line the longest counts.
 The document's identifiers, in order, are matched against ordered rules: a rule is a sequence of
 identifiers that must follow each other, and what it matches is taken out before the next rule looks, so
-longer and more specific rules stand first. Identifiers that no rule takes are reported as unknown.
+longer and more specific rules stand first. Identifiers that no rule takes are reported as unknown. A sentence
+that names several licences ("under the A and the B license") is one sentence with an identifier for each. Tags
+(``SPDX-License-Identifier:``) are read as expressions: each licence of ``AND`` and ``OR`` counts, an exception after
+``WITH`` does not, ``+`` is ``-or-later``; a licence that is not known is an unknown sentence.
 
 Only texts that hold one of ``ANCHORS`` are normalised; every known sentence holds one, so
 none is missed (a test checks it). Null and empty texts have no licence. Rows that repeat, or have a null
@@ -55,12 +59,6 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4-short",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4-short",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-short",
-    "spdx license identifier apache 2 0": "apache2-short",
-    "spdx license identifier mit": "mit-short",
-    "spdx license identifier gpl 3 0 only": "gpl3-short",
-    "spdx license identifier gpl 2 0 only": "gpl2-short",
-    "spdx license identifier bsd 3 clause": "bsd3-short",
-    "all rights reserved": "reserved",
 }
 # SPDX identifiers and the names that notices use, normalised.
 NAMES = {
@@ -121,9 +119,9 @@ def normal(text: str) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", text.lower()))
 
 
-# A notice of each name by each phrase, and the tag of each identifier, are sentences of the identifier ``spdx:<id>``.
+# A notice of each name by each phrase is a sentence of the identifier ``spdx:<id>``.
 for _id, _names in NAMES.items():
-    for _sentence in [f"{p} {n}" for n in _names for p in PHRASES] + [f"spdx license identifier {normal(_id)}"]:
+    for _sentence in [f"{p} {n}" for n in _names for p in PHRASES]:
         SENTENCES.setdefault(_sentence, f"spdx:{_id}")
 
 _MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
@@ -223,17 +221,49 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa4-short"]),
     ("CC-BY-NC-4.0", ["ccbync4-short"]),
     ("CC-BY-ND-4.0", ["ccbynd4-short"]),
-    ("All rights reserved", ["reserved"]),
 ]
+# Names that are spelled out in notices of several licences, beside ``NAMES``.
+SPELLED = {
+    "gnu general public license version 2": "GPL-2.0-only",
+    "gnu general public license version 3": "GPL-3.0-only",
+    "gnu lesser general public license version 3": "LGPL-3.0-only",
+    "gnu affero general public license version 3": "AGPL-3.0-only",
+    "mozilla public license version 2 0": "MPL-2.0",
+    **{name: licence for licence, names in NAMES.items() for name in names},
+}
+# Families that have "only" and "or later", and other identifiers of tags beside ``NAMES``.
+FAMILIES = ("AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")
+OTHERS = ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")
+TAGS = {x.lower(): x for x in [*NAMES, *OTHERS, *(f"{f}-{e}" for f in FAMILIES for e in ("only", "or-later"))]}
+TAGS |= {f.lower(): f"{f}-only" for f in FAMILIES} | {f"{f.lower()}+": f"{f}-or-later" for f in FAMILIES} | {f"{x.lower()}+": f"{x}-or-later" for x in [*NAMES, *OTHERS] if not x.endswith("-only")}
 #: What one sentence says by itself is taken out after the rules above.
-SINGLE = [(k, f"spdx:{k}") for k in NAMES]
-ANCHORS = ("licen", "permi", "warrant", "redistribut", "copyright", "spdx", "reserved", "under the", "unencumbered", "liable", "advertising", "anyone is free", "names of its", "copy of the mpl")
+SINGLE = [(k, f"spdx:{k}") for k in sorted({*NAMES, *SPELLED.values(), *TAGS.values()})]
+#: A tag and its expression, in lower case.
+TAG_ID = r"\(*[a-z0-9][a-z0-9.+-]*\)*"
+TAG = rf"spdx-license-identifier:[ \t]*({TAG_ID}(?:[ \t]+(?:and|or|with)[ \t]+{TAG_ID})*)"
+ANCHORS = ("licen", "permi", "warrant", "redistribut", "copyright", "spdx", "under the", "unencumbered", "liable", "advertising", "anyone is free", "names of its", "copy of the mpl")
 #: A sentence ends here, line ends apart. White space is ASCII, so that other engines cut alike.
-ENDS = r"[.;!?](?=[\x20\x09-\x0D]|$)|:(?=\n|$)"
-#: A list mark in brackets at the start of a line, behind marks of comments: it is no word.
-LIST_MARK = r"(?m)^([^a-z0-9\n]*)\(?(?:[0-9]{1,2}|[a-z])\) "
-#: A known sentence, the longest first, from one end to another; its words may stand on several lines.
-KNOWN = r"(?<![^|\n])(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted({**SENTENCES, **WHOLE, **TEXTS}, key=len, reverse=True)) + r")(?![^|\n])"
+ENDS = r"[.;:!?](?=[\x20\x09-\x0D]|$)"
+#: A list mark in brackets at the start of a line or sentence, behind marks of comments: it is no word.
+LIST_MARK = r"(^|[|\n])([^a-z0-9|\n]*)\(?(?:[0-9]{1,2}|[a-z])\) "
+SENTENCE_IDS = {**SENTENCES, **WHOLE, **TEXTS}
+_NAME = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+#: A sentence that names several licences.
+SEVERAL = f"(?:{'|'.join(sorted(PHRASES, key=len, reverse=True))}) {_NAME}(?: (?:and or|and|or) (?:the )?{_NAME})+"
+
+
+#: A known sentence of so many words counts also behind words without an end of their own, as titles in reflowed texts are.
+LONG_SENTENCE = 10
+
+
+def known(space: str, least_words: int = 0) -> str:
+    """Known sentences, the longest first, their words parted by ``space``; first those that name several licences."""
+    several = [] if least_words else [SEVERAL.replace(" ", space)]
+    return "|".join([*several, *(s.replace(" ", space) for s in sorted(SENTENCE_IDS, key=len, reverse=True) if s.count(" ") + 1 >= least_words)])
+
+
+#: A known sentence from one end to another; its words may stand on several lines.
+KNOWN = rf"(?:(?<![^|\n])(?:{known('[ \n]')})|(?<= )(?:{known('[ \n]', LONG_SENTENCE)}))(?![^|\n])"
 
 
 def has_anchor(lowered: Column) -> Column:
@@ -245,17 +275,39 @@ def has_anchor(lowered: Column) -> Column:
 
 def normalise(lowered: Column) -> Column:
     """Words of a lower-case text; ``|`` where a sentence ends or lines are blank, a line feed at other line ends."""
-    cut = F.regexp_replace(F.regexp_replace(F.translate(lowered, "|", "-"), LIST_MARK, "$1"), ENDS, "|")
-    lines = F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9|\n]+", " "), r" ?([|\n]) ?", "$1")
+    cut = F.regexp_replace(F.translate(lowered, "|", "-"), ENDS, "|")
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, LIST_MARK, "$1$2"), r"[^a-z0-9|\n]+", " "), r" ?([|\n]) ?", "$1")
     return F.regexp_replace(F.trim(lines), r"\n*\|[|\n]*|\n\n+", "|")
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
+def tag_ids(lowered: Column) -> Column:
+    """For each tag, the identifiers of the licences that its expression names."""
+    tags, names = F.regexp_extract_all(lowered, F.lit(TAG), F.lit(1)), _table(TAGS)
+
+    def licences(tag: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(tag, r"[()]", ""), r"[ \t]+with[ \t]+[^ \t]+", ""), r"\.$", "")
+        parts = F.split(bare, r"[ \t]+(?:and|or)[ \t]+")
+        return F.transform(parts, lambda p: F.concat(F.lit("spdx:"), F.coalesce(F.try_element_at(names, p), F.lit("?"))))
+
+    return F.transform(tags, licences)
+
+
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for pair in {**SENTENCES, **WHOLE, **TEXTS}.items() for x in pair))
-    found = F.regexp_extract_all(normalise(F.lower(text)), F.lit(KNOWN), F.lit(0))
-    ids = F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
-    return F.when(has_anchor(F.lower(text)), ids).otherwise(F.array().cast("array<string>"))
+    """For each known sentence and tag of a text, in order (tags last), its identifiers."""
+    lowered, ids, names = F.lower(text), _table(SENTENCE_IDS), _table(SPELLED)
+    found = F.regexp_extract_all(normalise(F.regexp_replace(lowered, TAG, ".\n")), F.lit(KNOWN), F.lit(0))
+
+    def of(sentence: Column) -> Column:
+        s = F.replace(sentence, F.lit("\n"), F.lit(" "))
+        several = F.transform(F.regexp_extract_all(s, F.lit(f"({_NAME})"), F.lit(1)), lambda n: F.concat(F.lit("spdx:"), F.try_element_at(names, n)))
+        return F.when(F.try_element_at(ids, s).isNotNull(), F.array(F.try_element_at(ids, s))).otherwise(several)
+
+    every = F.concat(F.transform(found, of), tag_ids(lowered))
+    return F.when(has_anchor(lowered), every).otherwise(F.array().cast("array<array<string>>"))
 
 
 def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +315,8 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(text).alias("ids"))
     # Identifiers stand between double blanks: a rule's own blanks then never overlap the next one's.
-    out = out.select("doc_id", F.size("ids").cast("long").alias("n_license_sentences"), F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit(" "))), " ")).alias("left"), F.array().cast("array<string>").alias("found"))
+    joined = F.array_join(F.transform(F.flatten("ids"), lambda i: F.concat(i, F.lit(" "))), " ")
+    out = out.select("doc_id", F.size("ids").cast("long").alias("n_license_sentences"), F.concat(F.lit(" "), joined).alias("left"), F.array().cast("array<string>").alias("found"))
     for name, ids in RULES:
         sought = " " + "  ".join(ids) + " "
         out = out.select("doc_id", "n_license_sentences", F.replace("left", F.lit(sought), F.lit("|")).alias("left"), F.when(F.contains("left", F.lit(sought)), F.array_append("found", F.lit(name))).otherwise(F.col("found")).alias("found"))

@@ -102,29 +102,41 @@ def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items()) + "}"
-    anchors = " OR ".join(f"contains(lower(s), '{a}')" for a in licenses.ANCHORS)
+    """Sentences by steps that this engine has: without look-around, so ends are doubled and taken with the sentences."""
+    pairs = lambda table: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+    anchors = " OR ".join(f"contains(t, '{a}')" for a in licenses.ANCHORS)
+    gap = r"(?: |\n\n)"
+    pattern = rf"(?:\n(?:{licenses.known(gap)})| (?:{licenses.known(gap, licenses.LONG_SENTENCE)}))\n"
+    singles = {i: name for name, i in licenses.SINGLE}
     steps, last = [], "seqs"
     for i, (name, ids) in enumerate(licenses.RULES):
         sought = " " + "  ".join(ids) + " "
-        steps.append(f"r{i} AS (SELECT doc_id, n, replace(rest, '{sought}', '|') AS rest, CASE WHEN contains(rest, '{sought}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
+        steps.append(f"r{i} AS (SELECT rn, doc_id, n, replace(rest, '{sought}', '|') AS rest, CASE WHEN contains(rest, '{sought}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"r{i}"
-    return f"""
-WITH parts AS (
-  SELECT doc_id, rn, unnest(string_split_regex(coalesce(text, ''), '\n|[.;!?]([\x20\x09-\x0D]|$)|:(\n|$)')) AS s,
-         generate_subscripts(string_split_regex(coalesce(text, ''), '\n|[.;!?]([\x20\x09-\x0D]|$)|:(\n|$)'), 1) AS k
-  FROM (SELECT *, row_number() OVER () AS rn FROM documents)
-), named AS (
-  SELECT rn, k, {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))] AS id FROM parts WHERE {anchors}
-), lists AS (
-  SELECT rn, list(id ORDER BY k) AS ids FROM named WHERE id IS NOT NULL GROUP BY rn
+    names = f"({licenses._NAME})"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, lower(coalesce(text, '')) AS t FROM documents
+), held AS (
+  SELECT rn, t, regexp_replace(replace(regexp_replace(t, '{licenses.TAG}', E'.\n', 'g'), '|', '-'), '[.;:!?]([\x20\x09-\x0D]|$)', '|\1', 'g') AS c FROM d WHERE {anchors}
+), lines AS (
+  SELECT rn, t, trim(regexp_replace(regexp_replace(regexp_replace(c, '(^|[|\n])([^a-z0-9|\n]*)\(?(?:[0-9]{{1,2}}|[a-z])\) ', '\1\2', 'g'), '[^a-z0-9|\n]+', ' ', 'g'), ' ?([|\n]) ?', '\1', 'g')) AS l FROM held
+), norm AS (
+  SELECT rn, t, regexp_replace(l, '\n*\|[|\n]*|\n\n+', '|', 'g') AS s FROM lines
+), hits AS (
+  SELECT rn, t, list_transform(regexp_extract_all(chr(10) || replace(replace(s, chr(10), chr(10) || chr(10)), '|', chr(10) || '|' || chr(10)) || chr(10), '{pattern}', 0), lambda x: replace(trim(x, ' ' || chr(10)), chr(10) || chr(10), ' ')) AS h FROM norm
+), ids AS (
+  SELECT rn, list_concat(
+    list_transform(h, lambda x: CASE WHEN {pairs(licenses.SENTENCE_IDS)}[x] IS NOT NULL THEN [{pairs(licenses.SENTENCE_IDS)}[x]] ELSE list_transform(regexp_extract_all(x, '{names}', 1), lambda n: 'spdx:' || {pairs(licenses.SPELLED)}[n]) END),
+    list_transform(regexp_extract_all(t, '{licenses.TAG}', 1), lambda e: list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(e, '[()]', '', 'g'), '[ \t]+with[ \t]+[^ \t]+', '', 'g'), '\.$', ''), '[ \t]+(?:and|or)[ \t]+'), lambda p: 'spdx:' || coalesce({pairs(licenses.TAGS)}[p], '?')))) AS ids
+  FROM hits
 ), seqs AS (
-  SELECT d.doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n, ' ' || coalesce(array_to_string(list_transform(ids, lambda x: x || ' '), ' '), '') AS rest, CAST([] AS VARCHAR[]) AS found
-  FROM (SELECT doc_id, row_number() OVER () AS rn FROM documents) d LEFT JOIN lists USING (rn)
+  SELECT rn, doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n, ' ' || coalesce(array_to_string(list_transform(flatten(ids), lambda x: x || ' '), ' '), '') AS rest, CAST([] AS VARCHAR[]) AS found
+  FROM d LEFT JOIN ids USING (rn)
 ), {", ".join(steps)}
 SELECT doc_id, n AS n_license_sentences,
-       array_to_string(list_sort(list_distinct(list_concat(found, list_transform(list_filter(left_over, lambda x: starts_with(x, 'spdx:')), lambda x: substr(x, 6))))), ',') AS licenses,
-       CAST(len(list_filter(left_over, lambda x: NOT starts_with(x, 'spdx:'))) AS BIGINT) AS unknown_sentences
+       array_to_string(list_sort(list_distinct(list_concat(found, list_filter(list_transform(left_over, lambda x: {pairs(singles)}[x]), lambda x: x IS NOT NULL)))), ',') AS licenses,
+       CAST(len(list_filter(left_over, lambda x: {pairs(singles)}[x] IS NULL)) AS BIGINT) AS unknown_sentences
 FROM (SELECT *, list_filter(string_split_regex(rest, '[ |]+'), lambda x: x <> '') AS left_over FROM {last})
 """
 
