@@ -38,4 +38,5 @@ def test_same_rows(spark, sql, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, str(DATA)).count() >= 0
+    """Queries without SQL give rows; other tests hold their operators against plain versions."""
+    assert catalog.QUERIES[name](spark, str(DATA)).count() > 0

@@ -1,10 +1,12 @@
 """Network queries and operators over whole tables, against plain versions."""
 
 import numpy as np
+import pytest
 from conftest import DATA
 
 from wattspan import catalog
 from wattspan.operators import network as net
+from wattspan.operators import security
 from wattspan.queries import planning
 
 
@@ -74,3 +76,25 @@ def test_long_feeders_are_pruned_and_contracted_to_the_end(spark):
     chain = spark.createDataFrame([(i, i + 1, 0.1, 50.0 + i) for i in range(60)], "a int, b int, x double, c double")
     (r,) = net.series_chains(chain, "a", "b", "x", "c").collect()
     assert {r["a"], r["b"]} == {0, 60} and abs(r["x"] - 6.0) < 1e-9 and r["cap"] == 50.0
+
+
+def test_updates_of_a_factored_network_are_what_solving_anew_gives():
+    rng = np.random.default_rng(5)
+    for n, m in ((6, 9), (8, 7), (5, 5)):
+        ends = np.array([rng.choice(n, 2, replace=False) for _ in range(m)])
+        x = rng.uniform(0.1, 1, m)
+        inj = rng.normal(size=n)
+        net_ = security.Factored(ends, x, inj - inj.mean())
+        for lost in [[k] for k in range(m)] + [[j, k] for j in range(m) for k in range(m) if j != k]:
+            keep = np.setdiff1d(np.arange(m), lost)
+            np.testing.assert_allclose(net_.after(lost), security.dc_flows(ends[keep], x[keep], inj - inj.mean()), atol=1e-8)
+
+
+def test_outage_factors_of_a_mesh_with_a_cut(spark):
+    lines = [(1, 1, 1, 2, 0.2), (1, 2, 2, 3, 0.3), (1, 3, 1, 3, 0.5), (1, 4, 3, 4, 0.1)]
+    got = {(r["line"], r["outage"]): r["lodf"] for r in security.outage_factors(spark.createDataFrame(lines, "net int, line long, a long, b long, x double"), "net").collect()}
+    assert got[1, 1] == -1 and got[3, 1] == pytest.approx(1) and got[2, 1] == pytest.approx(-1) and got[4, 1] == pytest.approx(0)
+    assert all(got[k, 4] is None for k in (1, 2, 3)) and got[4, 4] == -1
+    inj = spark.createDataFrame([(1, 1, 3.0), (1, 4, -3.0)], "net int, bus long, mw double")
+    flows = {r["line"]: r["flow"] for r in security.mesh_flows(spark.createDataFrame(lines, "net int, line long, a long, b long, x double"), inj, "net").collect()}
+    assert flows == pytest.approx({1: 1.5, 2: 1.5, 3: 1.5, 4: 3.0})

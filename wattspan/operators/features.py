@@ -66,3 +66,11 @@ def chain_order(edges: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Consecutive points of a line as segments."""
     w = Window.partitionBy(*keys).orderBy(position)
     return edges.withColumn("next_lat", F.lead("lat").over(w)).withColumn("next_lon", F.lead("lon").over(w)).where("next_lat IS NOT NULL").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon")))
+
+
+def capped(df: DataFrame, minor: Column, order: Sequence[Column], most: int) -> DataFrame:
+    """All features that are not ``minor``, and so many of the minor ones, in order, that there are ``most`` in all. The greater part
+    is never cut, so there may be more."""
+    kept = df.where(~minor)
+    room = max(0, most - kept.count())
+    return kept.unionByName(df.where(minor).orderBy(*order).limit(room))

@@ -49,3 +49,15 @@ def hydro_profile(spark: SparkSession, latitude: float, annual: float, hours: in
     rows = spark.range(hours).select(F.col("id").cast("int").alias("hour")).withColumn("_s", sc.hydro_shape(F.col("hour") / hours, latitude))
     mean = rows.agg(F.avg("_s").alias("_m"))
     return rows.join(F.broadcast(mean)).select("hour", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_s") * annual / F.col("_m"))).alias("cf"))
+
+
+def hydro_profiles(units: DataFrame, unit: str, latitude: str, annual: str, hours: int = HOURS) -> DataFrame:
+    """Run-of-river availability of each unit by its latitude, with its annual mean before it is cut at 1."""
+    lat, t = F.col(latitude), F.col("hour") / hours
+    north, south, tropic = (sc.hydro_shape(t, x) for x in (45.0, -45.0, 0.0))
+    kind = F.when(F.abs(lat) < 10, "tropic").when(lat >= 0, "north").otherwise("south")
+    rows = units.select(unit, kind.alias("_kind"), F.col(annual).alias("_annual")).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
+    shape = F.when(F.col("_kind") == "tropic", tropic).when(F.col("_kind") == "north", north).otherwise(south)
+    means = units.sparkSession.range(hours).select(F.col("id").alias("hour")).agg(*[F.avg(s).alias(k) for k, s in (("north", north), ("south", south), ("tropic", tropic))]).first()  # three numbers
+    mean = F.when(F.col("_kind") == "tropic", means["tropic"]).when(F.col("_kind") == "north", means["north"]).otherwise(means["south"])
+    return rows.select(unit, "hour", F.least(F.lit(1.0), F.greatest(F.lit(0.0), shape * F.col("_annual") / mean)).alias("cf"))

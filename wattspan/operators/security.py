@@ -59,6 +59,84 @@ def dc_flows(ends: np.ndarray, x: np.ndarray, injection: np.ndarray) -> np.ndarr
     return (angle[ends[:, 0]] - angle[ends[:, 1]]) / x if len(ends) else np.zeros(0)
 
 
+class Factored:
+    """A network solved once: flows by its injections, and ``across[l, m]``, the flow on l by one unit sent along m's ends.
+
+    Each island is factored by itself; where its injections do not balance, flows are NaN.
+    """
+
+    def __init__(self, ends: np.ndarray, x: np.ndarray, injection: np.ndarray):
+        self.ends, self.x, self.injection = ends, x, injection
+        self.flow = dc_flows(ends, x, injection)
+        n, a, b, y = len(injection), ends[:, 0], ends[:, 1], 1 / x
+        lap = np.zeros((n, n))
+        for i, j, v in ((a, a, y), (b, b, y), (a, b, -y), (b, a, -y)):
+            np.add.at(lap, (i, j), v)
+        # One bus of each island is the reference: the least that a walk along the lines reaches.
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        inner = np.flatnonzero(label != np.arange(n))
+        angle = np.zeros((n, n))
+        angle[np.ix_(inner, inner)] = np.linalg.inv(lap[np.ix_(inner, inner)])
+        sent = angle[:, a] - angle[:, b]
+        self.across = (sent[a] - sent[b]) / x[:, None]
+
+    def after(self, lost: list[int]) -> np.ndarray:
+        """Flows without one or two lines, by an update of that rank; solved anew only where their loss parts an island."""
+        keep = np.setdiff1d(np.arange(len(self.x)), lost)
+        own = np.eye(len(lost)) - self.across[np.ix_(lost, lost)]
+        if abs(np.linalg.det(own)) < 1e-9:
+            return dc_flows(self.ends[keep], self.x[keep], self.injection)
+        along = self.across[np.ix_(keep, lost)]
+        moved = np.where(np.abs(along).max(axis=1) < 1e-12, 0.0, along @ np.linalg.solve(own, self.flow[lost]))
+        return self.flow[keep] + moved
+
+
+def mesh_flows(lines: DataFrame, injections: DataFrame, key: str) -> DataFrame:
+    """``key, line, flow`` of many networks, one a task: ``lines`` (key, line, a, b, x) and ``injections`` (key, bus, mw)."""
+    return _solved(lines, injections, key, "flow double", lambda net, names: pd.DataFrame({"line": names, "flow": net.flow}))
+
+
+def outage_factors(lines: DataFrame, key: str) -> DataFrame:
+    """``key, line, outage, lodf``: the share of the lost line's flow that each other line takes, -1 for itself and null where
+    the loss parts an island. A network is factored once and is one task."""
+    none = lines.select(key, F.col("a").alias("bus"), F.lit(0.0).alias("mw")).distinct()
+
+    def factors(net: Factored, names: np.ndarray) -> pd.DataFrame:
+        own = 1 - np.diag(net.across)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f = np.where(np.abs(own)[None, :] < 1e-9, np.nan, net.across / own[None, :])
+        np.fill_diagonal(f, -1.0)
+        n = len(names)
+        return pd.DataFrame({"line": np.repeat(names, n), "outage": np.tile(names, n), "lodf": f.ravel()})
+
+    out = _solved(lines, none, key, "outage long, lodf double", factors)
+    return out.withColumn("lodf", F.nanvl("lodf", F.lit(None).cast("double")))
+
+
+def _solved(lines: DataFrame, injections: DataFrame, key: str, columns: str, use) -> DataFrame:
+    given = injections.groupBy(key).agg(F.collect_list(F.struct("bus", "mw")).alias("_mw"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("line", ignore_index=True)
+        mw = {r["bus"]: r["mw"] for r in p["_mw"].iloc[0]}
+        buses = sorted({*p["a"], *p["b"], *mw})
+        at = {n: i for i, n in enumerate(buses)}
+        ends = np.array([[at[a], at[b]] for a, b in zip(p["a"], p["b"], strict=True)])
+        rows = use(Factored(ends, p["x"].to_numpy(float), np.array([float(mw.get(n, 0.0)) for n in buses])), p["line"].to_numpy())
+        rows.insert(0, key, p[key].iloc[0])
+        return rows
+
+    return lines.join(given, key).groupBy(key).applyInPandas(run, f"{key} {dict(lines.dtypes)[key]}, line {dict(lines.dtypes)['line']}, {columns}")
+
+
 def line_losses(lines: DataFrame, injections: DataFrame, key: str, double: bool = False, stressed_pct: float = 0.0) -> DataFrame:
     """key, outage, second, line, flow, overload_pct for the loss of each line and, if ``double``, of each further line that is loaded to
     ``stressed_pct`` after it. ``lines``: key, line, a, b, x, cap; ``injections``: key, bus, mw. Flow is null where an island does not
@@ -76,10 +154,11 @@ def line_losses(lines: DataFrame, injections: DataFrame, key: str, double: bool
         ends = np.array([[at[a], at[b]] for a, b in zip(p["a"], p["b"], strict=True)])
         x, cap, names = p["x"].to_numpy(float), p["cap"].to_numpy(float), p["line"].to_numpy()
         out = []
+        net = Factored(ends, x, inj)
 
         def after(lost: list[int], second) -> np.ndarray:
             keep = np.setdiff1d(np.arange(len(names)), lost)
-            flow = dc_flows(ends[keep], x[keep], inj)
+            flow = net.after(lost)
             over = np.where((cap[keep] > 0) & (np.abs(flow) > cap[keep]), (np.abs(flow) / cap[keep] - 1) * 100, 0.0)
             out.append(pd.DataFrame({"outage": names[lost[0]], "second": second, "line": names[keep], "flow": flow, "overload_pct": over}))
             whole = np.zeros(len(names))

@@ -179,3 +179,11 @@ def storage_level(df: DataFrame, keys: Sequence[str], order: Sequence[str], char
     """State of charge after each step of a storage without self-discharge: a running sum."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("soc", initial + F.sum(eta_in * F.col(charge) * hours - F.col(discharge) * hours / eta_out).over(w))
+
+
+def subdivided(df: DataFrame, keys: Sequence[str], t: str, value: str, parts: int) -> DataFrame:
+    """``parts`` steps for each step, on the line to the next step's value; the last step of a series stays level. ``t`` counts
+    the finer steps."""
+    following = F.coalesce(F.lead(value).over(Window.partitionBy(*keys).orderBy(t)), F.col(value))
+    fine = df.withColumn("_n", following).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return fine.select(*keys, (F.col(t) * parts + F.col("_i")).alias(t), (F.col(value) + (F.col("_n") - F.col(value)) * F.col("_i") / parts).alias(value))

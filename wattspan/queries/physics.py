@@ -253,26 +253,28 @@ def complete_features(spark, d):
     return b.table(spark, d, "part").select(F.col("p_partkey").alias("part"), ft.complete(kind, F.col("p_brand"), size - 20, size - 10).alias("complete"))
 
 
-@query(f"WITH {UNITS} SELECT unit, CAST(h AS INTEGER) AS hour, CASE WHEN h >= unit * 7919 % 8000 AND h < unit * 7919 % 8000 + 504 THEN 0.0 ELSE round(0.85 / ((8760 - 504) / 8760.0), 8) END AS cf FROM units, range(0, 8760, 1) g(h) WHERE h % 24 = 0 OR (h >= unit * 7919 % 8000 AND h < unit * 7919 % 8000 + 504)")
+@query(f"WITH {UNITS}, x AS (SELECT unit, h // 24 AS day, CASE WHEN h >= unit * 7919 % 8000 AND h < unit * 7919 % 8000 + 504 THEN 0.0 ELSE 0.85 / ((8760 - 504) / 8760.0) END AS cf FROM units, range(0, 8760) g(h)) SELECT unit, CAST(day AS INTEGER) AS day, round(avg(cf), 8) AS cf, count(*) FILTER (cf = 0) AS out_hours FROM x GROUP BY 1, 2")
 def thermal_availability(spark, d):
-    """Planned outages of firm units: the first hour of each day, and all hours of the outage."""
-    x = pr.thermal_profile(b.units(spark, d), "unit", F.col("unit") * 7919 % 8000, 3.0, 0.85)
-    return x.where("hour % 24 = 0 OR cf = 0").select("unit", "hour", r("cf", 8).alias("cf"))
+    """Planned outages of firm units: each day's mean of all hours, and its hours out."""
+    x = pr.thermal_profile(b.units(spark, d), "unit", F.col("unit") * 7919 % 8000, 3.0, 0.85).withColumn("day", F.floor(F.col("hour") / 24).cast("int"))
+    return x.groupBy("unit", "day").agg(r(F.avg("cf"), 8).alias("cf"), F.count_if(F.col("cf") == 0).alias("out_hours"))
 
 
-@query("""WITH s AS (SELECT CAST(h AS INTEGER) AS hour, least(1.5, greatest(0.05, 0.6 + 0.5 * cos(2 * pi() * (h / 8760.0 - 0.40)))) AS north, least(1.5, greatest(0.05, 0.5 + 0.4 * sin(2 * pi() * (h / 8760.0 - 0.30)) + 0.3 * sin(4 * pi() * (h / 8760.0 - 0.05)))) AS tropic FROM range(8760) g(h))
-SELECT hour, round(least(1, north * 0.45 / avg(north) OVER ()), 6) AS north, round(least(1, tropic * 0.45 / avg(tropic) OVER ()), 6) AS tropic FROM s""")
+@query(f"""WITH {UNITS}, s AS (SELECT unit, h // 730 AS month, 0.3 + unit % 5 / 10.0 AS annual, CASE WHEN unit % 7 = 0 THEN 0.5 + 0.4 * sin(2 * pi() * (h / 8760.0 - 0.30)) + 0.3 * sin(4 * pi() * (h / 8760.0 - 0.05)) ELSE 0.6 + 0.5 * cos(2 * pi() * (h / 8760.0 - CASE WHEN unit % 2 = 0 THEN 0.40 ELSE 0.90 END)) END AS raw FROM units, range(0, 8760) g(h)),
+ c AS (SELECT *, least(1.5, greatest(0.05, raw)) AS shape FROM s) SELECT unit, CAST(month AS INTEGER) AS month, round(avg(least(1, greatest(0, shape * annual / m))), 6) AS cf FROM (SELECT *, avg(shape) OVER (PARTITION BY unit) AS m FROM c) GROUP BY 1, 2""")
 def hydro_availability(spark, d):
-    north, tropic = (pr.hydro_profile(spark, lat, 0.45).select("hour", r("cf", 6).alias(name)) for name, lat in (("north", 45.0), ("tropic", 5.0)))
-    return north.join(tropic, "hour")
+    """Run-of-river availability of each unit by its latitude, as means of blocks of 730 hours."""
+    lat = F.when(F.col("unit") % 7 == 0, 5.0).when(F.col("unit") % 2 == 0, 45.0).otherwise(-30.0)
+    u = b.units(spark, d).select("unit", lat.alias("lat"), (0.3 + F.col("unit") % 5 / 10.0).alias("annual"))
+    x = pr.hydro_profiles(u, "unit", "lat", "annual").withColumn("month", F.floor(F.col("hour") / 730).cast("int"))
+    return x.groupBy("unit", "month").agg(r(F.avg("cf"), 6).alias("cf"))
 
 
-@query(f"""WITH {SERIES}, m AS (SELECT category, list(value ORDER BY value) AS m FROM series WHERE event % 2 = 0 GROUP BY category), o AS (SELECT category, list(value * 1.5 + 10 ORDER BY value) AS o FROM series WHERE event % 2 = 0 GROUP BY category)
-SELECT event, round(value * 1.5 + 10, 3) AS corrected FROM series WHERE event % 2 = 0""")
+@query(f"WITH {SERIES} SELECT event, round(value * 1.5 + 10, 3) AS corrected FROM series")
 def quantile_mapping(spark, d):
-    """Bias correction towards a linear change of the same values gives that change between the matched points."""
-    s = b.series(spark, d).where("event % 2 = 0")
-    return ad.quantile_map(s, s.withColumn("value", F.col("value") * 1.5 + 10), ["category"], "value").select("event", r(F.when(F.col("corrected").isNotNull(), F.col("value") * 1.5 + 10), 3).alias("corrected"))
+    """Bias correction towards a linear change of the same values gives that change."""
+    s = b.series(spark, d)
+    return ad.quantile_map(s, s.withColumn("value", F.col("value") * 1.5 + 10), ["category"], "value").select("event", r("corrected", 3).alias("corrected"))
 
 
 @query(f"WITH {SERIES} SELECT category, count(*) AS n FROM series WHERE category IS NOT NULL AND NOT contains(category, 'log') GROUP BY category")

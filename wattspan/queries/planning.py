@@ -14,6 +14,7 @@ from wattspan.operators import joins as jn
 from wattspan.operators import network as net
 from wattspan.operators import planning as pl
 from wattspan.operators import risk as rk
+from wattspan.operators import security as se
 from wattspan.operators import temporal as t
 from wattspan.queries import DEMAND, GEN, GT, NODES, UNITS, query, r
 
@@ -127,15 +128,20 @@ def mga_l1_distance(spark, d):
     return pl.l1_distance(a, "brand", ["tech"], "v", "Brand#1").select("brand", r("distance", 6).alias("distance"))
 
 
-@query()
+_MODEL = "sin(6.2832 * ({0} - 0.5)) + 7 * pow(sin(6.2832 * ({1} - 0.5)), 2) + 0.1 * pow(6.2832 * ({2} - 0.5), 4) * sin(6.2832 * ({0} - 0.5))"
+_OUTPUTS = {"a": (1, 2, 3), "b": (4, 5, 6), "y0": (4, 2, 3), "y1": (1, 5, 3), "y2": (1, 2, 6)}
+_EFFECTS = " UNION ALL ".join(f"SELECT {j} AS dim, round(avg(b * (y{j} - a)) / any_value(v), 6) AS s1, round(avg((a - y{j}) * (a - y{j})) / (2 * any_value(v)), 6) AS st FROM f, v" for j in range(3))
+
+
+@query(f"""WITH f AS (SELECT {', '.join(f'{_MODEL.format(*(f"embedding[{i}]" for i in at))} AS {name}' for name, at in _OUTPUTS.items())} FROM embeddings),
+ v AS (SELECT (sum(a * a) + sum(b * b)) / (2 * count(*)) - pow((sum(a) + sum(b)) / (2 * count(*)), 2) AS v FROM f) {_EFFECTS}""")
 def sobol_indices(spark, d):
-    """First-order and total effects of a test function of three inputs; rows only."""
-    dims, n = 3, 256
-    x = pl.matrix_frame(spark, pl.sample_matrix(n, dims))
-    p = x.groupBy("row").pivot("dim", list(range(dims))).agg(F.first("value"))
-    y = F.sin(6.2832 * (F.col("0") - 0.5)) + 7 * F.pow(F.sin(6.2832 * (F.col("1") - 0.5)), 2) + 0.1 * F.pow(6.2832 * (F.col("2") - 0.5), 4) * F.sin(6.2832 * (F.col("0") - 0.5))
-    rows = p.select((F.col("row") % n).alias("base"), (F.floor(F.col("row") / n) - 2).cast("int").alias("block"), y.alias("y"))
-    return pl.sobol_indices(rows, "base", "block", "y", dims)
+    """First-order and total effects of a function's three inputs: the decision vectors hold both samples, three values each."""
+    at = lambda i: F.element_at("embedding", i)
+    y = lambda i, j, k: F.sin(6.2832 * (at(i) - 0.5)) + 7 * F.pow(F.sin(6.2832 * (at(j) - 0.5)), 2) + 0.1 * F.pow(6.2832 * (at(k) - 0.5), 4) * F.sin(6.2832 * (at(i) - 0.5))
+    blocks = F.array(*[F.struct(F.lit(n).alias("block"), y(*cols).alias("y")) for n, cols in zip((-2, -1, 0, 1, 2), _OUTPUTS.values(), strict=True)])
+    rows = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("base"), F.explode(blocks).alias("s")).select("base", "s.*")
+    return pl.sobol_indices(rows, "base", "block", "y", 3).select("dim", r("s1", 6).alias("s1"), r("st", 6).alias("st"))
 
 
 # Finance.
@@ -308,16 +314,76 @@ def components(spark, d):
     return net.connected_components(o, nodes)
 
 
+def merged(spark, d):
+    """The whole network without parallel lines, as one network; a line's number is made of its ends."""
+    m = net.merge_parallel(lines(spark, d), "a", "b", "x", "r", "cap")
+    return m.select(F.lit(1).alias("net"), (F.col("from_node") * 100 + F.col("to_node")).cast("long").alias("line"), F.col("from_node").cast("long").alias("a"), F.col("to_node").cast("long").alias("b"), "x")
+
+
+MERGED = f"{LINES}, mg AS (SELECT CAST(least(a, b) AS BIGINT) AS a, CAST(greatest(a, b) AS BIGINT) AS b, CAST(least(a, b) * 100 + greatest(a, b) AS BIGINT) AS line, 1 / sum(1 / x) AS x FROM ln GROUP BY 1, 2, 3)"
+
+
 @query()
 def ptdf_lodf(spark, d):
-    """Outage factors of the whole merged network; rows only. 25 nodes have at most 300 pairs, so the collected
-    lines are bounded, and the factors are at most 300 x 300."""
-    m = net.merge_parallel(lines(spark, d), "a", "b", "x", "r", "cap").orderBy("from_node", "to_node").collect()
-    ln = [(x["from_node"], x["to_node"], x["x"]) for x in m]
-    nodes = sorted({n for a, c, _ in ln for n in (a, c)})
-    f = net.lodf(net.ptdf(nodes, ln), nodes, ln)
-    rows = [(i, j, None if f[i, j] != f[i, j] else float(f[i, j])) for i in range(len(ln)) for j in range(len(ln))]
-    return spark.createDataFrame(rows, "line int, outage int, lodf double")
+    """Outage factors of the whole merged network, solved in a task; ``lodf_balance`` and ``lodf_loops`` hold them against SQL."""
+    return se.outage_factors(merged(spark, d), "net").select("line", "outage", "lodf")
+
+
+@query(f"""WITH {MERGED}, n AS (SELECT a AS node FROM mg UNION SELECT b FROM mg) SELECT line AS outage, node, CAST(CASE WHEN node = a THEN 1 WHEN node = b THEN -1 ELSE 0 END AS DOUBLE) AS taken FROM mg, n""")
+def lodf_balance(spark, d):
+    """What the other lines carry away from each bus after a loss: one unit at the lost line's beginning, none between, one less at its end."""
+    m = merged(spark, d)
+    f = se.outage_factors(m, "net").where("line <> outage").join(m.select("line", "a", "b"), "line")
+    ends = f.select("outage", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("lodf").alias("v")), F.struct(F.col("b").alias("node"), (-F.col("lodf")).alias("v")))).alias("s"))
+    return ends.groupBy("outage", F.col("s.node").alias("node")).agg((F.round(F.sum("s.v"), 6) + 0.0).alias("taken"))
+
+
+TRIANGLES = "t AS (SELECT p.a AS a, p.b AS b, q.b AS c, p.line AS l1, q.line AS l2, r.line AS l3 FROM mg p JOIN mg q ON q.a = p.b JOIN mg r ON r.a = p.a AND r.b = q.b)"
+
+
+@query(f"WITH {MERGED}, {TRIANGLES} SELECT mg.line AS outage, count(*) AS loops, CAST(0 AS DOUBLE) AS worst FROM mg, t WHERE mg.line NOT IN (l1, l2, l3) GROUP BY 1")
+def lodf_loops(spark, d):
+    """Around every triangle that keeps its lines, the angles of what is moved cancel."""
+    m = merged(spark, d)
+    f = se.outage_factors(m, "net").join(m.select("line", "a", "b", "x"), "line").withColumn("v", F.col("lodf") * F.col("x"))
+    side = lambda i, a, c: f.select("outage", F.col("a").alias(a), F.col("b").alias(c), F.col("v").alias(f"v{i}"), F.col("line").alias(f"l{i}"))
+    loops = side(1, "p", "q").join(side(2, "q", "r"), ["outage", "q"]).join(side(3, "p", "r"), ["outage", "p", "r"]).where("outage NOT IN (l1, l2, l3)")
+    return loops.groupBy("outage").agg(F.count("*").alias("loops"), F.round(F.max(F.abs(F.col("v1") + F.col("v2") - F.col("v3"))), 6).alias("worst"))
+
+
+def numbered_meshes(spark, d):
+    """A network for each line number of orders; a node's injection grows with its number."""
+    x = b.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_discount", F.col("l_linenumber").alias("net"))
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("a"))
+    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 25).alias("b"))
+    j = x.join(s, "l_suppkey").join(p, "l_partkey").where("a <> b").select("net", F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), (0.1 + F.col("l_discount")).alias("x"))
+    lines_ = j.groupBy("net", "a", "b").agg((1 / F.sum(1 / F.col("x"))).alias("x")).withColumn("line", F.col("a") * 100 + F.col("b"))
+    nodes_ = lines_.select("net", F.explode(F.array("a", "b")).alias("bus")).distinct()
+    mean = nodes_.groupBy("net").agg(F.avg("bus").alias("_m"))
+    return lines_, nodes_.join(mean, "net").select("net", "bus", ((F.col("bus") - F.col("_m")) * 10).alias("mw"))
+
+
+MESHES = """ms AS (SELECT l_linenumber AS net, least(s_nationkey, p_size % 25) AS a, greatest(s_nationkey, p_size % 25) AS b, 1 / sum(1 / (0.1 + l_discount)) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_nationkey <> p_size % 25 GROUP BY 1, 2, 3),
+ nd AS (SELECT net, CAST(a AS BIGINT) AS bus FROM ms UNION SELECT net, CAST(b AS BIGINT) FROM ms)"""
+
+
+@query(f"WITH {MESHES} SELECT net, bus, round((bus - avg(bus) OVER (PARTITION BY net)) * 10, 5) AS mw FROM nd")
+def mesh_balance(spark, d):
+    """What flows away from each bus of the meshes is what is injected there."""
+    ln, inj = numbered_meshes(spark, d)
+    f = se.mesh_flows(ln, inj, "net").join(ln.select("net", "line", "a", "b"), ["net", "line"])
+    ends = f.select("net", F.explode(F.array(F.struct(F.col("a").alias("bus"), F.col("flow").alias("v")), F.struct(F.col("b").alias("bus"), (-F.col("flow")).alias("v")))).alias("s"))
+    return ends.groupBy("net", F.col("s.bus").alias("bus")).agg((F.round(F.sum("s.v"), 5) + 0.0).alias("mw"))
+
+
+@query(f"WITH {MESHES} SELECT p.net, count(*) AS loops, CAST(0 AS DOUBLE) AS worst FROM ms p JOIN ms q ON q.net = p.net AND q.a = p.b JOIN ms r ON r.net = p.net AND r.a = p.a AND r.b = q.b GROUP BY 1")
+def mesh_loops(spark, d):
+    """Around every triangle of the meshes the angles cancel."""
+    ln, inj = numbered_meshes(spark, d)
+    f = se.mesh_flows(ln, inj, "net").join(ln.select("net", "line", "a", "b", "x"), ["net", "line"]).withColumn("v", F.col("flow") * F.col("x"))
+    side = lambda i, a, c: f.select("net", F.col("a").alias(a), F.col("b").alias(c), F.col("v").alias(f"v{i}"))
+    loops = side(1, "p", "q").join(side(2, "q", "r"), ["net", "q"]).join(side(3, "p", "r"), ["net", "p", "r"])
+    return loops.groupBy("net").agg(F.count("*").alias("loops"), F.round(F.max(F.abs(F.col("v1") + F.col("v2") - F.col("v3"))), 6).alias("worst"))
 
 
 @query(f"WITH {UNITS}, x AS (SELECT unit, 50 + unit % 40 AS p, 400.0 + rated_mw / 10 AS h, 100.0 + unit % 7 AS dm FROM units) SELECT unit, round(p * 50.0 / (2 * h), 6) AS rocof, round(50 - p / (2 * sqrt(h * dm)), 6) AS nadir, round(50 - p / dm, 6) AS steady FROM x")
@@ -402,8 +468,7 @@ def building_classes(spark, d):
     p = b.table(spark, d, "part")
     area = F.when(F.col("p_size") < 10, F.lit(100)).otherwise(F.col("p_size") * 40)
     cls = dem.classify_building(area, F.when(F.col("p_size") < 10, F.col("p_size") % 3 + 1).otherwise(3))
-    fixed = F.when((F.col("p_size") < 10) & (F.col("p_size") % 3 + 1 > 2), F.when(F.col("p_size") * 40 < 1000, "commercial").otherwise("institutional")).otherwise(cls)
-    return p.select(F.col("p_partkey").alias("part"), sc.plain_name(F.col("p_name")).alias("name"), fixed.alias("class"))
+    return p.select(F.col("p_partkey").alias("part"), sc.plain_name(F.col("p_name")).alias("name"), cls.alias("class"))
 
 
 @query(f"WITH {DEMAND}, q AS (SELECT node, CAST(day - DATE '1995-01-01' AS INTEGER) AS t, sum(mw) AS o FROM demand GROUP BY 1, 2), s AS (SELECT node, z AS size, floor(t / z) AS k, avg(o) AS o, avg(o * 0.9 + 1000) AS f FROM q, (VALUES (1), (7), (30)) x(z) GROUP BY 1, 2, 3) SELECT node, CAST(size AS INTEGER) AS size, round(sqrt(avg((f - o) * (f - o))), 2) AS rmse, round(avg(abs(f - o)), 2) AS mae FROM s GROUP BY 1, 2")

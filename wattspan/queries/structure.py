@@ -72,12 +72,13 @@ def expanded_flows(spark, d):
     return rd.expand_lines(m, "unit", flows).select("unit", "line", r("flow", 8).alias("flow"))
 
 
-@query(f"WITH {FEED}, l AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY line) AS k FROM fd), s AS (SELECT * FROM l WHERE k <= 3), n AS (SELECT unit, sum(1 / x) AS y FROM s GROUP BY unit HAVING count(*) = 3) SELECT p.unit, p.k AS a, q.k AS b, round(p.x * q.x * y, 8) AS x, round(least(p.cap, q.cap), 6) AS cap FROM s p JOIN s q ON p.unit = q.unit AND p.k < q.k JOIN n ON n.unit = p.unit")
+@query(f"""WITH {FEED}, l AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY line) AS k FROM fd), s AS (SELECT *, (k - 1) // 3 AS hub, count(*) OVER (PARTITION BY unit, (k - 1) // 3) AS n, sum(1 / x) OVER (PARTITION BY unit, (k - 1) // 3) AS y FROM l)
+SELECT p.unit, p.k AS a, q.k AS b, round(CASE WHEN p.n = 3 THEN p.x * q.x * p.y ELSE p.x + q.x END, 8) AS x, round(least(p.cap, q.cap), 6) AS cap FROM s p JOIN s q ON p.unit = q.unit AND p.hub = q.hub AND p.k < q.k""")
 def star_to_mesh(spark, d):
-    """A hub with three legs becomes a triangle."""
+    """Every three lines of a unit meet in a hub: a hub with three legs becomes a triangle, one with two a line, one with one goes."""
     k = F.row_number().over(Window.partitionBy("unit").orderBy("line")).cast("long")
-    legs = feeders(spark, d).withColumn("b", k).where("b <= 3").withColumn("n", F.count("*").over(Window.partitionBy("unit"))).where("n = 3")
-    lines = legs.select("unit", "line", F.lit(0).cast("long").alias("a"), "b", "x", "cap")
+    legs = feeders(spark, d).withColumn("b", k)
+    lines = legs.select("unit", "line", (-1 - F.floor((F.col("b") - 1) / 3)).alias("a"), "b", "x", "cap")
     m = rd.reduce_networks(lines, "unit", lines.select("unit", F.col("b").alias("bus")), star=True)
     return m.where("kind = 'line'").select("unit", "a", "b", r("x", 8).alias("x"), r("cap", 6).alias("cap"))
 
@@ -260,10 +261,15 @@ def sampled_annual_loss(spark, d):
     return rk.sampled_annual_loss(u, ["unit"], "value", "median", "im", 0.4, 200)
 
 
-@query("WITH a AS (SELECT * FROM (VALUES ('dry', 0.5), ('wet', 0.3), ('mid', 0.2)) x(n, p)), c AS (SELECT * FROM (VALUES ('high', 0.6), ('low', 0.4)) x(n, p)), t AS (SELECT a.n || '/' || c.n AS path, a.p * c.p AS p FROM a, c ORDER BY p DESC, path LIMIT 4) SELECT path, round(p / sum(p) OVER (), 8) AS probability FROM t")
+@query("""WITH a AS (SELECT 'region ' || n_regionkey AS n, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), c AS (SELECT o_orderpriority AS n, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM orders GROUP BY 1), e AS (SELECT event_type AS n, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
+ t AS (SELECT a.n || '/' || c.n || '/' || e.n AS path, a.p * c.p * e.p AS p FROM a, c, e ORDER BY p DESC, path LIMIT 1000) SELECT path, round(p / sum(p) OVER (), 8) AS probability FROM t""")
 def scenario_tree(spark, d):
-    stage = lambda rows: spark.createDataFrame(rows, "name string, probability double")
-    return rk.scenario_tree([stage([("dry", 0.5), ("wet", 0.3), ("mid", 0.2)]), stage([("high", 0.6), ("low", 0.4)])], 4).select("path", r("probability", 8).alias("probability"))
+    """Scenarios of a customer's region, an order's priority and an event's kind, by their shares."""
+    n = b.nodes(spark, d).select(F.col("node").alias("c_nationkey"), "system")
+    region = b.table(spark, d, "customer").join(n, "c_nationkey").select(F.concat(F.lit("region "), F.col("system")).alias("name"))
+    stages = [region, b.table(spark, d, "orders").select(F.col("o_orderpriority").alias("name")), b.series(spark, d).select(F.col("category").alias("name"))]
+    share = lambda x: x.groupBy("name").agg(F.count("*").alias("n")).withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return rk.scenario_tree([share(x) for x in stages], 1000).select("path", r("probability", 8).alias("probability"))
 
 
 # Alternatives.
@@ -462,12 +468,12 @@ def stored_results(spark, d):
     return store.read("generation").select("unit", "year", r("mw", 2).alias("mw"))
 
 
-@query(f"WITH {DEMAND}, q AS (SELECT day, node, sum(mw) AS mw FROM demand GROUP BY 1, 2), h AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS hour FROM (SELECT DISTINCT day FROM q)) SELECT CAST(hour AS INTEGER) AS hour, CAST(g AS INTEGER) AS node, round(coalesce(mw, 0), 2) AS value FROM h CROSS JOIN range(5) r(g) LEFT JOIN q ON q.day = h.day AND q.node = g")
+@query(f"WITH {DEMAND}, q AS (SELECT day, node, sum(mw) AS mw FROM demand GROUP BY 1, 2), h AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS hour FROM (SELECT DISTINCT day FROM q)) SELECT CAST(hour AS INTEGER) AS hour, CAST(g AS INTEGER) AS node, round(coalesce(mw, 0), 2) AS value FROM h CROSS JOIN range(25) r(g) LEFT JOIN q ON q.day = h.day AND q.node = g")
 def matrix_round_trip(spark, d):
-    """Demand of the first nodes as a headerless matrix, written as text and read again."""
-    q = b.demand(spark, d).groupBy("day").pivot("node", list(range(5))).agg(F.sum("mw")).fillna(0.0)
+    """Demand of all nodes as a headerless matrix, written as text and read again."""
+    q = b.demand(spark, d).groupBy("day").pivot("node", list(range(25))).agg(F.sum("mw")).fillna(0.0)
     path = _scratch(spark, "matrix")
-    lines = q.orderBy("day").select(F.concat_ws(",", *(F.round(str(k), 2).cast("string") for k in range(5))).alias("value"))
+    lines = q.orderBy("day").select(F.concat_ws(",", *(F.round(str(k), 2).cast("string") for k in range(25))).alias("value"))
     lines.coalesce(1).write.text(path)  # a matrix is one file: its lines are its hours
     return tab.read_matrix(spark, path)
 

@@ -43,20 +43,32 @@ def month_hour_mean(spark, d):
     return b.series(spark, d).groupBy(F.month("ts").alias("month"), F.hour("ts").alias("hour")).agg(r(F.avg("value")).alias("mean"))
 
 
-@query("SELECT CAST(w AS INTEGER) AS \"window\", w * 144 AS start, least(w * 144 + 168, 744) AS \"end\", CASE WHEN w = 3 THEN least(w * 144 + 168, 744) ELSE (w + 1) * 144 END AS keep_end, round((CASE WHEN w = 3 THEN least(w * 144 + 168, 744) ELSE (w + 1) * 144 END - w * 144) * 1.0 / (least(w * 144 + 168, 744) - w * 144), 6) AS kept_fraction FROM range(0, 4) x(w)")
+#: The horizon is as long as the series; windows of a week overlap by a day.
+WINDOWS = f"{HOURLY}, hz AS (SELECT max(hour) + 1 AS z FROM h), w AS (SELECT w, w * 144 AS s, least(w * 144 + 168, z) AS e, z, n FROM (SELECT z, greatest(1, CAST(ceil((z - 24) / 144.0) AS BIGINT)) AS n, unnest(range(0, greatest(1, CAST(ceil((z - 24) / 144.0) AS BIGINT)))) AS w FROM hz))"
+
+
+def horizon(h) -> int:
+    """Hours of the series: one number."""
+    return (h.agg(F.max("hour")).first()[0] or 0) + 1
+
+
+@query(f"WITH {WINDOWS}, k AS (SELECT *, CASE WHEN w = n - 1 THEN e ELSE s + 144 END AS keep FROM w) SELECT CAST(w AS INTEGER) AS \"window\", s AS start, e AS \"end\", keep AS keep_end, round((keep - s) * 1.0 / (e - s), 6) AS kept_fraction FROM k")
 def rolling_windows(spark, d):
-    return t.rolling_windows(spark, 600, 168, 24).select("window", "start", "end", "keep_end", r("kept_fraction", 6).alias("kept_fraction"))
+    return t.rolling_windows(spark, horizon(hourly(spark, d)), 168, 24).select("window", "start", "end", "keep_end", r("kept_fraction", 6).alias("kept_fraction"))
 
 
-@query(f"WITH {HOURLY}, w AS (SELECT w, w * 144 AS s, least(w * 144 + 168, 600) AS e FROM range(0, 4) x(w)) SELECT category, CAST(w AS INTEGER) AS \"window\", round(sum(v), 2) AS total, count(*) AS n FROM h JOIN w ON hour >= s AND hour < e GROUP BY 1, 2")
+@query(f"WITH {WINDOWS} SELECT category, CAST(w AS INTEGER) AS \"window\", round(sum(v), 2) AS total, count(*) AS n FROM h JOIN w ON hour >= s AND hour < e GROUP BY 1, 2")
 def window_totals(spark, d):
-    x = t.in_windows(hourly(spark, d), "hour", 600, 168, 24)
+    h = hourly(spark, d)
+    x = t.in_windows(h, "hour", horizon(h), 168, 24)
     return x.groupBy("category", "window").agg(r(F.sum("v"), 2).alias("total"), F.count("*").alias("n"))
 
 
-@query(f"WITH {HOURLY} SELECT category, round(sum(v), 2) AS total, count(*) AS n FROM h WHERE hour < 600 GROUP BY 1")
+@query(f"WITH {HOURLY} SELECT category, round(sum(v), 2) AS total, count(*) AS n FROM h GROUP BY 1")
 def stitched_windows(spark, d):
-    x = t.stitched(t.in_windows(hourly(spark, d), "hour", 600, 168, 24), "hour", "window", 600, 168, 24)
+    h = hourly(spark, d)
+    hours = horizon(h)
+    x = t.stitched(t.in_windows(h, "hour", hours, 168, 24), "hour", "window", hours, 168, 24)
     return x.groupBy("category").agg(r(F.sum("v"), 2).alias("total"), F.count("*").alias("n"))
 
 
