@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, dashboards, dynamics, physics, planning, runs, spatial, structure, temporal
+from wattspan.queries import ORACLE_SQL, QUERIES, aggregates, assets, dashboards, dynamics, physics, planning, runs, spatial, structure, temporal
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "dashboards", "dynamics", "physics", "planning", "runs", "spatial", "structure", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "assets", "dashboards", "dynamics", "physics", "planning", "runs", "spatial", "structure", "temporal"]
