@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.functions import scalar as sc
+from wattspan.operators.quantiles import exact_quantiles
 
 #: Points at which distributions are matched.
 QUANTILES = 101
@@ -62,11 +63,11 @@ def climate_demand(mw: Column, temperature: Column, heat: float, cool: float, he
 def quantile_map(model: DataFrame, observed: DataFrame, keys: Sequence[str], value: str, out: str = "corrected") -> DataFrame:
     """Each model value moved to the observed value of the same rank, linear between ``QUANTILES`` points.
 
-    Quantiles are exact aggregates of each side by keys; a value beyond the model's range takes the change
+    Quantiles are exact, of each side by keys; a value beyond the model's range takes the change
     at its end. The table of quantiles has a row for each key.
     """
-    probs = F.array(*(F.lit(i / (QUANTILES - 1)) for i in range(QUANTILES)))
-    q = lambda df, name: df.groupBy(*keys).agg(F.percentile(value, probs).alias(name))
+    probs = [i / (QUANTILES - 1) for i in range(QUANTILES)]
+    q = lambda df, name: exact_quantiles(df, keys, value, probs, name)
     table = q(model, "_m").join(q(observed, "_o"), list(keys))
     joined = model.join(table, list(keys))
     v = F.col(value)

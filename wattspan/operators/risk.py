@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.operators.metrics import ratio
+from wattspan.operators.quantiles import exact_quantiles
 from wattspan.operators.stored import stored
 
 
@@ -83,9 +84,11 @@ def return_level(location: Column, scale: Column, period: float) -> Column:
 
 def robust_normalised(df: DataFrame, value: str, out: str = "normalised", low: float = 0.05, high: float = 0.95) -> DataFrame:
     """To [0, 1] between two percentiles of the positive values; 0 where a value is not positive, or all are alike."""
-    ends = df.where(F.col(value) > 0).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))  # one row
-    v = (F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return df.join(F.broadcast(ends)).withColumn(out, F.when((F.col(value) > 0) & (F.col("_hi") > F.col("_lo")), v).otherwise(0.0)).drop("_lo", "_hi")
+    found = exact_quantiles(df.where(F.col(value) > 0), [], value, [low, high]).first()  # two numbers
+    lo, hi = found["quantiles"] if found and found["quantiles"] else (None, None)
+    if lo is None or not hi > lo:
+        return df.withColumn(out, F.lit(0.0))
+    return df.withColumn(out, F.when(F.col(value) > 0, (F.least(F.greatest(F.col(value), F.lit(lo)), F.lit(hi)) - lo) / (hi - lo)).otherwise(0.0))
 
 
 def unit_risk(units: DataFrame, profiles: DataFrame, node: str, risk: str, share: float) -> DataFrame:

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspan.operators.quantiles import PLACE_BITS
+from wattspan.operators.stored import stored
+
 
 def contingency_list(generators: DataFrame, lines: DataFrame, batteries: DataFrame, least_flow_pct: float = 0.0) -> DataFrame:
     """kind, element, impact, rank: running generators (element, output, status), lines (element, flow, cap) with enough flow,
@@ -22,7 +25,13 @@ def contingency_list(generators: DataFrame, lines: DataFrame, batteries: DataFra
     net = F.col("discharge") - F.col("charge")
     cells = batteries.where(net > 0.1).select(F.lit("battery").alias("kind"), "element", net.alias("impact"))
     every = gens.unionByName(wires).unionByName(cells)
-    return every.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("impact"), "kind", "element")))  # a row an element
+    # Ranks by ranges of impact, so that no task sorts all elements.
+    order = [F.desc("impact"), F.col("kind"), F.col("element")]
+    placed = stored(every.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "contingencies").withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1) + 1).cast("int")).drop("_at", "_part", "_before")
 
 
 def dc_flows(ends: np.ndarray, x: np.ndarray, injection: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattspan.operators.quantiles import exact_quantiles, with_quantiles
+
 HOURS_A_YEAR = 8760
 MONTH730 = 730
 
@@ -74,8 +76,7 @@ def ramp(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, h
 
 def duration_curve(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
     """Value exceeded for each fraction of the time; linear between ranks."""
-    qs = F.percentile(cleaned(F.col(value)), F.array(*(F.lit(1.0 - f) for f in fractions)))
-    out = df.groupBy(*keys).agg(qs.alias("_q"))
+    out = exact_quantiles(df.select(*keys, cleaned(F.col(value)).alias("_value")), keys, "_value", [1.0 - f for f in fractions], "_q")
     return out.select(*keys, F.posexplode("_q").alias("rank", "value")).withColumn("fraction", F.element_at(F.array(*(F.lit(float(f)) for f in fractions)), F.col("rank") + 1)).select(*keys, "fraction", "value")
 
 
@@ -87,9 +88,11 @@ def ranked_duration(df: DataFrame, keys: Sequence[str], value: str, tie: Sequenc
 
 def lags(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, steps: Sequence[int], fill_median: bool = True) -> DataFrame:
     """``<value>_lag<k>``; where there is none, the series' median if asked for."""
-    w, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
-    median = F.percentile(value, F.lit(0.5)).over(whole)
-    return df.withColumns({f"{value}_lag{k}": F.coalesce(F.lag(value, k).over(w), median) if fill_median else F.lag(value, k).over(w) for k in steps})
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if not fill_median:
+        return df.withColumns({f"{value}_lag{k}": F.lag(value, k).over(w) for k in steps})
+    filled = with_quantiles(df, keys, value, [0.5], ["_median"])
+    return filled.withColumns({f"{value}_lag{k}": F.coalesce(F.lag(value, k).over(w), F.col("_median")) for k in steps}).drop("_median")
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limit: int = 6, out: str = "filled") -> DataFrame:
@@ -102,9 +105,8 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
 
 def impute_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Nulls by the group's median, then by that of all rows."""
-    groups = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_group"))
-    everything = df.agg(F.percentile(value, F.lit(0.5)).alias("_all"))
-    return df.join(groups, list(keys), "left").join(F.broadcast(everything)).withColumn(out, F.coalesce(value, "_group", "_all")).drop("_group", "_all")
+    both = with_quantiles(with_quantiles(df, keys, value, [0.5], ["_group"]), [], value, [0.5], ["_all"])
+    return both.withColumn(out, F.coalesce(value, "_group", "_all")).drop("_group", "_all")
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, back: int, ahead: int = 0, divide_by: int | None = None, out: str = "rolling") -> DataFrame:

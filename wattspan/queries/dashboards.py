@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattspan import bindings as b
 from wattspan.operators import checks as ck
 from wattspan.operators import features as ft
+from wattspan.operators.quantiles import with_quantiles
 from wattspan.queries import DEMAND, GEN, GT, NODES, SERIES, UNITS, query, r
 from wattspan.queries.planning import DISPATCH_SQL, LINES, dispatched, lines
 
@@ -122,8 +123,7 @@ def installed_capacity(spark, d):
 @query(f"WITH {SERIES}, x AS (SELECT category, hour, sum(value) AS v FROM series GROUP BY 1, 2), q AS (SELECT category, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.5) AS p50 FROM x GROUP BY 1) SELECT x.category, CASE WHEN v >= p95 THEN 'scarcity' WHEN v >= p50 THEN 'normal' ELSE 'low' END AS regime, count(*) AS n, round(avg(v), 4) AS mean FROM x JOIN q USING (category) GROUP BY 1, 2")
 def price_regimes(spark, d):
     x = b.series(spark, d).groupBy("category", "hour").agg(F.sum("value").alias("v"))
-    w = Window.partitionBy("category")
-    q = x.withColumn("p95", F.percentile("v", F.lit(0.95)).over(w)).withColumn("p50", F.percentile("v", F.lit(0.5)).over(w))
+    q = with_quantiles(x, ["category"], "v", [0.95, 0.5], ["p95", "p50"])
     regime = F.when(F.col("v") >= F.col("p95"), "scarcity").when(F.col("v") >= F.col("p50"), "normal").otherwise("low")
     return q.groupBy("category", regime.alias("regime")).agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
 
