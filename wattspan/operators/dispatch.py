@@ -122,11 +122,12 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, senses: Sequence[str])
     return x[:n], float(c @ x[:n])
 
 
-def bounded_simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, float]:
+def bounded_simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarray, start: tuple[list[int], np.ndarray] | None = None) -> tuple[np.ndarray, float]:
     """Minimum of ``c x`` with ``a x = b`` and ``0 <= x <= upper``: two phases, Bland's rule.
 
-    Bounds take no rows: the basis is as large as ``b``, whatever the number of columns. Raises ValueError if there
-    is no solution or no bound.
+    Bounds take no rows: the basis is as large as ``b``, whatever the number of columns. ``start`` (basis, and which other
+    columns stand at their bounds) of a feasible point leaves the first phase out. Raises ValueError if there is no
+    solution or no bound.
     """
     m, n = a.shape
     sign = np.where(b < 0, -1.0, 1.0)
@@ -159,10 +160,15 @@ def bounded_simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarr
             held[leave] = most[j] - step if at_upper[j] else step
             basis[leave], at_upper[j] = j, False
 
-    first = np.append(np.zeros(n), np.ones(m))
-    run(first, n + m)
-    if first[basis] @ held > 1e-6:
-        raise ValueError("infeasible")
+    if start is None:
+        first = np.append(np.zeros(n), np.ones(m))
+        run(first, n + m)
+        if first[basis] @ held > 1e-6:
+            raise ValueError("infeasible")
+    else:
+        basis[:], at_upper[:n] = start
+        fixed = np.flatnonzero(at_upper)
+        held[:] = np.linalg.solve(full[:, basis], b * sign - full[:, fixed] @ most[fixed])
     most[n:] = 0.0
     run(np.append(c, np.zeros(m)), n)
     x = np.where(at_upper, np.where(np.isinf(most), 0.0, most), 0.0)
@@ -170,6 +176,21 @@ def bounded_simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, upper: np.ndarr
     return x[:n], float(c @ x[:n])
 
 
+def merit_start(caps: np.ndarray, want: float, budget: float | None) -> tuple[list[int], np.ndarray] | None:
+    """The basis of the merit order: units run at their bounds in the order given up to the marginal one; shedding (column n) or
+    the budget's slack (column n + 1) takes the rest. None where a bound is negative."""
+    n, limit = len(caps), want if budget is None else min(want, budget)
+    if limit < 0 or (caps < 0).any():
+        return None
+    k = int(np.searchsorted(np.cumsum(caps), limit))
+    at_upper = np.zeros(n + (1 if budget is None else 2), bool)
+    at_upper[:k] = True
+    if budget is None:
+        return [k], at_upper
+    # Where all units run, both others stand beside them; else the one that is not at zero.
+    return ([n, n + 1] if k == n else [k, n + 1 if want <= budget else n]), at_upper
+
+
 def lp_dispatch(rows: DataFrame, keys: Sequence[str], unit: str, capacity: str, cost: str, load: str, budget: float | None = None, voll: float = VOLL) -> DataFrame:
     """Exact dispatch of each step as a linear program, with shedding and, if given, a limit on the sum of output.
 
@@ -186,7 +207,7 @@ def lp_dispatch(rows: DataFrame, keys: Sequence[str], unit: str, capacity: str,
         if budget is not None:  # a slack of its own
             a = np.vstack([np.append(a[0], 0.0), np.append(np.ones(n), [0.0, 1.0])])
             c, b, upper = np.append(c, 0.0), np.array([want, budget]), np.append(upper, np.inf)
-        x, z = bounded_simplex(c, a, b, upper)
+        x, z = bounded_simplex(c, a, b, upper, merit_start(caps, want, budget))
         return x[:n], float(x[n]), z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
