@@ -119,21 +119,29 @@ def kmeans_medoids(df: DataFrame, id_col: str, vector: str, k: int, seed: int =
     return rows.join(F.broadcast(medoid), "cluster").select(id_col, "cluster", F.col(f"_m.{id_col}").alias("medoid"), "size")
 
 
-def pam(points: np.ndarray, k: int, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Medoids and labels by build and swap over at most a few hundred points."""
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+def pam(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medoids and labels by build and swap over at most a few hundred points, until no swap helps."""
+    square = (points**2).sum(1)
+    d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * points @ points.T, 0))
+    np.fill_diagonal(d, 0)
     chosen = [int(d.sum(1).argmin())]
     while len(chosen) < k:
         now = d[:, chosen].min(1)
-        chosen.append(int(np.maximum(now[:, None] - d, 0).sum(0).argmax()))
+        gain = np.maximum(now[:, None] - d, 0).sum(0)
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
     best = d[:, chosen].min(1).sum()
-    for _ in range(steps):
-        moves = [(d[:, [*chosen[:i], h, *chosen[i + 1 :]]].min(1).sum(), i, h) for i in range(k) for h in range(len(points)) if h not in chosen]
+    while True:
+        moves = []
+        for i in range(k):
+            rest = [c for j, c in enumerate(chosen) if j != i]
+            cost = np.minimum(d[:, rest].min(1)[:, None], d).sum(0) if rest else d.sum(0)
+            cost[chosen] = np.inf
+            moves.append((float(cost.min()), i, int(cost.argmin())))
         cost, i, h = min(moves, default=(math.inf, 0, 0))
-        if cost >= best - 1e-12:
-            break
+        if not cost < best - 1e-12:
+            return np.array(chosen), d[:, chosen].argmin(1)
         best, chosen[i] = cost, h
-    return np.array(chosen), d[:, chosen].argmin(1)
 
 
 def typical_days(df: DataFrame, keys: Sequence[str], day: str, hour: str, value: str, k: int) -> DataFrame:

@@ -122,8 +122,15 @@ def gravity_allocation(cells: DataFrame, buses: DataFrame, cell: str, bus: str,
     return w.withColumn("mw", F.col(demand) * share).groupBy(bus).agg(F.sum("mw").alias("mw"))
 
 
+#: Rows of a table of patterns at most.
+MOST_PATTERNS = 1000
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, condition: Column, priority: str) -> DataFrame:
-    """The first right row, by priority, that meets a condition; only for a right side of few rows."""
+    """The first right row, by priority, that meets a condition. The right side is a table of patterns that every row is held
+    against: more than ``MOST_PATTERNS`` rows are an error."""
+    if len(right.take(MOST_PATTERNS + 1)) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     w = Window.partitionBy(key).orderBy(F.col(priority).asc_nulls_last())
     return left.join(F.broadcast(right), condition, "left").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
