@@ -110,3 +110,42 @@ def objective(df: DataFrame, energy: Sequence[str], other: Sequence[str], hours:
     e = sum((F.coalesce(F.sum(c), zero) for c in energy), zero)
     o = sum((F.coalesce(F.sum(c), zero) for c in other), zero)
     return df.agg((e * hours + o * share).alias("objective"))
+
+
+def sector_residuals(shed: DataFrame, sectors: DataFrame, keys: Sequence[str], mw: str, demand: str) -> DataFrame:
+    """``keys, residual, beyond``: what sectors shed less what is shed in all, and how much sectors shed beyond their demand. Steps that
+    only one side has count with nothing on the other."""
+    own = sectors.groupBy(*keys).agg(F.sum(mw).alias("_own"), F.sum(F.greatest(F.lit(0.0), F.col(mw) - F.greatest(F.lit(0.0), F.col(demand)))).alias("beyond"))
+    both = shed.groupBy(*keys).agg(F.sum(mw).alias("_all")).join(own, list(keys), "full")
+    zero = F.lit(0.0)
+    return both.select(*keys, (F.coalesce("_own", zero) - F.coalesce("_all", zero)).alias("residual"), F.coalesce("beyond", zero).alias("beyond"))
+
+
+def shift_excess(shifts: DataFrame, demand: DataFrame, keys: Sequence[str], sector: str, mw: str, criticality: str) -> DataFrame:
+    """Steps and sectors that shift out more than the part of their demand that is not critical."""
+    out = shifts.groupBy(*keys, sector).agg(F.sum(mw).alias("_out"))
+    d = demand.groupBy(*keys, sector).agg(F.sum(mw).alias("_d"), F.max(criticality).alias("_c"))
+    most = (1 - F.coalesce("_c", F.lit(1.0))) * F.greatest(F.lit(0.0), F.coalesce("_d", F.lit(0.0)))
+    return out.join(d, [*keys, sector], "left").withColumn("excess", F.col("_out") - most).where(F.col("excess") > 1e-9).select(*keys, sector, "excess")
+
+
+def fuel_shortfall(output: DataFrame, fuel: DataFrame, plants: DataFrame, keys: Sequence[str], plant: str, mw: str, tons: str, mwh_a_ton: str, hours: float = 1.0) -> DataFrame:
+    """Energy that plants give beyond what their fuel gives, by plant and step; plants without a conversion need none."""
+    made = output.groupBy(*keys, plant).agg((F.sum(mw) * hours).alias("_mwh")).join(plants.where(F.col(mwh_a_ton) > 1e-6), plant)
+    burnt = fuel.groupBy(*keys, plant).agg(F.sum(tons).alias("_tons"))
+    short = F.col("_mwh") - F.coalesce("_tons", F.lit(0.0)) * F.col(mwh_a_ton)
+    return made.join(burnt, [*keys, plant], "left").withColumn("shortfall", short).where(F.col("shortfall") > 1e-6).select(*keys, plant, "shortfall")
+
+
+def link_findings(links: DataFrame, invested: DataFrame, link: str, start: str, end: str, most: str, year: str, mw: str) -> DataFrame:
+    """``link, rule, year, amount``: links between systems whose investments of all years exceed their limit (``limit``; the year is
+    null), and pairs of links in opposite directions that are not built alike in a year (``symmetry``, under the lesser link)."""
+    total = invested.groupBy(link).agg(F.sum(mw).alias("_t")).join(links.where(F.col(most) > 0), link)
+    over = total.where(F.col("_t") > F.col(most) + 1e-9).select(link, F.lit("limit").alias("rule"), F.lit(None).cast("int").alias("year"), (F.col("_t") - F.col(most)).alias("amount"))
+    back = links.select(F.col(link).alias("_back"), F.col(start).alias("_e"), F.col(end).alias("_s"))
+    pairs = links.join(back, (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e")) & (F.col(link) < F.col("_back"))).select(link, "_back")
+    mine = pairs.join(invested.select(F.col(link), F.col(year).cast("int").alias("year"), F.col(mw).alias("_m")), link)
+    theirs = pairs.join(invested.select(F.col(link).alias("_back"), F.col(year).cast("int").alias("year"), F.col(mw).alias("_o")), "_back")
+    both = mine.join(theirs, [link, "_back", "year"], "full")
+    apart = F.coalesce("_m", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))
+    return over.unionByName(both.where(F.abs(apart) > 1e-9).select(link, F.lit("symmetry").alias("rule"), "year", apart.alias("amount")))

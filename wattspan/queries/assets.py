@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattspan import bindings as b
 from wattspan.operators import assets as at
+from wattspan.operators import checks as ck
 from wattspan.operators.stored import scratch
 from wattspan.queries import DEMAND, NODES, SERIES, query, r
 from wattspan.queries.planning import OUT
@@ -149,3 +150,48 @@ def result_capabilities(spark, d):
 def result_catalogue(spark, d):
     """Tables of each system's results beside the usual ones."""
     return at.catalogue(metadata(spark, d), "run")
+
+
+# Rules that a dispatch or a plan must keep, over given results.
+
+
+@query("""WITH s AS (SELECT o_custkey % 25 AS node, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS sector, o_totalprice AS d, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 1.1 ELSE o_totalprice / 10 END AS mw FROM orders), a AS (SELECT node, year, sum(mw) AS own, sum(greatest(0, mw - d)) AS beyond FROM s GROUP BY 1, 2), t AS (SELECT node, year, sum(d) / 10 AS total FROM s GROUP BY 1, 2)
+SELECT CAST(node AS INTEGER) AS node, year, round(own - total, 3) AS residual, round(beyond, 3) AS beyond FROM a JOIN t USING (node, year)""")
+def sector_shedding(spark, d):
+    """What sectors shed against what is shed in all."""
+    o = b.table(spark, d, "orders").select((F.col("o_custkey") % 25).cast("int").alias("node"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("demand"), (F.col("o_orderkey") % 10 == 0).alias("more"))
+    own = o.withColumn("mw", F.when(F.col("more"), F.col("demand") * 1.1).otherwise(F.col("demand") / 10))
+    total = o.select("node", "year", (F.col("demand") / 10).alias("mw"))
+    return ck.sector_residuals(total, own, ["node", "year"], "mw", "demand").select("node", "year", r("residual", 3).alias("residual"), r("beyond", 3).alias("beyond"))
+
+
+@query("""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS sector, o_totalprice AS mw, o_orderkey FROM orders), d AS (SELECT year, sector, sum(mw) AS d, max(CASE sector[1] WHEN '1' THEN 0.95 WHEN '2' THEN 0.8 ELSE 0.3 END) AS c FROM o GROUP BY 1, 2), s AS (SELECT year, sector, sum(mw * (o_orderkey % 3) / 5) AS out FROM o GROUP BY 1, 2)
+SELECT year, sector, round(out - (1 - c) * d, 2) AS excess FROM s JOIN d USING (year, sector) WHERE out - (1 - c) * d > 1e-9""")
+def demand_shift_excess(spark, d):
+    """Sectors that shift more than what is not critical."""
+    first = F.substring("o_orderpriority", 1, 1)
+    o = b.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("sector"), F.col("o_totalprice").alias("mw"), "o_orderkey", F.when(first == "1", 0.95).when(first == "2", 0.8).otherwise(0.3).alias("crit"))
+    return ck.shift_excess(o.withColumn("mw", F.col("mw") * (F.col("o_orderkey") % 3) / 5), o, ["year"], "sector", "mw", "crit").select("year", "sector", r("excess", 2).alias("excess"))
+
+
+@query("""WITH g AS (SELECT l_suppkey AS plant, CAST(year(l_shipdate) AS INTEGER) AS year, sum(l_quantity) * 3 AS mwh, sum(l_quantity * (1 - l_discount * 4)) AS tons FROM lineitem GROUP BY 1, 2), p AS (SELECT plant, year, mwh - tons * (2.5 + plant % 5 / 4.0) AS shortfall FROM g WHERE plant % 7 > 0)
+SELECT plant, year, round(shortfall, 4) AS shortfall FROM p WHERE shortfall > 1e-6""")
+def fuel_shortfall(spark, d):
+    """Energy beyond what the fuel that a plant burns gives; every seventh plant burns none."""
+    x = b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("plant"), F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("mw"), (F.col("l_quantity") * (1 - F.col("l_discount") * 4)).alias("tons"))
+    plants = b.units(spark, d).select(F.col("unit").alias("plant"), F.when(F.col("unit") % 7 == 0, 0.0).otherwise(2.5 + F.col("unit") % 5 / 4.0).alias("rate"))
+    return ck.fuel_shortfall(x, x, plants, ["year"], "plant", "mw", "tons", "rate", 3.0).select("plant", "year", r("shortfall", 4).alias("shortfall"))
+
+
+@query("""WITH l AS (SELECT c_nationkey * 100 + o_orderkey % 25 AS link, min(c_nationkey) AS s, min(o_orderkey % 25) AS e, 300000.0 + 100 * min(c_nationkey) AS most FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> o_orderkey % 25 GROUP BY 1),
+ i AS (SELECT c_nationkey * 100 + o_orderkey % 25 AS link, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) / 10 AS mw FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> o_orderkey % 25 GROUP BY 1, 2), t AS (SELECT link, sum(mw) AS t FROM i GROUP BY 1),
+ p AS (SELECT a.link AS link, b.link AS back FROM l a JOIN l b ON a.s = b.e AND a.e = b.s AND a.link < b.link), y AS (SELECT DISTINCT year FROM i)
+SELECT CAST(link AS BIGINT) AS link, 'limit' AS rule, CAST(NULL AS INTEGER) AS year, round(t - most, 3) AS amount FROM t JOIN l USING (link) WHERE t > most + 1e-9
+UNION ALL SELECT CAST(p.link AS BIGINT), 'symmetry', y.year, round(coalesce(m.mw, 0) - coalesce(o.mw, 0), 3) FROM p CROSS JOIN y LEFT JOIN i m ON m.link = p.link AND m.year = y.year LEFT JOIN i o ON o.link = p.back AND o.year = y.year WHERE abs(coalesce(m.mw, 0) - coalesce(o.mw, 0)) > 1e-9""")
+def link_findings(spark, d):
+    """Links between systems beyond their limit, or built unlike their opposites."""
+    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 25).alias("e"), F.year("o_orderdate").alias("year"), (F.col("o_totalprice") / 10).alias("mw"))
+    x = o.join(b.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("s")), "c_custkey").where("s <> e").withColumn("link", (F.col("s") * 100 + F.col("e")).cast("long"))
+    links = x.select("link", "s", "e", (300000.0 + 100 * F.col("s")).alias("most")).distinct()
+    invested = x.groupBy("link", "year").agg(F.sum("mw").alias("mw"))
+    return ck.link_findings(links, invested, "link", "s", "e", "most", "year", "mw").select("link", "rule", "year", r("amount", 3).alias("amount"))
