@@ -319,13 +319,13 @@ def post_outage_balance(spark, d):
     return ends.groupBy("outage", F.col("s.bus").alias("bus")).agg((F.round(F.sum("s.v"), 5) + 0.0).alias("mw"))
 
 
-CUST = "e AS (SELECT DISTINCT c_custkey AS a, 10000000 + c_nationkey * 1000 + CAST(floor(c_acctbal / 200) AS BIGINT) AS b FROM customer)"
+CUST = "e AS (SELECT DISTINCT c_custkey AS a, 10000000 + c_nationkey * 1000 + CAST(floor(c_acctbal / 1000) AS BIGINT) AS b FROM customer)"
 
 
 @query(f"WITH RECURSIVE {CUST}, arc AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT u AS s, u AS node FROM arc UNION SELECT s, v FROM reach JOIN arc ON u = node), n AS (SELECT s, count(*) AS n FROM reach GROUP BY s) SELECT a, b FROM e JOIN n ON s = a WHERE n >= 4")
 def connected_lines(spark, d):
     """Lines of components with at least four nodes: customers and the classes of balance in their nation."""
-    e = b.table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (10000000 + F.col("c_nationkey") * 1000 + F.floor(F.col("c_acctbal") / 200)).cast("long").alias("b")).distinct()
+    e = b.table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (10000000 + F.col("c_nationkey") * 1000 + F.floor(F.col("c_acctbal") / 1000)).cast("long").alias("b")).distinct()
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return net.drop_isolated(e, net.connected_components(e, nodes), 4)
 
