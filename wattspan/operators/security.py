@@ -169,7 +169,7 @@ def line_losses(lines: DataFrame, injections: DataFrame, key: str, double: bool
             keep = np.setdiff1d(np.arange(len(names)), lost)
             flow = net.after(lost)
             over = np.where((cap[keep] > 0) & (np.abs(flow) > cap[keep]), (np.abs(flow) / cap[keep] - 1) * 100, 0.0)
-            out.append(pd.DataFrame({"outage": names[lost[0]], "second": second, "line": names[keep], "flow": flow, "overload_pct": over}))
+            out.append((names[lost[0]], second, names[keep], flow, over))
             whole = np.zeros(len(names))
             whole[keep] = np.abs(flow) / cap[keep] * 100
             return whole
@@ -180,7 +180,10 @@ def line_losses(lines: DataFrame, injections: DataFrame, key: str, double: bool
                 for j in np.flatnonzero(loading >= stressed_pct):
                     if j != k:
                         after([k, int(j)], names[j])
-        rows = pd.concat(out, ignore_index=True).astype({"second": "Int64"})
+        sizes = [len(o[2]) for o in out]
+        spread = lambda i, kind: pd.array(np.repeat(np.array([o[i] for o in out], dtype=object), sizes), dtype=kind)
+        joined_ = lambda i: np.concatenate([o[i] for o in out])
+        rows = pd.DataFrame({"outage": spread(0, "int64"), "second": spread(1, "Int64"), "line": joined_(2), "flow": joined_(3), "overload_pct": joined_(4)})
         if double:
             rows = rows[rows["second"].notna()]
         rows.insert(0, key, p[key].iloc[0])
