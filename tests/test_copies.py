@@ -62,3 +62,14 @@ def test_ends_are_counted_before_they_meet(spark):
     assert got == {(0, 1): 10**12, (1, 1): 10**12}
     few = spark.createDataFrame([(1, 2), (2, 1), (None, 1), (1, 1)], "a long, b long")
     assert {(x["lo"], x["hi"]): x["pairs"] for x in jn.same_ends_count(few, few, "a", "b").collect()} == {(1, 2): 4, (1, 1): 1}
+
+
+def test_buses_of_a_place_cut_a_line_once_and_blocks_of_vertices_meet(spark):
+    n = geometry.VERTICES * 2 + 5
+    v = spark.range(n).select(F.lit(1).alias("l"), F.col("id").alias("s"), F.lit(0.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))
+    lines = spark.createDataFrame([(1, 0.0), (2, 0.0)], "l int, kv double")
+    buses = spark.range(3000).select(F.col("id").alias("b"), F.lit(0.0001).alias("lat"), F.lit(1.5).alias("lon"), F.lit(110.0).alias("kv"))
+    got = [tuple(x) for x in geometry.split_lines(v, lines, buses, "l", "s", "b", "lat", "lon", "kv", 200.0).orderBy("line", "piece").collect()]
+    cut, end = 1.5 * geometry.LON_M, (n - 1) / 1000 * geometry.LON_M
+    assert [(a, b) for a, b, *_ in got] == [(1, 0), (1, 1), (2, 0)]
+    assert [x for _, _, *m in got for x in m] == pytest.approx([0, cut, cut, end, 0, 0], abs=0.02)

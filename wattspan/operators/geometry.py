@@ -26,14 +26,21 @@ def segments(vertices: DataFrame, line: str, seq: str, lat: str, lon: str) -> Da
     """
     v = vertices.select(F.col(line).alias("line"), F.col(seq).cast("long").alias("seq"), F.col(lat).alias("lat1"), F.col(lon).alias("lon1"))
     middle = v.groupBy("line").agg((LON_M * F.cos(F.radians(F.avg("lat1")))).alias("lon_m"))
-    after = v.select("line", (F.col("seq") - 1).alias("seq"), F.col("lat1").alias("lat2"), F.col("lon1").alias("lon2"))
-    s = v.join(after, ["line", "seq"]).join(middle, "line")
-    s = s.withColumns({"x1": F.col("lon1") * F.col("lon_m"), "y1": F.col("lat1") * LAT_M, "x2": F.col("lon2") * F.col("lon_m"), "y2": F.col("lat2") * LAT_M})
-    s = stored(s.withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).withColumn("_block", F.floor(F.col("seq") / VERTICES)), "segments")
-    inside = F.coalesce(F.sum("length").over(Window.partitionBy("line", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = s.groupBy("line", "_block").agg(F.sum("length").alias("_sum"))
-    before = sums.select("line", "_block", F.coalesce(F.sum("_sum").over(Window.partitionBy("line").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    return s.withColumn("_in", inside).join(before, ["line", "_block"]).withColumn("s0", F.col("_before") + F.col("_in")).drop("_in", "_before", "_block")
+    # A block's last segment ends at the first vertex of the next block, which is in both.
+    block = F.floor(F.col("seq") / VERTICES)
+    shared = F.when(F.col("seq") % VERTICES == 0, F.array(block - 1, block)).otherwise(F.array(block))
+    w = Window.partitionBy("line", "_block").orderBy("seq")
+    s = v.join(middle, "line").withColumn("_block", F.explode(shared))
+    s = s.withColumns({"_next": F.lead("seq").over(w), "lat2": F.lead("lat1").over(w), "lon2": F.lead("lon1").over(w)}).where("_next = seq + 1").drop("_next")
+    plane = {"x1": F.col("lon1") * F.col("lon_m"), "y1": F.col("lat1") * LAT_M, "x2": F.col("lon2") * F.col("lon_m"), "y2": F.col("lat2") * LAT_M}
+    s = s.withColumn("length", F.hypot(plane["x2"] - plane["x1"], plane["y2"] - plane["y1"]))
+    s = stored(s.withColumn("s0", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))), "segments")
+    if not s.where("_block <> 0").isEmpty():
+        sums = s.groupBy("line", "_block").agg(F.sum("length").alias("_sum"))
+        before = sums.select("line", "_block", F.coalesce(F.sum("_sum").over(Window.partitionBy("line").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+        later = stored(before.where("_before > 0"), "blocks")
+        s = s.join(later, ["line", "_block"], "left").withColumn("s0", F.coalesce("_before", F.lit(0.0)) + F.col("s0")).drop("_before")
+    return s.drop("_block").withColumns(plane)
 
 
 def crossed_cells(segs: DataFrame, tol_m: float, size: float) -> DataFrame:
@@ -63,25 +70,31 @@ def touching_buses(segs: DataFrame, buses: DataFrame, bus: str, lat: str, lon: s
     t = F.when(F.col("length") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
     far = F.hypot(px - F.col("x1") - t * dx, py - F.col("y1") - t * dy)
     best = F.min(F.struct(far.alias("metres"), (F.col("s0") + t * F.col("length")).alias("s"))).alias("_m")
-    return met.groupBy("line", "bus").agg(best).select("line", "bus", "_m.metres", "_m.s").where(F.col("metres") <= tol_m)
+    return met.where(far <= tol_m).groupBy("line", "bus").agg(best).select("line", "bus", "_m.metres", "_m.s")
 
 
 def split_lines(vertices: DataFrame, lines: DataFrame, buses: DataFrame, line: str, seq: str, bus: str, lat: str, lon: str, voltage: str, tol_m: float = 150.0, size: float = 0.05) -> DataFrame:
     """``line, piece, from_m, to_m``: lines cut where a bus of their voltage (10 % apart at most, or one unknown) touches
     their inside, farther than ``tol_m`` from both ends. Cuts are rounded to centimetres; pieces below a metre are left out,
     and a line that has no other piece stays whole."""
-    segs = stored(segments(vertices, line, seq, lat, lon), "line-segments")
+    segs = segments(vertices, line, seq, lat, lon)
     total = segs.groupBy("line").agg(F.sum("length").alias("total"))
-    kv = lines.select(F.col(line).alias("line"), F.col(voltage).alias("_kv"))
-    hit = touching_buses(segs, buses.where(f"NOT ({lat} = 0 AND {lon} = 0)"), bus, lat, lon, tol_m, size)
-    hit = hit.join(buses.select(F.col(bus).alias("bus"), F.col(voltage).alias("_bkv")), "bus").join(kv, "line").join(total, "line")
+    every = lines.select(F.col(line).alias("line"), F.col(voltage).alias("_kv"), F.lit(True).alias("_listed"))
+    every = stored(every.join(total, "line", "full"), "line-lengths")
+    # Buses of one voltage at one place cut a line at the same spot.
+    spots = stored(buses.where(f"NOT ({lat} = 0 AND {lon} = 0)").groupBy(lat, lon, voltage).agg(F.min(bus).alias(bus)), "bus-places")
+    hit = touching_buses(segs, spots, bus, lat, lon, tol_m, size)
+    hit = hit.join(spots.select(F.col(bus).alias("bus"), F.col(voltage).alias("_bkv")), "bus").join(every, "line")
     alike = (F.col("_kv") <= 0) | (F.col("_bkv") <= 0) | (F.abs(F.col("_bkv") - F.col("_kv")) <= 0.1 * F.col("_kv"))
-    cuts = hit.where(alike & (F.col("s") > tol_m) & (F.col("s") < F.col("total") - tol_m)).select("line", F.round("s", 2).alias("at")).distinct()
-    marks = cuts.unionByName(total.select("line", F.lit(0.0).alias("at"))).unionByName(total.select("line", F.col("total").alias("at")))
+    cuts = hit.where(alike & (F.col("s") > tol_m) & (F.col("s") < F.col("total") - tol_m)).select("line", F.round("s", 2).alias("at"), F.lit(None).cast("double").alias("_whole"))
+    length = F.coalesce("total", F.lit(0.0))
+    ends = F.array(F.struct(F.lit(0.0).alias("at"), F.when(F.col("_listed"), length).alias("_whole")), F.struct(length.alias("at"), F.lit(None).cast("double").alias("_whole")))
+    marks = cuts.unionByName(every.select("line", F.explode(ends).alias("_e")).select("line", "_e.*"))
     w = Window.partitionBy("line").orderBy("at")
-    pieces = marks.withColumn("to_m", F.lead("at").over(w)).where("to_m - at >= 1.0").select("line", F.col("at").alias("from_m"), "to_m")
-    whole = lines.select(F.col(line).alias("line")).join(pieces.select("line").distinct(), "line", "left_anti").join(total, "line", "left").select("line", F.lit(0.0).alias("from_m"), F.coalesce("total", F.lit(0.0)).alias("to_m"))
-    every = pieces.unionByName(whole)
+    marks = marks.withColumn("to_m", F.lead("at").over(w)).withColumn("_piece", F.coalesce(F.col("to_m") - F.col("at") >= 1.0, F.lit(False)))
+    pieces = F.count_if(F.col("_piece")).over(Window.partitionBy("line"))
+    kept = marks.withColumn("_pieces", pieces).where("_piece OR (_pieces = 0 AND _whole IS NOT NULL)")
+    every = kept.select("line", F.col("at").alias("from_m"), F.when(F.col("_piece"), F.col("to_m")).otherwise(F.col("_whole")).alias("to_m"))
     return every.withColumn("piece", F.row_number().over(Window.partitionBy("line").orderBy("from_m")) - 1).select("line", "piece", "from_m", "to_m")
 
 
