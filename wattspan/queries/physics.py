@@ -61,7 +61,7 @@ def country_mask(spark, d):
 @query(f"WITH {CUST}, {SITE} SELECT cust, bus, round({km_sql('c', 's')}, 4) AS km FROM c, s WHERE {km_sql('c', 's')} <= 15")
 def sites_within(spark, d):
     c, s = places(spark, d)
-    return jn.within(c, s, "cust", "bus", "lat", "lon", 15.0).select("cust", "bus", r("km").alias("km"))
+    return jn.within(c, s, "cust", "bus", "lat", "lon", 15.0, digits=4)
 
 
 @query(f"WITH {SITE}, u AS (SELECT * FROM s) SELECT s.bus AS a, u.bus AS b, round({km_sql('s', 'u')}, 4) AS km FROM s JOIN u ON s.bus < u.bus WHERE {km_sql('s', 'u')} <= 60")
