@@ -64,6 +64,16 @@ def test_ends_are_counted_before_they_meet(spark):
     assert {(x["lo"], x["hi"]): x["pairs"] for x in jn.same_ends_count(few, few, "a", "b").collect()} == {(1, 2): 4, (1, 1): 1}
 
 
+def test_names_are_matched_once_and_then_expanded(spark):
+    zones = spark.range(600).select(F.col("id").alias("z"), F.when(F.col("id") % 2 == 0, "Wind").otherwise("sol").alias("t"))
+    parts = spark.range(900).select(F.col("id").alias("p"), F.when(F.col("id") % 3 == 0, "wind solar").when(F.col("id") % 3 == 1, "WINDY").otherwise("coal").alias("x"))
+    got = containment.contained(zones, parts.unionByName(parts), "z", "p", "t", "x")
+    assert got.count() == got.distinct().count() == 300 * 600 + 300 * 300
+    mixed = spark.createDataFrame([(1, "wind", None), (1, "x", ["a"])], "z int, t string, allowed array<string>")
+    keys = spark.createDataFrame([("a", "windmill"), ("b", "coal")], "key string, f string")
+    assert [tuple(x) for x in containment.match_zones(mixed, keys, "z", "t", "allowed", "key", ["f"]).collect()] == [(1, "a")]
+
+
 def test_buses_of_a_place_cut_a_line_once_and_blocks_of_vertices_meet(spark):
     n = geometry.VERTICES * 2 + 5
     v = spark.range(n).select(F.lit(1).alias("l"), F.col("id").alias("s"), F.lit(0.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))
