@@ -74,6 +74,17 @@ def test_names_are_matched_once_and_then_expanded(spark):
     assert [tuple(x) for x in containment.match_zones(mixed, keys, "z", "t", "allowed", "key", ["f"]).collect()] == [(1, "a")]
 
 
+def test_balances_are_rounded_as_their_loads(spark):
+    folder = DATA.parent / "sf0.01"
+    if not folder.exists():
+        pytest.skip("needs sf0.01")
+    duckdb = pytest.importorskip("duckdb")
+    sql = catalog.ORACLE_SQL["ac_power_flow"].replace("FROM supplier", f"FROM '{folder}/supplier.parquet'")
+    want = {(u, k): p for u, k, p, _ in duckdb.connect().sql(sql).fetchall()}
+    got = {(x["unit"], x["bus"]): x["p"] for x in catalog.QUERIES["ac_power_flow"](spark, str(folder)).collect()}
+    assert got == want
+
+
 def test_buses_of_a_place_cut_a_line_once_and_blocks_of_vertices_meet(spark):
     n = geometry.VERTICES * 2 + 5
     v = spark.range(n).select(F.lit(1).alias("l"), F.col("id").alias("s"), F.lit(0.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))
