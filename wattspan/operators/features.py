@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattspan.functions.scalar import haversine_km, plain_name
 from wattspan.operators.joins import around_cell, chord, sphere_cell
+from wattspan.operators.places import expanded, is_place, near_places
 
 
 def close_pairs(df: DataFrame, id_col: str, lat: str, lon: str, km: float) -> DataFrame:
@@ -21,14 +22,17 @@ def close_pairs(df: DataFrame, id_col: str, lat: str, lon: str, km: float) -> Da
 
 
 def keep_by_priority(df: DataFrame, id_col: str, lat: str, lon: str, km: float, priority: Column, same: Column | None = None) -> DataFrame:
-    """Features that no feature of better priority (smaller, ties by id) is near to."""
-    ranked = df.withColumn("_p", priority).withColumn("_k", F.lit(0) if same is None else same)
-    pairs = close_pairs(ranked, id_col, lat, lon, km)
-    a = ranked.select(F.col(id_col).alias("a"), F.col("_p").alias("pa"), F.col("_k").alias("ka"))
-    b = ranked.select(F.col(id_col).alias("b"), F.col("_p").alias("pb"), F.col("_k").alias("kb"))
-    both = pairs.join(a, "a").join(b, "b").where("ka = kb")
-    worse = both.select(F.when(F.struct("pa", "a") <= F.struct("pb", "b"), F.col("b")).otherwise(F.col("a")).alias("_lost")).distinct()
-    return df.join(worse, F.col(id_col) == F.col("_lost"), "left_anti")
+    """Features that no feature of better priority (smaller, ties by id) is near to. Ids are unique. Places hand their best
+    feature to the places near them, so no pair of features is built."""
+    kind = F.lit(0) if same is None else same
+    ranked = df.select(F.col(id_col).alias("_id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), F.struct(priority.alias("p"), F.col(id_col).alias("id")).alias("_rank"), kind.alias("_k"))
+    ranked = ranked.where(is_place(F.col("la"), F.col("lo")) & F.col("_k").isNotNull())
+    best = ranked.groupBy("la", "lo", "_k").agg(F.min("_rank").alias("_best"))
+    spots = best.select("la", "lo").distinct()
+    pairs = near_places(spots, spots.select(F.col("la").alias("lb"), F.col("lo").alias("ln")), km)
+    around = pairs.join(best.select(F.col("la").alias("lb"), F.col("lo").alias("ln"), "_k", "_best"), ["lb", "ln"]).groupBy("la", "lo", "_k").agg(F.min("_best").alias("_best"))
+    lost = ranked.join(around, ["la", "lo", "_k"]).where(F.col("_best") < F.col("_rank")).select(F.col("_id").alias("_lost"))
+    return df.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
 
 
 def duplicate_names(df: DataFrame, id_col: str, name: str) -> DataFrame:
