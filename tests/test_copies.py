@@ -64,6 +64,13 @@ def test_ends_are_counted_before_they_meet(spark):
     assert {(x["lo"], x["hi"]): x["pairs"] for x in jn.same_ends_count(few, few, "a", "b").collect()} == {(1, 2): 4, (1, 1): 1}
 
 
+def test_priority_and_gaps_do_not_pair_rows(spark):
+    with limited(spark, 60):
+        kept = ft.keep_by_priority(crowd(spark, 100_000), "k", "lat", "lon", 5.0, -(F.col("k") % 10)).collect()
+        left = jn.gap_fill(crowd(spark, 100_000).where("k % 2 = 0"), crowd(spark, 100_000), "k", "lat", "lon", 5.0).count()
+    assert sorted(x["k"] for x in kept) == [8, 9] and left == 50_000
+
+
 def test_names_are_matched_once_and_then_expanded(spark):
     zones = spark.range(600).select(F.col("id").alias("z"), F.when(F.col("id") % 2 == 0, "Wind").otherwise("sol").alias("t"))
     parts = spark.range(900).select(F.col("id").alias("p"), F.when(F.col("id") % 3 == 0, "wind solar").when(F.col("id") % 3 == 1, "WINDY").otherwise("coal").alias("x"))
