@@ -120,7 +120,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
 
 def hulls(points: DataFrame, keys: Sequence[str], x: str, y: str, parts: int = 64) -> DataFrame:
     """``keys, corners`` (array of x and y, counter-clockwise). Hulls of ``parts`` parts of each group are merged, so a group of
-    any size is spread over tasks; only corners go on."""
+    any size is spread over tasks; only corners go on. Points at one place are one."""
     kinds = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys)
 
     def corners(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +131,7 @@ def hulls(points: DataFrame, keys: Sequence[str], x: str, y: str, parts: int = 6
         h = _hull(p[["_x", "_y"]].to_numpy(float))
         return pd.DataFrame([[*key, [{"x": a, "y": b} for a, b in h.tolist()]]], columns=[*keys, "corners"])
 
-    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
     some = spots.withColumn("_part", F.pmod(F.xxhash64("_x", "_y"), F.lit(parts)))
     first = some.groupBy(*keys, "_part").applyInPandas(corners, f"{kinds}, _x double, _y double")
     return first.groupBy(*keys).applyInPandas(whole, f"{kinds}, corners array<struct<x:double,y:double>>")
