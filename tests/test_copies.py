@@ -64,6 +64,19 @@ def test_ends_are_counted_before_they_meet(spark):
     assert {(x["lo"], x["hi"]): x["pairs"] for x in jn.same_ends_count(few, few, "a", "b").collect()} == {(1, 2): 4, (1, 1): 1}
 
 
+def test_pairs_of_copies(spark):
+    left, right = few_places(60, 1), [(i + 100, x, y) for i, x, y in few_places(300, 1)]
+    schema = "k int, lat double, lon double"
+    l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("k", "m")
+    got = {(x["k"], x["m"]): x["km"] for x in jn.within(l, r, "k", "m", "lat", "lon", 40.0, digits=3).collect()}
+    want = {(a[0], b[0]): km(a, b) for a in left for b in right if km(a, b) <= 40.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-4 for k in want)
+    close = sorted((x["a"], x["b"]) for x in ft.close_pairs(r, "m", "lat", "lon", 40.0, digits=3).collect())
+    assert close == sorted((a[0], b[0]) for a in right for b in right if a[0] < b[0] and km(a, b) <= 40.0)
+    taken = {b[0] for b in right if any(km(a, b) <= 20.0 for a in left[:3])}
+    assert {x["m"] for x in jn.gap_fill(l.where("k < 3").withColumnRenamed("k", "m"), r, "m", "lat", "lon", 20.0).collect()} == {b[0] for b in right} - taken
+
+
 def test_priority_and_gaps_do_not_pair_rows(spark):
     with limited(spark, 60):
         kept = ft.keep_by_priority(crowd(spark, 100_000), "k", "lat", "lon", 5.0, -(F.col("k") % 10)).collect()

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.functions.scalar import haversine_km, plain_name
-from wattspan.operators.joins import around_cell, chord, sphere_cell
 from wattspan.operators.places import expanded, is_place, near_places
 
 
-def close_pairs(df: DataFrame, id_col: str, lat: str, lon: str, km: float) -> DataFrame:
-    """Pairs a < b within ``km``: an equi-join on cells with the 26 neighbours."""
-    size = chord(km)
-    cell = sphere_cell(F.col(lat), F.col(lon), size)
-    a = df.select(F.col(id_col).alias("a"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), cell.alias("_own"))
-    a = a.select("a", "_la", "_lo", F.explode(around_cell(F.col("_own"))).alias("_cell"))
-    b = df.select(F.col(id_col).alias("b"), F.col(lat).alias("_lb"), F.col(lon).alias("_ln"), cell.alias("_cell"))
-    d = haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_ln"))
-    return a.join(b, "_cell").where(F.col("a") < F.col("b")).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
+def close_pairs(df: DataFrame, id_col: str, lat: str, lon: str, km: float, digits: int | None = None) -> DataFrame:
+    """Pairs a < b within ``km``: pairs of places, expanded to the rows at them. The distance is rounded to ``digits``, if
+    given, once for a pair of places."""
+    placed = df.where(is_place(F.col(lat), F.col(lon)))
+    a = placed.select(F.col(id_col).alias("a"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
+    b = placed.select(F.col(id_col).alias("b"), F.col(lat).alias("lb"), F.col(lon).alias("ln"))
+    pairs = near_places(a.select("la", "lo").distinct(), b.select("lb", "ln").distinct(), km)
+    pairs = pairs if digits is None else pairs.withColumn("km", F.round("km", digits))
+    return expanded(pairs, a, ["la", "lo"], "a", b, ["lb", "ln"], "b").where("a < b").select("a", "b", "km")
 
 
 def keep_by_priority(df: DataFrame, id_col: str, lat: str, lon: str, km: float, priority: Column, same: Column | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def sites_within(spark, d):
 @query(f"WITH {SITE}, u AS (SELECT * FROM s) SELECT s.bus AS a, u.bus AS b, round({km_sql('s', 'u')}, 4) AS km FROM s JOIN u ON s.bus < u.bus WHERE {km_sql('s', 'u')} <= 60")
 def close_sites(spark, d):
     _, s = places(spark, d)
-    return ft.close_pairs(s, "bus", "lat", "lon", 60.0).select("a", "b", r("km").alias("km"))
+    return ft.close_pairs(s, "bus", "lat", "lon", 60.0, digits=4)
 
 
 @query(f"WITH {SITE}, u AS (SELECT * FROM s) SELECT s.bus FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.bus <> s.bus AND {km_sql('s', 'u')} <= 60 AND (u.bus % 3 < s.bus % 3 OR (u.bus % 3 = s.bus % 3 AND u.bus < s.bus)))")
