@@ -84,6 +84,13 @@ def test_priority_and_gaps_do_not_pair_rows(spark):
     assert sorted(x["k"] for x in kept) == [8, 9] and left == 50_000
 
 
+def test_households_of_a_place_are_counted(spark):
+    people = crowd(spark, 40_000, "agent").withColumn("rate", F.lit(0.05))
+    with limited(spark, 100):
+        got = adoption.adoption_rounds(people, "agent", "rate", "lat", "lon", [2020, 2021], 2, 1000.0, 0.2, 5.0).count()
+    assert got == 80_000
+
+
 def test_names_are_matched_once_and_then_expanded(spark):
     zones = spark.range(600).select(F.col("id").alias("z"), F.when(F.col("id") % 2 == 0, "Wind").otherwise("sol").alias("t"))
     parts = spark.range(900).select(F.col("id").alias("p"), F.when(F.col("id") % 3 == 0, "wind solar").when(F.col("id") % 3 == 1, "WINDY").otherwise("coal").alias("x"))

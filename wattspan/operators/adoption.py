@@ -112,30 +112,33 @@ def adoption_rounds(agents: DataFrame, agent: str, rate: str, lat: str, lon: str
     """``run, agent, year``: the year in which each household adopts in each run, null if it never does.
 
     A household adopts when the weighted sum of its economic utility, the share of its neighbours (within ``km``, itself included)
-    that had adopted the year before, and awareness with noise exceeds a noisy threshold. A year is one round: a join
-    with the neighbours that adopted so far, of all runs at once. Draws are functions of household, year and run,
+    that had adopted the year before, and awareness with noise exceeds a noisy threshold. A year is one round: adopters so far are
+    counted by place and summed over the places near each, of all runs at once. Draws are functions of household, year and run,
     so neither partitions nor lost executors change the result. ``agent`` is an integer.
     """
-    from wattspan.operators.features import close_pairs
+    from wattspan.operators.places import is_place, near_places
     from wattspan.operators.stored import stored
 
-    one = close_pairs(agents, agent, lat, lon, km).select("a", "b")
-    near = stored(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neighbours")
-    many = near.groupBy(F.col("a").alias("agent")).agg((F.count("*") + 1).alias("_near"))
-    people = agents.select(F.col(agent).cast("long").alias("agent"), F.col(rate).alias("_rate")).join(many, "agent", "left")
+    people = agents.select(F.col(agent).cast("long").alias("agent"), F.col(rate).alias("_rate"), F.col(lat).alias("la"), F.col(lon).alias("lo"))
+    at = stored(people.where(is_place(F.col("la"), F.col("lo"))).groupBy("la", "lo").agg(F.min("agent").alias("_place"), F.count("*").alias("_n")), "adoption-places")
+    there = at.select(F.col("la").alias("lb"), F.col("lo").alias("ln"), F.col("_place").alias("_other"), "_n")
+    near = stored(near_places(at.select("la", "lo", "_place"), there, km).select("_place", "_other", "_n"), "neighbours")
+    many = near.groupBy("_place").agg(F.sum("_n").alias("_near"))
+    people = people.join(at.select("la", "lo", "_place"), ["la", "lo"], "left").select("agent", "_rate", "_place").join(many, "_place", "left")
     state = stored(people.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))).withColumn("year", F.lit(None).cast("long")), "adoption")
     for year in years:
         t = year - years[0]
-        adopted = state.where("year IS NOT NULL").select("run", F.col("agent").alias("b"))
-        beside = near.join(adopted, "b").groupBy("run", F.col("a").alias("agent")).agg(F.count("*").alias("_peers"))
+        adopted = state.where("year IS NOT NULL").groupBy("run", F.col("_place").alias("_other")).agg(F.count("*").alias("_k"))
+        # Who has not adopted is not among the adopters of their own place.
+        beside = near.join(adopted, "_other").groupBy("run", "_place").agg(F.sum("_k").alias("_peers"))
         y = F.lit(year).cast("long")
         social = F.coalesce(F.col("_peers") / F.col("_near"), F.lit(0.0))
         aware = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1 / (1 + math.exp(-0.3 * (t - 10)))) + normal_draw(F.col("agent"), y, F.col("run"), 1, 0.1)))
         economic = economic_utility(F.col("_rate"), F.lit(cost * (1 - cost_fall) ** t), F.lit(tariff * (1 + tariff_rise) ** t), kwh, life)
         utility = ECONOMIC * economic + SOCIAL * social + AWARE * aware
         takes = utility > THRESHOLD + normal_draw(F.col("agent"), y, F.col("run"), 3, 0.05)
-        joined = state.join(beside, ["run", "agent"], "left")
-        state = stored(joined.select("agent", "_rate", "_near", "run", F.coalesce("year", F.when(takes, y)).alias("year")), "adoption")
+        joined = state.join(beside, ["run", "_place"], "left")
+        state = stored(joined.select("agent", "_rate", "_place", "_near", "run", F.coalesce("year", F.when(takes, y)).alias("year")), "adoption")
     return state.select("run", "agent", "year")
 
 
