@@ -112,6 +112,14 @@ def test_balances_are_rounded_as_their_loads(spark):
     assert got == want
 
 
+def test_rows_that_become_many_are_dealt(spark):
+    units = spark.range(2000).coalesce(1).select(F.col("id").alias("unit"), F.lit(1.0).alias("v"), F.lit(0.5).alias("m"), F.lit(0.4).alias("im"))
+    hours = profiles.thermal_profile(units, "unit", F.lit(5), 1.0, 0.8, 10)
+    assert hours.rdd.getNumPartitions() == 4 and hours.count() == 20_000
+    loss = risk.sampled_annual_loss(units.where("unit < 3"), ["unit"], "v", "m", "im", 0.4, 200)
+    assert loss.count() == 3
+
+
 def test_buses_of_a_place_cut_a_line_once_and_blocks_of_vertices_meet(spark):
     n = geometry.VERTICES * 2 + 5
     v = spark.range(n).select(F.lit(1).alias("l"), F.col("id").alias("s"), F.lit(0.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))

@@ -113,12 +113,17 @@ def weighted_index(df: DataFrame, layers: dict[str, float]) -> Column:
     return sum((F.col(c) * (w / total) for c, w in layers.items()), F.lit(0.0))
 
 
+#: Drawn rows in a task.
+DRAWN = 200_000
+
+
 def sampled_annual_loss(df: DataFrame, keys: Sequence[str], value: str, median: str, intensity: str, beta: float, draws: int, seed: int = 42) -> DataFrame:
     """Mean and 95th percentile of annual loss over draws of fragility medians, lognormal around each; the draw is a hash of the
     row's keys and the draw's number, so it does not depend on partitions."""
     from wattspan.functions.scalar import normal_cdf
+    from wattspan.operators.stored import spread
 
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = spread(df, DRAWN // draws + 1).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = lambda k: (F.pmod(F.xxhash64(*keys, "draw", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
     p = normal_cdf((F.log(F.col(intensity)) - F.log(F.col(median)) - 0.3 * z) / beta)
