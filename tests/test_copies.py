@@ -120,6 +120,19 @@ def test_rows_that_become_many_are_dealt(spark):
     assert loss.count() == 3
 
 
+@pytest.mark.parametrize("by_unit", [False, True])
+def test_a_fleet_is_dispatched_without_a_shuffle_of_its_steps(spark, by_unit):
+    units = spark.createDataFrame([(n, u, float(3 + u % 4), float(u % 3)) for n in (1, 2) for u in range(9)], "node int, unit int, cap double, cost double")
+    loads = spark.createDataFrame([(n, d, float(d * n)) for n in (1, 2) for d in range(30)], "node int, day int, load double")
+    got = dispatch.fleet_merit_order(units, loads, ["node"], "day", "unit", "cap", "cost", "load", by_unit)
+    want = dispatch.merit_order(units.join(loads.drop("load"), "node"), loads, ["node", "day"], "unit", "cap", "cost", "load")
+    rows = lambda df: sorted(tuple(x) for x in df.select("node", "day", "unit", "load", "dispatch").collect())
+    assert rows(got) == rows(want)
+    grouped = got.groupBy("node", "unit" if by_unit else "day").agg(F.sum("dispatch"))
+    above = grouped._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+    assert "Exchange" not in above
+
+
 def test_buses_of_a_place_cut_a_line_once_and_blocks_of_vertices_meet(spark):
     n = geometry.VERTICES * 2 + 5
     v = spark.range(n).select(F.lit(1).alias("l"), F.col("id").alias("s"), F.lit(0.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))

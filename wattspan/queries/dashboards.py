@@ -40,7 +40,7 @@ def price_band(spark, d):
 @query(f"WITH {DISPATCH_SQL} SELECT node, unit FROM disp GROUP BY node, unit HAVING max(CAST(dispatch > cap / 2 AS INTEGER)) > 0.5 AND min(CAST(dispatch > cap / 2 AS INTEGER)) < 0.5")
 def cycling_units(spark, d):
     on = (F.col("dispatch") > F.col("cap") / 2).cast("int")
-    return dispatched(spark, d).groupBy("node", "unit").agg(F.max(on).alias("hi"), F.min(on).alias("lo")).where("hi > 0.5 AND lo < 0.5").select("node", "unit")
+    return dispatched(spark, d, by_unit=True).groupBy("node", "unit").agg(F.max(on).alias("hi"), F.min(on).alias("lo")).where("hi > 0.5 AND lo < 0.5").select("node", "unit")
 
 
 @query(f"WITH {DISPATCH_SQL}, s AS (SELECT node, day, greatest(0, max(load) - sum(dispatch)) AS shed FROM disp GROUP BY node, day) SELECT node, day, round(sum(shed) OVER (PARTITION BY node ORDER BY day ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM s")
@@ -53,7 +53,7 @@ def shed_timeline(spark, d):
 
 @query(f"WITH {DISPATCH_SQL}, x AS (SELECT node, day, unit, dispatch - lag(dispatch) OVER (PARTITION BY node, unit ORDER BY day) AS change FROM disp) SELECT node, day, unit, round(change, 4) AS change FROM x WHERE abs(change) > 1000 + 1e-9")
 def ramp_violations(spark, d):
-    x = dispatched(spark, d).withColumn("limit", F.lit(1000.0))
+    x = dispatched(spark, d, by_unit=True).withColumn("limit", F.lit(1000.0))
     return ck.ramp_violations(x, ["node", "unit"], "day", "dispatch", "limit").select("node", "day", "unit", r("change").alias("change"))
 
 
@@ -61,7 +61,7 @@ def ramp_violations(spark, d):
  g AS (SELECT *, sum(nw) OVER (PARTITION BY node, unit ORDER BY day ROWS UNBOUNDED PRECEDING) AS g FROM f), sp AS (SELECT node, unit, g, any_value(s) AS state, min(day) AS start, count(*) AS length FROM g GROUP BY node, unit, g), e AS (SELECT *, g = 1 OR g = max(g) OVER (PARTITION BY node, unit) AS edge FROM sp)
 SELECT node, unit, state, start, length FROM e WHERE NOT edge AND length < 3""")
 def commitment_violations(spark, d):
-    v = ck.commitment_violations(dispatched(spark, d), ["node", "unit"], "day", F.col("dispatch") > F.col("cap") / 2, 3, 3)
+    v = ck.commitment_violations(dispatched(spark, d, by_unit=True), ["node", "unit"], "day", F.col("dispatch") > F.col("cap") / 2, 3, 3)
     return v.select("node", "unit", "state", "start", "length")
 
 
