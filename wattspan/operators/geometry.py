@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspan.operators.stored import stored
+from wattspan.operators.stored import spread, stored
 
 #: Metres of a degree of latitude, and of longitude at the equator.
 LAT_M, LON_M = 110_540.0, 111_320.0
 #: Vertices of a line in one block of a running length.
 VERTICES = 1024
+#: Segments in a task that makes the cells they cross.
+SEGMENTS = 200_000
 
 
 def segments(vertices: DataFrame, line: str, seq: str, lat: str, lon: str) -> DataFrame:
@@ -64,7 +66,7 @@ def crossed_cells(segs: DataFrame, tol_m: float, size: float) -> DataFrame:
 def touching_buses(segs: DataFrame, buses: DataFrame, bus: str, lat: str, lon: str, tol_m: float, size: float = 0.05) -> DataFrame:
     """``line, bus, metres, s``: buses within ``tol_m`` of a line and where along it they lie nearest (the first such place)."""
     b = buses.select(F.col(bus).alias("bus"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.floor(F.col(lat) / size).alias("_row"), F.floor(F.col(lon) / size).alias("_col"))
-    met = crossed_cells(segs, tol_m, size).join(b, ["_row", "_col"])
+    met = crossed_cells(spread(segs, SEGMENTS), tol_m, size).join(b, ["_row", "_col"])
     px, py = F.col("_lon") * F.col("lon_m"), F.col("_lat") * LAT_M
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.when(F.col("length") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("x1")) * dx + (py - F.col("y1")) * dy) / (dx * dx + dy * dy)))).otherwise(0.0)

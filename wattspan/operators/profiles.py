@@ -43,7 +43,7 @@ def thermal_profile(units: DataFrame, unit: str, start: Column, weeks: float, an
     """Firm availability with one planned outage from ``start``, at most 1 and of the annual mean where that can be reached."""
     out = int(weeks * 168)
     level = min(1.0, annual / ((hours - out) / hours))
-    rows = spread(units.select(unit, start.cast("int").alias("_s")), UNITS).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
+    rows = spread(units.select(unit, start.cast("int").alias("_s")), UNITS, unit).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
     return rows.select(unit, "hour", F.when((F.col("hour") >= F.col("_s")) & (F.col("hour") < F.col("_s") + out), 0.0).otherwise(level).alias("cf"))
 
 
@@ -59,7 +59,7 @@ def hydro_profiles(units: DataFrame, unit: str, latitude: str, annual: str, hour
     lat, t = F.col(latitude), F.col("hour") / hours
     north, south, tropic = (sc.hydro_shape(t, x) for x in (45.0, -45.0, 0.0))
     kind = F.when(F.abs(lat) < 10, "tropic").when(lat >= 0, "north").otherwise("south")
-    rows = spread(units.select(unit, kind.alias("_kind"), F.col(annual).alias("_annual")), UNITS).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
+    rows = spread(units.select(unit, kind.alias("_kind"), F.col(annual).alias("_annual")), UNITS, unit).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
     shape = F.when(F.col("_kind") == "tropic", tropic).when(F.col("_kind") == "north", north).otherwise(south)
     means = units.sparkSession.range(hours).select(F.col("id").alias("hour")).agg(*[F.avg(s).alias(k) for k, s in (("north", north), ("south", south), ("tropic", tropic))]).first()  # three numbers
     mean = F.when(F.col("_kind") == "tropic", means["tropic"]).when(F.col("_kind") == "north", means["north"]).otherwise(means["south"])
