@@ -678,3 +678,14 @@ def test_byte_bpe_of_a_vocabulary_that_does_not_fold_to_itself(spark):
     odd = byte_bpe.BytePairCoder(pieces, r"\S+|\s+")
     got = odd.encode(spark.createDataFrame([(1, "xyz abc xyzz")], "doc_id bigint, text string")).first()["token_ids"]
     assert got == [259, 32, 258, 32, 120, 121, 122, 122] and odd._odd is not None
+
+
+def test_byte_bpe_plans_hold_no_tables(spark, docs, coder):
+    assert len(coder.encode(docs)._jdf.queryExecution().toString()) < 200_000
+
+
+def test_byte_bpe_keeps_frequent_words_that_share_a_hash(spark):
+    folded = spark.range(20_000).select(F.concat(F.lit("w"), "id").alias("w"), F.col("id").alias("count"), F.array(F.col("id").cast("int")).alias("ids"))
+    table = byte_bpe.WordTable(folded)
+    found = folded.withColumn("_t", table.rows).select("ids", byte_bpe._let(F.struct(F.col("_t").alias("words")), lambda t: table.find(t, F.col("w"))).alias("v"))
+    assert found.where("v <=> ids").count() == 20_000

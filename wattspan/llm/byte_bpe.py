@@ -2,8 +2,10 @@
 
 Each match of the tokenizer's split pattern is a word. Words are folded: a word starts as the array of
 its bytes, and ``aggregate`` merges, one at a time, the leftmost adjacent pair of lowest rank until no
-pair has a rank. Ranks come from a literal in the plan: for each pair of tokens whose bytes together are a
-token, that token's rank, in a table without collisions addressed by a hash of the two ids. An item of the folded array is one
+pair has a rank. Ranks come from a literal: for each pair of tokens whose bytes together are a
+token, that token's rank, in a table without collisions addressed by a hash of the two ids. Spark writes a plan out as text
+again and again, with its literals, and the driver keeps these texts; so ``encode`` stores the literals as a table of one row, which
+a scalar subquery gives to the tasks. An item of the folded array is one
 number, of its pair's rank, its place in the word and its id, so that the least number is the next merge.
 Decoding looks every id up in a literal array of binary pieces and concatenates them.
 
@@ -14,12 +16,12 @@ that was joined so far is folded. So a word's cost grows with its length, not wi
 This needs a vocabulary whose tokens fold to themselves; with others words are folded whole.
 
 Distinct words are folded once in each run of ``RUN_WORDS`` words of a document. The most frequent words of
-a bounded sample are folded beforehand and reach the tasks as one array, by a scalar subquery; that only saves
+a sample are folded beforehand and reach the tasks as one array, by a scalar subquery; that only saves
 time, a word it lacks is folded in its document with the same result. Nothing is shuffled but the sample's word
 counts, so neither hot sources nor copies matter.
 
 Nulls and empty texts give no tokens. Repeated rows are encoded each on its own, other columns pass
-through. The columns ``words``, ``token_ids`` and ``_bpe_words`` are the operator's own and replace
+through. The columns ``words``, ``token_ids``, ``_bpe_words`` and ``_bpe_tables`` are the operator's own and replace
 input columns of those names.
 """
 
@@ -30,14 +32,17 @@ import itertools
 import json
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import bounded_sample, materialise
+from wattspan.llm.common import materialise
 
 #: Documents sampled to find frequent words, and frequent words that are folded beforehand.
-SAMPLE_DOCS = 16_000
-FREQUENT_WORDS = 262_144
+SAMPLE_DOCS = 48_000
+FREQUENT_WORDS = 393_216
+#: Buckets of the table of frequent words, and words looked at in each.
+BUCKETS = 262_144
+BUCKET_WORDS = 4
 #: Words of a document that are looked up and folded together.
 RUN_WORDS = 2048
 #: Longer words are folded by pieces of so many bytes; tokens on either side of a joint that are folded again.
@@ -107,23 +112,31 @@ def _literal(value, kind: str) -> Column:
 class WordTable:
     """Frequent words and their ids, as one array that a scalar subquery gives to every task.
 
-    A word's slot is the low bits of its hash. Of words with one slot the most frequent is kept, as a word that is not found
-    is folded in its document.
+    A word's bucket is the low bits of its hash. Of a bucket's words the ``BUCKET_WORDS`` most frequent are kept, as a word that is not
+    found is folded in its document.
     """
 
     def __init__(self, folded: DataFrame):
         """``folded`` has ``w``, ``count`` and ``ids``, at most ``FREQUENT_WORDS`` rows."""
-        size = 2 * 2 ** (FREQUENT_WORDS - 1).bit_length()
-        self.mask = size - 1
-        best = F.max_by(F.struct("w", "ids"), F.struct("count", "w"))
-        slots = folded.groupBy(F.xxhash64("w").bitwiseAND(self.mask).alias("slot")).agg(best.alias("x"))
-        every = folded.sparkSession.range(size).join(slots, F.col("id") == F.col("slot"), "left")
-        self.rows = every.agg(F.sort_array(F.collect_list(F.struct("id", "x.w", F.col("x.ids").alias("v")))).alias("rows")).scalar()
+        entry = F.struct(F.col("count").alias("n"), "w", "ids")
+        best = F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, BUCKET_WORDS)
+        found = folded.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.transform(best, lambda e: F.struct(e["w"].alias("w"), e["ids"].alias("v"))).alias("x"))
+        every = folded.sparkSession.range(BUCKETS).join(found, F.col("id") == F.col("bucket"), "left")
+        rows = F.sort_array(F.collect_list(F.struct("id", "x")))
+        self.rows = every.agg(F.transform(rows, lambda b: b["x"]).alias("rows")).scalar()
 
     def find(self, t: Column, word: Column) -> Column:
         """The ids of a word, or null; ``t`` holds this table."""
-        row = F.get(t["words"], F.xxhash64(word).bitwiseAND(self.mask).cast("int"))
-        return _let(row, lambda row: F.when(row["w"] == word, row["v"]))
+
+        def among(bucket: Column) -> Column:
+            def at(k: int) -> Column:
+                if k == BUCKET_WORDS:
+                    return F.lit(None).cast("array<int>")
+                return _let(F.get(bucket, k), lambda e: F.when(e["w"] == word, e["v"]).when(e.isNotNull(), at(k + 1)))
+
+            return at(0)
+
+        return _let(F.get(t["words"], F.xxhash64(word).bitwiseAND(BUCKETS - 1).cast("int")), among)
 
 
 def mergeable(pieces: list[bytes]) -> list[tuple[int, int, int]]:
@@ -174,10 +187,23 @@ class BytePairCoder:
         self._bytes = _literal(start + [_DONE + a for a in byte_ids], "array<bigint>")
         self._pieces = _literal([base64.b64encode(p).decode() for p in pieces], "array<binary>")
 
-    def _with_tables(self, body, known: Column | None = None) -> Column:
-        """``body(tables)``. A literal is folded wherever it stands, so each must stand in a plan once only."""
-        more = [] if known is None else [known.alias("words")]
-        return _let(F.struct(self._shifts.alias("shifts"), self._pairs.alias("pairs"), self._bytes.alias("bytes"), self._pieces.alias("pieces"), *more), body)
+    def _tables(self) -> Column:
+        """A literal is folded wherever it stands, so each must stand in a plan once only."""
+        return F.struct(self._shifts.alias("shifts"), self._pairs.alias("pairs"), self._bytes.alias("bytes"), self._pieces.alias("pieces"))
+
+    def stored_tables(self, spark: SparkSession) -> DataFrame:
+        """The literals as ``tables`` of one row, so that no later plan holds them."""
+        return materialise(spark.range(1).select(self._tables().alias("tables")), "bpe-tables")[0]
+
+    @staticmethod
+    def _with_tables(tables: Column, body, known: Column | None = None) -> Column:
+        """``body(t)``; ``tables`` and ``known`` are evaluated once, as a subquery may be put in for them."""
+
+        def opened(x: Column) -> Column:
+            more = [] if known is None else [known.alias("words")]
+            return _let(F.struct(*(x[k].alias(k) for k in ("shifts", "pairs", "bytes", "pieces")), *more), body)
+
+        return _let(tables, opened)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -200,17 +226,17 @@ class BytePairCoder:
         start = F.transform(codes, lambda c, i: F.get(t["bytes"], F.when(i < n - 1, c * 256 + F.get(codes, i + 1)).otherwise(c + 65536)) + i.cast("long") * 2**ID_BITS)
 
         def step(s: Column, _: Column) -> Column:
-            return _let(F.array_min(s), lambda m: F.when(m >= _DONE, s).otherwise(_let(F.shiftright(m, ID_BITS).bitwiseAND(2**PLACE_BITS - 1).cast("int"), lambda i: merged(s, m, i))))
+            return _let(F.array_min(s), lambda m: F.when(m >= _DONE, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda i: merged(s, m, i))))
 
         def merged(s: Column, m: Column, i: Column) -> Column:
-            """``i`` counts from 0. What stands behind the pair moves up by one place."""
-            new = F.shiftright(m, _LOW)
-            onward = self.rank(t, new, F.coalesce(own(F.get(s, i + 2)), F.lit(END)))
-            here = onward * 2**_LOW + i.cast("long") * 2**ID_BITS + new
-            before = F.get(s, i - 1)
+            """``i`` counts from 1. An item keeps the place of its first byte."""
+            after, new = F.get(s, i + 1), F.shiftright(m, _LOW)
+            onward = F.when(after.isNull(), F.lit(NO_RANK).cast("long")).otherwise(self.rank(t, new, own(after)))
+            here = onward * 2**_LOW + m.bitwiseAND((2**PLACE_BITS - 1) << ID_BITS) + new
+            before = F.get(s, i - 2)
             back = self.rank(t, own(before), new) * 2**_LOW + before.bitwiseAND(2**_LOW - 1)
-            rest = F.transform(F.slice(s, i + 3, n), lambda e: e - 2**ID_BITS)
-            return F.when(i > 0, F.concat(F.slice(s, F.lit(1), F.greatest(i - 1, F.lit(0))), F.array(back, here), rest)).otherwise(F.concat(F.array(here), rest))
+            gone = F.lit(-1).cast("long")
+            return F.array_remove(F.transform(s, lambda e, j: F.when((j < i - 2) | (j > i), e).when(j == i - 1, here).when(j == i, gone).otherwise(back)), gone)
 
         return F.aggregate(F.slice(codes, F.lit(2), n), start, step, lambda s: F.transform(s, lambda e: own(e).cast("int")))
 
@@ -249,21 +275,24 @@ class BytePairCoder:
 
     def fold(self, word: Column) -> Column:
         """Ids of one word, given as its bytes."""
-        return self._with_tables(lambda t: self._fold(t, word))
-
-    def frequent(self, docs: DataFrame, id_col: str, text_col: str) -> WordTable:
-        """The ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``."""
-        sample = bounded_sample(docs.select(id_col, text_col), [id_col, text_col], SAMPLE_DOCS)
+        return self._with_tables(self._tables(), lambda t: self._fold(t, word))
+
+    def frequent(self, docs: DataFrame, text_col: str, tables: DataFrame) -> WordTable:
+        """The ids of the sample's frequent words; bounded by ``FREQUENT_WORDS``. Rows are drawn one by one where they are read,
+        about ``SAMPLE_DOCS`` to twice that, so no task gets them all."""
+        texts = docs.select(text_col)
+        share = max(1, texts.count() // SAMPLE_DOCS)
+        sample = texts if share == 1 else texts.sample(1 / share, seed=17)
         counted = sample.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.length("w") <= PIECE_BYTES).groupBy("w").count().where("count > 1")
         top = counted.orderBy(F.desc("count"), "w").limit(FREQUENT_WORDS)
-        folded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", "count", self.fold(F.col("w").cast("binary")).alias("ids"))
-        stored, _ = materialise(folded, "frequent-words")
-        return WordTable(stored)
+        dealt = top.repartition(docs.sparkSession.sparkContext.defaultParallelism).withColumn("_bpe_tables", tables.scalar())
+        ids = self._with_tables(F.col("_bpe_tables"), lambda t: self._fold(t, F.col("w").cast("binary")))
+        return WordTable(materialise(dealt.select("w", "count", ids.alias("ids")), "frequent-words")[0])
 
     def _run_ids(self, t: Column, run: Column, known: WordTable) -> Column:
         """Ids of a run of words."""
         def placed(found: Column) -> Column:
-            rare = F.array_distinct(F.array_compact(F.zip_with(run, found, lambda w, ids: F.when(ids.isNull(), w))))
+            rare = F.array_distinct(F.filter(run, lambda _, i: F.get(found, i).isNull()))
             folded = F.map_from_entries(F.transform(rare, lambda w: F.struct(w, self._fold(t, w.cast("binary")))))
             return _let(folded, lambda f: F.flatten(F.zip_with(run, found, lambda w, ids: F.coalesce(ids, F.try_element_at(f, w)))))
 
@@ -271,17 +300,18 @@ class BytePairCoder:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with ``token_ids``, an array of ints."""
-        known = self.frequent(docs, id_col, text_col)
-        out = docs.drop(*(c for c in ("words", "_bpe_words", "token_ids") if c not in (id_col, text_col)))
+        tables = self.stored_tables(docs.sparkSession)
+        known = self.frequent(docs, text_col, tables)
+        out = docs.drop(*(c for c in ("words", "_bpe_words", "_bpe_tables", "token_ids") if c not in (id_col, text_col)))
 
         def ids(t: Column, words: Column) -> Column:
             runs = F.sequence(F.lit(0), ((F.greatest(F.size(words), F.lit(1)) - 1) / RUN_WORDS).cast("int"))
             return F.flatten(F.transform(runs, lambda r: _let(F.slice(words, r * RUN_WORDS + 1, F.lit(RUN_WORDS)), lambda run: self._run_ids(t, run, known))))
 
-        # Spark takes no subquery inside a higher-order function, but moves the one below into it, as it is used once.
-        out = out.withColumn("_bpe_words", known.rows)
-        tokens = self._with_tables(lambda t: _let(self.words(F.col(text_col)), lambda words: ids(t, words)), F.col("_bpe_words"))
-        return out.withColumn("token_ids", tokens).drop("_bpe_words")
+        # Spark takes no subquery inside a higher-order function, but moves the two below into it, as each is used once.
+        out = out.withColumn("_bpe_words", known.rows).withColumn("_bpe_tables", tables.scalar())
+        tokens = self._with_tables(F.col("_bpe_tables"), lambda t: _let(self.words(F.col(text_col)), lambda words: ids(t, words)), F.col("_bpe_words"))
+        return out.withColumn("token_ids", tokens).drop("_bpe_words", "_bpe_tables")
 
     def decode(self, ids: Column) -> Column:
         """The bytes that an array of ids stands for."""
