@@ -10,7 +10,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from wattspan import catalog
-from wattspan.operators import adoption, containment, demand, dispatch, geometry, profiles, risk
+from wattspan.operators import adoption, containment, demand, dispatch, geometry, places, profiles, risk
 from wattspan.operators import features as ft
 from wattspan.operators import joins as jn
 
@@ -101,6 +101,36 @@ def test_names_are_matched_once_and_then_expanded(spark):
     assert [tuple(x) for x in containment.match_zones(mixed, keys, "z", "t", "allowed", "key", ["f"]).collect()] == [(1, "a")]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_what_is_shuffled_grows_as_the_members_not_as_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(places, "CELLS", 16, raising=False)
+    written = []
+    for n in (6_000, 24_000):
+        left = spark.range(n).select(F.lit(1).alias("x"), F.col("id").alias("a"))
+        right = spark.range(n).select(F.lit(1).alias("y"), F.col("id").alias("b"))
+        start = shuffled(spark)
+        got = places.expanded(spark.createDataFrame([(1, 1)], "x int, y int"), left, ["x"], "a", right, ["y"], "b")
+        assert got.count() == n * n
+        written.append(shuffled(spark) - start)
+    assert written[1] < 6 * written[0]
+
+
+def test_blocks_and_slices_of_members_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(places, "CELLS", 2, raising=False)
+    member = lambda n, c, k: spark.range(n).select((F.col("id") % 2).alias(c), F.col("id").alias(k))
+    pairs = spark.createDataFrame([(0, 0, "p"), (0, 1, "q"), (1, 1, "r"), (1, 5, "s"), (7, 1, "t")], "x int, y int, km string")
+    got = places.expanded(pairs, member(1_400, "x", "a"), ["x"], "a", member(2_000, "y", "b"), ["y"], "b")
+    assert got.groupBy("km").agg(F.count("*"), F.countDistinct("a", "b")).orderBy("km").collect() == [("p", 700_000, 700_000), ("q", 700_000, 700_000), ("r", 700_000, 700_000)]
+    none = places.expanded(pairs.where("x > 9"), member(4, "x", "a"), ["x"], "a", member(4, "y", "b"), ["y"], "b")
+    assert none.columns == ["km", "a", "b"] and none.count() == 0
+
+
 def test_balances_are_rounded_as_their_loads(spark):
     folder = DATA.parent / "sf0.01"
     if not folder.exists():
